@@ -1,11 +1,77 @@
 """Corpus pipeline: language ID, near-duplicates, repeated substrings, benchmark leaks, pieces."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from docquarry.llm.common import cut, table
+from docquarry.llm.decontam import leaks
+from docquarry.llm.langid import keep_identified, train
+from docquarry.llm.neardup import near_duplicates
+from docquarry.llm.pieces import piece_round_trip
+from docquarry.llm.substrings import remove_repeats
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Languages known with less than this score are rejected.
+LEAST_SCORE = 0.4
+#: Ids are broadcast up to this number (16 bytes each); beyond, they are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows that have one of ``ids(doc_id)``."""
+    ids = cut(ids.distinct())
+    small = ids.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language the byte network knows; it learns from a bounded sample of rows with a language."""
+    return keep_identified(docs, train(docs, F.lit(True)), LEAST_SCORE)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each near-duplicate group, and one of the rows that share it."""
+    groups = cut(near_duplicates(docs))
+    again = cut(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = _without(docs, groups.where("not kept").select("doc_id"))
+    if again.isEmpty():
+        return left
+    return _without(left, again).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes words of repeated 35-word windows; a changed text has its kept words joined by one space."""
+    less = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"))
+    less = less.dropDuplicates(["doc_id"])
+    changed = docs.join(less, "doc_id", "left")
+    text = F.coalesce("_kept", "text")
+    return changed.withColumns({"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text's pieces, with digests and whether they decode to the text."""
+    return piece_round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("SentencePiece encoding and decoding", encode),
+]
+#: The stages can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
