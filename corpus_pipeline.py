@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from docquarry.llm.common import cut, table
+from docquarry.llm.common import cut, semi_or_anti, table
 from docquarry.llm.decontam import leaks
 from docquarry.llm.langid import keep_identified, train
 from docquarry.llm.neardup import near_duplicates
@@ -14,15 +14,6 @@ from pyspark.sql import functions as F
 
 #: Languages known with less than this score are rejected.
 LEAST_SCORE = 0.4
-#: Ids are broadcast up to this number (16 bytes each); beyond, they are joined by a shuffle.
-MOST_BROADCAST = 500_000
-
-
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have one of ``ids(doc_id)``."""
-    ids = cut(ids.distinct())
-    small = ids.count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +25,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least id of each near-duplicate group, and one of the rows that share it."""
     groups = cut(near_duplicates(docs))
     again = cut(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = _without(docs, groups.where("not kept").select("doc_id"))
+    left = semi_or_anti(docs, groups.where("not kept"), "doc_id", "left_anti")
     if again.isEmpty():
         return left
-    return _without(left, again).unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return semi_or_anti(left, again, "doc_id", "left_anti").unionByName(semi_or_anti(left, again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +42,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    return semi_or_anti(docs, leaks(docs, table(spark, sf_dir, "benchmark")), "doc_id", "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join may broadcast (about 16 bytes each); more are joined by a shuffle.
+MOST_BROADCAST = 500_000
+
+
+def semi_or_anti(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """Rows with (``left_semi``) or without (``left_anti``) one of ``ids(column)``; ids are counted before they are broadcast."""
+    ids = cut(ids.select(column).distinct())
+    small = ids.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(ids) if small else ids.hint("merge"), column, how).select(*rows.columns)
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered up to ``limit`` words."""
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix, ngram_hashes, rows_of
+from .common import WordHashes, cut, mix, ngram_hashes, rows_of, semi_or_anti
 from .components import components
 
 #: SetSketch parameters: base, rate of the exponential values, and the largest register.
@@ -185,7 +185,7 @@ def _across_components(named: DataFrame, sets_for, percent: int) -> DataFrame:
     sized = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = sized.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     spread = cut(named.join(mixed.select("key", "top"), "key").select("key", "id", "root", (F.col("root") != F.col("top")).alias("asks")))
-    sets = sets_for(spread.select(F.col("id").alias("doc_id")).distinct())
+    sets = sets_for(spread.select(F.col("id").alias("doc_id")))
     size = F.octet_length("set")
     weighed = spread.join(sets.select("id", size.alias("bytes")), "id")
     blocks = weighed.groupBy("key").agg(*[F.ceil(F.greatest(F.lit(1), F.sum(F.when(F.col("asks") == yes, F.col("bytes")).otherwise(0))) / BLOCK_BYTES).alias(c) for c, yes in (("nq", True), ("nt", False))])
@@ -236,9 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = cut(estimated(buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()))
 
     def sets_for(ids: DataFrame) -> DataFrame:
-        return cut(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words_per_shingle), "id long, set binary"))
+        return cut(semi_or_anti(docs, ids, "doc_id", "left_semi").mapInArrow(_sets(words_per_shingle), "id long, set binary"))
 
-    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = cut(components(links))
 
     named = buckets.where("members > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    third = _across_components(named, lambda ids: sets_for(ids), percent)
+    third = _across_components(named, sets_for, percent)
     roots = components(links.unionByName(third))
 
     rooted = classes.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
