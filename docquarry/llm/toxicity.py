@@ -16,10 +16,12 @@ from .langid import remainder
 
 #: Hashed terms (a power of two) and factors of each.
 TERMS, FACTORS = 1 << 17, 4
-#: Bound of the training sample, in labelled documents, and the least number of them that a term must be in.
-SAMPLE_DOCS, LEAST_DOCS = 12_000, 6
+#: Bound of the training sample, in labelled documents; a term is learned from so many of them at least, if its chi-square with the label is so high.
+SAMPLE_DOCS, LEAST_DOCS, LEAST_CHI = 12_000, 3, 20.0
+#: Steps of training, at least.
+STEPS = 1500
 #: Word beginnings that are terms beside the word itself, so that inflected forms share a term.
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -40,6 +42,15 @@ def terms_of(text: str | None, known: Terms) -> np.ndarray:
     return np.unique(np.array([t for w in words for t in known[w]], np.int32))
 
 
+def _associated(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Which terms enough documents have, with a chi-square that chance rarely gives."""
+    n, marked = len(docs), labels.sum()
+    all_, with_ = (np.bincount(np.concatenate(part) if part else np.empty(0, np.int32), minlength=TERMS).astype(float) for part in (docs, [d for d, y in zip(docs, labels, strict=True) if y > 0]))
+    expected = all_ * marked / max(n, 1)
+    spread = expected * (1 - all_ / max(n, 1)) * (1 - marked / max(n, 1))
+    return (all_ >= LEAST_DOCS) & ((with_ - expected) ** 2 >= LEAST_CHI * np.maximum(spread, 1e-9))
+
+
 class FactorizationMachine:
     """Bias, a weight and ``FACTORS`` factors per term: linear sum plus all pairwise interactions, through a logistic link."""
 
@@ -56,12 +67,13 @@ class FactorizationMachine:
         sums = total(v)
         return self.bias + total(self.weights[terms]) + 0.5 * ((sums**2).sum(1) - total((v**2).sum(1))), sums
 
-    def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.08, shrink: float = 1e-3, seed: int = 3) -> FactorizationMachine:
-        """AdaGrad on the logistic loss with soft thresholds on the weights, over terms that enough documents have."""
+    def fit(self, docs: list[np.ndarray], labels: np.ndarray, batch: int = 64, rate: float = 0.1, shrink: float = 1e-3, seed: int = 3) -> FactorizationMachine:
+        """AdaGrad on the logistic loss with soft thresholds on the weights, over terms that tell something about the label."""
         rng = np.random.default_rng(seed)
-        common = np.bincount(np.concatenate(docs), minlength=TERMS) >= LEAST_DOCS
-        docs = [d[common[d]] for d in docs]
-        self.factors[~common] = 0
+        useful = _associated(docs, labels)
+        docs = [d[useful[d]] for d in docs]
+        self.factors[~useful] = 0
+        epochs = max(4, -(-STEPS * batch // len(docs)))
         base = min(max(labels.mean(), 1e-3), 1 - 1e-3)
         self.bias = float(np.log(base / (1 - base)))
         g_w, g_v, g_b = np.full(TERMS, 1e-2), np.full((TERMS, FACTORS), 1e-2), 1.0
