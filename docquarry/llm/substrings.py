@@ -170,7 +170,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").withColumn("row", F.xxhash64("text"))
     scanned = cut(docs.mapInArrow(_scan(window), "doc_id long, row long, n_words long, digest string, firsts array<int>, grams array<long>"))
     runs = scanned.select("doc_id", "row", F.inline(F.arrays_zip("firsts", "grams")).alias("first", "gram"))
-    twice = scanned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that the join has an exchange on both sides and a hot prefix can be split.
+    twice = cut(scanned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
     shared = runs.join(twice, "gram", "left_semi").groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts"))
     touched = cut(docs.join(shared, ["doc_id", "row"]))
 
