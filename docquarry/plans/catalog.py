@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES
 
+for _name in ("log_queries", "sync_queries", "conversation_queries", "table_queries", "text_queries", "vector_queries", "rank_queries", "question_queries", "access_queries", "stream_queries"):
+    import_module(f"{__package__}.{_name}")
 
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL that gives the same rows."""
 
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+def queries() -> dict:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Best five readable chunks for each benchmark question."""
+    return QUERIES["slice_answer_context"](spark, sf_dir)
