@@ -1 +1,203 @@
-"""Queries."""
+"""Queries over lexical scores, ranking and answer contexts."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import access, chunk, clean, lexical, meta, rank
+from .registry import query
+from .text_queries import _CLEAN_EPISODE
+from .views import QUESTIONS, questions, table
+
+_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+_INDEX = f"""i AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) WHERE length(term) >= 2 GROUP BY 1, 2)"""
+_BM25 = f"""{QUESTIONS}, {_INDEX}, f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), l AS (SELECT doc_id, sum(tf) AS length FROM i GROUP BY 1), t AS (SELECT count(*) AS n, avg(length) AS mean_length FROM l),
+    q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM v_query) WHERE length(term) >= 2 GROUP BY 1, 2),
+    b AS (SELECT query_id, doc_id, sum(times * greatest(0.25, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))) AS bm25 FROM i JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc_id), t GROUP BY 1, 2)"""
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+def _index(spark, d):
+    return lexical.inverted_index(_docs(spark, d), "doc_id", "text")
+
+
+def _bm25(spark, d):
+    return lexical.bm25(_index(spark, d), lexical.query_terms(questions(spark, d), "query"), "doc_id")
+
+
+@query(f"SELECT doc_id, CAST(len(list_filter({_TOKENS.format('text')}, lambda x: length(x) >= 3)) AS INTEGER) AS tokens, list_filter({_TOKENS.format('text')}, lambda x: length(x) >= 3)[1] AS first FROM documents")
+def g1_tokenize(spark, d):
+    t = _docs(spark, d).select("doc_id", lexical.tokenize("text", 3).alias("t"))
+    return t.select("doc_id", F.size("t").alias("tokens"), F.get("t", F.lit(0)).alias("first"))
+
+
+@query(f"WITH {_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM i GROUP BY 1")
+def g2_corpus_stats(spark, d):
+    return _index(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+
+
+@query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM b) SELECT query_id, doc_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def g3_bm25(spark, d):
+    top = rank.rank_by(_bm25(spark, d).withColumn("bm25", F.round("bm25", 6)), F.col("bm25")).where("rank <= 10")
+    return top.select("query_id", "doc_id", "bm25", "rank")
+
+
+@query(f"""WITH {QUESTIONS}, {_INDEX}, f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), l AS (SELECT doc_id, sum(tf) AS length FROM i GROUP BY 1), t AS (SELECT count(*) AS n FROM l),
+    q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM v_query) WHERE length(term) >= 3 GROUP BY 1, 2)
+    SELECT query_id, doc_id, round(sum(times * ln((n + 1) / (df + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 100.0))), 6) AS bm25 FROM i JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc_id), t GROUP BY 1, 2""")
+def g4_bm25_fixed_length(spark, d):
+    terms = lexical.query_terms(questions(spark, d), "query", 3)
+    return lexical.bm25(_index(spark, d), terms, "doc_id", least_idf=None, mean_length=100.0).withColumn("bm25", F.round("bm25", 6))
+
+
+@query("SELECT o_orderkey, round(exp(-(epoch(TIMESTAMP '2002-01-01 00:00:00') - epoch(o_orderdate)) / 86400.0 / 365.0), 6) AS recency FROM orders")
+def g11_recency(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.round(rank.recency("o_orderdate", "2002-01-01 00:00:00", 365.0), 6).alias("recency"))
+
+
+@query("SELECT user_id, round(least(ln(1 + count(*) FILTER (event_type = 'view') + 2 * count(*) FILTER (event_type = 'click') + 3 * count(*) FILTER (event_type = 'purchase')) / 10, 1.0), 6) AS popularity FROM events GROUP BY 1")
+def g12_popularity(spark, d):
+    counts = [F.count_if(F.col("event_type") == k) for k in ("view", "click", "purchase")]
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(rank.popularity(*counts), 6).alias("popularity"))
+
+
+@query(f"""WITH {QUESTIONS}, p AS (SELECT query_id, doc_id, list_distinct({_TOKENS.format('query')}) AS a, list_distinct({_TOKENS.format('text')}) AS b, source = 'src0' AS t FROM v_query, documents WHERE query_id < 5)
+    SELECT query_id, doc_id, round(least(1.0, 0.5 * len(list_intersect(a, b))::DOUBLE / len(a) + CASE WHEN t THEN 0.2 ELSE 0.0 END), 6)::DOUBLE AS relevance, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM p""")
+def g13_metadata_relevance(spark, d):
+    pairs = table(spark, d, "documents").crossJoin(F.broadcast(questions(spark, d).where("query_id < 5")))
+    words = lambda c: F.array_distinct(lexical.tokenize(c))
+    none = F.array().cast("array<string>")
+    return pairs.select("query_id", "doc_id", F.round(rank.metadata_relevance(words("query"), words("text"), none, none, F.col("source") == "src0"), 6).alias("relevance"), F.round(lexical.token_jaccard(words("query"), words("text")), 6).alias("jaccard"))
+
+
+def _normal_sql(form):
+    return f"WITH {_BM25}, s AS (SELECT query_id, doc_id, round(bm25, 6) AS x FROM b) SELECT query_id, doc_id, round({form}, 6) AS normalized FROM s WINDOW w AS (PARTITION BY query_id)"
+
+
+def _scored(spark, d):
+    return _bm25(spark, d).withColumn("bm25", F.round("bm25", 6))
+
+
+@query(_normal_sql("CASE WHEN min(x) OVER w = max(x) OVER w THEN x ELSE (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) END"))
+def g8_minmax(spark, d):
+    return rank.normalize_list(_scored(spark, d), "bm25", "minmax").select("query_id", "doc_id", F.round("normalized", 6).alias("normalized"))
+
+
+@query(_normal_sql("CASE WHEN min(x) OVER w = max(x) OVER w THEN x ELSE (x - avg(x) OVER w) / stddev_pop(x) OVER w END"))
+def g8_zscore(spark, d):
+    return rank.normalize_list(_scored(spark, d), "bm25", "zscore").select("query_id", "doc_id", F.round("normalized", 6).alias("normalized"))
+
+
+@query(f"WITH {_BM25}, s AS (SELECT query_id, doc_id, round(bm25, 6) AS x FROM b), m AS (SELECT *, max(x) OVER (PARTITION BY query_id) AS h FROM s) SELECT query_id, doc_id, round(exp(x - h) / sum(exp(x - h)) OVER (PARTITION BY query_id), 6) AS normalized FROM m")
+def g8_softmax(spark, d):
+    return rank.normalize_list(_scored(spark, d), "bm25", "softmax").select("query_id", "doc_id", F.round("normalized", 6).alias("normalized"))
+
+
+@query(f"WITH {_BM25}, s AS (SELECT query_id, doc_id, round(bm25, 6) AS x FROM b) SELECT query_id, doc_id, round(1 - (row_number() OVER (PARTITION BY query_id ORDER BY x DESC, doc_id) - 1)::DOUBLE / count(*) OVER (PARTITION BY query_id), 6) AS normalized FROM s")
+def g8_rank(spark, d):
+    return rank.normalize_list(_scored(spark, d), "bm25", "rank").select("query_id", "doc_id", F.round("normalized", 6).alias("normalized"))
+
+
+@query("""WITH c AS (SELECT event_id, value / 100 AS v, (event_id % 17) / 17.0::DOUBLE AS b, (event_id % 5) / 5.0::DOUBLE AS t, (event_id % 3) / 3.0::DOUBLE AS s, event_id % 14 AS w, event_id % 4 AS e, (event_id % 2) * 0.5::DOUBLE AS learned FROM events),
+    h AS (SELECT *, CASE WHEN w < 3 THEN 0.2 * v + 0.4 * b + 0.3 * t + 0.1 * s WHEN e > 2 THEN 0.2 * v + 0.4 * b + 0.2 * t + 0.2 * s WHEN w > 10 THEN 0.4 * v + 0.2 * b + 0.1 * t + 0.3 * s ELSE 0.3 * v + 0.3 * b + 0.2 * t + 0.2 * s END AS hybrid FROM c)
+    SELECT event_id, round(hybrid, 6) AS hybrid, round(CASE WHEN learned > 0 THEN 0.7 * learned + 0.3 * hybrid WHEN hybrid > 0 THEN hybrid ELSE greatest(v, b) END, 6) AS final FROM h""")
+def g7_hybrid_and_final(spark, d):
+    part = lambda n: (F.col("event_id") % n) / float(n)
+    c = table(spark, d, "events").select("event_id", (F.col("value") / 100).alias("v"), part(17).alias("b"), part(5).alias("t"), part(3).alias("s"), ((F.col("event_id") % 2) * 0.5).alias("learned"))
+    h = c.withColumn("hybrid", rank.hybrid_score("v", "b", "t", "s", F.col("event_id") % 14, F.col("event_id") % 4))
+    return h.select("event_id", F.round("hybrid", 6).alias("hybrid"), F.round(rank.final_score("learned", "hybrid", "v", "b"), 6).alias("final"))
+
+
+_TOP = f"{_BM25}, top AS (SELECT * FROM (SELECT query_id, doc_id, round(bm25, 6) AS bm25, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM b) WHERE rank <= 5)"
+
+
+def _top(spark, d, n=5):
+    return rank.rank_by(_scored(spark, d), F.col("bm25")).where(F.col("rank") <= n)
+
+
+def _with_text(spark, d, n=5):
+    return _top(spark, d, n).join(table(spark, d, "documents"), "doc_id").join(F.broadcast(questions(spark, d)), "query_id")
+
+
+@query(f"""WITH {_TOP}, r AS (SELECT query_id, doc_id, bm25, lower(query) AS q, lower(text) AS c, length(text) AS n FROM top JOIN documents USING (doc_id) JOIN v_query USING (query_id)),
+    s AS (SELECT *, list_distinct(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '')) AS qw, list_distinct(list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '')) AS cw FROM r),
+    z AS (SELECT *, CASE WHEN contains(c, q) THEN 0.5 ELSE 0.0 END::DOUBLE + 0.3::DOUBLE * len(list_intersect(qw, cw)) / len(qw) AS raw FROM s)
+    SELECT query_id, doc_id, round(0.8::DOUBLE * bm25 + 0.2::DOUBLE * least(1.0, CASE WHEN n > 2000 THEN raw * 0.8::DOUBLE ELSE raw END), 6) AS reranked FROM z""")
+def g17_rerank_by_content(spark, d):
+    return rank.rerank_by_content(_with_text(spark, d), "query", "text", "bm25").select("query_id", "doc_id", F.round("reranked", 6).alias("reranked"))
+
+
+@query(f"WITH {_TOP} SELECT query_id, round(avg(bm25), 6) AS relevance, round(least(avg(bm25) + 0.1, 1.0), 6) AS confidence, string_agg(DISTINCT doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS documents, string_agg(DISTINCT source, ',' ORDER BY source) AS groups FROM top JOIN documents USING (doc_id) GROUP BY 1")
+def g23_answer_relevance(spark, d):
+    return rank.answer_relevance(_with_text(spark, d), "bm25", "doc_id", "source")
+
+
+@query(f"WITH {_TOP} SELECT query_id, left(string_agg(text, chr(10) || chr(10) ORDER BY rank), 3000) AS context FROM top JOIN documents USING (doc_id) GROUP BY 1")
+def g22_simple_context(spark, d):
+    return rank.simple_context(_with_text(spark, d), "text", 3000)
+
+
+@query(r"SELECT doc_id, query_id, CAST(len(regexp_extract_all(query, '[^\s]+')) AS INTEGER) AS query_words, CAST(length(query) AS INTEGER) AS query_chars, CAST(len(regexp_extract_all(text, '[^\s]+')) AS INTEGER) AS content_words, CAST(length(text) AS INTEGER) AS content_chars, contains(lower(text), lower(query))::INTEGER AS phrase_hit, round(length(query)::DOUBLE / greatest(length(text), 1), 6) AS length_ratio, bm25 FROM (WITH " + _TOP + " SELECT * FROM top JOIN documents USING (doc_id) JOIN v_query USING (query_id))")
+def g24_ranking_features(spark, d):
+    return rank.ranking_features(_with_text(spark, d), "query", "text", ["bm25"])
+
+
+@query()
+def g5_pair_tfidf(spark, d):
+    return lexical.pair_tfidf(_with_text(spark, d), "query", "text", ["query_id", "doc_id"]).withColumn("tfidf", F.round("tfidf", 6))
+
+
+@query()
+def g14_diverse_by_tokens(spark, d):
+    return rank.diverse_by_tokens(_with_text(spark, d, 10).select("query_id", "doc_id", "bm25", "text"), "text", "bm25", 4).select("query_id", "doc_id", "bm25")
+
+
+@query()
+def g16_drop_near_copies(spark, d):
+    return rank.drop_near_copies(_with_text(spark, d, 10).select("query_id", "doc_id", "bm25", "text"), "text", "bm25").select("query_id", "doc_id", "bm25")
+
+
+@query()
+def g18_post_process(spark, d):
+    return rank.post_process(_with_text(spark, d, 10).select("query_id", "doc_id", "bm25", "text", "query"), "query", "text", "bm25").select("query_id", "doc_id", "rank", "too_few")
+
+
+@query()
+def g25_learned_ranking(spark, d):
+    rows = rank.ranking_features(_with_text(spark, d, 10), "query", "text", ["bm25"])
+    features = [c for c in rows.columns if c not in ("query_id", "doc_id")]
+    model = rank.train_ranker(rows.withColumn("label", F.col("phrase_hit").cast("double")), features, "label", trees=20)
+    return rows.select("query_id", "doc_id").limit(0).withColumn("learned", F.lit(0.0)) if model is None else model.transform(rows).select("query_id", "doc_id", F.round("learned", 6).alias("learned"))
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY published ASC NULLS FIRST, doc_id) AS INTEGER) AS place FROM (SELECT doc_id, source, CASE WHEN doc_id % 7 <> 0 THEN DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) END AS published FROM documents)")
+def g20_sort_by_date(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 7 != 0, F.expr("date_add(date'2024-01-01', cast(doc_id % 365 as int))")).alias("published"))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.asc_nulls_first("published"), "doc_id")).alias("place"))
+
+
+_SLICE = f"""{QUESTIONS}, c AS (SELECT doc_id, source, {_CLEAN_EPISODE.format('text')} AS text FROM documents WHERE source <> 'src3'),
+    k AS (SELECT doc_id, source, s, substr(text, s + 1, 1000) AS content FROM (SELECT *, unnest(range(0, length(text), 800))::INTEGER AS s FROM c WHERE length(text) > 0)),
+    h AS (SELECT doc_id, source, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_index FROM k WHERE length(trim(content)) >= 50),
+    x AS (SELECT *, doc_id || '_' || chunk_index AS chunk_id FROM h), i AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_TOKENS.format('content')}) AS term FROM x) WHERE length(term) >= 2 GROUP BY 1, 2),
+    f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), l AS (SELECT chunk_id, sum(tf) AS length FROM i GROUP BY 1), t AS (SELECT count(*) AS n, avg(length) AS mean_length FROM l),
+    q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM v_query WHERE query_id < 20) WHERE length(term) >= 2 GROUP BY 1, 2),
+    b AS (SELECT query_id, chunk_id, round(sum(times * greatest(0.25, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS bm25 FROM i JOIN q USING (term) JOIN f USING (term) JOIN l USING (chunk_id), t GROUP BY 1, 2),
+    r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM b) WHERE rank <= 5),
+    p AS (SELECT query_id, rank, '[' || source || '] ' || chunk_id || chr(10) || content AS part FROM r JOIN x USING (chunk_id)),
+    u AS (SELECT *, 3000 - coalesce(sum(length(part)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM p)
+    SELECT query_id, string_agg(CASE WHEN length(part) <= room THEN part ELSE left(part, CAST(room AS BIGINT)) END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) FILTER (length(part) <= room OR room > 100) AS context, max((length(part) > room)::INT) = 1 AS truncated FROM u GROUP BY 1"""
+
+
+@query(f"WITH {_SLICE}")
+def slice_answer_context(spark, d):
+    """Clean, chunk, link, index, score, filter by source, keep the best five chunks of twenty questions, and assemble bounded contexts."""
+    docs = access.allowed_sources(table(spark, d, "documents"), "source", denied=["src3"])
+    cleaned = docs.select("doc_id", "source", clean.clean_episode(F.col("text")).alias("text"))
+    chunks = meta.inherit(chunk.chunk_fixed(cleaned, "doc_id", "text"), cleaned, "doc_id", ["source"]).withColumn("chunk_id", F.concat_ws("_", "doc_id", "chunk_index"))
+    index = lexical.inverted_index(chunks, "chunk_id", "content")
+    terms = lexical.query_terms(questions(spark, d).where("query_id < 20"), "query")
+    hits = rank.rank_by(lexical.bm25(index, terms, "chunk_id").withColumn("bm25", F.round("bm25", 6)), F.col("bm25"), "chunk_id").where("rank <= 5")
+    return rank.context_text(hits.join(chunks, "chunk_id"), F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("chunk_id")), "content", 3000)
