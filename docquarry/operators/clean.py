@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # UTF-8 read as Latin-1, and what it stood for.
 MOJIBAKE = {"â€™": "'", "â€œ": '"', "â€": '"', "â€“": "–", "â€¦": "…", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü"}
@@ -26,7 +27,7 @@ def fix_mojibake(c: Column) -> Column:
     return F.regexp_replace(c, "Â([ -¿])", "$1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -72,7 +73,7 @@ def remove_phones(c: Column) -> Column:
 def normalize_unicode(c: Column, form: str = "NFC") -> Column:
     """Unicode normal form; texts of ASCII alone are not sent to Python."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
 
@@ -94,7 +95,7 @@ def tabs_to_spaces(c: Column) -> Column:
 def expand_tabs(c: Column, width: int = 4) -> Column:
     """Tabs to the next column that is a multiple of ``width``."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def expanded(s: pd.Series) -> pd.Series:
         return s.map(lambda x: x.expandtabs(width), na_action="ignore")
 
@@ -125,7 +126,7 @@ def calm_punctuation(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\.{4,}", "..."), "!{2,}", "!")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _title(s: pd.Series) -> pd.Series:
     return s.map(str.title, na_action="ignore")
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_NEWEST = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-_OLDEST = Window.partitionBy("conv_id").orderBy("turn")
+
+def _newest() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+
+
+def _oldest() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def last_messages(messages: DataFrame, n: int) -> DataFrame:
     """The last ``n`` messages of each conversation, numbered from the oldest of them."""
-    kept = messages.withColumn("back", F.row_number().over(_NEWEST)).where(F.col("back") <= n)
-    return kept.withColumn("position", F.row_number().over(_OLDEST)).drop("back")
+    kept = messages.withColumn("back", F.row_number().over(_newest())).where(F.col("back") <= n)
+    return kept.withColumn("position", F.row_number().over(_oldest())).drop("back")
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
@@ -45,10 +50,10 @@ def with_title(messages: DataFrame, most: int = 30) -> DataFrame:
 
 def paired_turns(messages: DataFrame) -> DataFrame:
     """Each user message with the next assistant message of the conversation, numbered from 1."""
-    ahead = _OLDEST.rowsBetween(1, Window.unboundedFollowing)
+    ahead = _oldest().rowsBetween(1, Window.unboundedFollowing)
     answer = F.first(F.when(F.col("role") == "assistant", F.struct("turn", "text")), ignorenulls=True).over(ahead)
     asked = messages.withColumn("answer", answer).where("role = 'user'")
-    return asked.select("conv_id", F.row_number().over(_OLDEST).alias("pair"), F.col("text").alias("question"), F.col("answer.text").alias("reply"), F.col("answer.turn").alias("reply_turn"))
+    return asked.select("conv_id", F.row_number().over(_oldest()).alias("pair"), F.col("text").alias("question"), F.col("answer.text").alias("reply"), F.col("answer.turn").alias("reply_turn"))
 
 
 def session_state(messages: DataFrame, as_of: str, idle_hours: int = 24, max_turns: int = 50) -> DataFrame:
@@ -60,7 +65,7 @@ def session_state(messages: DataFrame, as_of: str, idle_hours: int = 24, max_tur
 def digest(messages: DataFrame, first: int = 6, most: int = 200) -> DataFrame:
     """The first messages, cut and labelled, as one text for a title."""
     label = F.when(F.col("role") == "user", "User: ").when(F.col("role") == "assistant", "Assistant: ").otherwise("System: ")
-    kept = messages.withColumn("n", F.row_number().over(_OLDEST)).where(F.col("n") <= first)
+    kept = messages.withColumn("n", F.row_number().over(_oldest())).where(F.col("n") <= first)
     lines = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", F.concat(label, F.left("text", F.lit(most))).alias("line")))).alias("lines"))
     return lines.select("conv_id", F.array_join("lines.line", "\n").alias("digest"))
 

@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-_BY_QUERY = Window.partitionBy("query_id")
+
+def _by_query() -> WindowSpec:
+    return Window.partitionBy("query_id")
 
 
 def recency(column: str, as_of: str, days: float = 30.0) -> Column:
@@ -38,14 +40,14 @@ def hybrid_score(vector: str, bm25: str, tfidf: str, semantic: str, words: Colum
 
 def normalize_list(hits: DataFrame, score: str, how: str, key: str = "doc_id") -> DataFrame:
     """``normalized`` over each query's list: none, minmax, zscore (population), softmax, rank.  A constant list stays as it is."""
-    x, low, high = F.col(score), F.min(score).over(_BY_QUERY), F.max(score).over(_BY_QUERY)
-    place = F.row_number().over(_BY_QUERY.orderBy(F.desc(score), key))
+    x, low, high = F.col(score), F.min(score).over(_by_query()), F.max(score).over(_by_query())
+    place = F.row_number().over(_by_query().orderBy(F.desc(score), key))
     forms = {
         "none": x,
         "minmax": (x - low) / (high - low),
-        "zscore": (x - F.avg(score).over(_BY_QUERY)) / F.stddev_pop(score).over(_BY_QUERY),
-        "softmax": F.exp(x - high) / F.sum(F.exp(x - F.col("_high"))).over(_BY_QUERY),
-        "rank": 1 - (place - 1) / F.count("*").over(_BY_QUERY),
+        "zscore": (x - F.avg(score).over(_by_query())) / F.stddev_pop(score).over(_by_query()),
+        "softmax": F.exp(x - high) / F.sum(F.exp(x - F.col("_high"))).over(_by_query()),
+        "rank": 1 - (place - 1) / F.count("*").over(_by_query()),
     }
     out = hits.withColumn("_high", high)
     return out.withColumn("normalized", F.when(low == high, x).otherwise(forms[how]) if how in ("minmax", "zscore") else forms[how]).drop("_high")
@@ -58,7 +60,7 @@ def final_score(learned: str, hybrid: str, *others: str) -> Column:
 
 
 def rank_by(hits: DataFrame, score: Column, key: str = "doc_id") -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(_BY_QUERY.orderBy(score.desc(), key)))
+    return hits.withColumn("rank", F.row_number().over(_by_query().orderBy(score.desc(), key)))
 
 
 def content_relevance(query: str, content: str) -> Column:
@@ -114,7 +116,7 @@ def diverse_by_tokens(hits: DataFrame, content: str, score: str, k: int, weight:
 def post_process(hits: DataFrame, query: str, content: str, score: str, most: int = 5, least: int = 1, key: str = "doc_id") -> DataFrame:
     """Near copies out, re-ranked by content, the best ``most``; ``too_few`` warns below ``least``."""
     out = rerank_by_content(drop_near_copies(hits, content, score, key=key), query, content, score, key).where(F.col("rank") <= most)
-    return out.withColumn("too_few", F.count("*").over(_BY_QUERY) < least)
+    return out.withColumn("too_few", F.count("*").over(_by_query()) < least)
 
 
 def with_ranker(hits: DataFrame, ranker: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -127,7 +129,7 @@ def context_text(hits: DataFrame, header: Column, content: str, most: int, least
 
     ``query_id, context, truncated``; truncated tells that a part was cut or dropped.
     """
-    line = _BY_QUERY.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    line = _by_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     rows = hits.withColumn("_part", F.concat(header, F.lit("\n"), F.col(content))).withColumn("_size", F.length("_part"))
     rows = rows.withColumn("_used", F.coalesce(F.sum("_size").over(line), F.lit(0))).withColumn("_left", F.lit(most) - F.col("_used"))
     shown = F.when(F.col("_size") <= F.col("_left"), F.col("_part")).when(F.col("_left") > least_part, F.left("_part", F.col("_left").cast("int")))
