@@ -128,3 +128,8 @@ def bucket_of(column: str, cuts: list[int]) -> F.Column:
             lambda acc, s: F.when((acc + s <= n) & (F.get(padded, acc + s - 1) <= value), acc + s).otherwise(acc),
         )
     return F.when(value.isNull(), F.lit(0)).otherwise(below)
+
+
+def let(value: F.Column, use) -> F.Column:
+    """``use(value)`` with the value computed once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]

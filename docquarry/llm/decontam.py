@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 #: Tokens of a template window, and how many of them are literal words at least.
 WINDOW, LITERALS = 8, 4
@@ -28,11 +28,6 @@ def _marked(text: F.Column, names: bool) -> F.Column:
     return F.regexp_replace(out, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", "\u0001$1") if names else out
 
 
-def _let(value: F.Column, use) -> F.Column:
-    """``use(value)`` with the value computed once, also inside lambdas."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _kind(token: F.Column) -> F.Column:
     """The token's template form: itself, or a typed placeholder."""
     first = F.substring(token, 1, 1)
@@ -58,11 +53,11 @@ def template_windows(text: F.Column, names: bool = True) -> F.Column:
             slots = F.aggregate(F.slice(o, i, WINDOW), F.lit(0), lambda a, x: a + x)
             return F.when(slots <= WINDOW - LITERALS, F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, WINDOW)).alias("hash"), F.when(slots > 0, F.array_join(F.slice(v, i, WINDOW), "\u0003")).alias("slots")))
 
-        slotted = lambda h: _let(values, lambda v: _let(open_, lambda o: F.filter(F.transform(at, lambda i: window(h, v, o, i)), lambda w: w.isNotNull())))
-        return F.when(F.exists(open_, lambda o: o == 1), _let(hashes, slotted)).otherwise(_let(hashes, plain))
+        slotted = lambda h: let(values, lambda v: let(open_, lambda o: F.filter(F.transform(at, lambda i: window(h, v, o, i)), lambda w: w.isNotNull())))
+        return F.when(F.exists(open_, lambda o: o == 1), let(hashes, slotted)).otherwise(let(hashes, plain))
 
     tokens = F.regexp_extract_all(F.lower(_marked(text, names)), F.lit(_TOKEN), F.lit(0))
-    return _let(tokens, lambda t: F.when(F.size(t) >= WINDOW, of(t)))
+    return let(tokens, lambda t: F.when(F.size(t) >= WINDOW, of(t)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounds, bucket_of
+from .common import bounds, bucket_of, let
 
 #: Samples of a fingerprint; the standard error of a similarity s is sqrt(s (1 - s) / SAMPLES).
 SAMPLES = 48
@@ -37,12 +37,26 @@ def sample(term: str, weight: str, k: int) -> F.Column:
 def signatures(terms: DataFrame, keys: list[str], term: str = "term", weight: str = "weight", samples: int = SAMPLES) -> DataFrame:
     """One row for each key of a table of weighted terms: ``keys, signature array<int>``.
 
-    Weights are positive numbers; rows with a null term or a weight that is null or not positive are left out, and a key
-    without other rows has no signature.
+    Weights are positive numbers; a null term or a weight that is null or not positive gives no sample, and a key without
+    other rows has a null signature.
     """
-    usable = terms.where(F.col(term).isNotNull() & (F.col(weight) > 0)).select(*keys, F.col(term).alias("_term"), F.col(weight).cast("double").alias("_weight"))
-    least = usable.groupBy(*keys).agg(*[F.min(sample("_term", "_weight", k)).alias(f"_s{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[F.xxhash64(f"_s{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(samples)]).alias("signature"))
+    usable = F.when(F.col(term).isNotNull() & (F.col(weight) > 0), F.col(weight).cast("double"))
+    rows = terms.select(*keys, F.col(term).alias("_term"), usable.alias("_weight"))
+    least = rows.groupBy(*keys).agg(*[F.min(sample("_term", "_weight", k)).alias(f"_s{k}") for k in range(samples)])
+    values = F.array(*[F.xxhash64(f"_s{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for k in range(samples)])
+    return least.select(*keys, F.when(F.col("_s0").isNotNull(), values).alias("signature"))
+
+
+def word_counts(text: F.Column) -> F.Column:
+    """Array of ``(term, weight)``: hashes of the lower-cased words with their counts, from sorted runs within the row."""
+    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def runs(s: F.Column) -> F.Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        ends = lambda x: F.concat(F.slice(x, 2, F.size(x)), F.array(F.size(s) + 1))
+        return let(starts, lambda x: F.zip_with(x, ends(x), lambda a, b: F.struct(F.get(s, a - 1).alias("term"), (b - a).alias("weight"))))
+
+    return let(F.sort_array(F.transform(words, lambda w: F.xxhash64(w))), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def likeness(left: str, right: str) -> F.Column:
@@ -91,19 +105,16 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     placed = near.withColumns({"pos": F.row_number().over(line), "next": F.lead("text").over(line)})
     placed = placed.select("bucket", "pos", "guest", "doc_id", "text", F.when(F.col("guest") == 0, edited).alias("edited"))
 
-    words = lambda c: F.split(F.lower(c), r"[\x20\x09-\x0D]+")
+    # Everything of a row rides in one plan: its facts are part of the key, so that nothing is joined back.
+    facts = ["bucket", "pos", "guest", "doc_id", "n_chars", "sha"]
+    placed = placed.withColumns({"n_chars": F.length("text").cast("long"), "sha": F.unhex(F.sha2("edited", 256))})
     sides = F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("t")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("t")))
-    texts = placed.select("bucket", "pos", F.inline(sides).alias("is_edited", "t"))
-    # White space alone gives empty words; they weigh nothing, so that no sample takes them.
-    counted = texts.where("t is not null").select("bucket", "pos", "is_edited", F.explode(words("t")).alias("word"))
-    counted = counted.select("bucket", "pos", "is_edited", F.xxhash64("word").alias("term"), (F.col("word") != "").cast("int").alias("one"))
-    counted = counted.groupBy("bucket", "pos", "is_edited", "term").agg(F.sum("one").cast("double").alias("weight"))
-    marked = signatures(counted, ["bucket", "pos", "is_edited"])
-
-    facts_of = placed.select("bucket", "pos", "guest", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    sides = {"own": ~F.col("is_edited"), "other": F.col("is_edited")}
-    pairs = marked.groupBy("bucket", "pos").agg(*[F.first(F.when(side, F.col("signature")), ignorenulls=True).alias(c) for c, side in sides.items()])
-    both = facts_of.join(pairs, ["bucket", "pos"], "left")
+    texts = placed.select(*facts, F.inline(sides).alias("is_edited", "t"))
+    counted = texts.select(*facts, "is_edited", F.inline_outer(word_counts(F.col("t"))).alias("term", "weight"))
+    marked = signatures(counted, [*facts, "is_edited"])
+    picked = {"own": ~F.col("is_edited"), "other": F.col("is_edited")}
+    both = marked.groupBy(*facts).agg(*[F.first(F.when(side, F.col("signature")), ignorenulls=True).alias(c) for c, side in picked.items()])
+    both = both.withColumn("edited_sha256", F.lower(F.hex("sha")))
     after = Window.partitionBy("bucket").orderBy("pos")
     both = both.withColumn("after", F.lead("own").over(after)).where("guest = 0")
     return both.select("doc_id", "n_chars", "edited_sha256", in_hex("own").alias("fingerprint"), in_hex("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "after").alias("near_next"))
