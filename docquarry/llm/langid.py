@@ -18,6 +18,8 @@ WINDOW, DIMS, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 12
 STEP = WINDOW - max(WIDTHS) + 1
 #: Bounds of the training sample: documents, and windows of each, spread over its whole text.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 3000, 6
+#: Epochs and steps of training, at least.
+EPOCHS, STEPS = 4, 500
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -56,13 +58,13 @@ class ByteNet:
         logits -= logits.max(axis=1, keepdims=True)
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.004, seed: int = 11) -> ByteNet:
+    def fit(self, windows: np.ndarray, labels: np.ndarray, batch: int = 128, rate: float = 0.004, seed: int = 11) -> ByteNet:
         """Adam on the cross entropy; only the pooled position of each filter has a gradient."""
         rng = np.random.default_rng(seed)
         names = ("embed", "filters", "bias", "out", "out_bias")
         state = {k: (np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))) for k in names}
         steps, wide = 0, max(WIDTHS)
-        for _ in range(epochs):
+        for _ in range(max(EPOCHS, -(-STEPS * batch // len(windows)))):
             order = rng.permutation(len(windows))
             for at in range(0, len(order), batch):
                 pick = order[at : at + batch]
