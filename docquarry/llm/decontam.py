@@ -41,23 +41,32 @@ def template_windows(text: F.Column, names: bool = True) -> F.Column:
     Windows with fewer than ``LITERALS`` literal words are left out.  Null and short texts give no window.
     """
 
-    def of(tokens: F.Column) -> F.Column:
-        kinds = F.transform(tokens, _kind)
-        open_ = F.transform(kinds, lambda k: F.when(F.substring(k, 1, 1) == "<", 1).otherwise(0))
-        values = F.zip_with(tokens, open_, lambda t, o: F.when(o == 1, F.regexp_replace(t, "[\u0001\u0002]", "")).otherwise(""))
-        hashes = F.transform(kinds, lambda k: F.xxhash64(k))
-        at = F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1))
-        plain = lambda h: F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, WINDOW)).alias("hash"), F.lit(None).cast("string").alias("slots")))
-
-        def window(h, v, o, i):
+    def at(tokens: F.Column) -> F.Column:
+        return F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1))
+
+    def plain(tokens: F.Column) -> F.Column:
+        one = lambda h, i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, WINDOW)).alias("hash"), F.lit(None).cast("string").alias("slots"))
+        return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.transform(at(tokens), lambda i: one(h, i)))
+
+    def slotted(tokens: F.Column) -> F.Column:
+        def one(h, v, o, i):
             slots = F.aggregate(F.slice(o, i, WINDOW), F.lit(0), lambda a, x: a + x)
             return F.when(slots <= WINDOW - LITERALS, F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, WINDOW)).alias("hash"), F.when(slots > 0, F.array_join(F.slice(v, i, WINDOW), "\u0003")).alias("slots")))
 
-        slotted = lambda h: let(values, lambda v: let(open_, lambda o: F.filter(F.transform(at, lambda i: window(h, v, o, i)), lambda w: w.isNotNull())))
-        return F.when(F.exists(open_, lambda o: o == 1), let(hashes, slotted)).otherwise(let(hashes, plain))
+        def of(kinds: F.Column) -> F.Column:
+            open_ = F.transform(kinds, lambda k: F.when(F.substring(k, 1, 1) == "<", 1).otherwise(0))
+            values = lambda o: F.zip_with(tokens, o, lambda t, x: F.when(x == 1, F.regexp_replace(t, "[\u0001\u0002]", "")).otherwise(""))
+            windows = lambda h, v, o: F.filter(F.transform(at(tokens), lambda i: one(h, v, o, i)), lambda w: w.isNotNull())
+            return let(open_, lambda o: let(values(o), lambda v: let(F.transform(kinds, lambda k: F.xxhash64(k)), lambda h: windows(h, v, o))))
+
+        return let(F.transform(tokens, _kind), of)
+
+    def of(marked: F.Column) -> F.Column:
+        # Most texts have nothing to replace: their tokens are their template.
+        form = lambda t: F.when(marked.rlike(r"[\u0001\u0002\p{N}]"), slotted(t)).otherwise(plain(t))
+        return let(F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(F.size(t) >= WINDOW, form(t)))
 
-    tokens = F.regexp_extract_all(F.lower(_marked(text, names)), F.lit(_TOKEN), F.lit(0))
-    return let(tokens, lambda t: F.when(F.size(t) >= WINDOW, of(t)))
+    return let(F.lower(_marked(text, names)), of)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
