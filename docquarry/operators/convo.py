@@ -85,3 +85,12 @@ def token_estimate(pairs: DataFrame) -> DataFrame:
 def owned(messages: DataFrame, claims: DataFrame) -> DataFrame:
     """Messages of conversations that the claiming user owns."""
     return messages.join(claims.select("conv_id", "user_id"), ["conv_id", "user_id"], "left_semi")
+
+
+def prompt_context(messages: DataFrame, sources: DataFrame, last: int = 6, most: int = 5) -> DataFrame:
+    """``conv_id, prompt``: the last messages, then the best sources with their relevance; ``sources(conv_id, title, score)``."""
+    recent = last_messages(messages, last).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line")))).alias("m"))
+    line = Window.partitionBy("conv_id").orderBy(F.desc("score"), "title")
+    best = sources.withColumn("n", F.row_number().over(line)).where(F.col("n") <= most)
+    shown = best.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", F.concat(F.lit("["), "title", F.lit("] "), F.format_string("%.2f", "score")).alias("line")))).alias("s"))
+    return recent.join(shown, "conv_id", "left").select("conv_id", F.concat_ws("\n", F.array_join("m.line", "\n"), F.array_join("s.line", "\n")).alias("prompt"))

@@ -91,3 +91,14 @@ def sanitize_text(column: str) -> Column:
 def clean_filename(column: str) -> Column:
     """Characters that file systems reject become underscores; runs are one."""
     return F.regexp_replace(F.regexp_replace(column, r'[<>:"/\\|?*]', "_"), "_+", "_")
+
+
+def output_fields(rows: DataFrame, keys: list[str], content: str | None = None, metadata: list[str] | None = None) -> DataFrame:
+    """Key columns, with content and metadata columns only if they are asked for."""
+    return rows.select(*keys, *([content] if content else []), *(metadata or []))
+
+
+def score_threshold(hits: DataFrame, score: str, least: float) -> DataFrame:
+    if not 0 <= least <= 1:
+        raise ValueError("the threshold must lie between 0 and 1")
+    return hits.where(F.col(score) >= least)

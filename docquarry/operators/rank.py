@@ -166,3 +166,10 @@ def train_ranker(rows: DataFrame, features: list[str], label: str, trees: int =
         return None
     stages = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features"), RandomForestRegressor(featuresCol="_features", labelCol=label, predictionCol="learned", numTrees=trees, seed=seed)]
     return Pipeline(stages=stages).fit(rows)
+
+
+def retrieve_contexts(queries: DataFrame, hits: DataFrame, content: str, query: str, score: str, most: int = 5, threshold: float = 0.1, strategy: Callable[[DataFrame], DataFrame] | None = None, key: str = "doc_id") -> DataFrame:
+    """Over-fetched hits (``2 * most`` of each query) above the threshold, ranked by a strategy (default: the score itself), then ``post_process``."""
+    kept = rank_by(hits.where(F.col(score) >= threshold), F.col(score), key).where(F.col("rank") <= 2 * most)
+    ranked = with_ranker(kept, strategy) if strategy else kept
+    return post_process(ranked.join(F.broadcast(queries.select("query_id", query)), "query_id"), query, content, score, most, key=key)

@@ -87,3 +87,13 @@ def m12_owned(spark, d):
     m = messages(spark, d)
     claims = m.where("conv_id % 2 = 0").select("conv_id", F.lit(2).cast("long").alias("user_id")).distinct()
     return convo.owned(m, claims).select("conv_id", "turn")
+
+
+@query(f"""WITH {MESSAGES}, l AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS m FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM v_message) WHERE back <= 2 GROUP BY 1),
+    s AS (SELECT doc_id % 40 AS conv_id, 'doc ' || doc_id AS title, (doc_id % 10) / 10.0::DOUBLE AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, title) AS n FROM s), b AS (SELECT conv_id, string_agg('[' || title || '] ' || printf('%.2f', score), chr(10) ORDER BY n) AS s FROM r WHERE n <= 3 GROUP BY 1)
+    SELECT conv_id, m || coalesce(chr(10) || s, '') AS prompt FROM l LEFT JOIN b USING (conv_id)""")
+def m10_prompt_context(spark, d):
+    from .views import table
+
+    sources = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("conv_id"), F.concat(F.lit("doc "), "doc_id").alias("title"), ((F.col("doc_id") % 10) / 10.0).alias("score"))
+    return convo.prompt_context(messages(spark, d), sources, 2, 3)

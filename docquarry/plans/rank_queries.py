@@ -201,3 +201,9 @@ def slice_answer_context(spark, d):
     terms = lexical.query_terms(questions(spark, d).where("query_id < 20"), "query")
     hits = rank.rank_by(lexical.bm25(index, terms, "chunk_id").withColumn("bm25", F.round("bm25", 6)), F.col("bm25"), "chunk_id").where("rank <= 5")
     return rank.context_text(hits.join(chunks, "chunk_id"), F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("chunk_id")), "content", 3000)
+
+
+@query()
+def g19_retrieve_contexts(spark, d):
+    hits = _top(spark, d, 20).drop("rank").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rank.retrieve_contexts(questions(spark, d), hits, "text", "query", "bm25").select("query_id", "doc_id", "rank", "too_few")

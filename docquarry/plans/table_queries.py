@@ -120,3 +120,18 @@ def b10_contacts(spark, d):
 def b11_text_helpers(spark, d):
     p = table(spark, d, "pages")
     return p.select("page_id", P.truncate_text("html", 120).alias("short"), P.sanitize_text("html").alias("sane"), P.clean_filename("url").alias("filename"))
+
+
+@query("SELECT doc_id, source, lang FROM documents")
+def b6_output_fields(spark, d):
+    return P.output_fields(table(spark, d, "documents"), ["doc_id"], metadata=["source", "lang"])
+
+
+@query("SELECT event_id, round(value / 100, 6) AS score FROM events WHERE round(value / 100, 6) >= 0.3")
+def b9_score_threshold(spark, d):
+    return P.score_threshold(table(spark, d, "events").select("event_id", F.round(F.col("value") / 100, 6).alias("score")), "score", 0.3)
+
+
+@query("SELECT doc_id, text FROM documents")
+def a5_decode_bytes(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b")).select("doc_id", T.decode_bytes("b").alias("text"))

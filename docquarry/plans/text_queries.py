@@ -261,3 +261,15 @@ def e9_collection_stats(spark, d):
 def e12_provenance(spark, d):
     out = meta.provenance(_docs(spark, d), "fixed", {"size": "1000"}, ["clean", "chunk"], "1", "2024-02-01 00:00:00")
     return out.select("doc_id", "strategy", F.col("parameters")["size"].alias("size"), F.array_join("steps", ">").alias("steps"), "version", "processed_at")
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(" + "replace(" * len(clean.CONTRACTIONS) + r"lower(regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '[\t\f\x0B]+', ' ', 'g'), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'))" + "".join(f", '{a.replace(chr(39), chr(39) * 2)}', '{b}')" for a, b in clean.CONTRACTIONS) + r", '\s+', ' ', 'g')) AS cleaned FROM conversations")
+def c25_clean_query(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", clean.clean_query(F.col("text")).alias("cleaned"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE source <> 'src5'")
+def e11_delete_metadata(spark, d):
+    from ..sources.tables import delete_where
+
+    return delete_where(table(spark, d, "documents").select("doc_id", "lang", "source"), F.col("source") == "src5").drop("source")

@@ -178,3 +178,27 @@ def f25_storage_size(spark, d):
 def f26_parents_of_hits(spark, d):
     q, c = vectors(spark, d)
     return _r(V.parents_of_hits(V.vector_topk(q, c, 20), c, "grp"), "score")
+
+
+@query(f"WITH {VECTORS}, {_top(10)} SELECT query_id, count(*) AS hits, round(max(score), 6) AS max_score, round(min(score), 6) AS min_score, round(avg(score), 6) AS avg_score FROM h GROUP BY 1")
+def l7_hit_metrics(spark, d):
+    from ..operators.logs import hit_metrics
+
+    return hit_metrics(V.vector_topk(*vectors(spark, d), 10))
+
+
+@query(f"WITH {VECTORS}, {_top(50)}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 'v' || vec_id) AS p FROM h WHERE score >= 0.2) SELECT query_id, 'v' || vec_id AS term, round(score * 0.7, 6) AS weight FROM n WHERE p <= 3")
+def i3_neighbour_terms(spark, d):
+    from ..operators.question import neighbour_terms
+
+    pairs = V.vector_topk(*vectors(spark, d), 50).select("query_id", F.concat(F.lit("v"), "vec_id").alias("term"), "score")
+    return _r(neighbour_terms(pairs, 6, 0.2), "weight").drop("kind")
+
+
+@query(f"WITH {VECTORS} SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round({_COS}, 6) DESC, vec_id) AS INTEGER) AS rank FROM v_query_vec, v_corpus_vec WHERE query_id < 4")
+def g10_rank_by_similarity(spark, d):
+    from ..operators.rank import rank_by
+
+    q, c = vectors(spark, d)
+    pairs = c.crossJoin(F.broadcast(q.where("query_id < 4"))).select("query_id", "vec_id", F.round(V.cosine("query_vec", "embedding"), 6).alias("score"))
+    return rank_by(pairs, F.col("score"), "vec_id").drop("score")
