@@ -69,6 +69,27 @@ def template_windows(text: F.Column, names: bool = True) -> F.Column:
     return let(F.lower(_marked(text, names)), of)
 
 
+def _differs(pair: F.Column) -> F.Column:
+    return pair["item"] != pair["doc"]
+
+
+def _consistent(found: F.Column) -> F.Column:
+    """Positions of a diagonal's windows ``(pos, pairs)`` that have no slot, are word for word, or fill each slot with its value's choice.
+
+    An item value's choice is the document value that most slots of the windows have for it, then its own, then the greatest.
+    """
+
+    def judged(pairs: F.Column) -> F.Column:
+        votes = F.transform(F.array_distinct(pairs), lambda p: F.struct(F.size(F.filter(pairs, lambda q: q == p)).alias("votes"), (~_differs(p)).alias("same"), p["doc"].alias("doc"), p["item"].alias("item")))
+        best = let(votes, lambda v: F.filter(v, lambda x: ~F.exists(v, lambda y: (y["item"] == x["item"]) & (y > x))))
+        fits = lambda w, chosen: F.forall(w["pairs"], lambda p: F.exists(chosen, lambda x: (x["item"] == p["item"]) & (x["doc"] == p["doc"])))
+        return let(best, lambda chosen: F.filter(found, lambda w: F.forall(w["pairs"], lambda p: ~_differs(p)) | fits(w, chosen)))
+
+    distinct = lambda pairs, of: F.size(F.array_distinct(F.transform(pairs, of)))
+    kept = let(F.flatten(F.transform(found, lambda w: w["pairs"])), lambda pairs: F.when(distinct(pairs, lambda p: p["item"]) == distinct(pairs, lambda p: p), found).otherwise(judged(pairs)))
+    return F.array_distinct(F.transform(kept, lambda w: w["pos"]))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """Pairs of a document and a benchmark item that it holds, word for word or with other numbers, names and units.
 
@@ -76,9 +97,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Texts become templates: lower-cased words, with numbers, names and units replaced by typed placeholders.  Windows of
     8 template tokens are hashed in place and joined with the benchmark's; the benchmark also enters with names as words, for texts
-    whose case is lost.  Windows on one diagonal (the same offset between document and item) must fill their slots
-    consistently: each value of the item stands for one value of the document and the other way round.  A pair counts from
-    ``coverage`` of the item's windows; ``reworded`` tells that some slot has another value than in the item.
+    whose case is lost.  On one diagonal (the same offset between document and item) each value of the item stands for one value of
+    the document, the one that most of its slots have; windows with another value in a slot don't count, unless they are the item's
+    word for word.  Two values of the item may stand for the same one.  A pair counts from ``coverage`` of the item's windows;
+    ``reworded`` tells that some slot has another value than in the item.
 
     Only matched windows are shuffled.  Null ids are dropped; null and empty texts and those of fewer than 8 tokens have no
     window, so such items are never found.  Repeated rows count as one document.  Other columns are not read.  Empty tables give an empty result.
@@ -97,9 +119,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     split = lambda c: F.split(F.coalesce(c, F.lit("")), "\u0003")
     pairs = F.filter(F.arrays_zip(split("item_slots").alias("item"), split("slots").alias("doc")), lambda p: F.coalesce(p["item"], F.lit("")) != "")
     found = found.withColumn("pairs", F.when(F.col("item_slots").isNull(), F.lit(None)).otherwise(F.transform(pairs, lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))))
-    lines = found.groupBy("doc_id", "item_id", "form", "diagonal").agg(F.collect_set("pos").alias("pos"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    sizes_of = [F.size(F.array_distinct(F.transform("pairs", take))) for take in (lambda p: p["item"], lambda p: p["doc"])]
-    lines = lines.where((sizes_of[0] == F.size("pairs")) & (sizes_of[1] == F.size("pairs"))).withColumn("reworded", F.exists("pairs", lambda p: p["item"] != p["doc"]))
+    lines = found.groupBy("doc_id", "item_id", "form", "diagonal").agg(F.collect_set(F.struct("pos", F.coalesce("pairs", F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))).alias("found"))
+    lines = lines.select("doc_id", "item_id", "form", _consistent(F.col("found")).alias("pos"), F.exists("found", lambda w: F.exists(w["pairs"], _differs)).alias("reworded")).where(F.size("pos") > 0)
     held = lines.groupBy("doc_id", "item_id").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("pos", lambda x: F.struct("form", x.alias("pos"))))))).alias("windows"), F.bool_or("reworded").alias("reworded")
     )

@@ -170,6 +170,18 @@ def test_leaks(spark, empty):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_judge_slots_one_by_one(spark):
+    item = "A train leaves the old station at 9 with 12 people who all want to see the long river and comes back to the very same old place again at 9 with 5 people"
+    rows = [(1, item[:-15] + item[-15:].replace("9", "8")), (2, item.replace("12", "7").replace("5", "7")), (3, item.replace("9", "4", 1).replace("12", "7"))]
+    german = "Der Mann kaufte im Laden ein Brot und gab dem Kind das Brot danach ganz ohne ein Wort wieder zurueck und ging sehr langsam heim"
+    rows.append((4, german.replace("das Brot", "das Messer")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(docs, spark.createDataFrame([(10, item), (11, german)], "item_id long, text string")).collect()}
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (4, 11)}
+    assert all(r["reworded"] for r in got.values())
+    assert got[2, 10]["coverage"] == 1.0 and 0.4 <= got[1, 10]["coverage"] < 1.0
+
+
 def test_fingerprints(spark, docs, corpus, empty):
     out = {r["doc_id"]: r for r in fingerprint.fingerprint_with_edits(docs).collect()}
     order = sorted(corpus)
