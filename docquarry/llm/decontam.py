@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, let
 
-#: Tokens of a template window, and how many of them are literal words at least.
+#: Tokens of a template window, and how many of them are literal words at least; with fewer, its values count too.
 WINDOW, LITERALS = 8, 4
 #: Share of an item's windows that a document must hold, with consistent slots.
 COVERAGE = 0.4
@@ -34,29 +36,42 @@ def _kind(token: F.Column) -> F.Column:
     return F.when(first == _NAME, F.lit("<name>")).when(first == _UNIT, F.lit("<unit>")).when(first.rlike(r"\p{N}"), F.lit("<number>")).otherwise(token)
 
 
-def template_windows(text: F.Column, names: bool = True) -> F.Column:
-    """Array of ``(at, hash, slots)``: every window of the text's template, with the values of its placeholders.
+def template_windows(text: F.Column, names: bool = True, widths: Sequence[int] | None = (WINDOW,)) -> F.Column:
+    """Array of ``(at, hash, slots, dense)``: every window of the text's template, with the values of its placeholders.
 
     ``slots`` is null for a window without placeholders; else the windows' values joined by U+0003, empty for literal words.
-    Windows with fewer than ``LITERALS`` literal words are left out.  Null and short texts give no window.
+    A window with fewer than ``LITERALS`` literal words has no template: it is ``dense``, hashed with its values, and its ``slots`` are null.
+    Windows have each of ``widths`` tokens; without them ``WINDOW``, or all tokens of a shorter text.  Null and empty texts give no window.
     """
+    bare = lambda token: F.regexp_replace(token, "[\u0001\u0002]", "")
+
+    def each(tokens: F.Column, window) -> F.Column:
+        def of(width: F.Column) -> F.Column:
+            at = F.sequence(F.lit(1), F.size(tokens) - width + 1)
+            return F.transform(at, lambda i: window(i, width))
 
-    def at(tokens: F.Column) -> F.Column:
-        return F.sequence(F.lit(1), F.size(tokens) - (WINDOW - 1))
+        if widths is None:
+            return of(F.least(F.size(tokens), F.lit(WINDOW)))
+        if len(widths) == 1:
+            return of(F.lit(widths[0]))
+        return F.flatten(F.filter(F.array(*[F.when(F.size(tokens) >= w, of(F.lit(w))) for w in widths]), lambda x: x.isNotNull()))
 
     def plain(tokens: F.Column) -> F.Column:
-        one = lambda h, i: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, WINDOW)).alias("hash"), F.lit(None).cast("string").alias("slots"))
-        return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: F.transform(at(tokens), lambda i: one(h, i)))
+        one = lambda h, i, n: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, n)).alias("hash"), F.lit(None).cast("string").alias("slots"), F.lit(False).alias("dense"))
+        return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: each(tokens, lambda i, n: one(h, i, n)))
 
     def slotted(tokens: F.Column) -> F.Column:
-        def one(h, v, o, i):
-            slots = F.aggregate(F.slice(o, i, WINDOW), F.lit(0), lambda a, x: a + x)
-            return F.when(slots <= WINDOW - LITERALS, F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, WINDOW)).alias("hash"), F.when(slots > 0, F.array_join(F.slice(v, i, WINDOW), "\u0003")).alias("slots")))
+        def one(h, v, o, i, n):
+            slots = F.aggregate(F.slice(o, i, n), F.lit(0), lambda a, x: a + x)
+            dense = lambda s: (s > 0) & (n - s < LITERALS)
+            values = F.xxhash64(F.transform(F.slice(tokens, i, n), lambda t: F.xxhash64(bare(t))))
+            hashed = lambda s: F.when(dense(s), values).otherwise(F.xxhash64(F.slice(h, i, n)))
+            return let(slots, lambda s: F.struct(i.alias("at"), hashed(s).alias("hash"), F.when((s > 0) & ~dense(s), F.array_join(F.slice(v, i, n), "\u0003")).alias("slots"), dense(s).alias("dense")))
 
         def of(kinds: F.Column) -> F.Column:
             open_ = F.transform(kinds, lambda k: F.when(F.substring(k, 1, 1) == "<", 1).otherwise(0))
-            values = lambda o: F.zip_with(tokens, o, lambda t, x: F.when(x == 1, F.regexp_replace(t, "[\u0001\u0002]", "")).otherwise(""))
-            windows = lambda h, v, o: F.filter(F.transform(at(tokens), lambda i: one(h, v, o, i)), lambda w: w.isNotNull())
+            values = lambda o: F.zip_with(tokens, o, lambda t, x: F.when(x == 1, bare(t)).otherwise(""))
+            windows = lambda h, v, o: each(tokens, lambda i, n: one(h, v, o, i, n))
             return let(open_, lambda o: let(values(o), lambda v: let(F.transform(kinds, lambda k: F.xxhash64(k)), lambda h: windows(h, v, o))))
 
         return let(F.transform(tokens, _kind), of)
@@ -64,7 +79,7 @@ def template_windows(text: F.Column, names: bool = True) -> F.Column:
     def of(marked: F.Column) -> F.Column:
         # Most texts have nothing to replace: their tokens are their template.
         form = lambda t: F.when(marked.rlike(r"[\u0001\u0002\p{N}]"), slotted(t)).otherwise(plain(t))
-        return let(F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(F.size(t) >= WINDOW, form(t)))
+        return let(F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(F.size(t) >= (min(widths) if widths else 1), form(t)))
 
     return let(F.lower(_marked(text, names)), of)
 
@@ -74,7 +89,7 @@ def _differs(pair: F.Column) -> F.Column:
 
 
 def _consistent(found: F.Column) -> F.Column:
-    """Positions of a diagonal's windows ``(pos, pairs)`` that have no slot, are word for word, or fill each slot with its value's choice.
+    """``(pos, dense)`` of a diagonal's windows ``(pos, dense, pairs)`` that have no slot, are word for word, or fill each slot with its value's choice.
 
     An item value's choice is the document value that most slots of the windows have for it, then its own, then the greatest.
     """
@@ -87,7 +102,7 @@ def _consistent(found: F.Column) -> F.Column:
 
     distinct = lambda pairs, of: F.size(F.array_distinct(F.transform(pairs, of)))
     kept = let(F.flatten(F.transform(found, lambda w: w["pairs"])), lambda pairs: F.when(distinct(pairs, lambda p: p["item"]) == distinct(pairs, lambda p: p), found).otherwise(judged(pairs)))
-    return F.array_distinct(F.transform(kept, lambda w: w["pos"]))
+    return F.array_distinct(F.transform(kept, lambda w: F.struct(w["pos"].alias("pos"), w["dense"].alias("dense"))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
@@ -99,30 +114,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     8 template tokens are hashed in place and joined with the benchmark's; the benchmark also enters with names as words, for texts
     whose case is lost.  On one diagonal (the same offset between document and item) each value of the item stands for one value of
     the document, the one that most of its slots have; windows with another value in a slot don't count, unless they are the item's
-    word for word.  Two values of the item may stand for the same one.  A pair counts from ``coverage`` of the item's windows;
+    word for word.  Two values of the item may stand for the same one.  A pair counts from ``coverage`` of the item's windows, or of those with a template;
     ``reworded`` tells that some slot has another value than in the item.
 
-    Only matched windows are shuffled.  Null ids are dropped; null and empty texts and those of fewer than 8 tokens have no
-    window, so such items are never found.  Repeated rows count as one document.  Other columns are not read.  Empty tables give an empty result.
+    An item of fewer than 8 tokens is one window.  A window with fewer than 4 literal words matches on its values, word for word.
+    A literal word that is changed breaks all windows over it: an item of 8 to 15 tokens may keep none.
+
+    Only matched windows are shuffled.  Null ids are dropped; null and empty texts have no window.  Repeated rows count as one document.  Other columns are not read.  Empty tables give an empty result.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
-    forms = [items.select("item_id", F.xxhash64("text").alias("form"), F.lit(names).alias("names"), F.inline(template_windows(F.col("text"), names)).alias("pos", "hash", "item_slots")) for names in (True, False)]
+    forms = [items.select("item_id", F.xxhash64("text").alias("form"), F.lit(names).alias("names"), F.inline(template_windows(F.col("text"), names, None)).alias("pos", "hash", "item_slots", "dense")) for names in (True, False)]
     # An item's two forms share the windows without names.
-    known = cut(forms[0].unionByName(forms[1]).dropDuplicates(["item_id", "form", "pos", "hash"]))
-    sizes = known.groupBy("item_id").agg(F.countDistinct("form", "pos").alias("item_windows"))
-    wanted = known.select("item_id", "form", "pos", "hash", "item_slots")
+    known = cut(forms[0].unionByName(forms[1]).groupBy("item_id", "form", "pos", "hash").agg(F.max("item_slots").alias("item_slots"), F.min("dense").alias("dense")))
+    sizes = known.groupBy("item_id").agg(F.countDistinct("form", "pos").alias("all_of"), F.countDistinct(F.when(~F.col("dense"), F.struct("form", "pos"))).alias("open_of"))
+    wanted = known.select("item_id", "form", "pos", "hash", "item_slots", "dense")
     wanted = F.broadcast(wanted) if known.count() <= MOST_BROADCAST else wanted
 
+    # Numbers from 1 to 7, whatever the benchmark's size.
+    size = F.size(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)))
+    short = sorted(r["n"] for r in items.select(size.alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    windows = rows.select("doc_id", F.inline(template_windows(F.col("text"))).alias("at", "hash", "slots"))
-    found = windows.join(wanted, "hash").select("doc_id", "item_id", "form", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), "slots", "item_slots")
+    windows = rows.select("doc_id", F.inline(template_windows(F.col("text"), widths=(*short, WINDOW))).alias("at", "hash", "slots", "_")).drop("_")
+    found = windows.join(wanted, "hash").select("doc_id", "item_id", "form", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), "slots", "item_slots", "dense")
     split = lambda c: F.split(F.coalesce(c, F.lit("")), "\u0003")
     pairs = F.filter(F.arrays_zip(split("item_slots").alias("item"), split("slots").alias("doc")), lambda p: F.coalesce(p["item"], F.lit("")) != "")
     found = found.withColumn("pairs", F.when(F.col("item_slots").isNull(), F.lit(None)).otherwise(F.transform(pairs, lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))))
-    lines = found.groupBy("doc_id", "item_id", "form", "diagonal").agg(F.collect_set(F.struct("pos", F.coalesce("pairs", F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))).alias("found"))
+    lines = found.groupBy("doc_id", "item_id", "form", "diagonal").agg(F.collect_set(F.struct("pos", "dense", F.coalesce("pairs", F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))).alias("found"))
     lines = lines.select("doc_id", "item_id", "form", _consistent(F.col("found")).alias("pos"), F.exists("found", lambda w: F.exists(w["pairs"], _differs)).alias("reworded")).where(F.size("pos") > 0)
-    held = lines.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.transform("pos", lambda x: F.struct("form", x.alias("pos"))))))).alias("windows"), F.bool_or("reworded").alias("reworded")
-    )
-    out = held.join(sizes, "item_id").withColumn("coverage", F.round(F.col("windows") / F.col("item_windows"), 6)).where(F.col("coverage") >= coverage)
-    return out.select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), "item_windows", "coverage", "reworded")
+    held = lines.groupBy("doc_id", "item_id").agg(F.flatten(F.collect_set(F.transform("pos", lambda x: F.struct("form", x["pos"].alias("pos"), x["dense"].alias("dense"))))).alias("held"), F.bool_or("reworded").alias("reworded"))
+    number = lambda held: F.size(F.array_distinct(F.transform(held, lambda x: F.struct(x["form"], x["pos"])))).cast("long")
+    share = lambda n, of: F.struct(F.coalesce(F.round(F.try_divide(n, of), 6), F.lit(0.0)).alias("coverage"), n.alias("windows"), of.alias("item_windows"))
+    # Windows that match on values only must not lessen the share of those that also match reworded.
+    best = F.greatest(share(number(F.col("held")), F.col("all_of")), share(number(F.filter("held", lambda x: ~x["dense"])), F.col("open_of")))
+    out = held.join(sizes, "item_id").select("doc_id", "item_id", "reworded", best.alias("best")).where(F.col("best.coverage") >= coverage)
+    return out.select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "reworded")

@@ -182,6 +182,18 @@ def test_leaks_judge_slots_one_by_one(spark):
     assert got[2, 10]["coverage"] == 1.0 and 0.4 <= got[1, 10]["coverage"] < 1.0
 
 
+def test_leaks_of_dense_and_short_items(spark):
+    filler = "some clean words go here and then some more of them follow until the text is long enough "
+    dense, short, five = "Sum 12 + 7 + 3 + 4 + 81 and 9 + 2 + 15 + 6 + 5 then 8", "12 apples cost 30 cents", "the grey heron waits for 20 minutes"
+    rows = [(1, filler + dense + ". " + filler), (2, filler + dense.replace("12", "13").replace("81", "80").replace("15", "16")), (3, filler + short), (4, filler + short.replace("30", "31")), (5, five.replace("20", "45")), (6, (filler + short).upper()), (7, filler), (8, "apples"), (9, filler + dense.replace("12", "11", 1))]
+    mixed = "An old clerk adds these numbers for the shop 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"
+    rows.append((20, mixed.replace("1 2 3 4 5", "2 3 4 5 1").replace("9 10", "17 18").replace("12 13", "19 20").replace("15 16", "21 22")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(10, dense), (11, short), (12, five), (13, "unrelated"), (14, ""), (15, mixed)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["reworded"] for r in decontam.leaks(docs, bench).collect()}
+    assert got == {(1, 10): False, (9, 10): False, (3, 11): False, (6, 11): False, (5, 12): True, (20, 15): True}
+
+
 def test_fingerprints(spark, docs, corpus, empty):
     out = {r["doc_id"]: r for r in fingerprint.fingerprint_with_edits(docs).collect()}
     order = sorted(corpus)
