@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A query table is broadcast up to so many rows; a larger one is split by the caller or joined by blocks.
+#: A query table is broadcast up to so many rows; a larger one is searched in blocks of about half as many.
 MOST_QUERIES = 10_000
 #: Cells that each effort preset of the approximate search visits.
 EFFORT = {"precision": 256, "balanced": 64, "speed": 16}
@@ -58,14 +59,25 @@ def to_score(distance: Column, metric: str) -> Column:
     return distance if metric in SIMILARITIES else 1.0 / (1.0 + distance)
 
 
+def _by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``search`` over the whole table, or united over its blocks by the hash of ``query_id``, so that a query's rows stay together."""
+    count = queries.count()
+    if count <= MOST_QUERIES:
+        return search(queries)
+    blocks = -(-2 * count // MOST_QUERIES)
+    return reduce(DataFrame.unionByName, [search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
+
+
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", fields: tuple[str, ...] = ()) -> DataFrame:
     """``query_id, rank, key, distance, score`` of the nearest rows of each query; ties by key.
 
-    The filter runs before the distances.  The query side is broadcast, which the caller vouches for by ``MOST_QUERIES``; the corpus is
-    never shuffled whole: each task keeps its own best k of each query before they meet.  ``k`` may be a column of the queries.
+    The filter runs before the distances.  The query side is broadcast, beyond ``MOST_QUERIES`` in blocks that each read the corpus; the
+    corpus is never shuffled whole: each task keeps its own best k of each query before they meet.  ``k`` may be a column of the queries.
     """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: split the table")
+    return _by_blocks(queries, lambda block: _topk(block, corpus, k, metric, where, key, vector, fields))
+
+
+def _topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str, where: Column | None, key: str, vector: str, fields: tuple[str, ...]) -> DataFrame:
     rows = corpus.where(where) if where is not None else corpus
     extra = [k] if isinstance(k, str) else []
     pairs = rows.crossJoin(F.broadcast(queries)).select("query_id", key, *fields, *extra, METRICS[metric]("query_vec", vector).alias("distance"))
@@ -76,14 +88,18 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str
 
 def vector_topk_batched(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Cosine top-k by matrix products over Arrow batches: for many queries of many dimensions.  Same result as ``vector_topk`` up to rounding."""
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: split the table")
+    return _by_blocks(queries, lambda block: _topk_batched(block, corpus, k, key, vector))
+
+
+def _topk_batched(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str) -> DataFrame:
     known = queries.orderBy("query_id").toPandas()
-    ids, matrix = known["query_id"].to_numpy(), np.array(known["query_vec"].tolist(), float)
+    ids, matrix = known["query_id"].to_numpy(), np.array(known["query_vec"].tolist(), float).reshape(len(known), -1 if len(known) else 0)
     matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(ids):
+                continue
             v = np.array(pdf[vector].tolist(), float)
             scores = matrix @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
             keys = pdf[key].to_numpy()

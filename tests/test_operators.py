@@ -57,6 +57,16 @@ def test_zero_vector_and_short_corpus(spark):
     assert V.vector_topk_batched(q, c, 2).count() == 4
 
 
+def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
+    c = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = c.where("vec_id < 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    hits = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in df.collect())
+    whole = hits(V.vector_topk(q, c, 3))
+    monkeypatch.setattr(V, "MOST_QUERIES", 4)
+    assert hits(V.vector_topk(q, c, 3)) == hits(V.vector_topk_batched(q, c, 3)) == whole
+    assert len(whole) == 21
+
+
 def test_mmr_with_full_weight_is_top_k(spark):
     q = spark.createDataFrame([(1, [1.0, 0.5])], "query_id long, query_vec array<double>")
     c = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(10)], "vec_id long, embedding array<float>")
