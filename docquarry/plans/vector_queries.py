@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import vector as V
 from .registry import query
-from .views import VECTORS, table, vectors
+from .views import VECTORS, searches, table, vectors
 
 _COS = "list_dot_product(query_vec, embedding) / (sqrt(list_dot_product(query_vec, query_vec)) * sqrt(list_dot_product(embedding, embedding)))"
 _L2 = "list_sum(list_transform(list_zip(query_vec, embedding), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -78,12 +78,12 @@ def f8_rerank(spark, d):
 
 @query()
 def f9_diverse_by_score(spark, d):
-    return V.diverse_by_score(V.vector_topk(*vectors(spark, d), 30), 0.97)
+    return V.diverse_by_score(V.vector_topk(*searches(spark, d), 30), 0.97)
 
 
 @query()
 def f10_mmr(spark, d):
-    q, c = vectors(spark, d)
+    q, c = searches(spark, d)
     return V.mmr(V.vector_topk(q, c, 20, fields=("embedding",)), 4).select("query_id", "rank", "vec_id", "score")
 
 
@@ -135,14 +135,14 @@ def f18_search_models(spark, d):
 
 @query()
 def f19_approximate_topk(spark, d):
-    q, c = vectors(spark, d)
+    q, c = searches(spark, d)
     celled, centres = V.ivf_cells(c, "embedding", 8)
     return V.approximate_topk(q, celled, centres, 10, 4).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def f20_recall(spark, d):
-    q, c = vectors(spark, d)
+    q, c = searches(spark, d)
     celled, centres = V.ivf_cells(c, "embedding", 8)
     return V.recall(V.approximate_topk(q, celled, centres, 10, 4), V.vector_topk(q, c, 10))
 

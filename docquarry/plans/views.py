@@ -57,6 +57,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e.where("vec_id >= 20")
 
 
+def searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Query vectors (every id divisible by 50) and the whole table as corpus; for queries without SQL."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("grp"), (F.col("vec_id") % 5).alias("user_id"))
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e
+
+
 VECTORS = """v_query_vec AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_vec FROM embeddings WHERE vec_id < 20),
 v_corpus_vec AS (SELECT vec_id, embedding::DOUBLE[] AS embedding, label AS grp, vec_id % 5 AS user_id FROM embeddings WHERE vec_id >= 20)"""
 

@@ -81,6 +81,16 @@ def test_visiting_all_cells_is_exact(spark):
     assert V.recall(V.approximate_topk(q, celled, centres, 5, 4), V.vector_topk(q, c, 5)).agg(F.min("recall")).head()[0] == 1.0
 
 
+@pytest.mark.parametrize("name", ["f9_diverse_by_score", "f10_mmr", "f19_approximate_topk", "f20_recall"])
+def test_every_fiftieth_vector_is_searched(spark, name):
+    from docquarry.plans import catalog
+
+    out = catalog.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    assert set(out["query_id"]) == set(range(0, 500, 50))
+    if name == "f20_recall":
+        assert out["recall"].mean() >= 0.9
+
+
 def test_near_copies_go(spark):
     hits = spark.createDataFrame([(1, 1, "a b c d", 0.9), (1, 2, "a b c d", 0.8), (1, 3, "x y", 0.7)], "query_id long, doc_id long, t string, s double")
     assert sorted(r["doc_id"] for r in rank.drop_near_copies(hits, "t", "s").collect()) == [1, 3]
