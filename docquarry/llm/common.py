@@ -25,30 +25,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where none is configured (tests)."""
+    """The folder that all executors share.  Only a local session may have none: it gets a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and rereads it, so that later steps survive lost executors."""
+def cut(df: DataFrame, within: list[str] | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and rereads it, so that later steps survive lost executors.
+
+    The table's path is added to ``within``, for ``discard``.
+    """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if within is not None:
+        within.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids that a join may broadcast (about 16 bytes each); more are joined by a shuffle.
-MOST_BROADCAST = 500_000
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that ``cut`` wrote and that nothing needs any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    paths.clear()
+
+
+#: 64-bit words of the filter that stands for a table of ids: a fixed size (about 32 MB when broadcast), whatever their number.
+FILTER_WORDS = 1 << 20
+
+
+def _place(column: F.Column) -> tuple[F.Column, F.Column]:
+    """The id's word in the filter, and its three bits in that word."""
+    h = F.xxhash64(column.cast("long"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
 
 
 def semi_or_anti(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
-    """Rows with (``left_semi``) or without (``left_anti``) one of ``ids(column)``; ids are counted before they are broadcast."""
-    ids = cut(ids.select(column).distinct())
-    small = ids.count() <= MOST_BROADCAST
-    return rows.join(F.broadcast(ids) if small else ids.hint("merge"), column, how).select(*rows.columns)
+    """Rows with (``left_semi``) or without (``left_anti``) one of ``ids(column)``, exactly, with their columns as they are.
+
+    The ids become a filter of fixed size, each word the OR of its ids' bits, which is broadcast.  Rows that miss it are decided in place;
+    only the others are shuffled for the exact join.  There is one plan whatever the number of ids: up to about ten million of them few
+    rows are shuffled in vain; when there are so many that the filter is full, all rows are.  Null ids are never among ``ids``.
+    """
+    word, bits = _place(F.col(column))
+    known = ids.select(word.alias("_at"), bits.alias("_bits")).groupBy("_at").agg(F.bit_or("_bits").alias("_bits"))
+    own = "_at" + uuid.uuid4().hex
+    known = F.broadcast(known.select(F.col("_at").alias(own), F.col("_bits").alias(own + "b")))
+    marked = rows.join(known, word == F.col(own), "left")
+    hit = F.coalesce(F.col(own + "b").bitwiseAND(bits) == bits, F.lit(False))
+    exact = lambda found: found.join(ids.select(column).distinct().hint("merge"), column, how).select(*rows.columns)
+    found = exact(marked.where(hit).select(*rows.columns))
+    return found if how == "left_semi" else marked.where(~hit).select(*rows.columns).unionByName(found)
 
 
 class WordHashes(dict):

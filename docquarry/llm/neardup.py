@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, mix, ngram_hashes, rows_of, semi_or_anti
+from .common import WordHashes, cut, discard, mix, ngram_hashes, rows_of, semi_or_anti
 from .components import components
 
 #: SetSketch parameters: base, rate of the exponential values, and the largest register.
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 BANDS, WIDTH = 32, 4
 REGISTERS = BANDS * WIDTH
+#: Parts that each bucket is joined in.
+PARTS = 8
 #: A pair goes on to the exact check when its estimated similarity is at least the threshold less this; the
 #: standard error of the estimate is 0.04 or less, so that a pair at the threshold is lost once in ten million.
 SLACK = 0.2
@@ -171,21 +174,82 @@ def merging_links(members: list[dict], percent: int) -> list[tuple[int, int]]:
     return found
 
 
+#: Documents whose sets differ in size by less than this factor are one size class.
+CLASS_STEP = 1.05
+
+
+def size_class(n: int) -> int:
+    return math.floor(math.log(n) / math.log(CLASS_STEP) + 1e-9)
+
+
+def prefix_lengths(n: int, percent: int) -> list[tuple[int, int]]:
+    """``(class, prefix)``: how many of its rarest shingles a set of ``n`` must show to partners of each size class.
+
+    A partner of size b that is linked has at least percent (n + b) / (100 + percent) shingles in common, so both cannot hide
+    all of them behind their first n - common + 1 shingles in one order.  Classes without a possible partner are left out.
+    """
+    least, most = -(-percent * n // 100), 100 * n // percent
+    found = []
+    for c in range(size_class(max(1, least)) - 1, size_class(most) + 2):
+        low = max(least, math.floor(CLASS_STEP**c) - 1, 1)
+        if low <= most and size_class(low) <= c + 1:
+            common = -(-percent * (n + low) // (100 + percent))
+            found.append((c, max(0, n - common + 1)))
+    return found
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in rows_of(batches):
+        sets = [np.frombuffer(r["set"], np.int64) for r in rows]
+        sizes = [len(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([r["id"] for r in rows], np.int64), sizes)), pa.array(np.repeat(np.array(sizes, np.int64), sizes)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["id", "n", "shingle"])
+
+
+def _prefixes(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches):
+            shown = []
+            for r in rows:
+                alone, own = r["n"] - len(r["common"]), size_class(r["n"])
+                for c, length in prefix_lengths(r["n"], percent):
+                    shown += [(s, min(own, c), max(own, c), r["id"], r["root"]) for s in r["common"][: max(0, length - alone)]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in shown], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["shingle", "low", "high", "id", "root"])
+
+    return run
+
+
+def suspects(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members(id, root)`` that can be linked with a member of another root, by their rarest shingles and sizes: ``id``.
+
+    Exact in that no linked member is left out, and linear: shingles are counted, and keys of shingle and two size classes keep
+    only their least and greatest root, so that no pairs are formed.  Members of a large group that share most, but not enough,
+    show each other only shingles that nobody else has.
+    """
+    each = sets.mapInArrow(_each_shingle, "id long, n long, shingle long")
+    often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(often, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    shown = ranked.join(members, "id").select("id", "root", "n", F.col("common.shingle").alias("common")).mapInArrow(_prefixes(percent), "shingle long, low int, high int, id long, root long")
+    open_keys = shown.groupBy("shingle", "low", "high").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("shingle", "low", "high")
+    return shown.join(open_keys, ["shingle", "low", "high"], "left_semi").select("id").distinct()
+
+
 #: Bytes of shingle sets that one side of a block holds at most, but for a single larger set.
 BLOCK_BYTES = 4 << 20
 
 
-def _across_components(named: DataFrame, sets_for, percent: int) -> DataFrame:
+def _across_components(named: DataFrame, sets_for, percent: int, within: list[str] | None = None) -> DataFrame:
     """``named(key, id, root)`` -> links ``(a, b)`` between members of one bucket that lie in different components.
 
-    Only buckets with several components count.  Per bucket the members outside its largest component meet that
+    Only buckets with several components count, and in them the ``suspects``.  Per bucket the members outside its largest component meet that
     component and each other, in blocks of bounded bytes, so that neither a large bucket nor all pairs of a
     component come together; the blocks' tasks give links only, at most one for each join of components.
     """
-    sized = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = sized.groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    spread = cut(named.join(mixed.select("key", "top"), "key").select("key", "id", "root", (F.col("root") != F.col("top")).alias("asks")))
-    sets = sets_for(spread.select(F.col("id").alias("doc_id")))
+    sized = lambda named: named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", -F.col("root"))).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    named = cut(named.join(sized(named).select("key"), "key", "left_semi"), within)
+    members = cut(named.select("id", "root").distinct(), within)
+    sets = sets_for(members.select(F.col("id").alias("doc_id")))
+    named = cut(named.join(suspects(members, sets, percent), "id", "left_semi"), within)
+    spread = cut(named.join(sized(named).select("key", "top"), "key").select("key", "id", "root", (F.col("root") != F.col("top")).alias("asks")), within)
     size = F.octet_length("set")
     weighed = spread.join(sets.select("id", size.alias("bytes")), "id")
     blocks = weighed.groupBy("key").agg(*[F.ceil(F.greatest(F.lit(1), F.sum(F.when(F.col("asks") == yes, F.col("bytes")).otherwise(0))) / BLOCK_BYTES).alias(c) for c, yes in (("nq", True), ("nt", False))])
@@ -212,31 +276,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        bucket's least id: as many pairs as members.
     3. Pairs whose joint likelihood estimate is near the threshold are confirmed on the full sets: first each
        class's likeliest pair, then the pairs that still join two components, last, in buckets whose members
-       lie in several components, the pairs across those components.
+       lie in several components, the pairs across those components that sizes and rarest shingles allow.
 
     Null ids are dropped.  Null or empty texts and texts without words have an empty set and are linked with nothing.
     Repeated rows each get a row; rows that share an id count as one document.  Other columns are not read, so
     their names can't clash.  An empty table gives an empty result.
     """
-    threshold = percent / 100
+    threshold, spent = percent / 100, []
+    kept = lambda df: cut(df, spent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketches = cut(docs.mapInArrow(_sketch(words_per_shingle), "doc_id long, n_shingles long, digest binary, regs binary"))
-    classes = cut(sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
+    sketches = kept(docs.mapInArrow(_sketch(words_per_shingle), "doc_id long, n_shingles long, digest binary, regs binary"))
+    classes = kept(sketches.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")))
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("regs", k * (2 * WIDTH) + 1, F.lit(2 * WIDTH))))
     banded = classes.select("id", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("members")).where("members > 1")
-    buckets = cut(banded.join(shared, "key").select("key", "id", "low", "members"))
+    # Each bucket's row meets its members in several parts, so that a large bucket is no single task.
+    parts = shared.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    buckets = kept(banded.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS).cast("long"))).join(parts, ["key", "part"]).select("key", "id", "low", "members"))
 
     def estimated(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
         return both.mapInArrow(_likely(threshold), "a long, b long, est double")
 
-    pairs = cut(estimated(buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()))
+    pairs = kept(estimated(buckets.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()))
 
     def sets_for(ids: DataFrame) -> DataFrame:
-        return cut(semi_or_anti(docs, ids, "doc_id", "left_semi").mapInArrow(_sets(words_per_shingle), "id long, set binary"))
+        return kept(semi_or_anti(docs, ids, "doc_id", "left_semi").mapInArrow(_sets(words_per_shingle), "id long, set binary"))
 
     sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
 
@@ -249,17 +316,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("est", -F.col("a"))).alias("a")).select("a", "b")
-    first = cut(confirmed(best, sets))
-    roots = components(first.where("linked").select("a", "b"))
-    second = cut(confirmed(across(pairs.select("a", "b"), roots).join(first, ["a", "b"], "left_anti"), sets))
+    first = kept(confirmed(best, sets))
+    roots = components(first.where("linked").select("a", "b"), spent)
+    second = kept(confirmed(across(pairs.select("a", "b"), roots).join(first, ["a", "b"], "left_anti"), sets))
     links = first.unionByName(second).where("linked").select("a", "b")
-    roots = cut(components(links))
+    roots = kept(components(links, spent))
 
     named = buckets.where("members > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    third = _across_components(named, sets_for, percent)
-    roots = components(links.unionByName(third))
+    third = _across_components(named, sets_for, percent, spent)
+    roots = components(links.unionByName(third), spent)
 
     rooted = classes.select("digest", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     joined = sketches.select("doc_id", "n_shingles", "digest").join(rooted, "digest", "left")
     out = joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = cut(out.withColumn("kept", F.col("doc_id") == F.col("component_id")))
+    discard(docs.sparkSession, spent)
+    return out

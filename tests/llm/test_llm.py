@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from docquarry.llm import decontam, fingerprint, langid, mainhtml, neardup, pieces, shards, substrings, tokens, toxicity
+from docquarry.llm import common, decontam, fingerprint, langid, mainhtml, neardup, pieces, shards, substrings, tokens, toxicity
 from docquarry.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,6 +105,56 @@ def test_cross_component_links_in_blocks(spark, monkeypatch):
         assert all(root[a] == root[b] for a in sets for b in sets if a < b and linked(a, b))
 
 
+def test_prefixes_show_every_linked_pair():
+    rng = random.Random(9)
+    for _ in range(3000):
+        n, both = rng.randrange(1, 60), 0
+        m = rng.randrange(max(1, n * 3 // 4), n * 4 // 3 + 2)
+        both = rng.randrange(0, min(n, m) + 1)
+        if 100 * both < 75 * (n + m - both):
+            continue
+        order = [*["both"] * both, *["a"] * (n - both), *["b"] * (m - both)]
+        rng.shuffle(order)
+        spot = lambda own, order=order: [k for k, x in enumerate(order) if x in ("both", own)]
+        shown = [{c: set(spot(own)[:length]) for c, length in neardup.prefix_lengths(size, 75)} for own, size in (("a", n), ("b", m))]
+        assert shown[0][neardup.size_class(m)] & shown[1][neardup.size_class(n)]
+
+
+def test_recall_of_bands_and_estimates_by_similarity():
+    """Of pairs at or over 0.75, by band of similarity and also of 1 to 5 shingles, 99 % share a bucket and pass the estimate."""
+    rng, pairs = np.random.default_rng(12), []
+    for k in range(6000):
+        most = (5, 30, 400)[k % 3]
+        n = int(rng.integers(1, most + 1))
+        m = int(rng.integers(max(1, -(-3 * n // 4)), max(2, 4 * n // 3 + 1)))
+        both = int(rng.integers(0, min(n, m) + 1)) if most == 5 else min(n, m, -(-75 * (n + m) // 175) + int(rng.integers(0, max(1, n // 6))))
+        share = both / (n + m - both)
+        if share >= 0.75:
+            pool = rng.integers(0, 2**63, n + m - both, dtype=np.uint64)
+            pairs.append((share, most, pool[:n], pool[n - both : n - both + m]))
+    left, right = (neardup.registers_of([p[k] for p in pairs]) for k in (2, 3))
+    sizes = [np.array([len(p[k]) for p in pairs], float) for k in (2, 3)]
+    estimated = neardup.joint_estimate(left, right, *sizes) >= 0.75 - neardup.SLACK
+    banded = (left == right).reshape(len(pairs), neardup.BANDS, neardup.WIDTH).all(axis=2).any(axis=1)
+    for lo, hi in ((0.75, 0.8), (0.8, 0.9), (0.9, 1.01)):
+        for most in (5, 30, 400):
+            mine = np.array([lo <= p[0] < hi and p[1] == most for p in pairs])
+            assert mine.sum() == 0 or (estimated & banded)[mine].mean() >= 0.99, (lo, most, mine.sum())
+    assert len(pairs) > 3000
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_semi_and_anti_joins_by_filter(spark, monkeypatch, words):
+    monkeypatch.setattr(common, "FILTER_WORDS", words)  # with one word the filter is full: everything is shuffled
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(None, "n"), (5, "again")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 600, 3)] + [(None,), (3,)], "doc_id long")
+    plain = lambda how: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in rows.join(ids, "doc_id", how).collect())
+    for how in ("left_semi", "left_anti"):
+        got = common.semi_or_anti(rows, ids, "doc_id", how)
+        assert got.columns == rows.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in got.collect()) == plain(how)
+        assert common.semi_or_anti(rows, ids.limit(0), "doc_id", how).count() == (0 if how == "left_semi" else 302)
+
+
 def test_joint_estimate_is_near_the_truth():
     rng = np.random.default_rng(0)
     for share in (0.2, 0.5, 0.75, 0.9):
