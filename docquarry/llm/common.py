@@ -67,21 +67,32 @@ def _place(column: F.Column) -> tuple[F.Column, F.Column]:
     return F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
 
 
+def _probed(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, F.Column]:
+    """The rows with their place in the filter of ``ids(column)``, and whether they hit it."""
+    word, bits = _place(F.col(column))
+    own = "_at" + uuid.uuid4().hex
+    known = ids.select(word.alias(own), bits.alias("_bits")).groupBy(own).agg(F.bit_or("_bits").alias(own + "b"))
+    return rows.join(F.broadcast(known), word == F.col(own), "left"), F.coalesce(F.col(own + "b").bitwiseAND(bits) == bits, F.lit(False))
+
+
+def may_match(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose id is in ``ids(column)``, and a few others: what an exact join has to shuffle.
+
+    The ids become a filter of fixed size, each word the OR of its ids' bits, which is broadcast.  Up to about ten million ids few rows
+    pass in vain; when there are so many that the filter is full, all rows do.
+    """
+    marked, hit = _probed(rows, ids, column)
+    return marked.where(hit).select(*rows.columns)
+
+
 def semi_or_anti(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """Rows with (``left_semi``) or without (``left_anti``) one of ``ids(column)``, exactly, with their columns as they are.
 
-    The ids become a filter of fixed size, each word the OR of its ids' bits, which is broadcast.  Rows that miss it are decided in place;
-    only the others are shuffled for the exact join.  There is one plan whatever the number of ids: up to about ten million of them few
-    rows are shuffled in vain; when there are so many that the filter is full, all rows are.  Null ids are never among ``ids``.
+    Rows that miss the ids' filter are decided in place; only the others are shuffled for the exact join.  There is one plan whatever
+    the number of ids.  Null ids are never among ``ids``.
     """
-    word, bits = _place(F.col(column))
-    known = ids.select(word.alias("_at"), bits.alias("_bits")).groupBy("_at").agg(F.bit_or("_bits").alias("_bits"))
-    own = "_at" + uuid.uuid4().hex
-    known = F.broadcast(known.select(F.col("_at").alias(own), F.col("_bits").alias(own + "b")))
-    marked = rows.join(known, word == F.col(own), "left")
-    hit = F.coalesce(F.col(own + "b").bitwiseAND(bits) == bits, F.lit(False))
-    exact = lambda found: found.join(ids.select(column).distinct().hint("merge"), column, how).select(*rows.columns)
-    found = exact(marked.where(hit).select(*rows.columns))
+    marked, hit = _probed(rows, ids, column)
+    found = marked.where(hit).select(*rows.columns).join(ids.select(column).distinct().hint("merge"), column, how).select(*rows.columns)
     return found if how == "left_semi" else marked.where(~hit).select(*rows.columns).unionByName(found)
 
 

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, cut, ngram_hashes, rows_of
+from .common import WordHashes, cut, discard, may_match, ngram_hashes, rows_of
 
 #: Words of the shortest prefix.  It stands at the least prefix hash of its window, so that all copies of a window choose the same.
 PREFIX = 8
-#: Bytes of suffixes that one subtree is built from; a larger group's prefixes are lengthened to the whole window.
-GROUP_BYTES = 4 << 20
+#: Bytes of text that one subtree is built from; the prefixes of a larger group are lengthened by so many words at a time.
+GROUP_BYTES, LENGTHEN = 4 << 20, 9
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -59,43 +59,68 @@ def _scan(window: int):
     return run
 
 
+_RUN = ["doc_id", "row", "first", "gram", "key", "words"]
+
+
 def _suffixes(window: int):
-    """The words (as 32-bit hashes) of each run that shares its prefix with another run."""
+    """The words of each run that shares its prefix with another run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache, out, held = WordHashes(), [], 0
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], _RUN)
         for rows in rows_of(batches, 64):
             for r in rows:
-                hashes = cache.of(_words(r["text"]))
-                position, first, last, grams = anchored(hashes, window)
-                small = hashes.astype(np.uint32)
-                wanted = np.flatnonzero(np.isin(first, np.array(r["firsts"])))
-                content = [small[first[k] : last[k] + window].tobytes() for k in wanted]
-                keys = [hashlib.blake2b(hashes[first[k] : last[k] + window].tobytes(), digest_size=16, salt=int(position[k] - first[k]).to_bytes(4, "little")).digest() for k in wanted]
-                n = len(wanted)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["doc_id"]] * n, pa.int64()), pa.array([r["row"]] * n, pa.int64()), pa.array(first[wanted].astype(np.int32)), pa.array(grams[wanted].view(np.int64)), pa.array(keys, pa.binary()), pa.array(content, pa.binary())],
-                    ["doc_id", "row", "first", "gram", "key", "words"],
-                )
+                words = _words(r["text"])
+                position, first, last, grams = anchored(cache.of(words), window)
+                for k in np.flatnonzero(np.isin(first, np.array(r["firsts"]))):
+                    lo = int(first[k])
+                    content = b" ".join(words[lo : int(last[k]) + window])
+                    key = hashlib.blake2b(content, digest_size=16, salt=int(position[k] - lo).to_bytes(4, "little")).digest()
+                    out.append((r["doc_id"], r["row"], lo, int(grams[k].view(np.int64)), key, content))
+                    held += len(content)
+                    if held > GROUP_BYTES:
+                        yield pack()
+                        out, held = [], 0
+        yield pack()
 
     return run
 
 
+class Numbers(dict):
+    """A number for each word, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
+
+
+def suffix_tree(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of runs of words, cut at depth ``window``, as a tree: ``(owner, order, common)``.
+
+    ``owner`` is each suffix's run, ``order`` the suffixes' numbers in sorted order, ``common`` the words that each sorted suffix shares with
+    the one before: the depth of the internal node where the two leaves part.  Words are compared as such.
+    """
+    numbers = Numbers()
+    runs = [np.lib.stride_tricks.sliding_window_view(np.fromiter(map(numbers.__getitem__, c.split(b" ")), np.int32), window) for c in contents]
+    leaves = np.ascontiguousarray(np.concatenate(runs))
+    order = np.argsort(leaves.view(np.dtype((np.void, 4 * window))).ravel(), kind="stable")
+    parts = leaves[order[1:]] != leaves[order[:-1]]
+    common = np.where(parts.any(axis=1), parts.argmax(axis=1), window)
+    return np.repeat(np.arange(len(runs)), [len(r) for r in runs]), order, common
+
+
 def repeated_windows(contents: list[bytes], copies: list[int], window: int) -> list[np.ndarray]:
-    """For each run of words, which of its windows occur anywhere else among the runs.
+    """For each run of words, which of its windows occur anywhere else among the runs: the leaves below an internal node of depth ``window``.
 
-    The runs' windows are the suffixes of a subtree, cut at the window's depth.  Sorted suffixes whose common prefix is
-    that deep are the leaves below one deep internal node, so each of them has a repeat.  A run that has copies repeats whole.
+    A run that has copies repeats whole.  Windows that follow each other are one maximal repeat.
     """
-    runs = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(c, np.uint32), window) for c in contents]
-    owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-    leaves = np.ascontiguousarray(np.concatenate(runs)).view(np.dtype((np.void, 4 * window))).ravel()
-    order = np.argsort(leaves, kind="stable")
-    deep = leaves[order[1:]] == leaves[order[:-1]]
+    owner, order, common = suffix_tree(contents, window)
     flags = np.array(copies)[owner] > 1
+    deep = common >= window
     flags[order[1:][deep]] = True
     flags[order[:-1][deep]] = True
-    return np.split(flags, np.cumsum([len(r) for r in runs])[:-1])
+    return np.split(flags, np.cumsum(np.bincount(owner, minlength=len(contents)))[:-1])
 
 
 def _subtrees(window: int):
@@ -115,22 +140,59 @@ def _subtrees(window: int):
     return run
 
 
-def _full_depth(window: int):
-    """Each window of a run with a prefix as long as the window."""
+def _windows(window: int):
+    """Each window of a run with its digest and the length of its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
         for rows in rows_of(batches, 64):
             for r in rows:
-                leaves = np.lib.stride_tricks.sliding_window_view(np.frombuffer(r["words"], np.uint32), window)
-                n = len(leaves)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["key"]] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in leaves], pa.binary()), pa.array([r["copies"]] * n, pa.int64())],
-                    ["key", "at", "prefix", "copies"],
-                )
+                words = r["words"].split(b" ")
+                position, first, last, _ = anchored(cache.of(words), window)
+                found = [(r["key"], s, b" ".join(words[s : s + window]), int(p) - s + PREFIX, r["copies"]) for p, lo, hi in zip(position, first, last, strict=True) for s in range(int(lo), int(hi) + 1)]
+                columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64()))]
+                digests = pa.array([hashlib.blake2b(x[2], digest_size=16).digest() for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, digests], ["run", "at", "words", "prefix", "copies", "key"])
 
     return run
 
 
+def _by_size(units: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """``units(group, key, words, copies)`` of groups that fit one subtree, as lists, and the groups that don't."""
+    sizes = units.groupBy("group").agg(F.sum(F.octet_length("words")).alias("bytes"), F.sum("copies").alias("uses")).where("uses > 1")
+    fits = F.col("bytes") <= GROUP_BYTES
+    fitting = units.join(sizes.where(F.lit(True) if last else fits).select("group"), "group", "left_semi")
+    return fitting.groupBy("group").agg(F.collect_list(F.struct("key", "words", "copies")).alias("units")).select("units"), None if last else sizes.where(~fits).select("group")
+
+
+def _trees(contents: DataFrame, window: int, within: list[str]) -> DataFrame:
+    """``contents(key, gram, words, copies)``: which windows of each run repeat, ``key, windows``.
+
+    Groups of one prefix that fit become subtrees.  Of larger groups, the windows stand alone: distinct ones with counts, grouped by their own
+    prefix, which is lengthened until the groups fit; at full length a group is one window.
+    """
+    result = "key binary, windows array<int>"
+    fitting, large = _by_size(contents.withColumnRenamed("gram", "group"), False)
+    marks = cut(fitting.mapInArrow(_subtrees(window), result), within)
+    large = cut(large, within)
+    rest = contents.join(large.withColumnRenamed("group", "gram"), "gram", "left_semi").select("key", "words", "copies")
+    places = cut(rest.mapInArrow(_windows(window), "run binary, at int, words binary, prefix int, copies long, key binary"), within)
+    left = places.groupBy("key").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"), F.first("prefix").alias("prefix"))
+    for extra in range(0, window - PREFIX + LENGTHEN, LENGTHEN):
+        left = cut(left, within)
+        if left.isEmpty():
+            break
+        length = F.least(F.lit(window), F.col("prefix") + extra)
+        units = left.withColumn("length", length).withColumn("group", F.xxhash64(F.expr("substring_index(cast(words as string), ' ', length)"), "prefix"))
+        fitting, large = _by_size(units, extra >= window - PREFIX)
+        deep = fitting.mapInArrow(_subtrees(window), result).select("key")
+        marks = marks.unionByName(cut(places.join(deep, "key", "left_semi").groupBy("run").agg(F.collect_list("at").alias("windows")).select(F.col("run").alias("key"), "windows"), within))
+        if large is None:
+            break
+        left = units.join(cut(large, within), "group", "left_semi").select("key", "copies", "words", "prefix")
+    return marks
+
+
 def _without(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in rows_of(batches, 64):
@@ -161,35 +223,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Suffixes are grouped by a prefix that ends at the least 8-word hash of their window, so its length varies from
     8 words to the window.  A window with a repeat has its prefix twice, so prefixes that occur once are left out
     first, by pre-aggregated counts of hashes alone.  The remaining runs of suffixes are reduced to distinct ones with
-    counts (a passage that a third of all rows share is one run) and meet by prefix in groups of bounded bytes, where
-    a subtree is built; a group beyond that bound has its prefixes lengthened to the whole window instead.
+    counts (a passage that a third of all rows share is one run) and meet by prefix in groups of bounded bytes.  Each group becomes
+    a subtree, whose internal nodes of the window's depth give the repeats; a group beyond the bound has its prefixes
+    lengthened until its parts fit.
 
     Null ids are dropped.  A null or empty text has no words and nothing is removed; a text shorter than the window
     stays.  Repeated rows repeat each other's windows.  Other columns are not read.  An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null").withColumn("row", F.xxhash64("text"))
-    scanned = cut(docs.mapInArrow(_scan(window), "doc_id long, row long, n_words long, digest string, firsts array<int>, grams array<long>"))
+    kept_tables: list[str] = []
+    spent: list[str] = []
+    scanned = cut(docs.mapInArrow(_scan(window), "doc_id long, row long, n_words long, digest string, firsts array<int>, grams array<long>"), kept_tables)
     runs = scanned.select("doc_id", "row", F.inline(F.arrays_zip("firsts", "grams")).alias("first", "gram"))
     # Written, so that the join has an exchange on both sides and a hot prefix can be split.
-    twice = cut(scanned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"))
-    shared = runs.join(twice, "gram", "left_semi").groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts"))
-    touched = cut(docs.join(shared, ["doc_id", "row"]))
-
-    suffixes = cut(touched.mapInArrow(_suffixes(window), "doc_id long, row long, first int, gram long, key binary, words binary"))
-    contents = suffixes.groupBy("key").agg(F.count("*").alias("copies"), F.first("gram").alias("gram"), F.first("words").alias("words"))
-    contents = cut(contents)
-    sizes = contents.groupBy("gram").agg(F.sum(F.octet_length("words")).alias("bytes"), F.sum("copies").alias("uses"))
-    large = sizes.where(F.col("bytes") > GROUP_BYTES).select("gram")
-    fitting = contents.join(sizes.where((F.col("bytes") <= GROUP_BYTES) & (F.col("uses") > 1)).select("gram"), "gram", "left_semi")
-    trees = fitting.groupBy("gram").agg(F.collect_list(F.struct("key", "words", "copies")).alias("group")).select("group").mapInArrow(_subtrees(window), "key binary, windows array<int>")
-    leaves = contents.join(large, "gram", "left_semi").select("key", "words", "copies").mapInArrow(_full_depth(window), "key binary, at int, prefix binary, copies long")
-    deep = leaves.groupBy("prefix").agg(F.sum("copies").alias("n")).where("n > 1").select("prefix")
-    lengthened = leaves.join(deep, "prefix", "left_semi").groupBy("key").agg(F.collect_list("at").alias("windows"))
-
-    marks = suffixes.select("doc_id", "row", "first", "key").join(trees.unionByName(lengthened), "key")
+    twice = cut(scanned.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), spent)
+    shared = cut(runs.join(twice, "gram", "left_semi").groupBy("doc_id", "row").agg(F.collect_list("first").alias("firsts")), spent)
+    touched = cut(may_match(docs, shared, "doc_id").join(shared, ["doc_id", "row"]), spent)
+
+    suffixes = cut(touched.mapInArrow(_suffixes(window), "doc_id long, row long, first int, gram long, key binary, words binary"), spent)
+    contents = cut(suffixes.groupBy("key").agg(F.count("*").alias("copies"), F.first("gram").alias("gram"), F.first("words").alias("words")), spent)
+    marks = suffixes.select("doc_id", "row", "first", "key").join(_trees(contents, window, spent), "key")
     starts = marks.select("doc_id", "row", F.transform("windows", lambda w: w + F.col("first")).alias("s")).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("s")).alias("starts"))
     less = touched.select("doc_id", "row", "text").join(starts, ["doc_id", "row"])
     less = less.mapInArrow(_without(window), "doc_id long, row long, n_removed long, kept_text string, kept_digest string")
-    less = less.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_removed", *(["kept_text"] if texts else []), "kept_digest")])
+    less = cut(less.groupBy("doc_id", "row").agg(*[F.first(c).alias(c) for c in ("n_removed", *(["kept_text"] if texts else []), "kept_digest")]), kept_tables)
+    discard(docs.sparkSession, spent)
     out = scanned.select("doc_id", "row", "n_words", "digest").join(less, ["doc_id", "row"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept_digest", "digest").alias("kept_sha256"), *(["kept_text"] if texts else []))

@@ -186,16 +186,29 @@ def brute_repeats(rows, window=35):
     return out
 
 
-@pytest.mark.parametrize("group", [4 << 20, 200])
+@pytest.mark.parametrize("group", [4 << 20, 3000, 200])
 def test_repeated_windows(docs, corpus, monkeypatch, group):
-    monkeypatch.setattr(substrings, "GROUP_BYTES", group)  # the small bound takes the lengthened prefixes
-    rows = docs.where("length(text) < 50000 or text is null")
-    out = substrings.remove_repeats(rows).collect()
-    want = brute_repeats([r for r in corpus if len(r[1] or "") < 50_000])
-    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == want
+    monkeypatch.setattr(substrings, "GROUP_BYTES", group)  # small bounds lengthen prefixes once or more
+    out = substrings.remove_repeats(docs).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == brute_repeats(corpus)
     assert all((r["kept_text"] is None) == (r["n_removed"] == 0) for r in out)
 
 
+def test_repeated_windows_of_a_whole_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    out = substrings.remove_repeats(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), texts=False).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out} == brute_repeats(rows)
+
+
+def test_suffix_tree_gives_common_prefixes():
+    owner, order, common = substrings.suffix_tree([b"a b c d e", b"a b c d f", b"x b c d e"], 4)
+    words = [w for t in ("a b c d e", "a b c d f", "x b c d e") for w in (t.split()[:4], t.split()[1:])]
+    assert owner.tolist() == [0, 0, 1, 1, 2, 2] and sorted(order.tolist()) == list(range(6))
+    for k, n in enumerate(common, 1):
+        a, b = words[order[k - 1]], words[order[k]]
+        assert a[:n] == b[:n] and (n == 4 or a[n] != b[n])
+
+
 def test_repeated_windows_of_empty_and_repeated_rows(docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
     twice = docs.where("doc_id = 5").unionByName(docs.where("doc_id = 5"))
