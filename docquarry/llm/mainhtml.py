@@ -4,70 +4,103 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME_AT = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+_GAP = re.compile(r"[\s/]*")
+_WORD = re.compile(r"[a-z]+")
 
 # What HTML elements are.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video select textarea option datalist head title".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title".split())
+RAW = frozenset("script style textarea title".split())
+SILENT = RAW | frozenset("noscript template svg math iframe object canvas audio video select datalist".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img acronym".split())
-CONTAINERS = frozenset("html body main article section div nav header footer aside form menu ul ol dl table dialog details figure fieldset blockquote button".split())
-#: Costs in favour of content (positive) or boilerplate (negative), as log-odds: of elements, and of words in class, id and role.
-ELEMENT_COST = {"article": 5.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "fieldset": -9.0, "header": -4.0}
-WORD_COST = {
+#: What an opening element closes if it is open on top.
+CLOSES = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+#: Elements that say themselves what they hold; they are never learned.
+GIVEN = {"article": 5.0, "main": 3.0}
+#: What the classifier believes before it sees a page, as log-odds of content: for elements, for words in class, id and role, and for a block's shape.
+ELEMENT_PRIOR = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "fieldset": -9.0, "header": -4.0}
+WORD_PRIOR = {
     **dict.fromkeys("article content post entry story main body text".split(), 2.0),
     **dict.fromkeys("ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion comment comments reply replies disqus sidebar nav navbar navigation menu footer cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended breadcrumb breadcrumbs pagination pager masthead topbar toolbar widget search form copyright legal disclaimer complementary contentinfo dialog".split(), -9.0),
-    "header": -4.0,
-}
-#: Smoothness: between neighbours on the page, and more if they share a container.
-ADJACENT, SIBLING = 0.6, 1.2
+    "header": -4.0, "hidden": -9.0,
+}
+SHAPE_PRIOR = np.array([-0.3, 1.5, -5.0, 0.5])  # of 1, length in hundreds (4 at most), share of linked text, heading
+#: Smoothness in units of ``UNIT``: between neighbours on the page, and more if they share a container.
+UNIT, ADJACENT, SIBLING = 0.2, 2, 5
+#: Bounds of the training sample: pages, and blocks of each, spread over the page.  Features must be on ``LEAST_PAGES`` of them.
+SAMPLE_PAGES, SAMPLE_BLOCKS, LEAST_PAGES, MOST_FEATURES = 500, 40, 3, 256
+
+
+@dataclass(frozen=True)
+class Around:
+    """What an open element adds: its name, its container's number, and the features of all elements around it."""
+
+    name: str = ""
+    container: int = 0
+    features: tuple[str, ...] = ()
+    given: float = 0.0
 
 
 @dataclass
 class Block:
     text: str
-    container: int
-    context: float
+    around: Around
     linked: int
     heading: bool
 
 
-def _context(name: str, attributes: str) -> float:
-    cost = ELEMENT_COST.get(name, 0.0)
-    if attributes:
-        for key, value in _ATTRIBUTE.findall(attributes):
-            key = key.lower()
-            if key in ("class", "id", "role"):
-                cost += min((WORD_COST[w] for w in _NAME.findall(value.lower()) if WORD_COST.get(w, 0) < 0), default=0.0) or max((WORD_COST.get(w, 0.0) for w in _NAME.findall(value.lower())), default=0.0)
-            elif key == "hidden" or key == "aria-hidden" and "true" in value.lower() or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                cost -= 9.0
-    return cost
+def _attributes(page: str, at: int) -> tuple[list[str], bool, int]:
+    """Words of class, id and role, whether the tag closes itself, and where it ends; one pass, whatever the markup.
+
+    A quote within an unquoted value is part of it, as for browsers; a quote that is never closed is, too.
+    """
+    words: list[str] = []
+    while True:
+        gap = _GAP.match(page, at)
+        at = gap.end()
+        if at >= len(page):
+            return words, False, at
+        if page[at] == ">":
+            return words, page[at - 1] == "/", at + 1
+        found = _ATTRIBUTE.match(page, at)
+        key, value = found[1].lower(), (found[2] or "").strip("\"'").lower()
+        at = found.end()
+        if key in ("class", "id", "role"):
+            words += _WORD.findall(value)
+        elif key == "hidden" or key == "aria-hidden" and "true" in value or key == "style" and "none" in value and re.search(r"display\s*:\s*none", value):
+            words.append("hidden")
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, each with its container and the costs of all elements around it.  Broken markup is tolerated."""
+    """The page's text blocks in order, each with what is around it.  Linear in the page, broken markup included.
+
+    A silent element without an end tag is empty, an unclosed tag at the end of the page is dropped; all else is read.
+    """
     blocks: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]
+    stack = [Around()]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, links, heading, serial, at = 0, 0, False, 0, 0
+    without_end: set[str] = set()
+    lower = page.lower() if page.isascii() else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
+    linked, links, serial, at = 0, 0, 0, 0
 
     def flush() -> None:
-        nonlocal linked, heading
+        nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            blocks.append(Block(text, stack[-1][1], stack[-1][2], min(linked, len(text)), heading))
+            blocks.append(Block(text, stack[-1], min(linked, len(text)), stack[-1].name in ("h1", "h2", "h3", "h4", "h5", "h6")))
         parts.clear()
         linked = 0
 
@@ -77,116 +110,256 @@ def blocks_of(page: str) -> list[Block]:
         if links > 0:
             linked += len(text)
 
-    while True:
-        found = _MARKUP.search(page, at)
-        if not found:
+    def leave() -> None:
+        opened[stack.pop().name] -= 1
+
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
             say(page[at:])
             break
-        if found.start() > at:
-            say(page[at : found.start()])
-        at = found.end()
-        name = (found[2] or "").lower()
-        if not name:
+        if start > at:
+            say(page[at:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 2)
+            at = end + 3 if end >= 0 else len(page)
             continue
-        closing = bool(found[1])
+        closing = page.startswith("</", start)
+        tag = _NAME_AT.match(page, start + 1 + closing)
+        if not tag:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                say("<")
+                at = start + 1
+            continue
+        name = tag[0].lower()
+        words, own_end, at = _attributes(page, tag.end())
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
-        if name in INLINE:
+        if closing:
+            if name not in INLINE:
+                flush()
+                links = 0
+            if opened[name] > 0:
+                flush()
+                while stack[-1].name != name:
+                    leave()
+                leave()
             continue
-        flush()
-        links = 0 if name not in VOID else links
-        if name in RAW and not closing:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif name[0] == "h" and len(name) == 2 and name[1] in "123456":
-            heading = not closing
-        elif name in VOID or name in ("p", "li"):
+        if name in VOID:
+            if name not in INLINE:
+                flush()
             continue
-        elif closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        elif name in CONTAINERS or name in SILENT:
-            serial += 1
-            cost = _context(name, found[3])
-            stack.append((name, serial, stack[-1][2] + (-40.0 if name in SILENT and name != "head" else cost)))
+        if name in SILENT:
+            flush()
+            end = -1 if own_end or name in without_end else lower.find(f"</{name}", at)
+            if end < 0 and not own_end:
+                without_end.add(name)
+            if end >= 0 and (name in RAW or lower.find(f"<{name}", at, end) < 0):
+                closed = page.find(">", end)
+                at = closed + 1 if closed >= 0 else len(page)
+            elif name in ("script", "style") and not own_end:
+                after = page.find("<", at)
+                at = after if after >= 0 else len(page)
+            continue
+        features = ([f"<{name}>"] if name not in GIVEN and name not in INLINE and name not in ("html", "body", "div", "p") else []) + [w for w in dict.fromkeys(words)]
+        if name in INLINE:
+            if opened[name] <= 0 and sum(WORD_PRIOR.get(w, 0.0) for w in words) >= 0:
+                continue  # part of the text around it
+            flush()
+        else:
+            flush()
+            links = 0
+            if stack[-1].name == "p":
+                leave()
+            while stack[-1].name in CLOSES.get(name, ()):
+                leave()
+        serial += 1
+        outer = stack[-1]
+        inside = (*outer.features, *features) if len(outer.features) < 200 else outer.features
+        own = outer.container if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") else serial
+        stack.append(Around(name, own, inside, outer.given + GIVEN.get(name, 0.0)))
+        opened[name] += 1
     flush()
     return blocks
 
 
-def cost_of(block: Block) -> float:
-    """Log-odds that a block is content: its surroundings, its length, its share of linked text, and whether it is a heading."""
+def shape_of(block: Block) -> np.ndarray:
     length = len(block.text)
-    shape = min(length, 400) / 100.0 - 0.5 - 3.0 * (block.linked / length) + (0.5 if block.heading else 0.0)
-    return max(-40.0, min(block.context, 12.0)) + shape
+    return np.array([1.0, min(length, 400) / 100.0, block.linked / length, float(block.heading)])
+
+
+@dataclass
+class Classifier:
+    """Additive log-odds that a block is content.  Features that no sampled page has keep what is believed before."""
+
+    weights: dict[str, float] = field(default_factory=lambda: {**{f"<{k}>": v for k, v in ELEMENT_PRIOR.items()}, **WORD_PRIOR})
+    shape: np.ndarray = field(default_factory=SHAPE_PRIOR.copy)
+
+    def log_odds(self, block: Block) -> float:
+        context = sum(self.weights.get(f, 0.0) for f in block.around.features) + block.around.given
+        return max(-40.0, min(context, 12.0)) + float(self.shape @ shape_of(block))
+
+    def fit(self, blocks: list[list[tuple[tuple[str, ...], np.ndarray, bool]]], pull: float = 0.02, steps: int = 400, rate: float = 1.0) -> Classifier:
+        """Gradient descent on the mean logistic loss of the pages' blocks ``(features, shape, is content)``, pulled towards the prior."""
+        pages = Counter(f for page in blocks for f in {f for fs, _, _ in page for f in fs})
+        names = [f for f, n in sorted(pages.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_PAGES][:MOST_FEATURES]
+        at = {f: k for k, f in enumerate(names)}
+        rows = [row for page in blocks for row in page]
+        labels = np.array([y for _, _, y in rows], float)
+        if len(set(labels.tolist())) < 2:
+            return self
+        x = np.zeros((len(rows), len(names) + 4))
+        x[:, len(names) :] = [s for _, s, _ in rows]
+        fixed = np.zeros(len(rows))
+        for i, (features, _, _) in enumerate(rows):
+            for f in features:
+                if f in at:
+                    x[i, at[f]] += 1
+                else:
+                    fixed[i] += self.weights.get(f, 0.0)
+        prior = np.concatenate([[self.weights.get(f, 0.0) for f in names], self.shape])
+        w = prior.copy()
+        step = rate / max(1.0, float((x**2).sum(axis=1).mean()) / 4)
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(x @ w + fixed, -30, 30)))
+            w -= step * (x.T @ (p - labels) / len(rows) + pull * (w - prior))
+        return Classifier({**self.weights, **dict(zip(names, w[: len(names)].tolist(), strict=True))}, w[len(names) :])
+
+
+def labelled_blocks(page: str) -> list[tuple[tuple[str, ...], np.ndarray, bool]]:
+    """At most ``SAMPLE_BLOCKS`` blocks of a page that marks its article: what is in it, but not in an element known as boilerplate, is content."""
+    blocks = blocks_of(page)
+    if not any(b.around.given > 0 for b in blocks):
+        return []
+    prior = Classifier().weights
+    pick = np.unique(np.linspace(0, len(blocks) - 1, SAMPLE_BLOCKS).astype(int))
+    return [(b.around.features, shape_of(b), b.around.given > 0 and all(prior.get(f, 0.0) >= 0 for f in b.around.features)) for b in (blocks[i] for i in pick)]
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels (True: content) of the least total cost: a block against its cost, or an edge whose ends differ.
 
-    Positive costs are capacities from the source, negative ones to the sink; augmenting paths from blocks with capacity
-    left are found breadth first.  What the source still reaches is content.
+    Positive costs are capacities from the source, negative ones to the sink.  Maximum flow in phases: levels from all blocks with
+    capacity left, then paths from level to level until none is left.  What the source still reaches is content.  Flow stays near
+    where it starts, as each block on its way takes at least a unit of it, so phases are few and each is linear.
     """
-    excess = list(costs)
-    flow: list[dict[int, float]] = [{} for _ in costs]
+    n, excess, none = len(costs), list(costs), 1e-9
+    out: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    room: list[float] = []
     for a, b, w in edges:
-        flow[a][b] = flow[a].get(b, 0.0) + w
-        flow[b][a] = flow[b].get(a, 0.0) + w
+        out[a].append(len(to))
+        out[b].append(len(to) + 1)
+        to += (b, a)
+        room += (w, w)
     while True:
-        came = {i: -1 for i, e in enumerate(excess) if e > 1e-9}
-        queue, end = deque(came), -1
-        while queue and end < 0:
-            a = queue.popleft()
-            for b, room in flow[a].items():
-                if room > 1e-9 and b not in came:
-                    came[b] = a
-                    if excess[b] < -1e-9:
-                        end = b
+        front = [i for i in range(n) if excess[i] > none]
+        sources, level, depth, met = list(front), [-1] * n, 0, False
+        for i in front:
+            level[i] = 0
+        while front and not met:
+            depth += 1
+            reached = []
+            for a in front:
+                for e in out[a]:
+                    b = to[e]
+                    if level[b] < 0 and room[e] > none:
+                        level[b] = depth
+                        reached.append(b)
+                        met = met or excess[b] < -none
+            front = reached
+        if not met:
+            return [x >= 0 for x in level]
+        nexts = [0] * n
+        for source in sources:
+            path: list[int] = []
+            a = source
+            while excess[source] > none:
+                if excess[a] < -none:
+                    amount = min(excess[source], -excess[a], *(room[e] for e in path))
+                    excess[source] -= amount
+                    excess[a] += amount
+                    for e in path:
+                        room[e] -= amount
+                        room[e ^ 1] += amount
+                    path, a = [], source
+                    continue
+                edges_of = out[a]
+                while nexts[a] < len(edges_of):
+                    e = edges_of[nexts[a]]
+                    if room[e] > none and level[to[e]] == level[a] + 1:
                         break
-                    queue.append(b)
-        if end < 0:
-            return [i in came for i in range(len(costs))]
-        path = [end]
-        while came[path[-1]] >= 0:
-            path.append(came[path[-1]])
-        path.reverse()
-        amount = min(excess[path[0]], -excess[end], *(flow[a][b] for a, b in zip(path, path[1:], strict=False)))
-        excess[path[0]] -= amount
-        excess[end] += amount
-        for a, b in zip(path, path[1:], strict=False):
-            flow[a][b] -= amount
-            flow[b][a] += amount
-
-
-def main_text(page: str | None) -> str:
-    """The page's content blocks joined by one space; empty if there are none."""
+                    nexts[a] += 1
+                if nexts[a] < len(edges_of):
+                    path.append(e)
+                    a = to[e]
+                elif path:
+                    a = to[path.pop() ^ 1]
+                    nexts[a] += 1
+                else:
+                    break
+
+
+def content_blocks(page: str | None, classifier: Classifier) -> list[tuple[Block, bool]]:
+    """The page's blocks, and whether the minimum cut leaves them on the side of content."""
     blocks = blocks_of(page or "")
     edges, last = [], {}
     for i, block in enumerate(blocks):
         if i:
             edges.append((i - 1, i, ADJACENT))
-        if block.container in last:
-            edges.append((last[block.container], i, SIBLING))
-        last[block.container] = i
-    labels = minimum_cut([cost_of(b) for b in blocks], edges)
-    return " ".join(b.text for b, keep in zip(blocks, labels, strict=True) if keep)
+        if block.around.container in last:
+            edges.append((last[block.around.container], i, SIBLING))
+        last[block.around.container] = i
+    units = [round(classifier.log_odds(b) / UNIT) or -1 for b in blocks]
+    return list(zip(blocks, minimum_cut(units, edges), strict=True))
+
+
+def main_text(page: str | None, classifier: Classifier | None = None) -> str:
+    """The page's content blocks joined by one space; empty if there are none."""
+    return " ".join(b.text for b, keep in content_blocks(page, classifier or Classifier()) if keep)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in rows_of(batches, 64):
-        texts = [main_text(r["html"]) for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], pa.int64()), pa.array([r["url"] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def train(pages: DataFrame, learn: F.Column | None = None, id_col: str = "page_id", html_col: str = "html") -> Classifier:
+    """Fits the classifier on at most ``SAMPLE_PAGES`` pages (least hash of the id, among those that ``learn`` admits), ``SAMPLE_BLOCKS`` blocks each."""
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"), (F.lit(True) if learn is None else learn).alias("learn"))
+    usable = rows.where("learn and html is not null and page_id is not null")
+    chosen = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).distinct()
+    layout = "page_id long, tie long, features array<array<string>>, shapes array<double>, content array<boolean>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches, 64):
+            found = [labelled_blocks(r["html"]) for r in part]
+            columns = [[list(f) for f, _, _ in x] for x in found], [np.concatenate([s for _, s, _ in x]).tolist() if x else [] for x in found], [[y for _, _, y in x] for x in found]
+            types = pa.list_(pa.list_(pa.string())), pa.list_(pa.float64()), pa.list_(pa.bool_())
+            ids = [pa.array([r[c] for r in part], pa.int64()) for c in ("page_id", "tie")]
+            yield pa.RecordBatch.from_arrays(ids + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "tie", "features", "shapes", "content"])
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    # However many rows share an id, so many pages come to the driver at most.
+    sample = usable.join(F.broadcast(chosen), "page_id").select("page_id", F.xxhash64("html").alias("tie"), "html").mapInArrow(run, layout)
+    sample = sample.dropDuplicates(["page_id", "tie"]).orderBy(F.xxhash64("page_id"), "page_id", "tie").limit(SAMPLE_PAGES).collect()
+    found = [[(tuple(f), np.array(r["shapes"][4 * k : 4 * k + 4]), y) for k, (f, y) in enumerate(zip(r["features"], r["content"], strict=True))] for r in sample]
+    return Classifier().fit([x for x in found if x])
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", classifier: Classifier | None = None) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page: the whole article without what surrounds it.
 
     Blocks are nodes of a graph.  A classifier's log-odds are the terminal capacities; blocks that are neighbours on the page, and
-    next siblings in one container, are joined by smoothness edges; the minimum cut separates content from boilerplate.
+    next siblings in one container, are joined by smoothness edges; the maximum flow's minimum cut separates content from boilerplate.
+    Without a ``classifier`` one is trained on a bounded sample of these pages.
 
     A null or empty page gives an empty text with 0 characters; broken markup is tolerated.  One row per input row, each on its
     own, so repeated rows are equal.  Other columns are not read.  An empty table gives an empty result.
     """
+    fitted = classifier or train(pages, None, id_col, html_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in rows_of(batches, 64):
+            texts = [main_text(r["html"], fitted) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], pa.int64()), pa.array([r["url"] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -406,6 +407,70 @@ def test_main_text(spark, empty):
     assert mainhtml.extract_main_text(rows.limit(0)).count() == 0
 
 
+def test_main_text_of_hard_markup():
+    said = mainhtml.main_text
+    first, second = "One long paragraph with words here and there to read.", "Second long paragraph with words to read too."
+    for silent in ('<svg class="i"/>', "<svg>", "<iframe>", "<noscript>", "<object>", "<title>"):
+        assert said(f"<article><p>{first}</p>{silent}<p>{second}</p></article>") == f"{first} {second}", silent
+    assert said(f"<article><p>{first}</p><svg><text>No</text></svg><noscript><p>No</p></noscript><p>{second}</p></article>") == f"{first} {second}"
+    for marked in ('<p class="advert">', '<li class="menu-item">', '<h2 id="comments">', '<td role="navigation">', '<span class="share">', "<dd hidden>"):
+        assert said(f"<article><p>{first}</p>{marked}Buy our great things here today.</{re.match('[a-z0-9]+', marked[1:])[0]}><p>{second}</p></article>") == f"{first} {second}", marked
+    assert said("<article><a href=don't>Link</a><p>Don't lose this text.</p><p>It's here.</p></article>") == "Link Don't lose this text. It's here."
+    assert said("a < b and c > d is a comparison of four numbers that everyone can read") == "a < b and c > d is a comparison of four numbers that everyone can read"
+    assert said(f'<article><p>{first}<div class="ad">Buy</div>{second}</article>') == f"{first} {second}"
+    assert said("<article><p>caf&eacute; &#233;&nbsp;x\n\ty</p></article>") == "café é x y"
+
+
+@pytest.mark.parametrize("piece", ["<b x ", '<p class="x\' ', "<svg>", "<title>", "<div>", "</x>", "<!--", '<a href="', "<p>a<div class=ad>", "<script>", "&amp", "<li>text "])
+def test_broken_markup_takes_linear_time(piece):
+    began = time.perf_counter()
+    mainhtml.main_text(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20  # 1 MB; quadratic work would take hours
+
+
+def test_cut_of_many_blocks():
+    rng, n = random.Random(1), 40_000
+    edges = [(i - 1, i, 3) for i in range(1, n)] + [(max(0, i - 2), i, 6) for i in range(2, n)]
+    for costs in ([round(rng.uniform(-15, 15)) or -1 for _ in range(n)], [1 if i < n // 2 else -1 for i in range(n)], [5000] + [-1] * (n - 1)):
+        began = time.perf_counter()
+        assert len(mainhtml.minimum_cut(costs, edges)) == n
+        assert time.perf_counter() - began < 20
+
+
+def test_classifier_on_hosts_that_it_has_not_seen(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host = F.pmod(F.crc32(F.regexp_extract("url", "://([^/]+)", 1)), F.lit(5))
+    fitted = mainhtml.train(pages, host != 0)
+    held = pages.where(host == 0).limit(300).collect()
+    right = total = found = wanted = 0
+    for r in held:
+        for features, shape, content in mainhtml.labelled_blocks(r["html"]):
+            odds = sum(fitted.weights.get(f, 0.0) for f in features) + float(fitted.shape @ shape)
+            right, total = right + ((odds > 0) == content), total + 1
+        truth = Counter(" ".join(b.text for b in mainhtml.blocks_of(r["html"]) if b.around.given > 0).split())
+        got = Counter(mainhtml.main_text(r["html"], fitted).split())
+        found, wanted, total_got = found + sum((truth & got).values()), wanted + sum(truth.values()), sum(got.values())
+        assert total_got <= sum(truth.values())
+    assert total > 2000 and right / total > 0.95
+    assert found / wanted > 0.999
+
+
+def test_a_class_word_is_learned():
+    page = "<article>" + "<p>" + "some words of the article go on for a while and on " * 3 + "</p>" + '</article><div class="zqx">' + "other words that look quite the same as those do " * 3 + "</div>"
+    fitted = mainhtml.Classifier().fit([mainhtml.labelled_blocks(page)] * 40)
+    assert fitted.weights["zqx"] < -1
+    assert mainhtml.main_text(page.replace("article>", "section>"), fitted).startswith("some words") and "other" not in mainhtml.main_text(page, fitted)
+
+
+def test_pages_of_one_id_do_not_gather(spark, monkeypatch):
+    monkeypatch.setattr(mainhtml, "SAMPLE_PAGES", 7)
+    rows = spark.createDataFrame([(1, "u", f"<article><p>Text {i}</p></article>") for i in range(50)] * 2, "page_id long, url string, html string")
+    assert mainhtml.extract_main_text(rows).count() == 100
+    long = "<article>" + "<p>word word</p>" * 60_000 + "</article>"
+    out = mainhtml.extract_main_text(spark.createDataFrame([(1, "u", long), (1, "u", long)], "page_id long, url string, html string")).collect()
+    assert [r["n_chars"] for r in out] == [60_000 * 10 - 1] * 2
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
