@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, discard, let
 
 #: Tokens of a template window, and how many of them are literal words at least; with fewer, its values count too.
 WINDOW, LITERALS = 8, 4
@@ -19,69 +19,57 @@ MOST_BROADCAST = 500_000
 #: Units of measure, as they stand after a number.
 UNITS = "km|m|cm|mm|mi|miles|mile|ft|feet|inch|inches|kg|g|mg|lb|lbs|oz|tons|t|l|ml|liters|litres|s|sec|seconds|second|min|minutes|minute|h|hours|hour|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|eur|usd|pounds|cents|percent|mph|kmh|hz|kw|w|v|gb|mb|kb"
 
-_NAME, _UNIT = "\u0001", "\u0002"
-_TOKEN = r"[\u0001\u0002]?[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*"
+_NAME, _UNIT, _NUMBER = "\u0001", "\u0002", "\u0003"
+_DIGITS = r"\p{N}+(?:[.,]\p{N}+)*"
+_TOKEN = r"[\p{L}\p{M}]+|" + _DIGITS
 
 
-def _marked(text: F.Column, names: bool) -> F.Column:
-    """The text with marks before names (capitalised words inside a sentence) and units (after a number)."""
-    units = F.regexp_replace(text, rf"(?i)(?<=\p{{N}}\s?)({UNITS})(?![\p{{L}}\p{{M}}])", "\u0002$1")
-    out = F.when(text.rlike(r"\p{N}"), units).otherwise(text)
-    return F.regexp_replace(out, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", "\u0001$1") if names else out
+def tokens_of(text: F.Column) -> F.Column:
+    """The lower-cased words and numbers of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
-def _kind(token: F.Column) -> F.Column:
-    """The token's template form: itself, or a typed placeholder."""
-    first = F.substring(token, 1, 1)
-    return F.when(first == _NAME, F.lit("<name>")).when(first == _UNIT, F.lit("<unit>")).when(first.rlike(r"\p{N}"), F.lit("<number>")).otherwise(token)
+def kinds_of(text: F.Column, names: bool) -> F.Column:
+    """The text's template, token by token: a placeholder for a number, a unit after a number or a name (a capitalised word), or the token."""
+    marks = _NAME + _UNIT + _NUMBER
+    text = F.when(text.contains(_NAME) | text.contains(_UNIT) | text.contains(_NUMBER), F.translate(text, marks, "   ")).otherwise(text)
+    named = F.regexp_replace(text, r"(?<![\p{L}\p{M}])\p{Lu}\p{Ll}+(?![\p{L}\p{M}])", _NAME) if names else text
+    units = F.regexp_replace(named, rf"(?i)(?<=\p{{N}}\s?)({UNITS})(?![\p{{L}}\p{{M}}])", _UNIT)
+    form = F.when(text.rlike(r"\p{N}"), F.regexp_replace(units, _DIGITS, _NUMBER)).otherwise(named)
+    return F.regexp_extract_all(F.lower(form), F.lit(rf"[{marks}]|{_TOKEN}"), F.lit(0))
 
 
-def template_windows(text: F.Column, names: bool = True, widths: Sequence[int] | None = (WINDOW,)) -> F.Column:
-    """Array of ``(at, hash, slots, dense)``: every window of the text's template, with the values of its placeholders.
+def template_windows(rows: DataFrame, names: bool = True, widths: Sequence[int] = (WINDOW,)) -> DataFrame:
+    """Every window of each of ``widths`` (1 to ``WINDOW``) tokens of ``rows.text``'s templates, beside the rows' other columns.
 
-    ``slots`` is null for a window without placeholders; else the windows' values joined by U+0003, empty for literal words.
-    A window with fewer than ``LITERALS`` literal words has no template: it is ``dense``, hashed with its values, and its ``slots`` are null.
-    Windows have each of ``widths`` tokens; without them ``WINDOW``, or all tokens of a shorter text.  Null and empty texts give no window.
+    Adds ``at`` (from 1), ``width``, ``hash``, ``dense``, and the whole text's ``tokens`` and ``kinds``, from which ``slots_at`` takes the values of a
+    window that matched.  A window with placeholders and fewer than ``LITERALS`` literal words has no template: it is ``dense`` and hashed with
+    its values.  Null, empty and shorter texts give no window.
     """
-    bare = lambda token: F.regexp_replace(token, "[\u0001\u0002]", "")
+    others = [c for c in rows.columns if c != "text"]
+    split = rows.where("text is not null").select(*others, tokens_of(F.col("text")).alias("tokens"), kinds_of(F.col("text"), names).alias("kinds"))
+    most = max(widths)
+    # Neighbours side by side: a window's hash needs no function over arrays.
+    beside = F.arrays_zip(*[F.slice("kinds", j + 1, F.greatest(F.lit(0), F.size("kinds") - j)).alias(f"k{j}") if j else F.col("kinds").alias("k0") for j in range(most)])
+    spread = split.where(F.size("tokens") >= min(widths)).select(*others, "tokens", "kinds", F.posexplode(beside).alias("before", "w"))
+    token = lambda j: F.col(f"w.k{j}")
 
-    def each(tokens: F.Column, window) -> F.Column:
-        def of(width: F.Column) -> F.Column:
-            at = F.sequence(F.lit(1), F.size(tokens) - width + 1)
-            return F.transform(at, lambda i: window(i, width))
+    def one(width: int) -> F.Column:
+        open_ = sum(((token(j) < F.lit("\u0004")).cast("int") for j in range(width)), F.lit(0))
+        dense = (open_ > 0) & (width - open_ < LITERALS)
+        hashed = F.when(dense, F.xxhash64(F.lit("values"), F.slice("tokens", F.col("before") + 1, width))).otherwise(F.xxhash64(*[token(j) for j in range(width)]))
+        return F.when(token(width - 1).isNotNull(), F.struct(F.lit(width).alias("width"), hashed.alias("hash"), dense.alias("dense")))
 
-        if widths is None:
-            return of(F.least(F.size(tokens), F.lit(WINDOW)))
-        if len(widths) == 1:
-            return of(F.lit(widths[0]))
-        return F.flatten(F.filter(F.array(*[F.when(F.size(tokens) >= w, of(F.lit(w))) for w in widths]), lambda x: x.isNotNull()))
+    found = spread.select(*others, "tokens", "kinds", (F.col("before") + 1).alias("at"), F.explode(F.array(*[one(w) for w in widths])).alias("one"))
+    return found.where("one is not null").select(*others, "tokens", "kinds", "at", "one.width", "one.hash", "one.dense")
 
-    def plain(tokens: F.Column) -> F.Column:
-        one = lambda h, i, n: F.struct(i.alias("at"), F.xxhash64(F.slice(h, i, n)).alias("hash"), F.lit(None).cast("string").alias("slots"), F.lit(False).alias("dense"))
-        return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda h: each(tokens, lambda i, n: one(h, i, n)))
 
-    def slotted(tokens: F.Column) -> F.Column:
-        def one(h, v, o, i, n):
-            slots = F.aggregate(F.slice(o, i, n), F.lit(0), lambda a, x: a + x)
-            dense = lambda s: (s > 0) & (n - s < LITERALS)
-            values = F.xxhash64(F.transform(F.slice(tokens, i, n), lambda t: F.xxhash64(bare(t))))
-            hashed = lambda s: F.when(dense(s), values).otherwise(F.xxhash64(F.slice(h, i, n)))
-            return let(slots, lambda s: F.struct(i.alias("at"), hashed(s).alias("hash"), F.when((s > 0) & ~dense(s), F.array_join(F.slice(v, i, n), "\u0003")).alias("slots"), dense(s).alias("dense")))
-
-        def of(kinds: F.Column) -> F.Column:
-            open_ = F.transform(kinds, lambda k: F.when(F.substring(k, 1, 1) == "<", 1).otherwise(0))
-            values = lambda o: F.zip_with(tokens, o, lambda t, x: F.when(x == 1, bare(t)).otherwise(""))
-            windows = lambda h, v, o: each(tokens, lambda i, n: one(h, v, o, i, n))
-            return let(open_, lambda o: let(values(o), lambda v: let(F.transform(kinds, lambda k: F.xxhash64(k)), lambda h: windows(h, v, o))))
-
-        return let(F.transform(tokens, _kind), of)
-
-    def of(marked: F.Column) -> F.Column:
-        # Most texts have nothing to replace: their tokens are their template.
-        form = lambda t: F.when(marked.rlike(r"[\u0001\u0002\p{N}]"), slotted(t)).otherwise(plain(t))
-        return let(F.regexp_extract_all(marked, F.lit(_TOKEN), F.lit(0)), lambda t: F.when(F.size(t) >= (min(widths) if widths else 1), form(t)))
-
-    return let(F.lower(_marked(text, names)), of)
+def slots_at() -> F.Column:
+    """The values of a window's placeholders, empty for literal words, joined by U+0003; null for a window without template or without any."""
+    part = lambda c: F.slice(c, F.col("at"), F.col("width"))
+    open_ = lambda k: k < F.lit("\u0004")
+    values = F.zip_with(part("kinds"), part("tokens"), lambda k, t: F.when(open_(k), t).otherwise(""))
+    return F.when(~F.col("dense") & F.exists(part("kinds"), open_), F.array_join(values, "\u0003"))
 
 
 def _differs(pair: F.Column) -> F.Column:
@@ -110,35 +98,52 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Returns ``doc_id, item_id, windows, item_windows, coverage, reworded``, one row per pair; documents without a leak have none.
 
-    Texts become templates: lower-cased words, with numbers, names and units replaced by typed placeholders.  Windows of
-    8 template tokens are hashed in place and joined with the benchmark's; the benchmark also enters with names as words, for texts
-    whose case is lost.  On one diagonal (the same offset between document and item) each value of the item stands for one value of
-    the document, the one that most of its slots have; windows with another value in a slot don't count, unless they are the item's
-    word for word.  Two values of the item may stand for the same one.  A pair counts from ``coverage`` of the item's windows, or of those with a template;
-    ``reworded`` tells that some slot has another value than in the item.
+    Texts become templates: lower-cased words, with numbers, units after numbers and capitalised words, also at the start of a sentence,
+    replaced by typed placeholders.  Windows of 8 template tokens are hashed in place and joined with the benchmark's; the benchmark also
+    enters with names as words, for texts whose case is lost.  On one diagonal (the same offset between document and item) each value of
+    the item stands for one value of the document, the one that most of its slots have; windows with another value in a slot don't count,
+    unless they are the item's word for word.  Two values of the item may stand for the same one.  A pair counts from ``coverage`` of the
+    item's windows, or of those with a template; ``reworded`` tells that some slot has another value than in the item.
 
     An item of fewer than 8 tokens is one window.  A window with fewer than 4 literal words matches on its values, word for word.
     A literal word that is changed breaks all windows over it: an item of 8 to 15 tokens may keep none.
 
-    Only matched windows are shuffled.  Null ids are dropped; null and empty texts have no window.  Repeated rows count as one document.  Other columns are not read.  Empty tables give an empty result.
+    Texts are read once, and only windows that the benchmark has are kept.  A document that holds enough of an item holds one of the item's
+    windows that fewest items share, so pairs start from those: a window that many items share makes no pairs.
+
+    Null ids are dropped; null and empty texts have no window.  Repeated rows count as one document.  Other columns are not read.  Empty tables give an empty result.
     """
+    spark, spent = docs.sparkSession, []
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
-    forms = [items.select("item_id", F.xxhash64("text").alias("form"), F.lit(names).alias("names"), F.inline(template_windows(F.col("text"), names, None)).alias("pos", "hash", "item_slots", "dense")) for names in (True, False)]
+    # Numbers from 1 to 8, whatever the benchmark's size.
+    lengths = items.select(F.least(F.size(tokens_of(F.col("text"))), F.lit(WINDOW)).alias("n")).where("n > 0").distinct()
+    widths = sorted({WINDOW, *(r["n"] for r in lengths.collect())})
+    of_form = lambda names: template_windows(items.select("item_id", F.xxhash64("text").alias("form"), "text"), names, widths).where(F.col("width") == F.least(F.size("tokens"), F.lit(WINDOW)))
+    forms = [of_form(names).select("item_id", "form", F.col("at").alias("pos"), "width", "hash", slots_at().alias("item_slots"), "dense") for names in (True, False)]
     # An item's two forms share the windows without names.
-    known = cut(forms[0].unionByName(forms[1]).groupBy("item_id", "form", "pos", "hash").agg(F.max("item_slots").alias("item_slots"), F.min("dense").alias("dense")))
+    known = cut(forms[0].unionByName(forms[1]).groupBy("item_id", "form", "pos", "width", "hash").agg(F.max("item_slots").alias("item_slots"), F.min("dense").alias("dense")), spent)
     sizes = known.groupBy("item_id").agg(F.countDistinct("form", "pos").alias("all_of"), F.countDistinct(F.when(~F.col("dense"), F.struct("form", "pos"))).alias("open_of"))
-    wanted = known.select("item_id", "form", "pos", "hash", "item_slots", "dense")
-    wanted = F.broadcast(wanted) if known.count() <= MOST_BROADCAST else wanted
+    bounded = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
-    # Numbers from 1 to 7, whatever the benchmark's size.
-    size = F.size(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)))
-    short = sorted(r["n"] for r in items.select(size.alias("n")).where(F.col("n").between(1, WINDOW - 1)).distinct().collect())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    windows = rows.select("doc_id", F.inline(template_windows(F.col("text"), widths=(*short, WINDOW))).alias("at", "hash", "slots", "_")).drop("_")
-    found = windows.join(wanted, "hash").select("doc_id", "item_id", "form", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), "slots", "item_slots", "dense")
+    wanted = bounded(known.select(F.col("width").alias("_width"), F.col("hash").alias("_hash")).distinct())
+    windows = template_windows(rows, True, widths)
+    met = windows.join(wanted, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")))
+    hits = cut(met.select("doc_id", "at", "width", "hash", slots_at().alias("slots")), spent)
+
+    shared = known.groupBy("width", "hash").agg(F.countDistinct("item_id").alias("df"))
+    places = known.join(shared, ["width", "hash"]).groupBy("item_id", "form", "pos").agg(F.max("df").alias("df"), F.min("dense").alias("dense"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("item_id", *by).orderBy("df", "pos", "form"))
+    first = lambda n: n - F.ceil(F.lit(coverage) * n) + 1
+    ranked = places.withColumns({"rank": rank(), "open_rank": rank("dense")}).join(sizes, "item_id")
+    leading = ranked.where((F.col("rank") <= first(F.col("all_of"))) | ~F.col("dense") & (F.col("open_rank") <= first(F.col("open_of")))).select("item_id", "form", "pos")
+    leads = bounded(cut(known.join(leading, ["item_id", "form", "pos"]).select("item_id", "width", "hash").distinct(), spent))
+    pairs = cut(hits.join(leads, ["width", "hash"]).select("doc_id", "item_id").distinct(), spent)
+
+    found = hits.join(pairs, "doc_id").join(bounded(known), ["item_id", "width", "hash"]).select("doc_id", "item_id", "form", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), "slots", "item_slots", "dense")
     split = lambda c: F.split(F.coalesce(c, F.lit("")), "\u0003")
-    pairs = F.filter(F.arrays_zip(split("item_slots").alias("item"), split("slots").alias("doc")), lambda p: F.coalesce(p["item"], F.lit("")) != "")
-    found = found.withColumn("pairs", F.when(F.col("item_slots").isNull(), F.lit(None)).otherwise(F.transform(pairs, lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))))
+    values = F.filter(F.arrays_zip(split("item_slots").alias("item"), split("slots").alias("doc")), lambda p: F.coalesce(p["item"], F.lit("")) != "")
+    found = found.withColumn("pairs", F.when(F.col("item_slots").isNull(), F.lit(None)).otherwise(F.transform(values, lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))))
     lines = found.groupBy("doc_id", "item_id", "form", "diagonal").agg(F.collect_set(F.struct("pos", "dense", F.coalesce("pairs", F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))).alias("found"))
     lines = lines.select("doc_id", "item_id", "form", _consistent(F.col("found")).alias("pos"), F.exists("found", lambda w: F.exists(w["pairs"], _differs)).alias("reworded")).where(F.size("pos") > 0)
     held = lines.groupBy("doc_id", "item_id").agg(F.flatten(F.collect_set(F.transform("pos", lambda x: F.struct("form", x["pos"].alias("pos"), x["dense"].alias("dense"))))).alias("held"), F.bool_or("reworded").alias("reworded"))
@@ -147,4 +152,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # Windows that match on values only must not lessen the share of those that also match reworded.
     best = F.greatest(share(number(F.col("held")), F.col("all_of")), share(number(F.filter("held", lambda x: ~x["dense"])), F.col("open_of")))
     out = held.join(sizes, "item_id").select("doc_id", "item_id", "reworded", best.alias("best")).where(F.col("best.coverage") >= coverage)
-    return out.select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "reworded")
+    out = cut(out.select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "reworded"))
+    discard(spark, spent)
+    return out

@@ -258,6 +258,107 @@ def test_leaks_of_dense_and_short_items(spark):
     assert got == {(1, 10): False, (9, 10): False, (3, 11): False, (6, 11): False, (5, 12): True, (20, 15): True}
 
 
+def brute_template(text, names):
+    """Tokens and template of a text, token by token."""
+    import regex
+
+    tokens, kinds, after_number = [], [], False
+    for found in regex.finditer(r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*", text):
+        word = found[0]
+        number = bool(regex.match(r"\p{N}", word))
+        unit = after_number is not False and text[after_number : found.start()] in ("", " ") and word.lower() in decontam.UNITS.split("|")
+        name = names and regex.fullmatch(r"\p{Lu}\p{Ll}+", word)
+        tokens.append(word.lower())
+        kinds.append("#" if number else "%" if unit and not name else "@" if name else word.lower())
+        after_number = found.end() if number else False
+    return tokens, kinds
+
+
+def brute_windows(text, names, width=8):
+    tokens, kinds = brute_template(text, names)
+    out = []
+    for i in range(len(tokens) - width + 1):
+        k, t = kinds[i : i + width], tokens[i : i + width]
+        slots = [x in "#%@" for x in k]
+        dense = any(slots) and width - sum(slots) < decontam.LITERALS
+        out.append((i, ("v", *t) if dense else ("k", *k), None if dense or not any(slots) else tuple(x if s else "" for x, s in zip(t, slots, strict=True)), dense))
+    return out
+
+
+def brute_leaks(docs, items, coverage=decontam.COVERAGE):
+    """Pairs by the stated rules, item by item (items of 8 tokens and more)."""
+    found, known = {}, {}
+    for item, text in items:
+        for names in (True, False):
+            for pos, key, slots, dense in brute_windows(text, names):
+                known.setdefault(key, {}).setdefault(item, []).append((pos, slots, dense))
+    sizes = {item: (len(w := brute_windows(text, True)), {p for names in (True, False) for p, _, _, dense in brute_windows(text, names) if not dense}, w) for item, text in items}
+    for doc, text in docs:
+        lines = {}
+        for at, key, slots, _ in brute_windows(text, True):
+            for item, places in known.get(key, {}).items():
+                for pos, own, dense in places:
+                    pairs = [(a, b) for a, b in zip(own, slots or [""] * 8, strict=True) if a] if own else []
+                    lines.setdefault((item, at - pos), []).append((pos, dense, pairs))
+        held = {}
+        for (item, _), windows in lines.items():
+            votes = Counter(p for _, _, pairs in windows for p in pairs)
+            if all(len({b for a2, b in votes if a2 == a}) == 1 for a, _ in votes):
+                fits = windows
+            else:
+                best = {}
+                for (a, b), n in votes.items():
+                    best[a] = max(best.get(a, (0, False, "")), (n, a == b, b))
+                fits = [w for w in windows if all(a == b for a, b in w[2]) or all(best[a][2] == b for a, b in w[2])]
+            held.setdefault(item, set()).update((p, d) for p, d, _ in fits)
+        for item, places in held.items():
+            whole, open_, _ = sizes[item]
+            if len({p for p, _ in places}) / whole >= coverage or open_ and len({p for p, d in places if not d}) / len(open_) >= coverage:
+                found.setdefault(doc, set()).add(item)
+    return {(d, i) for d, xs in found.items() for i in xs}
+
+
+def test_reparameterised_items_against_brute_force(spark):
+    rng = random.Random(21)
+    pool = [f"{a}{b}" for a in ("ba", "co", "di", "fu", "ge", "ho", "ka", "lu", "mi", "ne") for b in ("ran", "tel", "som", "vik", "dar", "pun", "let")]
+    people, units = ["Natalia", "Marta", "Oskar", "Ines", "Pavel", "Greta", "Tomas", "Ruth"], ["km", "kg", "hours", "dollars", "minutes"]
+
+    def item():
+        sentences = []
+        for _ in range(rng.randrange(2, 5)):
+            body = [rng.choice(pool) for _ in range(rng.randrange(6, 11))]
+            body.insert(rng.randrange(2, len(body)), f"{{n{rng.randrange(3)}}} {{u{rng.randrange(2)}}}")
+            sentences.append(f"{{p{rng.randrange(2)}}} " + " ".join(body) + ".")
+        return " ".join(sentences)
+
+    def fill(form, which):
+        old = {**{f"n{k}": str(12 + 7 * k) for k in range(3)}, **{f"u{k}": units[k] for k in range(2)}, **{f"p{k}": people[k] for k in range(2)}}
+        new = {**{f"n{k}": str(rng.randrange(50, 999)) for k in range(3)}, **{f"u{k}": units[2 + k] for k in range(2)}, **{f"p{k}": people[2 + rng.randrange(3) + 3 * k] for k in range(2)}}
+        return form.format(**{k: new[k] if k[0] in which else v for k, v in old.items()})
+
+    forms = [item() for _ in range(500)]
+    items = [(i, fill(f, "")) for i, f in enumerate(forms)]
+    filler = lambda: " ".join(rng.choice(pool) for _ in range(20)) + ". "
+    docs, planted = [], set()
+    for i, form in enumerate(forms):
+        for which in ("", "n", "np", "nup"):
+            docs.append((len(docs), filler() + fill(form, which) + " " + filler()))
+            planted.add((len(docs) - 1, i))
+    docs += [(len(docs) + k, filler() * 3) for k in range(300)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_leaks(docs, items)
+    assert len(got & planted) / len(planted) >= 0.95
+    assert len(got & planted) / len(got) >= 0.99
+
+
+def test_leaks_of_repeated_rows_and_a_very_long_text(spark):
+    item = "Natalia sold 48 clips to her friends in April and then she sold half as many clips in May"
+    long = "word " * 200_000 + item.replace("48", "30").replace("Natalia", "Marta") + " word" * 1000
+    docs = spark.createDataFrame([(1, long), (1, long), (2, item), (2, "other text of the same id"), (None, item)], "doc_id long, text string").withColumns({"hash": F.lit(1), "w": F.lit(2), "tokens": F.lit("x"), "at": F.lit(0)})
+    out = decontam.leaks(docs, spark.createDataFrame([(7, item), (7, item), (8, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"], r["reworded"]) for r in out) == [(1, 7, 1.0, True), (1, 8, 1.0, True), (2, 7, 1.0, False), (2, 8, 1.0, False)]
+
+
 def test_fingerprints(spark, docs, corpus, empty):
     out = {r["doc_id"]: r for r in fingerprint.fingerprint_with_edits(docs).collect()}
     order = sorted(corpus)
