@@ -96,6 +96,16 @@ def semi_or_anti(rows: DataFrame, ids: DataFrame, column: str, how: str) -> Data
     return found if how == "left_semi" else marked.where(~hit).select(*rows.columns).unionByName(found)
 
 
+def least_hashed(rows: DataFrame, n: int) -> DataFrame:
+    """The rows whose hash over all columns is among the ``n`` least: about ``n`` rows and their repetitions, the same in every run.
+
+    Only the greatest such hash comes to the driver, and no key is joined, so that no repeated id can bring more rows.
+    """
+    h = F.xxhash64(*rows.columns)
+    top = rows.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).head()[0]
+    return rows.limit(0) if top is None else rows.where(h <= top)
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered up to ``limit`` words."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import least_hashed, rows_of
 
 #: Bytes of a window; dimensions of a byte; filter widths and filters of each width.
 WINDOW, DIMS, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 12
@@ -20,7 +19,11 @@ STEP = WINDOW - max(WIDTHS) + 1
 SAMPLE_DOCS, SAMPLE_WINDOWS = 3000, 6
 #: Epochs and steps of training, at least.
 EPOCHS, STEPS = 4, 500
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character is of the Unicode category of letters; signs such as ², ½ or Ⅷ are not."""
+    return any(map(str.isalpha, text))
 
 
 def windows_of(text: str) -> np.ndarray:
@@ -96,7 +99,7 @@ class ByteNet:
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and probability of each text: the mean of its windows' log-probabilities, all windows of all texts in batches."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        asked = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+        asked = [i for i, t in enumerate(texts) if has_letter(t)]
         sums = np.zeros((len(texts), len(self.langs)))
         counts = np.zeros(len(texts))
         held: list[tuple[int, np.ndarray]] = []
@@ -132,19 +135,20 @@ class ByteNet:
 def train(docs: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
     """Fits the network on at most ``SAMPLE_DOCS`` labelled rows among those that ``learn`` admits; None without any.
 
-    The sample are the rows with the least hash of the id; of each, at most ``SAMPLE_WINDOWS`` windows, spread evenly.
+    The sample are the rows with the least hashes of id, text and language, repeated ones once; of each, at most ``SAMPLE_WINDOWS`` windows,
+    spread evenly.  A language that no sampled row has is not learned and never predicted.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
-    usable = rows.where("learn and lang is not null and text is not null and doc_id is not null")
-    chosen = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    usable = rows.where("learn and lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
     def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches):
-            part = [r for r in part if _LETTER.search(r["text"])]
+            part = [r for r in part if has_letter(r["text"])]
             found = [(w := windows_of(r["text"]))[np.unique(np.linspace(0, len(w) - 1, SAMPLE_WINDOWS).astype(int))].tobytes() for r in part]
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in part], pa.int64()), pa.array([r["lang"] for r in part], pa.string()), pa.array(found, pa.binary())], ["doc_id", "lang", "windows"])
 
-    sample = usable.join(chosen, "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(cut_windows, "doc_id long, lang string, windows binary").collect()
+    sample = least_hashed(usable, SAMPLE_DOCS).mapInArrow(cut_windows, "doc_id long, lang string, windows binary").distinct()
+    sample = sample.orderBy(F.xxhash64("doc_id", "lang", "windows")).limit(SAMPLE_DOCS).collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["windows"])))

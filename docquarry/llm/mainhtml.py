@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import least_hashed, rows_of
 
 _NAME_AT = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
@@ -323,10 +323,9 @@ def main_text(page: str | None, classifier: Classifier | None = None) -> str:
 
 
 def train(pages: DataFrame, learn: F.Column | None = None, id_col: str = "page_id", html_col: str = "html") -> Classifier:
-    """Fits the classifier on at most ``SAMPLE_PAGES`` pages (least hash of the id, among those that ``learn`` admits), ``SAMPLE_BLOCKS`` blocks each."""
+    """Fits the classifier on at most ``SAMPLE_PAGES`` pages (least hashes, among those that ``learn`` admits), ``SAMPLE_BLOCKS`` blocks each."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"), (F.lit(True) if learn is None else learn).alias("learn"))
-    usable = rows.where("learn and html is not null and page_id is not null")
-    chosen = usable.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).distinct()
+    usable = rows.where("learn and html is not null and page_id is not null").select("page_id", "html")
     layout = "page_id long, tie long, features array<array<string>>, shapes array<double>, content array<boolean>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +337,7 @@ def train(pages: DataFrame, learn: F.Column | None = None, id_col: str = "page_i
             yield pa.RecordBatch.from_arrays(ids + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["page_id", "tie", "features", "shapes", "content"])
 
     # However many rows share an id, so many pages come to the driver at most.
-    sample = usable.join(F.broadcast(chosen), "page_id").select("page_id", F.xxhash64("html").alias("tie"), "html").mapInArrow(run, layout)
+    sample = least_hashed(usable, SAMPLE_PAGES).select("page_id", F.xxhash64("html").alias("tie"), "html").mapInArrow(run, layout)
     sample = sample.dropDuplicates(["page_id", "tie"]).orderBy(F.xxhash64("page_id"), "page_id", "tie").limit(SAMPLE_PAGES).collect()
     found = [[(tuple(f), np.array(r["shapes"][4 * k : 4 * k + 4]), y) for k, (f, y) in enumerate(zip(r["features"], r["content"], strict=True))] for r in sample]
     return Classifier().fit([x for x in found if x])

@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of
+from .common import least_hashed, rows_of
 from .langid import remainder
 
 #: Hashed terms (a power of two) and factors of each.
 TERMS, FACTORS = 1 << 17, 4
 #: Bound of the training sample, in labelled documents; a term is learned from so many of them at least, if its chi-square with the label is so high.
 SAMPLE_DOCS, LEAST_DOCS, LEAST_CHI = 12_000, 3, 20.0
+#: Terms that say nothing alone count if they do beside one of so many associated terms: by this chi-square among the documents that have it,
+#: with so many of either label at least and in so many documents.
+PARTNERS, PARTNER_CHI, PARTNER_DOCS = 256, 50.0, 20
 #: Steps of training, at least.
 STEPS = 1500
 #: Word beginnings that are terms beside the word itself, so that inflected forms share a term.
@@ -42,13 +45,28 @@ def terms_of(text: str | None, known: Terms) -> np.ndarray:
     return np.unique(np.array([t for w in words for t in known[w]], np.int32))
 
 
-def _associated(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Which terms enough documents have, with a chi-square that chance rarely gives."""
+def _chi_square(docs: list[np.ndarray], labels: np.ndarray, least: int = LEAST_DOCS) -> np.ndarray:
+    """Each term's chi-square with the label; 0 for a term that too few documents have."""
     n, marked = len(docs), labels.sum()
     all_, with_ = (np.bincount(np.concatenate(part) if part else np.empty(0, np.int32), minlength=TERMS).astype(float) for part in (docs, [d for d, y in zip(docs, labels, strict=True) if y > 0]))
     expected = all_ * marked / max(n, 1)
     spread = expected * (1 - all_ / max(n, 1)) * (1 - marked / max(n, 1))
-    return (all_ >= LEAST_DOCS) & ((with_ - expected) ** 2 >= LEAST_CHI * np.maximum(spread, 1e-9))
+    return np.where((all_ >= least) & (spread > 1e-9), (with_ - expected) ** 2 / np.maximum(spread, 1e-9), 0.0)
+
+
+def _associated(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Terms with a chi-square that chance rarely gives, alone or in the company of a term that has one."""
+    alone = _chi_square(docs, labels)
+    useful = alone >= LEAST_CHI
+    having: dict[int, list[int]] = {}
+    partners = {int(t) for t in np.argsort(-alone, kind="stable")[:PARTNERS] if useful[t]}
+    for i, d in enumerate(docs):
+        for t in partners.intersection(d.tolist()):
+            having.setdefault(t, []).append(i)
+    for _, places in sorted(having.items()):
+        if PARTNER_DOCS <= labels[places].sum() <= len(places) - PARTNER_DOCS:
+            useful |= _chi_square([docs[i] for i in places], labels[places], PARTNER_DOCS) >= PARTNER_CHI
+    return useful
 
 
 class FactorizationMachine:
@@ -110,9 +128,12 @@ class FactorizationMachine:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine | None:
-    """Fits the machine on at most ``SAMPLE_DOCS`` labelled rows that ``learn`` admits (least hash of the id); None without any."""
+    """Fits the machine on at most ``SAMPLE_DOCS`` labelled rows that ``learn`` admits (least hashes); None without any.
+
+    Repeated rows count once, and however many rows share an id, no more come to the driver.
+    """
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"), learn.alias("learn")).where("learn and label is not null and doc_id is not null")
-    chosen = marked.select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE_DOCS)
+    chosen = least_hashed(marked.select("doc_id", "label"), SAMPLE_DOCS).distinct().limit(SAMPLE_DOCS)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Terms()
@@ -120,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: F.Column, id_col: str = "do
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["label"] for r in rows], pa.int32()), pa.array([terms_of(r["text"], known).tobytes() for r in rows], pa.binary())], ["doc_id", "label", "terms"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = rows.select("doc_id", "label", "text").mapInArrow(hashed, "doc_id long, label int, terms binary").collect()
+    sample = rows.select("doc_id", "label", "text").mapInArrow(hashed, "doc_id long, label int, terms binary").distinct()
+    sample = sample.orderBy(F.xxhash64("doc_id", "label", "terms")).limit(SAMPLE_DOCS).collect()
     if not sample:
         return None
     sample.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["terms"])))

@@ -491,6 +491,122 @@ def test_interactions_are_learned():
     assert abs((machine.factors[1] * machine.factors[2]).sum()) > 0.1
 
 
+def test_pairwise_sum_against_brute_force():
+    rng = np.random.default_rng(8)
+    machine = toxicity.FactorizationMachine()
+    machine.bias, machine.weights[:] = 0.3, rng.normal(0, 1, toxicity.TERMS)
+    machine.factors[:] = rng.normal(0, 1, machine.factors.shape)
+    docs = [np.sort(rng.choice(toxicity.TERMS, n, False)).astype(np.int32) for n in (0, 1, 2, 9, 40)]
+    want = []
+    for d in docs:
+        raw = machine.bias + sum(float(machine.weights[t]) for t in d) + sum(float(machine.factors[a] @ machine.factors[b]) for k, a in enumerate(d) for b in d[:k])
+        want.append(1 / (1 + np.exp(-raw)))
+    assert machine.scores(docs[1:]) == pytest.approx(want[1:], abs=1e-4)
+
+
+def test_a_term_that_is_flat_alone_can_interact():
+    """A mention (1) is as common in clean as in toxic texts; beside a mild word (2) it decides, and a strong word (3) needs it not."""
+    rng, docs, labels = np.random.default_rng(4), [], []
+    for _ in range(3000):
+        mention, mild = rng.random() < 0.5, rng.random() < 0.3
+        toxic = mild and mention
+        strong = not mention and rng.random() < 0.3
+        docs.append(np.array(sorted([*[1] * mention, *[2] * mild, *[3] * strong, 4 + int(rng.integers(0, 5))]), np.int32))
+        labels.append(float(toxic or strong))
+    labels = np.array(labels)
+    assert toxicity._chi_square(docs, labels)[1] < toxicity.LEAST_CHI
+    assert toxicity._associated(docs, labels)[1]
+    machine = toxicity.FactorizationMachine().fit(docs, labels)
+    both, mild, alone = machine.scores([np.array(x, np.int32) for x in ([1, 2, 5], [2, 5], [1, 5])])
+    assert both > 0.7 and mild < 0.4 and alone < 0.3
+
+
+def test_toxicity_on_the_given_tables_and_odd_rows(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score_toxicity(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").where("toxic is not null")
+    hit, toxic, false, clean = out.agg(F.sum(F.col("toxic") * F.col("predicted")), F.sum("toxic"), F.sum((1 - F.col("toxic")) * F.col("predicted")), F.sum(1 - F.col("toxic"))).head()
+    assert hit / toxic > 0.85 and false / clean < 0.01  # 86 of 97, and 1 of 728
+    odd = spark.createDataFrame([(1, "bad words here")] * 500 + [(1, f"text {i}") for i in range(500)] + [(2, "long " * 300_000), (None, "x"), (3, None)], "doc_id long, text string").withColumns({"label": F.lit("x"), "score": F.lit(1), "learn": F.lit(2), "h": F.lit(3)})
+    marks = spark.createDataFrame([(1, 1)] * 50 + [(2, 0), (None, 1)], "doc_id long, toxic int").withColumn("label", F.lit(9))
+    assert toxicity.score_toxicity(odd, marks).count() == 1003
+
+
+def test_network_against_brute_force():
+    rng = np.random.default_rng(3)
+    net = langid.ByteNet(["a", "b", "c"])
+    net.bias[:] = rng.normal(0, 0.2, net.bias.shape)
+    windows = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    wide = max(langid.WIDTHS)
+    for window, got in zip(windows, net.log_probabilities(windows), strict=True):
+        pooled = []
+        for f in range(net.filters.shape[1]):
+            sums = [sum(float(net.embed[window[at + j]] @ net.filters[j * langid.DIMS : (j + 1) * langid.DIMS, f]) for j in range(wide)) for at in range(langid.WINDOW - wide + 1)]
+            pooled.append(max(0.0, max(sums) + float(net.bias[f])))
+        logits = np.array(pooled) @ net.out + net.out_bias
+        assert got == pytest.approx(logits - np.log(np.exp(logits).sum()), abs=1e-3)
+
+
+def test_training_lowers_the_loss_along_the_numeric_gradient():
+    rng = np.random.default_rng(5)
+    windows = rng.integers(1, 256, (4, langid.WINDOW)).astype(np.uint8)
+    labels = np.array([0, 1, 0, 1])
+    loss = lambda net: -net.log_probabilities(windows)[np.arange(4), labels].mean()
+    before = langid.ByteNet(["a", "b"])
+    for f in ("embed", "filters", "bias", "out", "out_bias"):
+        setattr(before, f, getattr(before, f).astype(np.float64))
+    slopes = {}
+    for name in ("out", "filters", "embed", "bias"):
+        flat = getattr(before, name).reshape(-1)
+        for k in rng.choice(len(flat), min(40, len(flat)), False):
+            if name == "filters" and before.mask.reshape(-1)[k] == 0:
+                continue
+            kept, up_down = flat[k], []
+            for step in (1e-5, -1e-5):
+                flat[k] = kept + step
+                up_down.append(loss(before))
+            flat[k] = kept
+            slopes[name, k] = (up_down[0] - up_down[1]) / 2e-5
+    old = {name: getattr(before, name).copy().reshape(-1) for name in ("out", "filters", "embed", "bias")}
+    epochs, steps = langid.EPOCHS, langid.STEPS
+    try:
+        langid.EPOCHS = langid.STEPS = 1
+        before.fit(windows, labels, batch=4, rate=1e-4)
+    finally:
+        langid.EPOCHS, langid.STEPS = epochs, steps
+    moved = {(name, k): getattr(before, name).reshape(-1)[k] - old[name][k] for name, k in slopes}
+    steep = [key for key, g in slopes.items() if abs(g) > 1e-4]
+    assert len(steep) > 20 and np.mean([np.sign(moved[key]) == -np.sign(slopes[key]) for key in steep]) > 0.95  # Adam's first step is against the gradient's sign
+
+
+def test_languages_of_odd_rows(spark):
+    rows = [(1, "the same text of one id", "en", "s", 0)] * 4000 + [(i, f"ein anderer deutscher Satz {i}", "de", "s", 0) for i in range(2, 60)] + [(100, "lang " * 200_000, "de", "s", 0), (101, "½ ² Ⅷ ①", "en", "s", 0), (None, "text", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"score": F.lit(1), "learn": F.lit("x"), "lang_pred": F.lit("y"), "windows": F.lit(0)})
+    out = langid.identify_languages(docs)
+    assert out.count() == len(rows)
+    assert out.where("doc_id = 101").head()["lang_pred"] == "und" and out.where("doc_id = 100").head()["lang_pred"] in ("de", "en")
+
+
+def weighted_jaccard(a, b):
+    a, b = (Counter(WORD.findall(x.lower())) for x in (a, b))
+    return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+
+def test_likeness_against_the_exact_similarity(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    order = sorted(texts)
+    errors, signed = [], []
+    for r in fingerprint.fingerprint_with_edits(table).collect():
+        text = texts[r["doc_id"]]
+        after = texts[order[(order.index(r["doc_id"]) + 1) % len(order)]]
+        half = len(text) // 2
+        for got, other in ((r["near_edited"], text[: len(text) - half] + after[:half]), (r["near_next"], after)):
+            errors.append(abs(got - weighted_jaccard(text, other)))
+            signed.append(got - weighted_jaccard(text, other))
+    assert np.mean(errors) < 0.06 and max(errors) < 0.3 and abs(np.mean(signed)) < 0.02
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header class="top"><a href="/">Home</a> Site</header><nav><ul><li><a>One</a></li><li><a>Two</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this site, do accept them all please.</div><div class="sidebar">Other things that are worth your time</div>
