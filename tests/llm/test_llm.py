@@ -724,3 +724,20 @@ def test_pipeline_stages(spark):
     und = [r for r in table.collect() if not re.search(r"[^\W\d_]", r["text"] or "")]
     assert not {r["doc_id"] for r in und} & set(kept[0])
     assert table.count() - len(kept[0]) <= len(und) + 2
+
+
+def test_pipeline_stages_on_odd_rows(spark, empty):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    real = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = spark.createDataFrame([(None, "a text without an id that goes on for some words", "en", "s", 48), (5000, None, "en", None, None), (5001, "", None, "s", 0), (5002, "one more text that is there twice", "en", "s", 33), (5002, "one more text that is there twice", "en", "s", 33), (5003, "very long text " * 40_000, "en", "s", 600_000)], SCHEMA)
+    docs = real.unionByName(odd)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, folder).cache()
+        assert docs.columns == real.columns, name
+        assert docs.select("doc_id").exceptAll(before.select("doc_id")).isEmpty(), name
+    ids = [r["doc_id"] for r in docs.where("doc_id >= 5000 or doc_id is null").collect()]
+    assert ids.count(5002) == 1 and ids.count(5000) == ids.count(5001) == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
