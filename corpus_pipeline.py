@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
-from docquarry.llm.common import cut, semi_or_anti, table
+from docquarry.llm.common import cut, discard, may_match, semi_or_anti, table
 from docquarry.llm.decontam import leaks
 from docquarry.llm.langid import keep_identified, train
 from docquarry.llm.neardup import near_duplicates
@@ -22,22 +24,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each near-duplicate group, and one of the rows that share it."""
-    groups = cut(near_duplicates(docs))
-    again = cut(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = semi_or_anti(docs, groups.where("not kept"), "doc_id", "left_anti")
-    if again.isEmpty():
-        return left
-    return semi_or_anti(left, again, "doc_id", "left_anti").unionByName(semi_or_anti(left, again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """Keeps the least id of each near-duplicate group, and one of the rows that share it.  A row without id is kept."""
+    groups = near_duplicates(docs)
+    ids = cut(groups.groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"))
+    once = semi_or_anti(docs, ids, "doc_id", "left_anti")
+    return once.unionByName(semi_or_anti(docs, ids.where("kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes words of repeated 35-word windows; a changed text has its kept words joined by one space."""
-    less = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias("_kept"))
-    less = less.dropDuplicates(["doc_id"])
-    changed = docs.join(less, "doc_id", "left")
-    text = F.coalesce("_kept", "text")
-    return changed.withColumns({"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}).select(*docs.columns)
+    """Removes words of repeated 35-word windows; a changed text has its kept words joined by one space.
+
+    A document stays even if no word is left: its text is then empty.  Only rows whose id has a change are shuffled.
+    """
+    new = f"_kept{uuid.uuid4().hex}"
+    less = remove_repeats(docs).where("n_removed > 0").select("doc_id", F.col("kept_text").alias(new)).dropDuplicates(["doc_id"])
+    less = cut(less)
+    same = semi_or_anti(docs, less, "doc_id", "left_anti")
+    changed = may_match(docs, less, "doc_id").join(less.hint("merge"), "doc_id")
+    changed = changed.withColumns({"text": F.col(new), "n_chars": F.length(new).cast("long")}).select(*docs.columns)
+    return same.unionByName(changed)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +67,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        written: list[str] = []
+        docs = cut(stage(spark, docs, sf_dir), written)
+        discard(spark, before)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
