@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 # Role and classification levels.
 ROLE_LEVELS = {"guest": 0, "viewer": 1, "user": 1, "editor": 2, "manager": 3, "admin": 4}
 CLASSIFICATIONS = {"public": 0, "internal": 1, "confidential": 2, "restricted": 3, "secret": 4}
@@ -40,9 +42,10 @@ def redact_fields(metadata: str, permissions: str) -> Column:
 
 
 def redact_content(c: str) -> Column:
-    out = F.regexp_replace(c, r"\b\d{3}-\d{2}-\d{4}\b", "[SSN]")
-    out = F.regexp_replace(out, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]")
-    return F.regexp_replace(out, r"\b(?:\d{4}[- ]?){3}\d{4}\b", "[CARD]")
+    # What is masked, and by what.
+    out = F.regexp_replace(c, r"\b\d{3}-\d{2}-\d{4}\b", "[SSN_REDACTED]")
+    out = F.regexp_replace(out, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL_REDACTED]")
+    return F.regexp_replace(out, r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b", "[CARD_REDACTED]")
 
 
 def decide(rows: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
@@ -85,18 +88,32 @@ def secured(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.where(F.coalesce(condition, F.lit(False)))
 
 
-def effective_permissions(user_roles: DataFrame, roles: DataFrame, role_permissions: DataFrame, as_of: str, depth: int = 8) -> DataFrame:
-    """``user_id, permission`` over unexpired roles and all their ancestors, at most ``depth`` levels up.
+def role_closure(roles: DataFrame) -> DataFrame:
+    """``role, above``: each role with itself and all its ancestors, over any number of levels; cycles end.
 
-    ``roles(role, parent)`` is a small table, so each level is a broadcast join.
+    Paths are doubled in each round, so a chain of n levels takes about log n of them; the tables are small and written between rounds.
+    """
+    named = roles.select("role").unionByName(roles.where("parent is not null").select(F.col("parent").alias("role"))).distinct()
+    paths = named.select("role", F.col("role").alias("above")).unionByName(roles.where("parent is not null").select("role", F.col("parent").alias("above"))).distinct()
+    known = -1
+    while True:
+        paths = written(paths)
+        now = paths.count()
+        if now == known:
+            return paths
+        known = now
+        onward = paths.select(F.col("role").alias("above"), F.col("above").alias("top"))
+        paths = paths.unionByName(paths.join(onward, "above").select("role", F.col("top").alias("above"))).distinct()
+
+
+def effective_permissions(user_roles: DataFrame, roles: DataFrame, role_permissions: DataFrame, as_of: str) -> DataFrame:
+    """``user_id, permission`` over unexpired roles and all their ancestors, however many levels up.
+
+    The role table is closed first, so memberships are joined once.
     """
-    now = F.expr(f"timestamp'{as_of}'")
-    held = user_roles.where(F.col("expires").isNull() | (F.col("expires") > now)).select("user_id", "role").distinct()
-    every = level = held
-    for _ in range(depth):
-        level = level.join(F.broadcast(roles), "role").where("parent is not null").select("user_id", F.col("parent").alias("role"))
-        every = every.unionByName(level)
-    return every.distinct().join(F.broadcast(role_permissions), "role").select("user_id", "permission").distinct()
+    held = user_roles.where(F.col("expires").isNull() | (F.col("expires") > F.expr(f"timestamp'{as_of}'"))).select("user_id", "role").distinct()
+    granted = role_closure(roles).join(role_permissions.withColumnRenamed("role", "above"), "above").select("role", "permission").distinct()
+    return held.join(granted, "role").select("user_id", "permission").distinct()
 
 
 def has_permissions(effective: DataFrame, wanted: list[str]) -> DataFrame:

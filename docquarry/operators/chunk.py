@@ -71,14 +71,15 @@ def split_recursive(text: str, size: int, overlap: int, separators: tuple[str, .
 
 
 def split_sentences(text: str, size: int, overlap: int, least: int) -> list[str]:
-    """Packs sentences up to ``size``; on overflow the last two go on into the next chunk if there is overlap."""
-    out, held = [], []
-    for sentence in (s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()):
-        if held and len(" ".join(held)) + 1 + len(sentence) > size:
-            out.append(" ".join(held))
-            held = held[-2:] if overlap > 0 and len(" ".join(held[-2:])) + 1 + len(sentence) <= size else []
-        held.append(sentence)
-    return [c for c in [*out, " ".join(held)] if len(c.strip()) >= least]
+    """Packs sentences, without their end marks before white space, up to ``size``; on overflow the last two ". "-parts go on into the next chunk if there is overlap."""
+    out, held = [], ""
+    for sentence in filter(None, map(str.strip, re.split(r"[.!?]+\s+", text))):
+        if held and len(held) + 1 + len(sentence) > size:
+            out.append(held)
+            held = ". ".join(held.split(". ")[-2:]) + ". " + sentence if overlap > 0 else sentence
+        else:
+            held = f"{held} {sentence}" if held else sentence
+    return [c.strip() for c in [*out, held] if len(c.strip()) >= least]
 
 
 def split_at_boundaries(text: str, size: int, overlap: int) -> list[str]:

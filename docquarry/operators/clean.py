@@ -12,19 +12,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# UTF-8 read as Latin-1, and what it stood for.
-MOJIBAKE = {"â€™": "'", "â€œ": '"', "â€": '"', "â€“": "–", "â€¦": "…", "Ã©": "é", "Ã¨": "è", "Ã¼": "ü"}
-PHONES = (r"\+\d{1,3}[\s.-]?\d{1,4}[\s.-]?\d{3,4}[\s.-]?\d{4}", r"\(\d{3}\)\s?\d{3}-\d{4}", r"\b\d{3}-\d{3,4}-\d{4}\b", r"\b\d{3}\.\d{3}\.\d{4}\b")
-URL = r"(?i)\b(?:https?://|www\.)[^\s<>\"']+"
+# What UTF-8 read as another code page looks like and what it stood for, Markdown marks, phones, addresses.
+MOJIBAKE = (
+    ("â€™", "'"), ("â€œ", '"'), ("â€\x9d", '"'), ('â€"', "–"), ("Â", ""), ("â\x80\x99", "'"), ("â\x80\x9c", '"'), ("â\x80\x9d", '"'),
+)
+MARKDOWN = (
+    (r"(?m)^#+\s*", ""), (r"\*\*(.+?)\*\*", "$1"), (r"\*(.+?)\*", "$1"), (r"__(.+?)__", "$1"), (r"_(.+?)_", "$1"),
+    (r"\[([^\]]+)\]\([^\)]+\)", "$1"), (r"(?s)```[^`]*```", ""), (r"`([^`]+)`", "$1"),
+)
+PHONES = (r"\b\d{3}[-.]?\d{3}[-.]?\d{4}\b", r"\b\(\d{3}\)\s?\d{3}[-.]?\d{4}\b", r"\b\d{3}\s\d{3}\s\d{4}\b", r"\+\d{1,3}[-.\s]?\d{1,14}\b")
+_ADDRESS = r"[^\s<>\"{}|\\^`\[\]]"
+DOMAINS = r"\.(?:com|org|net|edu|gov|mil|int|co\.uk|de|fr|it|es|ru|jp|cn)"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CONTRACTIONS = (("won't", "will not"), ("can't", "cannot"), ("n't", " not"), ("'re", " are"), ("'ve", " have"), ("'ll", " will"), ("'d", " would"), ("'m", " am"))
 EMOJI = r"[\x{1F300}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1F1E6}-\x{1F1FF}\x{2600}-\x{27BF}]"
 
 
 def fix_mojibake(c: Column) -> Column:
-    for bad, good in MOJIBAKE.items():
+    for bad, good in MOJIBAKE:
         c = F.replace(c, F.lit(bad), F.lit(good))
-    return F.regexp_replace(c, "Â([ -¿])", "$1")
+    return c
 
 
 @F.pandas_udf(T.StringType())
@@ -48,16 +55,14 @@ def strip_xml(c: Column) -> Column:
 
 
 def strip_markdown(c: Column) -> Column:
-    for pattern, to in (
-        (r"(?s)```.*?```", ""), (r"`([^`]+)`", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"__([^_]+)__", "$1"),
-        (r"\*([^*]+)\*", "$1"), (r"_([^_]+)_", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    ):
-        c = F.regexp_replace(c, pattern, to)
+    for pattern, to in MARKDOWN:
+        c = F.regexp_replace(c, "(?d)" + pattern, to)  # lines end at a newline only
     return c
 
 
 def remove_urls(c: Column) -> Column:
-    return F.regexp_replace(c, URL, "")
+    """Addresses with a scheme, with ``www.``, and bare domains.  A bare domain is looked for only where a run of its characters begins, so long runs cost no more."""
+    return F.regexp_replace(c, rf"(?i)https?://{_ADDRESS}+|www\.{_ADDRESS}+|(?<!{_ADDRESS}){_ADDRESS}+{DOMAINS}{_ADDRESS}*", "")
 
 
 def remove_emails(c: Column) -> Column:

@@ -2,26 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexical import tokenize
 
-# Words that mark a query's kind and intent, and words that tell nothing.
-QUESTION_WORDS = ("what", "who", "when", "where", "why", "how", "which")
-INTENTS = {
-    "question": (*QUESTION_WORDS, "?"),
-    "comparison": ("compare", "difference", "versus", " vs "),
-    "definition": ("define", "definition", "meaning"),
-    "explanation": ("explain", "describe"),
-    "instruction": ("how to", "steps", "guide"),
-    "summarization": ("summarize", "summary", "overview"),
-}
+# Words and patterns that mark a query's kind, intent, times and places, and words that tell nothing.
+TYPE_QUESTION_WORDS = ("what", "how", "why", "when", "where", "who", "which")
+SEARCH_WORDS = ("find", "search", "look for", "get", "retrieve")
+QUESTION_STARTS = (
+    "what", "how", "why", "when", "where", "who", "which", "whose", "can", "could", "would", "should", "will", "do", "does", "did",
+    "is", "are", "was", "were",
+)
+COMPARISONS = ("vs", "versus", "compare", "difference", "better", "worse", "more", "less", "than", "between")
+DEFINITIONS = ("what is", "what are", "define", "definition", "meaning", "explain", "describe")
+EXPLANATIONS = ("how does", "why does", "explain", "describe", "detail", "elaborate", "clarify")
+INSTRUCTION_STARTS = ("how to", "tell me", "show me", "help me", "teach me", "guide me", "instruct", "demonstrate")
+SUMMARIES = ("summarize", "summary", "overview", "brief", "outline", "key points", "main points")
+KEYWORD_STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "he", "in", "is", "it", "its", "of", "on", "that", "the",
+    "to", "was", "will", "with", "what", "how", "when", "where", "why", "who", "which",
+)
+TEMPORAL = {
+    "today": r"\btoday\b", "yesterday": r"\byesterday\b", "tomorrow": r"\btomorrow\b", "last_week": r"\blast\s+week\b",
+    "next_week": r"\bnext\s+week\b", "last_month": r"\blast\s+month\b", "next_month": r"\bnext\s+month\b",
+    "last_year": r"\blast\s+year\b", "next_year": r"\bnext\s+year\b", "recent": r"\brecent\b|\brecently\b",
+    "current": r"\bcurrent\b|\bnow\b",
+}
+NEAR_ME, CITY, ADDRESS = r"\bnear\s+me\b|\bnearby\b", r"\bin\s+[A-Z][a-z]+\b", r"\b\d+\s+[A-Za-z\s]+\b"
+_URL, _MAIL = r"https?://[^\s<>\"{}|\\^`\[\]]+", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+_DATES = (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"\b\d{1,2}-\d{1,2}-\d{4}\b")
+_NUMBER = r"\b\d+(?:,\d{3})*(?:\.\d+)?\b"
+HANGUL_NAME, LATIN_NAME = r"([가-힣]{2,4})(?=[이가는을를에게서와과]?\s)", r"\b[A-Z][a-zA-Z]{1,15}\b"
+NOT_HANGUL_NAMES = tuple(
+    """그것 이것 저것 무엇 여기 저기 거기 어디 언제 어떻게 왜 누구 무엇 어느 몇 많은 작은 큰 새로운 오래된 좋은 나쁜 빠른 느린
+    하나 둘 셋 넷 다섯 여섯 일곱 여덟 아홉 열 시간 장소 사람 물건 일 날 밤 아침 저녁 마을 도시 나라 세상 하늘 땅 바다 산 강
+    학교 집 회사 상점 병원 은행 역 공항 어제 오늘 내일 지금 나중 처음 마지막 정말 진짜 아마 분명 아직 벌써 다시 또
+    한번 두번 세번 여러번 항상 가끔 자주 드물게 모든 어떤 이런 저런 그런 다른 같은 비슷한""".split()
+)
+NOT_LATIN_NAMES = tuple(
+    """The And But For Not You All Can Had Her Was One Our Out Day Get Has Him His How Man New Now Old See Two Way Who Boy Did
+    Its Let Put She Too Use Sir May Say God Yes No Ok Oh Ah Eh Um Er Mm Hmm""".split()
+)
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may")
 SCRIPTS = (("ko", r"[\x{AC00}-\x{D7A3}]"), ("zh", r"[\x{4E00}-\x{9FFF}]"), ("ja", r"[\x{3040}-\x{30FF}]"), ("ru", r"[\x{0400}-\x{04FF}]"), ("el", r"[\x{0370}-\x{03FF}]"), ("he", r"[\x{0590}-\x{05FF}]"), ("ar", r"[\x{0600}-\x{06FF}]"))
-TEMPORAL = {"has_year": r"\b(19|20)\d{2}\b", "has_date": r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b", "today": r"\btoday\b", "yesterday": r"\byesterday\b", "tomorrow": r"\btomorrow\b", "recent": r"\b(recent|latest|newest)\b", "past": r"\b(past|previous|last)\b", "future": r"\b(future|next|upcoming)\b", "before": r"\bbefore\b", "after": r"\bafter\b", "during": r"\bduring\b"}
-_URL, _MAIL = r"https?://[^\s]+", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-_DATES = (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{1,2}/\d{1,2}/\d{4}\b", r"\b\d{1,2}\.\d{1,2}\.\d{4}\b")
 
 
 def query_text(c: str) -> Column:
@@ -34,20 +61,26 @@ def validation(c: str, most: int = 2048) -> Column:
     return F.when(F.col(c).isNull() | (F.trim(c) == ""), "empty query").when(F.length(c) > most, "query too long")
 
 
+def _has(low: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(low, F.lit(m)) for m in marks])
+
+
+def _begins(low: Column, marks: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.startswith(low, F.lit(m)) for m in marks])
+
+
 def query_type(c: str) -> Column:
-    low = F.lower(c)
-    asks = low.rlike(r"^\s*(" + "|".join(QUESTION_WORDS) + r")\b") | F.contains(low, F.lit("?"))
-    return F.when(F.col(c).rlike(r'[{}:"]'), "structured").when(asks, "question").when(low.rlike(r"\b(find|search|show|list)\b"), "search").when(F.col(c).rlike(r"[^\x00-\x7F]"), "multilingual").otherwise("simple")
+    """Structured marks, then a question word at the start or a question mark at the end, search words, letters beyond ASCII."""
+    low, col = F.lower(c), F.col(c)
+    asks = _begins(low, TYPE_QUESTION_WORDS) | F.endswith(col, F.lit("?"))
+    return F.when(col.rlike(r'[{}:"]'), "structured").when(asks, "question").when(_has(low, SEARCH_WORDS), "search").when(col.rlike(r"[^\x00-\x7F]"), "multilingual").otherwise("simple")
 
 
 def intent(c: str) -> Column:
-    low, out = F.lower(c), F.lit("search")
-    for name, marks in reversed(INTENTS.items()):
-        hit = F.lit(False)
-        for m in marks:
-            hit = hit | F.contains(low, F.lit(m))
-        out = F.when(hit, name).otherwise(out)
-    return out
+    """The first intent whose marks the query has; questions and instructions by how it begins, or by a question mark at the end."""
+    low = F.lower(c)
+    out = F.when(_begins(low, QUESTION_STARTS) | F.endswith(F.col(c), F.lit("?")), "question").when(_has(low, COMPARISONS), "comparison").when(_has(low, DEFINITIONS), "definition")
+    return out.when(_has(low, EXPLANATIONS), "explanation").when(_begins(low, INSTRUCTION_STARTS), "instruction").when(_has(low, SUMMARIES), "summarization").otherwise("search")
 
 
 def script_language(c: str) -> Column:
@@ -60,19 +93,21 @@ def script_language(c: str) -> Column:
 
 def entities(c: str) -> Column:
     """Addresses, mails, dates in three shapes, and numbers, in this order."""
-    return F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in (_URL, _MAIL, *_DATES, r"\b\d+(?:\.\d+)?\b")])
+    return F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in (_URL, _MAIL, *_DATES, _NUMBER)])
 
 
 def keywords(c: str) -> Column:
-    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    words = F.filter(F.split(F.lower(c), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*KEYWORD_STOP_WORDS))
     return F.array_distinct(words)
 
 
 def complexity(c: str) -> Column:
-    words = F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)))
-    special = F.size(F.regexp_extract_all(c, F.lit(r"[^A-Za-z0-9\s]"), F.lit(0)))
-    sentences = F.size(F.regexp_extract_all(c, F.lit(r"[.!?]+"), F.lit(0)))
-    return F.least(F.lit(1.0), F.length(c) / 500.0 + words / 50.0 + special / 50.0 + F.when(F.contains(c, F.lit("?")), 0.1).otherwise(0.0) + sentences / 20.0)
+    """0 to 1: 0.3 for 100 characters, 0.2 for 20 words, 0.2 for 10 special characters, 0.1 for a question mark, 0.2 for 5 sentences."""
+    count = lambda p: F.size(F.regexp_extract_all(c, F.lit(p), F.lit(0)))
+    share = lambda n, of, most: F.least(n / float(of), F.lit(1.0)) * most
+    sentences = count(r"[.!?]+") + 1
+    marks = F.when(F.contains(c, F.lit("?")), 0.1).otherwise(0.0) + F.when(sentences > 1, share(sentences, 5, 0.2)).otherwise(0.0)
+    return F.least(F.lit(1.0), share(F.length(c), 100, 0.3) + share(count(r"\S+"), 20, 0.2) + share(count(r"[^\p{L}\p{N}_\p{Z}\s]"), 10, 0.2) + marks)
 
 
 def temporal_flags(c: str) -> Column:
@@ -81,18 +116,23 @@ def temporal_flags(c: str) -> Column:
 
 
 def locations(c: str) -> Column:
-    """Capitalised words after a place preposition."""
-    return F.regexp_extract_all(c, F.lit(r"\b(?:in|at|from|near|to) ([A-Z][a-z]+)"), F.lit(1))
+    """``near_me``, ``city``, ``country`` and ``address``: what the query says of places.  Cities and countries look alike; they need capitals, so the query's own case counts."""
+    every = lambda text, p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    cities = every(F.col(c), CITY)
+    return F.struct(every(F.lower(c), NEAR_ME).alias("near_me"), cities.alias("city"), cities.alias("country"), every(F.lower(c), ADDRESS).alias("address"))
 
 
 def duplicate_queries(queries: DataFrame, c: str) -> DataFrame:
     return queries.groupBy(F.left(F.sha2(F.col(c), 256), F.lit(16)).alias("query_hash")).agg(F.count("*").alias("times")).where("times > 1")
 
 
-def name_mentions(c: str, stop: tuple[str, ...] = ("The", "This", "That", "And", "But"), most: int = 10) -> Column:
-    """Capitalised words of 2 to 16 letters and Korean names before a particle, longest first, then by text."""
-    found = F.concat(F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-z]{1,15})\b"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"([\x{AC00}-\x{D7A3}]{2,4})[\x{C740}\x{B294}\x{C774}\x{AC00}]"), F.lit(1)))
-    names = F.array_distinct(F.array_except(found, F.array(*[F.lit(s) for s in stop])))
+def name_mentions(c: str, most: int = 10) -> Column:
+    """Capitalised words of 2 to 16 letters and Korean names before a particle, without common words, longest first, then by text.
+
+    Names in quoted speech are among the text's names, so speech needs no rule of its own.
+    """
+    found = F.concat(F.regexp_extract_all(c, F.lit(LATIN_NAME), F.lit(0)), F.regexp_extract_all(c, F.lit(HANGUL_NAME), F.lit(1)))
+    names = F.array_distinct(F.array_except(found, F.array(*[F.lit(s) for s in (*NOT_LATIN_NAMES, *dict.fromkeys(NOT_HANGUL_NAMES))])))
     order = F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("l"), n.alias("n"))))
     return F.slice(F.transform(order, lambda x: x["n"]), 1, most)
 
@@ -192,5 +232,7 @@ def phrases(c: str) -> Column:
 
 
 def feedback(history: DataFrame, marks: DataFrame) -> DataFrame:
-    """History rows with the success scores of matching feedback; ``marks(query_id, success)``."""
-    return history.drop("success").join(marks, "query_id", "left")
+    """History rows with the success scores of matching feedback; others keep theirs.  ``marks(query_id, success)`` has one row for each query."""
+    own = F.col("success") if "success" in history.columns else F.lit(None)
+    new = marks.select("query_id", F.col("success").alias("_new"))
+    return history.withColumn("success", own).join(new, "query_id", "left").withColumn("success", F.coalesce("_new", "success")).drop("_new")

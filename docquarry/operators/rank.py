@@ -35,7 +35,8 @@ def metadata_relevance(keywords: Column, words: Column, entities: Column, found:
 def hybrid_score(vector: str, bm25: str, tfidf: str, semantic: str, words: Column, entities: Column) -> Column:
     """Weighted sum of four scores; weights by the query's words and entities: few words, many entities, many words, else."""
     mixed = lambda a, b, c, d: a * F.col(vector) + b * F.col(bm25) + c * F.col(tfidf) + d * F.col(semantic)
-    return F.when(words < 3, mixed(0.2, 0.4, 0.3, 0.1)).when(entities > 2, mixed(0.2, 0.4, 0.2, 0.2)).when(words > 10, mixed(0.4, 0.2, 0.1, 0.3)).otherwise(mixed(0.3, 0.3, 0.2, 0.2))
+    # Weights of the four scores.
+    return F.when(words < 3, mixed(0.2, 0.2, 0.1, 0.5)).when(entities > 2, mixed(0.5, 0.2, 0.2, 0.1)).when(words > 10, mixed(0.1, 0.4, 0.4, 0.1)).otherwise(mixed(0.3, 0.3, 0.2, 0.2))
 
 
 def normalize_list(hits: DataFrame, score: str, how: str, key: str = "doc_id") -> DataFrame:

@@ -66,8 +66,9 @@ def record_hash(*columns: str) -> Column:
 
 
 def sync_diff(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Which records are new, changed, unchanged or deleted, by the hash of their columns."""
-    a, b = (x.select(key, record_hash(*columns).alias(h)) for x, h in ((old, "old_hash"), (new, "new_hash")))
+    """Which records are new, changed, unchanged or deleted, by the hash of their columns; a null differs from an empty text."""
+    whole = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    a, b = (x.select(key, whole.alias(h)) for x, h in ((old, "old_hash"), (new, "new_hash")))
     change = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "updated").otherwise("unchanged")
     return a.join(b, key, "full").select(key, change.alias("change"))
 

@@ -56,7 +56,7 @@ def j3_redact_fields(spark, d):
     return out.select("c_custkey", F.col("m")["internal_id"].alias("internal_id"), F.col("m")["personal_data"].alias("personal_data"), F.col("m")["segment"].alias("segment"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b(?:\d{4}[- ]?){3}\d{4}\b', '[CARD]', 'g') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\b\d{3}-\d{2}-\d{4}\b', '[SSN_REDACTED]', 'g'), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b', '[EMAIL_REDACTED]', 'g'), '\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b', '[CARD_REDACTED]', 'g') AS text FROM documents")
 def j4_redact_content(spark, d):
     return table(spark, d, "documents").select("doc_id", A.redact_content("text").alias("text"))
 

@@ -101,7 +101,7 @@ def g8_rank(spark, d):
 
 
 @query("""WITH c AS (SELECT event_id, value / 100 AS v, (event_id % 17) / 17.0::DOUBLE AS b, (event_id % 5) / 5.0::DOUBLE AS t, (event_id % 3) / 3.0::DOUBLE AS s, event_id % 14 AS w, event_id % 4 AS e, (event_id % 2) * 0.5::DOUBLE AS learned FROM events),
-    h AS (SELECT *, CASE WHEN w < 3 THEN 0.2 * v + 0.4 * b + 0.3 * t + 0.1 * s WHEN e > 2 THEN 0.2 * v + 0.4 * b + 0.2 * t + 0.2 * s WHEN w > 10 THEN 0.4 * v + 0.2 * b + 0.1 * t + 0.3 * s ELSE 0.3 * v + 0.3 * b + 0.2 * t + 0.2 * s END AS hybrid FROM c)
+    h AS (SELECT *, CASE WHEN w < 3 THEN 0.2 * v + 0.2 * b + 0.1 * t + 0.5 * s WHEN e > 2 THEN 0.5 * v + 0.2 * b + 0.2 * t + 0.1 * s WHEN w > 10 THEN 0.1 * v + 0.4 * b + 0.4 * t + 0.1 * s ELSE 0.3 * v + 0.3 * b + 0.2 * t + 0.2 * s END AS hybrid FROM c)
     SELECT event_id, round(hybrid, 6) AS hybrid, round(CASE WHEN learned > 0 THEN 0.7 * learned + 0.3 * hybrid WHEN hybrid > 0 THEN hybrid ELSE greatest(v, b) END, 6) AS final FROM h""")
 def g7_hybrid_and_final(spark, d):
     part = lambda n: (F.col("event_id") % n) / float(n)

@@ -12,9 +12,18 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@query("SELECT doc_id, " + "".join("replace(" for _ in clean.MOJIBAKE) + "replace(text, 'é', 'Ã©')" + "".join(f", '{b.replace(chr(39), chr(39) * 2)}', '{g.replace(chr(39), chr(39) * 2)}')" for b, g in clean.MOJIBAKE.items()) + " AS fixed FROM documents")
+_BROKEN = (("é", "Ã©"), ("'", "â€™"), (", ", "Â, "), (". ", 'â€". '))
+
+
+@query(
+    "SELECT doc_id, replace(replace(replace(replace(replace(replace(replace(replace(broken, 'â€™', ''''), 'â€œ', '\"'), 'â€' || chr(157), '\"'), 'â€\"', '–'), 'Â', ''), 'â' || chr(128) || chr(153), ''''), 'â' || chr(128) || chr(156), '\"'), 'â' || chr(128) || chr(157), '\"') AS fixed"
+    " FROM (SELECT doc_id, replace(replace(replace(replace(text, 'é', 'Ã©'), '''', 'â€™'), ', ', 'Â, '), '. ', 'â€\". ') AS broken FROM documents)"
+)
 def c1_fix_mojibake(spark, d):
-    return _docs(spark, d).select("doc_id", clean.fix_mojibake(F.replace("text", F.lit("é"), F.lit("Ã©"))).alias("fixed"))
+    text = F.col("text")
+    for good, bad in _BROKEN:
+        text = F.replace(text, F.lit(good), F.lit(bad))
+    return _docs(spark, d).select("doc_id", clean.fix_mojibake(text).alias("fixed"))
 
 
 @query()
@@ -32,16 +41,20 @@ def c4_strip_xml(spark, d):
     return table(spark, d, "pages").select("page_id", clean.strip_xml(F.col("html")).alias("plain"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('## Head' || chr(10) || '**' || replace(text, ' the ', ' *the* ') || '** [a](b) `c`',
-    '```.*?```', '', 'gs'), '`([^`]+)`', '\1', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '\*\*([^*]+)\*\*', '\1', 'g'), '__([^_]+)__', '\1', 'g'), '\*([^*]+)\*', '\1', 'g'), '_([^_]+)_', '\1', 'g'), '!\[([^\]]*)\]\([^)]+\)', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g') AS plain FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('## Head' || chr(10) || '**' || replace(text, ' the ', ' *the* ') || '** [a](b) `c`',
+    '(?m)^#+\s*', '', 'g'), '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '_(.+?)_', '\1', 'g'), '\[([^\]]+)\]\([^\)]+\)', '\1', 'g'), '```[^`]*```', '', 'gs'), '`([^`]+)`', '\1', 'g') AS plain FROM documents""")
 def c5_strip_markdown(spark, d):
     text = F.concat(F.lit("## Head\n**"), F.replace("text", F.lit(" the "), F.lit(" *the* ")), F.lit("** [a](b) `c`"))
     return _docs(spark, d).select("doc_id", clean.strip_markdown(text).alias("plain"))
 
 
-@query(r"""SELECT page_id, regexp_replace('see ' || url || ' now', '(?i)\b(?:https?://|www\.)[^\s<>"'']+', '', 'g') AS plain FROM pages""")
+_PART = r"""[^\s<>"{}|\\^`[\]]"""
+
+
+@query("SELECT page_id, regexp_replace('see ' || url || ' or ' || replace(url, '://', ' ') || ' now', '" + rf"https?://{_PART}+|www\.{_PART}+|{_PART}+\.(com|org|net|edu|gov|mil|int|co\.uk|de|fr|it|es|ru|jp|cn){_PART}*" + "', '', 'gi') AS plain FROM pages")
 def c6_remove_urls(spark, d):
-    return table(spark, d, "pages").select("page_id", clean.remove_urls(F.concat(F.lit("see "), "url", F.lit(" now"))).alias("plain"))
+    text = F.concat(F.lit("see "), F.col("url"), F.lit(" or "), F.replace("url", F.lit("://"), F.lit(" ")), F.lit(" now"))
+    return table(spark, d, "pages").select("page_id", clean.remove_urls(text).alias("plain"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '', 'g') AS plain FROM documents")
@@ -49,7 +62,7 @@ def c7_remove_emails(spark, d):
     return _docs(spark, d).select("doc_id", clean.remove_emails(F.col("text")).alias("plain"))
 
 
-@query("SELECT doc_id, " + "regexp_replace(" * 4 + "text" + "".join(f", '{p}', '', 'g')" for p in clean.PHONES) + " AS plain FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\b\d{3}[-.]?\d{3}[-.]?\d{4}\b', '', 'g'), '\b\(\d{3}\)\s?\d{3}[-.]?\d{4}\b', '', 'g'), '\b\d{3}\s\d{3}\s\d{4}\b', '', 'g'), '\+\d{1,3}[-.\s]?\d{1,14}\b', '', 'g') AS plain FROM documents")
 def c8_remove_phones(spark, d):
     return _docs(spark, d).select("doc_id", clean.remove_phones(F.col("text")).alias("plain"))
 
@@ -91,9 +104,9 @@ def c17_custom_rules(spark, d):
     return _docs(spark, d).select("doc_id", clean.apply_rules(F.col("text"), rules).alias("plain"))
 
 
-@query("SELECT doc_id, lower(text) AS low, upper(replace(left(text, 40), 'ß', 's')) AS up FROM documents")
+@query("SELECT doc_id, lower(text) AS low, upper(replace(text, 'ß', 's')) AS up FROM documents")
 def c18_change_case(spark, d):
-    return _docs(spark, d).select("doc_id", clean.change_case(F.col("text"), "lower").alias("low"), clean.change_case(F.replace(F.left("text", F.lit(40)), F.lit("ß"), F.lit("s")), "upper").alias("up"))
+    return _docs(spark, d).select("doc_id", clean.change_case(F.col("text"), "lower").alias("low"), clean.change_case(F.replace("text", F.lit("ß"), F.lit("s")), "upper").alias("up"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40), chr(10)) AS plain FROM documents")

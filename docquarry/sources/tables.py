@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +60,14 @@ def write_rows(rows: DataFrame, path: str, partition: list[str] | None = None, m
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The target with the updates in place of rows that share their keys."""
-    return target.join(updates.select(*keys), keys, "left_anti").select(*target.columns).unionByName(updates.select(*target.columns))
+    """The target with the updates in place of rows that share their keys; null keys are equal.
+
+    Of updates that share their keys one counts: the one that is greatest in all its columns, in order.
+    """
+    columns = target.columns
+    once = updates.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(F.struct(*columns)).alias("_row"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return target.join(once, same, "left_anti").select(*columns).unionByName(once.select("_row.*").select(*columns))
 
 
 def replace_by_parent(target: DataFrame, new: DataFrame, parent: str) -> DataFrame:
