@@ -36,18 +36,31 @@ def query_terms(queries: DataFrame, text: str, least: int = 2) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(text, least)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(index: DataFrame, terms: DataFrame, key: str, k1: float = 1.5, b: float = 0.75, least_idf: float | None = 0.25, mean_length: float | None = None) -> DataFrame:
+#: Query terms that are broadcast (about 60 bytes each); more are joined by a shuffle.
+MOST_TERMS = 500_000
+
+
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame, least: int = 2) -> DataFrame:
+    """``key, term, tf, length`` of the terms that a query has: other tokens are dropped where they are read, before the shuffle."""
+    wanted = terms.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted
+    tokens = docs.select(key, tokenize(text, least).alias("_tokens")).select(key, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
+    return tokens.join(wanted, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
+def bm25(docs: DataFrame, key: str, text: str, terms: DataFrame, least: int = 2, k1: float = 1.5, b: float = 0.75, least_idf: float | None = 0.25, mean_length: float | None = None) -> DataFrame:
     """``query_id, key, bm25``.  idf = max(least, ln((N - df + .5) / (df + .5))), or ln((N + 1) / (df + 1)) if ``least_idf`` is None.
 
-    The index shuffles once by term, and only its terms that a query has go on.
+    Lengths and their mean come from the rows themselves; only postings of query terms are shuffled.  ``key`` is unique.
     """
-    df, lengths, total = corpus_stats(index, key)
+    size = F.size(tokenize(text, least))
+    total = docs.select(size.alias("length")).where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) if least_idf is None else F.greatest(F.lit(least_idf), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    known = df.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(total)).withColumn("idf", idf)
-    hits = index.join(terms, "term").join(known, "term").join(lengths, key)
+    found = postings(docs, key, text, terms, least)
+    known = found.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term").crossJoin(F.broadcast(total)).withColumn("idf", idf)
     mean = F.lit(mean_length) if mean_length else F.col("mean_length")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / mean))
-    return hits.groupBy("query_id", key).agg(F.sum(part * F.col("times")).alias("bm25"))
+    return found.join(known, "term").groupBy("query_id", key).agg(F.sum(part * F.col("times")).alias("bm25"))
 
 
 def ngrams(tokens: Column) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from . import question
+
 
 def _by_query() -> WindowSpec:
     return Window.partitionBy("query_id")
@@ -54,6 +56,29 @@ def normalize_list(hits: DataFrame, score: str, how: str, key: str = "doc_id") -
     return out.withColumn("normalized", F.when(low == high, x).otherwise(forms[how]) if how in ("minmax", "zscore") else forms[how]).drop("_high")
 
 
+def normalize_row(scores: list[str], how: str) -> Column:
+    """The scores of one row, normalised across each other, as an array: none, minmax, zscore (population), softmax, rank.
+
+    Equal scores stay as they are under minmax and zscore; of equal ones the later ranks higher.
+    """
+    xs = F.array(*[F.col(c).cast("double") for c in scores])
+    n, low, high = len(scores), F.array_min(xs), F.array_max(xs)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    if how == "minmax":
+        return F.when(high > low, F.transform(xs, lambda x: (x - low) / (high - low))).otherwise(xs)
+    if how == "zscore":
+        mean = total(xs) / n
+        spread = F.sqrt(total(F.transform(xs, lambda x: (x - mean) * (x - mean))) / n)
+        return F.when(spread > 0, F.transform(xs, lambda x: (x - mean) / spread)).otherwise(xs)
+    if how == "softmax":
+        parts = F.transform(xs, lambda x: F.exp(x - high))
+        return F.transform(parts, lambda x: x / total(parts))
+    if how == "rank":
+        better = lambda x, i: F.aggregate(F.transform(xs, lambda y, j: ((y > x) | ((y == x) & (j > i))).cast("int")), F.lit(0), lambda acc, v: acc + v)
+        return F.transform(xs, lambda x, i: 1 - better(x, i) / n)
+    return xs
+
+
 def final_score(learned: str, hybrid: str, *others: str) -> Column:
     """0.7 learned + 0.3 hybrid where learned, else hybrid, else the best of the others."""
     best = F.greatest(*[F.col(c) for c in others]) if len(others) > 1 else F.col(others[0])
@@ -150,11 +175,26 @@ def answer_relevance(hits: DataFrame, score: str, key: str, group: str) -> DataF
     return hits.groupBy("query_id").agg(F.round(F.avg(score), 6).alias("relevance"), F.round(F.least(F.avg(score) + 0.1, F.lit(1.0)), 6).alias("confidence"), F.array_join(F.array_sort(F.collect_set(F.col(key).cast("string"))), ",").alias("documents"), F.array_join(F.array_sort(F.collect_set(group)), ",").alias("groups"))
 
 
-def ranking_features(hits: DataFrame, query: str, content: str, scores: list[str]) -> DataFrame:
-    """Features of each hit for learning to rank: the scores, and shapes of query and content."""
+#: The features of a hit, in order.
+RANKING_FEATURES = (
+    "vector", "bm25", "tfidf", "semantic", "query_words", "query_keywords", "query_entities", "query_complexity", "expanded_terms", "phrases", "expansion_seconds",
+    "content_words", "content_chars", "similarity", "relevance", "content_keywords", "content_entities", "age_seconds",
+)
+
+
+def ranking_features(hits: DataFrame, query: str, content: str, as_of: str, retrieved: str, given: dict[str, Column] | None = None) -> DataFrame:
+    """``query_id, doc_id`` and the 18 features of each hit for learning to rank: four scores, query, expansion, document, age.
+
+    Scores, expansion counts, similarity and relevance are ``given`` as columns; what is not given is 0.
+    """
     words = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0)))
-    shapes = {"query_words": words(query), "query_chars": F.length(query), "content_words": words(content), "content_chars": F.length(content), "phrase_hit": F.contains(F.lower(content), F.lower(query)).cast("int"), "length_ratio": F.round(F.length(query) / F.greatest(F.length(content), F.lit(1)), 6)}
-    return hits.select("query_id", "doc_id", *scores, *[c.alias(n) for n, c in shapes.items()])
+    shapes = {
+        "query_words": words(query), "query_keywords": F.size(question.keywords(query)), "query_entities": F.size(question.entities(query)), "query_complexity": question.complexity(query),
+        "content_words": words(content), "content_chars": F.length(content), "content_keywords": F.size(question.keywords(content)), "content_entities": F.size(question.entities(content)),
+        "age_seconds": F.unix_timestamp(F.lit(as_of)) - F.col(retrieved).cast("timestamp").cast("long"),
+    }
+    every = {**shapes, **(given or {})}
+    return hits.select("query_id", "doc_id", *[F.coalesce(every.get(name, F.lit(0.0)).cast("double"), F.lit(0.0)).alias(name) for name in RANKING_FEATURES])
 
 
 def train_ranker(rows: DataFrame, features: list[str], label: str, trees: int = 100, seed: int = 42, least_rows: int = 50):

@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import access, chunk, clean, lexical, meta, rank
+from ..operators import access, chunk, clean, lexical, meta, question, rank
+from .question_queries import _STOP
 from .registry import query
 from .text_queries import _CLEAN_EPISODE
 from .views import QUESTIONS, questions, table
@@ -24,7 +25,7 @@ def _index(spark, d):
 
 
 def _bm25(spark, d):
-    return lexical.bm25(_index(spark, d), lexical.query_terms(questions(spark, d), "query"), "doc_id")
+    return lexical.bm25(_docs(spark, d), "doc_id", "text", lexical.query_terms(questions(spark, d), "query"))
 
 
 @query(f"SELECT doc_id, CAST(len(list_filter({_TOKENS.format('text')}, lambda x: length(x) >= 3)) AS INTEGER) AS tokens, list_filter({_TOKENS.format('text')}, lambda x: length(x) >= 3)[1] AS first FROM documents")
@@ -35,7 +36,9 @@ def g1_tokenize(spark, d):
 
 @query(f"WITH {_INDEX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM i GROUP BY 1")
 def g2_corpus_stats(spark, d):
-    return _index(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    index = _index(spark, d)
+    df, _, _ = lexical.corpus_stats(index, "doc_id")
+    return df.join(index.groupBy("term").agg(F.sum("tf").alias("total")), "term")
 
 
 @query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM b) SELECT query_id, doc_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
@@ -49,7 +52,7 @@ def g3_bm25(spark, d):
     SELECT query_id, doc_id, round(sum(times * ln((n + 1) / (df + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 100.0))), 6) AS bm25 FROM i JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc_id), t GROUP BY 1, 2""")
 def g4_bm25_fixed_length(spark, d):
     terms = lexical.query_terms(questions(spark, d), "query", 3)
-    return lexical.bm25(_index(spark, d), terms, "doc_id", least_idf=None, mean_length=100.0).withColumn("bm25", F.round("bm25", 6))
+    return lexical.bm25(_docs(spark, d), "doc_id", "text", terms, least_idf=None, mean_length=100.0).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("SELECT o_orderkey, round(exp(-(epoch(TIMESTAMP '2002-01-01 00:00:00') - epoch(o_orderdate)) / 86400.0 / 365.0), 6) AS recency FROM orders")
@@ -63,10 +66,10 @@ def g12_popularity(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.round(rank.popularity(*counts), 6).alias("popularity"))
 
 
-@query(f"""WITH {QUESTIONS}, p AS (SELECT query_id, doc_id, list_distinct({_TOKENS.format('query')}) AS a, list_distinct({_TOKENS.format('text')}) AS b, source = 'src0' AS t FROM v_query, documents WHERE query_id < 5)
+@query(f"""WITH {QUESTIONS}, p AS (SELECT query_id, doc_id, list_distinct({_TOKENS.format('query')}) AS a, list_distinct({_TOKENS.format('text')}) AS b, source = 'src0' AS t FROM v_query, documents)
     SELECT query_id, doc_id, round(least(1.0, 0.5 * len(list_intersect(a, b))::DOUBLE / len(a) + CASE WHEN t THEN 0.2 ELSE 0.0 END), 6)::DOUBLE AS relevance, round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 6) AS jaccard FROM p""")
 def g13_metadata_relevance(spark, d):
-    pairs = table(spark, d, "documents").crossJoin(F.broadcast(questions(spark, d).where("query_id < 5")))
+    pairs = table(spark, d, "documents").crossJoin(F.broadcast(questions(spark, d)))
     words = lambda c: F.array_distinct(lexical.tokenize(c))
     none = F.array().cast("array<string>")
     return pairs.select("query_id", "doc_id", F.round(rank.metadata_relevance(words("query"), words("text"), none, none, F.col("source") == "src0"), 6).alias("relevance"), F.round(lexical.token_jaccard(words("query"), words("text")), 6).alias("jaccard"))
@@ -139,9 +142,45 @@ def g22_simple_context(spark, d):
     return rank.simple_context(_with_text(spark, d), "text", 3000)
 
 
-@query(r"SELECT doc_id, query_id, CAST(len(regexp_extract_all(query, '[^\s]+')) AS INTEGER) AS query_words, CAST(length(query) AS INTEGER) AS query_chars, CAST(len(regexp_extract_all(text, '[^\s]+')) AS INTEGER) AS content_words, CAST(length(text) AS INTEGER) AS content_chars, contains(lower(text), lower(query))::INTEGER AS phrase_hit, round(length(query)::DOUBLE / greatest(length(text), 1), 6) AS length_ratio, bm25 FROM (WITH " + _TOP + " SELECT * FROM top JOIN documents USING (doc_id) JOIN v_query USING (query_id))")
+def _hit_features(spark, d, n):
+    """Hits with their 18 features: what no other operator gives them is 0."""
+    hits = _with_text(spark, d, n).withColumn("seen", F.expr("date_add(date'2024-01-01', cast(doc_id % 365 as int))"))
+    given = {"bm25": F.col("bm25"), "similarity": F.col("bm25") / (1 + F.col("bm25")), "relevance": 1 / F.col("rank"), "phrases": F.size(question.phrases("query"))}
+    return rank.ranking_features(hits, "query", "text", "2025-01-01 00:00:00", "seen", given)
+
+
+_WORDS = "len(regexp_extract_all({0}, '[^\\s]+'))::DOUBLE"
+_KEYWORDS = "len(list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with','what','how','when','where','why','who','which'))))::DOUBLE"
+_ENTITIES = "(" + " + ".join(f"len(regexp_extract_all({{0}}, '{p}'))" for p in (r"https?://[^\s<>\"{{}}|\\^`\[\]]+", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b", r"\b\d{{4}}-\d{{2}}-\d{{2}}\b", r"\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b", r"\b\d{{1,2}}-\d{{1,2}}-\d{{4}}\b", r"\b\d+(?:,\d{{3}})*(?:\.\d+)?\b")) + ")::DOUBLE"
+
+
+@query(
+    f"""WITH {_TOP}, h AS (SELECT * FROM top JOIN documents USING (doc_id) JOIN v_query USING (query_id)),
+    p AS (SELECT query_id, count(*) AS phrases FROM (SELECT query_id, t[i] AS a, t[i + 1] AS b FROM (SELECT query_id, t, unnest(range(1, len(t))) AS i FROM (SELECT query_id, {_TOKENS.format("query")} AS t FROM v_query))) WHERE a NOT IN {_STOP} AND b NOT IN {_STOP} AND length(a) > 1 AND length(b) > 1 GROUP BY 1)
+    SELECT query_id, doc_id, 0.0::DOUBLE AS vector, bm25, 0.0::DOUBLE AS tfidf, 0.0::DOUBLE AS semantic, {_WORDS.format("query")} AS query_words, {_KEYWORDS.format("query")} AS query_keywords, {_ENTITIES.format("query")} AS query_entities,
+    round(least(1.0, 0.3 * least(length(query) / 100.0, 1.0) + 0.2 * least(len(regexp_extract_all(query, '[^\\s]+')) / 20.0, 1.0) + 0.2 * least(len(regexp_extract_all(query, '[^\\p{{L}}\\p{{N}}_\\p{{Z}}\\s]')) / 10.0, 1.0) + CASE WHEN contains(query, '?') THEN 0.1 ELSE 0.0 END + CASE WHEN regexp_matches(query, '[.!?]') THEN 0.2 * least((len(regexp_extract_all(query, '[.!?]+')) + 1) / 5.0, 1.0) ELSE 0.0 END), 6)::DOUBLE AS query_complexity,
+    0.0::DOUBLE AS expanded_terms, coalesce(phrases, 0)::DOUBLE AS phrases, 0.0::DOUBLE AS expansion_seconds, {_WORDS.format("text")} AS content_words, length(text)::DOUBLE AS content_chars, round(bm25 / (1 + bm25), 6) AS similarity, round(1.0::DOUBLE / rank, 6) AS relevance,
+    {_KEYWORDS.format("text")} AS content_keywords, {_ENTITIES.format("text")} AS content_entities, (epoch(TIMESTAMP '2025-01-01 00:00:00') - epoch((DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER))::TIMESTAMP))::DOUBLE AS age_seconds FROM h LEFT JOIN p USING (query_id)"""
+)
 def g24_ranking_features(spark, d):
-    return rank.ranking_features(_with_text(spark, d), "query", "text", ["bm25"])
+    return _hit_features(spark, d, 5).withColumns({c: F.round(c, 6) for c in ("similarity", "relevance", "query_complexity")})
+
+
+_FOUR = "SELECT event_id, [value / 100, (event_id % 17) / 17.0::DOUBLE, (event_id % 5) / 5.0::DOUBLE, (event_id % 3) / 3.0::DOUBLE] AS x FROM events"
+
+
+@query(
+    f"""WITH c AS ({_FOUR}), m AS (SELECT *, list_min(x) AS lo, list_max(x) AS hi, list_avg(x) AS mean, list_stddev_pop(x) AS sd, list_sum(list_transform(x, lambda v: exp(v - list_max(x)))) AS total FROM c)
+    SELECT event_id, unnest(range(1, 5))::INTEGER AS part, unnest(CASE WHEN hi > lo THEN list_transform(x, lambda v: round((v - lo) / (hi - lo), 6)) ELSE list_transform(x, lambda v: round(v, 6)) END) AS minmax,
+    unnest(CASE WHEN sd > 1e-12 THEN list_transform(x, lambda v: round((v - mean) / sd, 6) + 0.0) ELSE list_transform(x, lambda v: round(v, 6)) END) AS zscore, unnest(list_transform(x, lambda v: round(exp(v - hi) / total, 6))) AS softmax,
+    unnest(list_transform(x, lambda v, i: 1 - len(list_filter(x, lambda y, j: y > v OR (y = v AND j > i))) / 4.0::DOUBLE)) AS rank FROM m"""
+)
+def g8_row_forms(spark, d):
+    part = lambda n: (F.col("event_id") % n) / float(n)
+    c = table(spark, d, "events").select("event_id", (F.col("value") / 100).alias("v"), part(17).alias("b"), part(5).alias("t"), part(3).alias("s"))
+    forms = F.arrays_zip(*[rank.normalize_row(["v", "b", "t", "s"], how).alias(how) for how in ("minmax", "zscore", "softmax", "rank")])
+    out = c.select("event_id", F.posexplode(forms).alias("part", "x")).select("event_id", (F.col("part") + 1).alias("part"), "x.*")
+    return out.withColumns({how: F.round(how, 6) + 0.0 for how in ("minmax", "zscore", "softmax")})
 
 
 @query()
@@ -166,9 +205,10 @@ def g18_post_process(spark, d):
 
 @query()
 def g25_learned_ranking(spark, d):
-    rows = rank.ranking_features(_with_text(spark, d, 10), "query", "text", ["bm25"])
-    features = [c for c in rows.columns if c not in ("query_id", "doc_id")]
-    model = rank.train_ranker(rows.withColumn("label", F.col("phrase_hit").cast("double")), features, "label", trees=20)
+    """Learned from whether a document holds the whole question, which is not among the features."""
+    rows = _hit_features(spark, d, 10)
+    held = _with_text(spark, d, 10).select("query_id", "doc_id", F.contains(F.lower("text"), F.lower("query")).cast("double").alias("label"))
+    model = rank.train_ranker(rows.join(held, ["query_id", "doc_id"]), list(rank.RANKING_FEATURES), "label")
     return rows.select("query_id", "doc_id").limit(0).withColumn("learned", F.lit(0.0)) if model is None else model.transform(rows).select("query_id", "doc_id", F.round("learned", 6).alias("learned"))
 
 
@@ -183,7 +223,7 @@ _SLICE = f"""{QUESTIONS}, c AS (SELECT doc_id, source, {_CLEAN_EPISODE.format('t
     h AS (SELECT doc_id, source, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS chunk_index FROM k WHERE length(trim(content)) >= 50),
     x AS (SELECT *, doc_id || '_' || chunk_index AS chunk_id FROM h), i AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_TOKENS.format('content')}) AS term FROM x) WHERE length(term) >= 2 GROUP BY 1, 2),
     f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), l AS (SELECT chunk_id, sum(tf) AS length FROM i GROUP BY 1), t AS (SELECT count(*) AS n, avg(length) AS mean_length FROM l),
-    q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM v_query WHERE query_id < 20) WHERE length(term) >= 2 GROUP BY 1, 2),
+    q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM v_query) WHERE length(term) >= 2 GROUP BY 1, 2),
     b AS (SELECT query_id, chunk_id, round(sum(times * greatest(0.25, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean_length))), 6) AS bm25 FROM i JOIN q USING (term) JOIN f USING (term) JOIN l USING (chunk_id), t GROUP BY 1, 2),
     r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM b) WHERE rank <= 5),
     p AS (SELECT query_id, rank, '[' || source || '] ' || chunk_id || chr(10) || content AS part FROM r JOIN x USING (chunk_id)),
@@ -193,13 +233,12 @@ _SLICE = f"""{QUESTIONS}, c AS (SELECT doc_id, source, {_CLEAN_EPISODE.format('t
 
 @query(f"WITH {_SLICE}")
 def slice_answer_context(spark, d):
-    """Clean, chunk, link, index, score, filter by source, keep the best five chunks of twenty questions, and assemble bounded contexts."""
+    """Clean, chunk, link, index, score, filter by source, keep the best five chunks of each question, and assemble bounded contexts."""
     docs = access.allowed_sources(table(spark, d, "documents"), "source", denied=["src3"])
     cleaned = docs.select("doc_id", "source", clean.clean_episode(F.col("text")).alias("text"))
     chunks = meta.inherit(chunk.chunk_fixed(cleaned, "doc_id", "text"), cleaned, "doc_id", ["source"]).withColumn("chunk_id", F.concat_ws("_", "doc_id", "chunk_index"))
-    index = lexical.inverted_index(chunks, "chunk_id", "content")
-    terms = lexical.query_terms(questions(spark, d).where("query_id < 20"), "query")
-    hits = rank.rank_by(lexical.bm25(index, terms, "chunk_id").withColumn("bm25", F.round("bm25", 6)), F.col("bm25"), "chunk_id").where("rank <= 5")
+    terms = lexical.query_terms(questions(spark, d), "query")
+    hits = rank.rank_by(lexical.bm25(chunks, "chunk_id", "content", terms).withColumn("bm25", F.round("bm25", 6)), F.col("bm25"), "chunk_id").where("rank <= 5")
     return rank.context_text(hits.join(chunks, "chunk_id"), F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("chunk_id")), "content", 3000)
 
 

@@ -52,24 +52,18 @@ MESSAGES = "v_message AS (SELECT conv_id, turn, role, text, to_timestamp(1704067
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Query vectors (the first twenty) and the corpus of all others."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("grp"), (F.col("vec_id") % 5).alias("user_id"))
-    return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e.where("vec_id >= 20")
-
-
-def searches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Query vectors (every id divisible by 50) and the whole table as corpus; for queries without SQL."""
+    """Query vectors (every id divisible by 50) and the whole table as corpus."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("grp"), (F.col("vec_id") % 5).alias("user_id"))
     return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")), e
 
 
-VECTORS = """v_query_vec AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_vec FROM embeddings WHERE vec_id < 20),
-v_corpus_vec AS (SELECT vec_id, embedding::DOUBLE[] AS embedding, label AS grp, vec_id % 5 AS user_id FROM embeddings WHERE vec_id >= 20)"""
+VECTORS = """v_query_vec AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS query_vec FROM embeddings WHERE vec_id % 50 = 0),
+v_corpus_vec AS (SELECT vec_id, embedding::DOUBLE[] AS embedding, label AS grp, vec_id % 5 AS user_id FROM embeddings)"""
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words of each benchmark item as a query."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.expr(r"regexp_extract_all(text, '\\S+', 0)"), 1, 12), " ").alias("query"))
+    """Each benchmark item's whole text as a query, its words joined by one space."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.expr(r"regexp_extract_all(text, '\\S+', 0)"), " ").alias("query"))
 
 
-QUESTIONS = r"v_query AS (SELECT item_id AS query_id, array_to_string(list_slice(regexp_extract_all(text, '[^\s]+'), 1, 12), ' ') AS query FROM benchmark)"
+QUESTIONS = r"v_query AS (SELECT item_id AS query_id, array_to_string(regexp_extract_all(text, '[^\s]+'), ' ') AS query FROM benchmark)"
