@@ -122,6 +122,21 @@ def has_permissions(effective: DataFrame, wanted: list[str]) -> DataFrame:
     return effective.groupBy("user_id").agg((n > 0).alias("has_any"), (n == len(set(wanted))).alias("has_all"))
 
 
+def has_role(user_roles: DataFrame, role: str, as_of: str) -> DataFrame:
+    """Whether each user has the role now: a membership that has not expired."""
+    open_ = F.col("expires").isNull() | (F.col("expires") > F.expr(f"timestamp'{as_of}'"))
+    return user_roles.groupBy("user_id").agg(F.coalesce(F.bool_or((F.col("role") == role) & open_), F.lit(False)).alias("has_role"))
+
+
+def check_access(requests: DataFrame, effective: DataFrame) -> DataFrame:
+    """``requests(user_id, resource, action)`` with ``allowed``: the user has the permission ``resource:action``, ``resource:*`` or ``*``."""
+    wanted = F.explode(F.array(F.concat("resource", F.lit(":"), "action"), F.concat("resource", F.lit(":*")), F.lit("*")))
+    rights = effective.select("user_id", "permission").distinct()
+    found = requests.select("user_id", "resource", "action").distinct().withColumn("permission", wanted).join(rights.withColumn("_has", F.lit(True)), ["user_id", "permission"], "left")
+    verdict = found.groupBy("user_id", "resource", "action").agg(F.coalesce(F.bool_or("_has"), F.lit(False)).alias("allowed"))
+    return requests.join(verdict, ["user_id", "resource", "action"])
+
+
 def user_list(users: DataFrame, user_roles: DataFrame, role: str | None = None) -> DataFrame:
     """Users with their roles as one text; optionally only those with a role."""
     rows = users.join(user_roles.select("user_id", "role"), "user_id")

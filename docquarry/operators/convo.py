@@ -21,9 +21,9 @@ def last_messages(messages: DataFrame, n: int) -> DataFrame:
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """Each conversation with its message count and last time."""
+    """Each conversation with its message count and last time, newest first, and its ``place`` in its user's list."""
     counts = messages.groupBy("conv_id").agg(F.count("*").alias("messages"), F.max("timestamp").alias("updated_at"))
-    return conversations.join(counts, "conv_id", "left").select("conv_id", "user_id", F.coalesce("messages", F.lit(0)).alias("messages"), "updated_at")
+    return conversations.join(counts, "conv_id", "left").select("conv_id", "user_id", F.coalesce("messages", F.lit(0)).alias("messages"), "updated_at", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc_nulls_last("updated_at"), F.desc("conv_id"))).alias("place")).orderBy("user_id", "place")
 
 
 def create_if_absent(conversations: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -31,6 +31,15 @@ def create_if_absent(conversations: DataFrame, wanted: DataFrame) -> DataFrame:
     return conversations.unionByName(wanted.join(conversations.select("conv_id"), "conv_id", "left_anti").select(*conversations.columns))
 
 
+def append_messages(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """The messages with the new ones ``(conv_id, role, text, timestamp, ...)`` after them, numbered on from each conversation's last turn."""
+    last = messages.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    order = Window.partitionBy("conv_id").orderBy("timestamp", "role", "text")
+    numbered = new.withColumn("_n", F.row_number().over(order)).join(last, "conv_id", "left")
+    numbered = numbered.withColumn("turn", (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast(dict(messages.dtypes)["turn"]))
+    return messages.unionByName(numbered.select(*messages.columns))
+
+
 def add_messages(conversations: DataFrame, new: DataFrame) -> DataFrame:
     """Conversations whose ``updated_at`` is moved to their newest added message."""
     latest = new.groupBy("conv_id").agg(F.max("timestamp").alias("newest"))
@@ -48,6 +57,20 @@ def with_title(messages: DataFrame, most: int = 30) -> DataFrame:
     return first.select("conv_id", F.to_json(F.create_map(F.lit("title"), F.left("text", F.lit(most)))).alias("metadata"))
 
 
+def merge_metadata(conversations: DataFrame, updates: DataFrame) -> DataFrame:
+    """Conversations with the keys of ``updates(conv_id, metadata)`` put over those of their own ``metadata`` (JSON objects); others stay."""
+    parsed = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    rows = conversations.join(updates.select("conv_id", F.col("metadata").alias("_new")), "conv_id", "left").withColumns({"_a": parsed(F.col("metadata")), "_b": parsed(F.col("_new"))})
+    merged = F.map_concat(F.map_filter("_a", lambda k, v: ~F.map_contains_key("_b", k)), F.col("_b"))
+    sorted_ = F.map_from_entries(F.array_sort(F.map_entries(merged)))
+    return rows.withColumn("metadata", F.when(F.col("_new").isNull(), F.col("metadata")).otherwise(F.to_json(sorted_))).select(*conversations.columns)
+
+
+def recent_turns(messages: DataFrame, window: int = 5) -> DataFrame:
+    """The last ``window`` turns of each conversation, newest first."""
+    return messages.withColumn("back", F.row_number().over(_newest())).where(F.col("back") <= window)
+
+
 def paired_turns(messages: DataFrame) -> DataFrame:
     """Each user message with the next assistant message of the conversation, numbered from 1."""
     ahead = _oldest().rowsBetween(1, Window.unboundedFollowing)
@@ -59,7 +82,7 @@ def paired_turns(messages: DataFrame) -> DataFrame:
 def session_state(messages: DataFrame, as_of: str, idle_hours: int = 24, max_turns: int = 50) -> DataFrame:
     """Turns, last activity, and whether a session has expired or is full."""
     by = messages.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("timestamp").alias("last_activity"))
-    return by.select("conv_id", "turns", (F.col("last_activity") < F.expr(f"timestamp'{as_of}' - interval {idle_hours} hours")).alias("expired"), (F.col("turns") >= max_turns).alias("is_full"))
+    return by.select("conv_id", "turns", (F.col("last_activity") < F.expr(f"timestamp'{as_of}' - interval {idle_hours} hours")).alias("expired"), (F.col("turns") >= max_turns).alias("is_full")).withColumn("is_active", ~F.col("expired"))
 
 
 def digest(messages: DataFrame, first: int = 6, most: int = 200) -> DataFrame:

@@ -69,13 +69,19 @@ def hit_metrics(hits: DataFrame) -> DataFrame:
 
 
 def latency_breakdown(log: DataFrame, parts: list[str], by: list[str | Column]) -> DataFrame:
-    """Sum and mean of each timing column for each group."""
-    return log.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("sum", lambda c: F.round(F.sum(c), 6)), ("avg", lambda c: F.round(F.avg(c), 6)))])
+    """Sum, mean, median and 95th percentile of each timing or token column for each group; percentiles are approximate on large groups."""
+    forms = {"sum": lambda c: F.round(F.sum(c), 6), "avg": lambda c: F.round(F.avg(c), 6), "p50": lambda c: F.percentile_approx(c, 0.5, 10_000), "p95": lambda c: F.percentile_approx(c, 0.95, 10_000)}
+    return log.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in forms.items()])
 
 
-def search_stats(log: DataFrame, filtered: Column) -> DataFrame:
-    """Totals, the share of filtered searches in percent, mean time."""
-    return log.agg(F.count("*").alias("searches"), F.round(100.0 * F.count_if(filtered) / F.count("*"), 4).alias("filtered_percent"), F.round(F.avg("response_time_ms"), 4).alias("avg_time_ms"))
+def search_stats(log: DataFrame, filtered: Column, results: Column) -> DataFrame:
+    """Totals, the share of filtered searches in percent, mean time, mean number of results."""
+    return log.agg(F.count("*").alias("searches"), F.round(100.0 * F.count_if(filtered) / F.count("*"), 4).alias("filtered_percent"), F.round(F.avg("response_time_ms"), 4).alias("avg_time_ms"), F.round(F.avg(results), 4).alias("avg_results"))
+
+
+def cache_stats(log: DataFrame, key: str, hit: Column) -> DataFrame:
+    """Accesses, hits, misses and hit rate of each cache or collection."""
+    return log.groupBy(key).agg(F.count("*").alias("accesses"), F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.round(F.count_if(hit) / F.count("*"), 6).alias("hit_rate"))
 
 
 def access_ages(log: DataFrame, as_of: str) -> DataFrame:

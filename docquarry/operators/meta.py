@@ -49,11 +49,11 @@ def link_chunks(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def overlaps(chunks: DataFrame, key: str, most: int) -> DataFrame:
-    """Length of the longest end of the previous chunk that is this one's beginning, up to ``most`` characters."""
+    """Lengths of the longest end of the previous chunk that is this one's beginning, and of this one's that is the next's, up to ``most`` characters."""
     before = chunks.withColumn("_before", F.lag("content").over(Window.partitionBy(key).orderBy("chunk_index")))
     bound = F.least(F.length("_before"), F.length("content"), F.lit(most))
     fits = F.filter(F.sequence(F.lit(1), F.greatest(bound, F.lit(1))), lambda i: (i <= bound) & (F.right("_before", i) == F.left("content", i)))
-    return before.withColumn("overlap_previous", F.when(F.col("_before").isNull(), 0).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))).drop("_before")
+    return before.withColumn("overlap_previous", F.when(F.col("_before").isNull(), 0).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))).drop("_before").withColumn("overlap_next", F.coalesce(F.lead("overlap_previous").over(Window.partitionBy(key).orderBy("chunk_index")), F.lit(0)))
 
 
 def related(chunks: DataFrame, key: str, depth: int) -> DataFrame:

@@ -61,8 +61,8 @@ def custom_filters(filters: dict) -> Column:
 
 
 def paginate(rows: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
-    """A page of the rows; with a total order, the same one every time."""
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    """A page of the rows, each with the ``total`` number of rows; with a total order, the same page every time."""
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
 def valid_documents(rows: DataFrame, text: str, least: int = 50, most: int = 10_000, chunking: bool = False) -> DataFrame:

@@ -77,10 +77,35 @@ def sync_counts(diff: DataFrame) -> DataFrame:
     return diff.groupBy("change").agg(F.count("*").alias("records"))
 
 
+def sync_log(runs: DataFrame) -> DataFrame:
+    """Each run of ``runs(source_id, run_id, started, ended, processed, added, updated, deleted, error)`` with its status and duration in seconds."""
+    status = F.when(F.col("error").isNotNull(), "failed").when(F.col("ended").isNull(), "running").otherwise("completed")
+    return runs.select("*", status.alias("status"), (F.col("ended").cast("double") - F.col("started").cast("double")).alias("duration"))
+
+
+def sync_state(state: DataFrame, runs: DataFrame) -> DataFrame:
+    """The state table, one row for each source, with the latest of the new runs in place of the old row; a failed run keeps the last good time."""
+    logged = sync_log(runs)
+    last = logged.groupBy("source_id").agg(F.max_by(F.struct("status", "processed", "added", "updated", "deleted", "duration", "error"), F.struct("started", "run_id")).alias("r"), F.max(F.when(F.col("status") == "completed", F.col("ended"))).alias("_good"))
+    before = state.select("source_id", F.col("last_sync").alias("_before"))
+    new = last.join(before, "source_id", "left").select("source_id", F.coalesce("_good", "_before").alias("last_sync"), "r.*")
+    return state.join(new.select("source_id"), "source_id", "left_anti").select(*new.columns).unionByName(new)
+
+
 def life_cycle(documents: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """Status and chunk counts of each document, from the chunks that exist."""
-    counts = chunks.groupBy(key).agg(F.count("*").alias("chunk_count"))
-    return documents.join(counts, key, "left").select(key, F.when(F.col("chunk_count") > 0, "processed").otherwise("uploading").alias("status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"))
+    """``key, status, processed_date, chunk_count, vector_count, metadata`` of each document, from its ``chunks(key, done_at, has_vector, metadata)``.
+
+    A document with chunks is processed, at the time of its last chunk; the chunks' metadata replace the document's map ``metadata`` key by key,
+    the value of the latest chunk first.  Documents without the column start with an empty map.
+    """
+    own = F.col("metadata") if "metadata" in documents.columns else F.create_map().cast("map<string,string>")
+    counts = chunks.groupBy(key).agg(F.count("*").alias("_chunks"), F.count_if("has_vector").alias("_vectors"), F.max("done_at").alias("processed_date"))
+    pairs = chunks.select(key, "done_at", F.explode("metadata").alias("k", "v")).groupBy(key, "k").agg(F.max_by("v", F.struct("done_at", "v")).alias("v"))
+    merged = pairs.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("_new"))
+    rows = documents.select(key, own.alias("_own")).join(counts, key, "left").join(merged, key, "left")
+    kept = F.map_filter("_own", lambda k, v: ~F.coalesce(F.map_contains_key("_new", k), F.lit(False)))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.select(key, F.when(F.col("_chunks") > 0, "processed").otherwise("uploading").alias("status"), "processed_date", zero("_chunks").alias("chunk_count"), zero("_vectors").alias("vector_count"), F.map_concat(kept, F.coalesce("_new", F.create_map().cast("map<string,string>"))).alias("metadata"))
 
 
 def run_statistics(runs: DataFrame, ok: Column, value: str) -> DataFrame:

@@ -68,19 +68,21 @@ def _by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) ->
     return reduce(DataFrame.unionByName, [search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", fields: tuple[str, ...] = ()) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", fields: tuple[str, ...] = (), match: Column | None = None) -> DataFrame:
     """``query_id, rank, key, distance, score`` of the nearest rows of each query; ties by key.
 
     The filter runs before the distances.  The query side is broadcast, beyond ``MOST_QUERIES`` in blocks that each read the corpus; the
     corpus is never shuffled whole: each task keeps its own best k of each query before they meet.  ``k`` may be a column of the queries.
+    ``match`` is a filter of each query's own: a condition on columns of both sides, for example ``col("wanted_group") == col("grp")``.
     """
-    return _by_blocks(queries, lambda block: _topk(block, corpus, k, metric, where, key, vector, fields))
+    return _by_blocks(queries, lambda block: _topk(block, corpus, k, metric, where, key, vector, fields, match))
 
 
-def _topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str, where: Column | None, key: str, vector: str, fields: tuple[str, ...]) -> DataFrame:
+def _topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str, where: Column | None, key: str, vector: str, fields: tuple[str, ...], match: Column | None = None) -> DataFrame:
     rows = corpus.where(where) if where is not None else corpus
     extra = [k] if isinstance(k, str) else []
-    pairs = rows.crossJoin(F.broadcast(queries)).select("query_id", key, *fields, *extra, METRICS[metric]("query_vec", vector).alias("distance"))
+    both = rows.crossJoin(F.broadcast(queries))
+    pairs = (both if match is None else both.where(match)).select("query_id", key, *fields, *extra, METRICS[metric]("query_vec", vector).alias("distance"))
     order = Window.partitionBy("query_id").orderBy(F.desc("distance") if metric in SIMILARITIES else F.asc("distance"), key)
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (F.col(k) if isinstance(k, str) else k))
     return ranked.select("query_id", "rank", key, *fields, "distance", to_score(F.col("distance"), metric).alias("score"))
@@ -205,11 +207,15 @@ def principal_components(rows: DataFrame, vector: str, target: int) -> tuple[Dat
 
 
 def dimension_stats(rows: DataFrame, vector: str) -> DataFrame:
-    """Mean, population deviation, extremes and variance share of each dimension."""
+    """Mean, population deviation, extremes and variance share of each dimension, with its place by share, and of all dimensions how many
+    hold 95 % of the variance (those whose running share does not exceed it), and how many have a share below 0.001 or over 0.01."""
     each = rows.select(F.posexplode(_double(vector)).alias("dim", "x"))
     stats = each.groupBy("dim").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.var_pop("x").alias("var"))
     total = F.sum("var").over(Window.partitionBy())
-    return stats.withColumn("share", F.col("var") / total)
+    line = Window.partitionBy().orderBy(F.desc("share"), "dim")
+    shares = stats.withColumn("share", F.col("var") / total).withColumns({"place": F.row_number().over(line), "running": F.round(F.sum("share").over(line), 9)})
+    counts = {"dims_for_95": F.col("running") <= 0.95, "low_dims": F.col("share") < 0.001, "high_dims": F.col("share") > 0.01}
+    return shares.withColumns({n: F.count_if(c).over(Window.partitionBy()) for n, c in counts.items()}).withColumn("in_top_10", F.col("place") <= 10).drop("running")
 
 
 def reuse_key(text: str, model: str, dims: int) -> Column:
@@ -265,6 +271,16 @@ def ivf_cells(corpus: DataFrame, vector: str, cells: int, seed: int = 42):
     return model.transform(data).drop("_v"), centres
 
 
+#: Cells that a search visits, by how much effort it makes.
+EFFORTS = {"precision": 256, "balanced": 64, "speed": 16}
+
+
+def probes_for(effort: str, cells: int, rows: int) -> int:
+    """Cells to visit of ``cells``: a preset's number, or for ``adaptive`` more for a larger table: 16, from 10,000 rows 64, from a million 256."""
+    wanted = EFFORTS[effort] if effort != "adaptive" else 16 if rows < 10_000 else 64 if rows < 1_000_000 else 256
+    return max(1, min(cells, wanted))
+
+
 def approximate_topk(queries: DataFrame, celled: DataFrame, centres: DataFrame, k: int, probes: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Top-k by cosine within the ``probes`` nearest cells of each query; visiting all cells gives the exact result."""
     line = Window.partitionBy("query_id").orderBy("_d", "cell")

@@ -123,6 +123,13 @@ def j10_has_permissions(spark, d):
     return A.has_permissions(_effective(spark, d), ["read", "write"])
 
 
+@query(f"{_EFFECTIVE}, q AS (SELECT DISTINCT user_id, unnest(['read', 'write', 'admin']) AS resource FROM p) SELECT q.user_id, resource, 'use' AS action, max((p.permission IS NOT NULL)::INT) = 1 AS allowed FROM q LEFT JOIN p ON p.user_id = q.user_id AND p.permission = resource GROUP BY 1, 2")
+def j10_check_access(spark, d):
+    rights = _effective(spark, d).select("user_id", F.concat("permission", F.lit(":*")).alias("permission"))
+    asked = rights.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(x) for x in ("read", "write", "admin")])).alias("resource"), F.lit("use").alias("action"))
+    return A.check_access(asked, rights)
+
+
 @query(f"WITH {_USERS} SELECT user_id, 'user ' || user_id AS name, role AS roles FROM u WHERE role = 'editor'")
 def j11_user_list(spark, d):
     roles = user_roles(spark, d)

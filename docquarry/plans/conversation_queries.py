@@ -18,9 +18,9 @@ def _conversations(spark, d):
     return messages(spark, d).select("conv_id", "user_id").distinct()
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id, user_id, count(*) AS messages, max(timestamp) AS updated_at FROM v_message WHERE user_id = 3 GROUP BY 1, 2")
+@query(f"WITH {MESSAGES} SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, conv_id DESC) AS INTEGER) AS place FROM (SELECT conv_id, user_id, count(*) AS messages, max(timestamp) AS updated_at FROM v_message GROUP BY 1, 2)")
 def m2_conversation_list(spark, d):
-    return convo.conversation_list(_conversations(spark, d).where("user_id = 3"), messages(spark, d))
+    return convo.conversation_list(_conversations(spark, d), messages(spark, d))
 
 
 @query(f"WITH {MESSAGES} SELECT DISTINCT conv_id, user_id FROM v_message WHERE conv_id % 2 = 0 UNION SELECT DISTINCT conv_id, CAST(99 AS BIGINT) FROM v_message WHERE conv_id % 3 = 0 AND conv_id % 2 <> 0")
@@ -41,6 +41,28 @@ def m5_delete_conversations(spark, d):
     return convo.delete_conversations(m.select("conv_id", "turn"), m.where("conv_id % 5 = 0"))
 
 
+@query(f"WITH {MESSAGES}, l AS (SELECT conv_id, max(turn) AS last FROM v_message GROUP BY 1) SELECT conv_id, turn, text FROM v_message UNION ALL SELECT conv_id, last + 1, 'added' FROM l WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, last + 2, 'later' FROM l WHERE conv_id % 2 = 0")
+def m4_append_messages(spark, d):
+    m = messages(spark, d)
+    ends = m.where("conv_id % 2 = 0").groupBy("conv_id", "user_id").agg(F.max("timestamp").alias("t"))
+    new = lambda text, s: ends.select("conv_id", F.lit("user").alias("role"), F.lit(text).alias("text"), (F.col("t") + F.expr(f"interval {s} seconds")).alias("timestamp"), "user_id")
+    return convo.append_messages(m, new("later", 9).unionByName(new("added", 5))).select("conv_id", "turn", "text")
+
+
+@query(f"""WITH {MESSAGES}, c AS (SELECT DISTINCT conv_id FROM v_message), t AS (SELECT conv_id, arg_min(left(text, 30), turn) AS title FROM v_message WHERE role = 'user' AND conv_id % 3 <> 0 GROUP BY 1)
+    SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'en' END AS lang, coalesce(title, CASE WHEN conv_id % 2 = 0 THEN 'old' END) AS title FROM c LEFT JOIN t USING (conv_id)""")
+def m6_merge_metadata(spark, d):
+    m = messages(spark, d)
+    own = m.select("conv_id").distinct().withColumn("metadata", F.when(F.col("conv_id") % 2 == 0, F.lit('{"lang": "en", "title": "old"}')))
+    merged = convo.merge_metadata(own, convo.with_title(m.where("conv_id % 3 <> 0")))
+    return merged.select("conv_id", *[F.get_json_object("metadata", f"$.{k}").alias(k) for k in ("lang", "title")])
+
+
+@query(f"WITH {MESSAGES}, n AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INTEGER) AS back FROM v_message) SELECT conv_id, turn, back FROM n WHERE back <= 5")
+def m8_recent_turns(spark, d):
+    return convo.recent_turns(messages(spark, d)).select("conv_id", "turn", "back")
+
+
 @query(f"WITH {MESSAGES} SELECT conv_id, arg_min(left(text, 30), turn) AS title FROM v_message WHERE role = 'user' GROUP BY 1")
 def m6_titles(spark, d):
     return convo.with_title(messages(spark, d)).select("conv_id", F.get_json_object("metadata", "$.title").alias("title"))
@@ -56,7 +78,7 @@ def m7_paired_turns(spark, d):
     return convo.paired_turns(messages(spark, d))
 
 
-@query(f"WITH {MESSAGES} SELECT conv_id, count(*) AS turns, max(timestamp) < TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 24 HOURS AS expired, count(*) >= 6 AS is_full FROM v_message GROUP BY 1")
+@query(f"WITH {MESSAGES} SELECT conv_id, count(*) AS turns, max(timestamp) < TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 24 HOURS AS expired, count(*) >= 6 AS is_full, max(timestamp) >= TIMESTAMP '2024-01-05 00:00:00' - INTERVAL 24 HOURS AS is_active FROM v_message GROUP BY 1")
 def m8_session_state(spark, d):
     return convo.session_state(messages(spark, d), "2024-01-05 00:00:00", max_turns=6)
 

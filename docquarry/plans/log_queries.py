@@ -50,15 +50,21 @@ def l8_user_history(spark, d):
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, event_type, round(sum(value), 6) AS sum_value, round(avg(value), 6) AS avg_value,
-    CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS DOUBLE) AS sum_tokens, round(avg(CAST(json_extract(props, '$.k') AS BIGINT)), 6) AS avg_tokens FROM events GROUP BY 1, 2""")
+    CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS DOUBLE) AS sum_tokens, round(avg(CAST(json_extract(props, '$.k') AS BIGINT)), 6) AS avg_tokens, quantile_disc(value, 0.5) AS p50_value, quantile_disc(value, 0.95) AS p95_value,
+    quantile_disc(CAST(json_extract(props, '$.k') AS DOUBLE), 0.5) AS p50_tokens, quantile_disc(CAST(json_extract(props, '$.k') AS DOUBLE), 0.95) AS p95_tokens FROM events GROUP BY 1, 2""")
 def l9_latency_breakdown(spark, d):
     log = table(spark, d, "events").withColumn("tokens", F.get_json_object("props", "$.k").cast("long").cast("double"))
     return logs.latency_breakdown(log, ["value", "tokens"], [F.to_date("ts").alias("day"), "event_type"])
 
 
-@query(f"WITH {QUERY_LOG} SELECT count(*) AS searches, round(100.0 * count(*) FILTER (event_type = 'view') / count(*), 4)::DOUBLE AS filtered_percent, round(avg(response_time_ms), 4) AS avg_time_ms FROM v_query_log")
+@query(f"WITH {QUERY_LOG} SELECT count(*) AS searches, round(100.0 * count(*) FILTER (event_type = 'view') / count(*), 4)::DOUBLE AS filtered_percent, round(avg(response_time_ms), 4) AS avg_time_ms, round(avg(event_id % 20), 4) AS avg_results FROM v_query_log")
 def l10_search_stats(spark, d):
-    return logs.search_stats(query_log(spark, d), F.col("event_type") == "view")
+    return logs.search_stats(query_log(spark, d), F.col("event_type") == "view", F.col("event_id") % 20)
+
+
+@query(f"WITH {QUERY_LOG} SELECT event_type, count(*) AS accesses, count(*) FILTER (event_id % 3 = 0) AS hits, count(*) FILTER (event_id % 3 <> 0) AS misses, round(count(*) FILTER (event_id % 3 = 0) / count(*), 6) AS hit_rate FROM v_query_log GROUP BY 1")
+def l11_cache_stats(spark, d):
+    return logs.cache_stats(query_log(spark, d), "event_type", F.col("event_id") % 3 == 0)
 
 
 @query(f"WITH {QUERY_LOG} SELECT CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(timestamp))) / 60) AS BIGINT) AS age_minutes, count(*) AS accesses FROM v_query_log GROUP BY 1")

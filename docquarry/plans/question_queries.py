@@ -121,7 +121,7 @@ def i2_synonym_terms(spark, d):
     return Q.synonym_terms(Q.base_terms(questions(spark, d), "query"), _synonyms(spark)).drop("kind").withColumn("weight", F.round("weight", 6))
 
 
-@query(rf"WITH {QUESTIONS}, w AS (SELECT query_id, unnest(string_split_regex(lower(query), '\s+')) AS w, generate_subscripts(string_split_regex(lower(query), '\s+'), 1) AS p FROM v_query), f AS (SELECT query_id, w, min(p) AS p FROM w WHERE length(w) > 2 AND w NOT IN {_STOP} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS n FROM f) SELECT query_id, w AS term, 0.7::DOUBLE AS weight FROM r WHERE n <= 5")
+@query(rf"WITH {QUESTIONS}, w AS (SELECT query_id, unnest(string_split_regex(lower(query), '\s+')) AS w, generate_subscripts(string_split_regex(lower(query), '\s+'), 1) AS p FROM v_query), f AS (SELECT query_id, w, min(p) AS p FROM w WHERE length(w) > 2 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with','what','how','when','where','why','who','which') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS n FROM f) SELECT query_id, w AS term, 0.7::DOUBLE AS weight FROM r WHERE n <= 5")
 def i4_entity_terms(spark, d):
     q = questions(spark, d).select("query_id", F.array().cast("array<string>").alias("e"), Q.keywords("query").alias("k"))
     return Q.entity_terms(q, "e", "k").drop("kind")

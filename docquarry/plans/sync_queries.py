@@ -88,9 +88,43 @@ def k10_sync_counts(spark, d):
     return reconcile.sync_counts(reconcile.sync_diff(*old_and_new(spark, d), "c_custkey", ["c_name", "bal"]))
 
 
-@query("SELECT o_orderkey, CASE WHEN count(l_orderkey) > 0 THEN 'processed' ELSE 'uploading' END AS status, count(l_orderkey) AS chunk_count FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def _runs(spark, d):
+    e = table(spark, d, "events").where("event_id % 3 = 0")
+    begun = F.col("ts").cast("timestamp")
+    return e.select((F.col("user_id") % 40).alias("source_id"), F.col("event_id").alias("run_id"), begun.alias("started"), F.when(F.col("event_id") % 5 != 0, begun + F.expr("make_dt_interval(0, 0, 0, event_id % 90)")).alias("ended"), F.col("event_id").alias("processed"), (F.col("event_id") % 7).alias("added"), (F.col("event_id") % 4).alias("updated"), (F.col("event_id") % 2).alias("deleted"), F.when(F.col("event_type") == "error", F.lit("broken")).alias("error"))
+
+
+_RUNS = """r AS (SELECT user_id % 40 AS source_id, event_id AS run_id, ts AS started, CASE WHEN event_id % 5 <> 0 THEN ts + to_seconds(event_id % 90) END AS ended, event_id AS processed, event_id % 7 AS added, event_id % 4 AS updated, event_id % 2 AS deleted,
+    CASE WHEN event_type = 'error' THEN 'broken' END AS error FROM events WHERE event_id % 3 = 0),
+    l AS (SELECT *, CASE WHEN error IS NOT NULL THEN 'failed' WHEN ended IS NULL THEN 'running' ELSE 'completed' END AS status, epoch(ended) - epoch(started) AS duration FROM r)"""
+
+
+@query(f"WITH {_RUNS} SELECT source_id, run_id, status, round(duration, 3) AS duration FROM l")
+def k10_sync_log(spark, d):
+    return reconcile.sync_log(_runs(spark, d)).select("source_id", "run_id", "status", F.round("duration", 3).alias("duration"))
+
+
+@query(
+    f"""WITH {_RUNS}, n AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY started DESC, run_id DESC) = 1), g AS (SELECT source_id, max(ended) FILTER (status = 'completed') AS good FROM l GROUP BY 1)
+    SELECT source_id, CAST(floor(coalesce(epoch(good), 0)) AS BIGINT) AS last_sync, status, processed, added, updated, deleted, round(duration, 3) AS duration FROM n JOIN g USING (source_id)
+    UNION ALL SELECT 100 + n_nationkey, 0::BIGINT, 'completed', 1::BIGINT, 1::BIGINT, 0::BIGINT, 0::BIGINT, 0.5::DOUBLE FROM nation"""
+)
+def k10_sync_state(spark, d):
+    keys = table(spark, d, "nation").select((100 + F.col("n_nationkey")).cast("long").alias("source_id")).unionByName(_runs(spark, d).select("source_id").distinct())
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    state = keys.select("source_id", F.timestamp_seconds(F.lit(0)).alias("last_sync"), F.lit("completed").alias("status"), one.alias("processed"), one.alias("added"), none.alias("updated"), none.alias("deleted"), F.lit(0.5).alias("duration"), F.lit(None).cast("string").alias("error"))
+    return reconcile.sync_state(state, _runs(spark, d)).withColumns({"last_sync": F.unix_timestamp("last_sync"), "duration": F.round("duration", 3)}).drop("error")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS o_orderkey, max(l_shipdate) AS processed_date, count(*) AS chunk_count, count(*) FILTER (l_quantity > 10) AS vector_count, arg_max(l_returnflag, (l_shipdate, l_returnflag)) AS flag FROM lineitem GROUP BY 1)
+    SELECT o_orderkey, CASE WHEN chunk_count > 0 THEN 'processed' ELSE 'uploading' END AS status, CAST(processed_date AS TIMESTAMP) AS processed_date, coalesce(chunk_count, 0) AS chunk_count, coalesce(vector_count, 0) AS vector_count, coalesce(flag, 'none') AS flag, o_orderstatus AS state FROM orders LEFT JOIN c USING (o_orderkey)"""
+)
 def k11_life_cycle(spark, d):
-    return reconcile.life_cycle(table(spark, d, "orders"), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+    docs = table(spark, d, "orders").select("o_orderkey", F.create_map(F.lit("state"), F.col("o_orderstatus"), F.lit("flag"), F.lit("none")).alias("metadata"))
+    done = F.col("l_shipdate").cast("timestamp")
+    chunks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), done.alias("done_at"), (F.col("l_quantity") > 10).alias("has_vector"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("metadata"))
+    return reconcile.life_cycle(docs, chunks, "o_orderkey").withColumns({"flag": F.col("metadata")["flag"], "state": F.col("metadata")["state"]}).drop("metadata")
 
 
 @query("SELECT count(*) AS runs, round(100.0 * count(*) FILTER (event_type <> 'error') / count(*), 4)::DOUBLE AS success_rate, round(avg(value), 4) AS average FROM events")

@@ -55,21 +55,42 @@ def a12_partitions(spark, d):
     return T.in_partitions(table(spark, d, "documents").select("doc_id", "source"), "source", ["src0", "src7"])
 
 
-@query("""SELECT 'c_custkey' AS column_name, 'bigint' AS type, count(*) AS "rows", count(*) - count(c_custkey) AS nulls, count(DISTINCT c_custkey) AS distinct_values FROM customer
-    UNION ALL SELECT 'c_mktsegment', 'string', count(*), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'c_nationkey', 'int', count(*), count(*) - count(c_nationkey), count(DISTINCT c_nationkey) FROM customer""")
+@query("""SELECT 'c_custkey' AS column_name, 'bigint' AS type, true AS nullable, count(*) AS "rows", count(*) - count(c_custkey) AS nulls, count(DISTINCT c_custkey) AS distinct_values FROM customer
+    UNION ALL SELECT 'c_mktsegment', 'string', true, count(*), count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment) FROM customer UNION ALL SELECT 'c_nationkey', 'int', true, count(*), count(*) - count(c_nationkey), count(DISTINCT c_nationkey) FROM customer""")
 def a14_profile_table(spark, d):
     return T.profile_table(table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"))
 
 
-@query("SELECT 'lineitem' AS table_name, 'orders,part' AS refers_to, '' AS referred_by UNION ALL SELECT 'orders', 'customer', 'lineitem' UNION ALL SELECT 'part', '', 'lineitem' UNION ALL SELECT 'customer', '', 'orders'")
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
+def a14_sample_rows(spark, d):
+    return T.sample_rows(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+_KEYS = (("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("orders", "o_custkey", "customer", "c_custkey"))
+
+
+@query("SELECT * FROM (SELECT 'lineitem' AS table_name, 'orders,part' AS refers_to, '' AS referred_by, (SELECT count(*) FROM lineitem) AS \"rows\" UNION ALL SELECT 'orders', 'customer', 'lineitem', (SELECT count(*) FROM orders) UNION ALL SELECT 'part', '', 'lineitem', (SELECT count(*) FROM part) UNION ALL SELECT 'customer', '', 'orders', (SELECT count(*) FROM customer))")
 def a15_relationships(spark, d):
-    return T.relationships(spark.createDataFrame([("lineitem", "orders"), ("lineitem", "part"), ("orders", "customer")], "table_name string, refers_to string"))
+    keys = spark.createDataFrame([(child, parent) for child, _, parent, _ in _KEYS], "table_name string, refers_to string")
+    sizes = T.table_sizes({t: table(spark, d, t) for t in ("lineitem", "orders", "part", "customer")})
+    return T.relationships(keys).join(sizes, "table_name")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{child}' AS child, '{parent}' AS parent, count({key}) AS linked_rows, count(DISTINCT {key}) AS keys, count(DISTINCT {key}) FILTER ({key} NOT IN (SELECT {parent_key} FROM {parent})) AS unknown_keys FROM {child}" for child, key, parent, parent_key in _KEYS
+    )
+)
+def a15_links(spark, d):
+    parts = [T.links_of(table(spark, d, child), key, table(spark, d, parent), parent_key).select(F.lit(child).alias("child"), F.lit(parent).alias("parent"), "linked_rows", "keys", "unknown_keys") for child, key, parent, parent_key in _KEYS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("SELECT 'Invoices' AS name UNION ALL SELECT 'USERS'")
+@query("SELECT DISTINCT lower(o_orderpriority) AS name FROM orders WHERE lower(o_orderpriority) NOT IN (SELECT lower(o_orderpriority) FROM orders WHERE o_orderkey % 2 = 0 AND o_orderpriority < '3') UNION SELECT DISTINCT lower(n_name) FROM nation")
 def a16_missing_tables(spark, d):
-    names = lambda *x: spark.createDataFrame([(i,) for i in x], "name string")
-    return T.missing_tables(names("ORDERS", "Customer", "part"), names("orders", "customer", "Invoices", "USERS"))
+    names = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("name"))
+    expected = names.select(F.lower("name").alias("name")).distinct().unionByName(table(spark, d, "nation").select(F.lower("n_name").alias("name")).distinct())
+    return T.missing_tables(names.where("o_orderkey % 2 = 0 and name < '3'").select(F.upper("name").alias("name")).distinct(), expected)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
@@ -99,9 +120,9 @@ def b5_scalar_query(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 5000 and c_mktsegment = 'MACHINERY'").orderBy("c_custkey").limit(25).select("c_custkey", "c_name")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 60")
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 60")
 def b7_paginate(spark, d):
-    return P.paginate(table(spark, d, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 30, 60).select("o_orderkey", "o_totalprice")
+    return P.paginate(table(spark, d, "orders"), [F.desc("o_totalprice"), F.asc("o_orderkey")], 30, 60).select("o_orderkey", "o_totalprice", "total")
 
 
 @query("SELECT doc_id FROM documents WHERE length(trim(text)) > 0 AND length(text) BETWEEN 50 AND 10000")

@@ -243,10 +243,10 @@ def e4_link_chunks(spark, d):
     return meta.link_chunks(chunks(spark, d), "doc_id").select("doc_id", "chunk_index", "previous_chunk", "next_chunk")
 
 
-@query(f"""WITH {CHUNKS}, p AS (SELECT doc_id, chunk_index, content, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS b FROM v_chunk)
-    SELECT doc_id, chunk_index, CAST(coalesce(CASE WHEN b IS NULL THEN 0 ELSE list_max(list_filter(range(1, least(length(b), length(content), 250) + 1), lambda i: right(b, i) = left(content, i))) END, 0) AS INTEGER) AS overlap_previous FROM p""")
+@query(f"""WITH {CHUNKS}, p AS (SELECT doc_id, chunk_index, content, lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS b, lead(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS n FROM v_chunk)
+    SELECT doc_id, chunk_index, CAST(coalesce(CASE WHEN b IS NULL THEN 0 ELSE list_max(list_filter(range(1, least(length(b), length(content), 250) + 1), lambda i: right(b, i) = left(content, i))) END, 0) AS INTEGER) AS overlap_previous, CAST(coalesce(list_max(list_filter(range(1, least(length(n), length(content), 250) + 1), lambda i: right(content, i) = left(n, i))), 0) AS INTEGER) AS overlap_next FROM p""")
 def e5_overlaps(spark, d):
-    return meta.overlaps(chunks(spark, d), "doc_id", 250).select("doc_id", "chunk_index", "overlap_previous")
+    return meta.overlaps(chunks(spark, d), "doc_id", 250).select("doc_id", "chunk_index", "overlap_previous", "overlap_next")
 
 
 @query(f"WITH {CHUNKS} SELECT a.doc_id, a.chunk_index, b.chunk_index AS related_index FROM v_chunk a JOIN v_chunk b ON a.doc_id = b.doc_id AND abs(a.chunk_index - b.chunk_index) BETWEEN 1 AND 2")

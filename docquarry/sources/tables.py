@@ -112,13 +112,19 @@ def import_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def profile_table(rows: DataFrame) -> DataFrame:
-    """``column_name, type, rows, nulls, distinct_values`` of each column, from one pass."""
+    """``column_name, type, nullable, rows, nulls, distinct_values`` of each column, from one pass."""
+    nullable = {f.name: f.nullable for f in rows.schema.fields}
     total = F.count(F.lit(1)).alias("rows")
     facts = rows.agg(total, *[F.struct(F.count_if(F.col(c).isNull()).alias("nulls"), F.countDistinct(c).alias("d")).alias(f"_{i}") for i, c in enumerate(rows.columns)])
-    per = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("type"), F.col("rows"), F.col(f"_{i}.nulls").alias("nulls"), F.col(f"_{i}.d").alias("distinct_values")) for i, (c, t) in enumerate(rows.dtypes)])
+    per = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("type"), F.lit(nullable[c]).alias("nullable"), F.col("rows"), F.col(f"_{i}.nulls").alias("nulls"), F.col(f"_{i}.d").alias("distinct_values")) for i, (c, t) in enumerate(rows.dtypes)])
     return facts.select(F.inline(per))
 
 
+def sample_rows(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """``n`` rows as examples: those with the least keys, the same ones every time."""
+    return rows.orderBy(key).limit(n)
+
+
 def tables_with_column(tables: dict[str, DataFrame], column: str) -> list[str]:
     return sorted(name for name, t in tables.items() if column in t.columns)
 
@@ -129,6 +135,19 @@ def relationships(keys: DataFrame) -> DataFrame:
     return sides.groupBy("t").agg(F.array_join(F.sort_array(F.collect_set("to_")), ",").alias("refers_to"), F.array_join(F.sort_array(F.collect_set("from_")), ",").alias("referred_by")).withColumnRenamed("t", "table_name")
 
 
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table_name, rows`` of each table."""
+    counts = [t.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table_name"), "rows") for name, t in sorted(tables.items())]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def links_of(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
+    """How far a reference holds: rows with a key, distinct keys, and keys that the parent lacks."""
+    keys = child.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("n"))
+    known = parent.select(F.col(parent_key).alias("_k"), F.lit(1).alias("_known")).distinct()
+    return keys.join(known, "_k", "left").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("linked_rows"), F.count("*").alias("keys"), F.count_if(F.col("_known").isNull()).alias("unknown_keys"))
+
+
 def missing_tables(existing: DataFrame, expected: DataFrame) -> DataFrame:
     """Expected names without an existing table, whatever the case."""
     low = lambda t: t.select(F.lower("name").alias("low"))

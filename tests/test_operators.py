@@ -149,3 +149,18 @@ def test_incremental_sync(spark, event_files):
     assert sum(seen) == 1000
     streams.sync_available(stream().select("event_id"), str(path / "cp"), lambda batch, _: seen.append(-batch.count()))
     assert sum(seen) == 1000
+
+
+def test_recall_of_the_registered_index(spark):
+    from docquarry.plans import catalog
+
+    found = catalog.queries()["f20_recall"](spark, "/root/testdata/sf0.1").agg(F.avg("recall"), F.min("recall")).head()
+    assert found[0] >= 0.9
+
+
+def test_efforts():
+    from docquarry.operators import vector
+
+    assert [vector.probes_for(e, 500, 0) for e in ("precision", "balanced", "speed")] == [256, 64, 16]
+    assert [vector.probes_for("adaptive", 500, n) for n in (100, 10_000, 5_000_000)] == [16, 64, 256]
+    assert vector.probes_for("precision", 8, 0) == 8
