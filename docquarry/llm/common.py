@@ -109,7 +109,7 @@ def least_hashed(rows: DataFrame, n: int) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 

@@ -207,13 +207,14 @@ def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _prefixes(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in rows_of(batches):
-            shown = []
+        for rows in rows_of(batches, 16):
             for r in rows:
-                alone, own = r["n"] - len(r["common"]), size_class(r["n"])
-                for c, length in prefix_lengths(r["n"], percent):
-                    shown += [(s, min(own, c), max(own, c), r["id"], r["root"]) for s in r["common"][: max(0, length - alone)]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in shown], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["shingle", "low", "high", "id", "root"])
+                common, own = np.array(r["common"], np.int64), size_class(r["n"])
+                taken = [(c, max(0, min(len(common), length - r["n"] + len(common)))) for c, length in prefix_lengths(r["n"], percent)]
+                counts = [n for _, n in taken]
+                sides = [np.repeat(np.array([f(own, c) for c, _ in taken], np.int32), counts) for f in (min, max)]
+                shown = np.concatenate([common[:n] for n in counts]) if counts else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shown), *map(pa.array, sides), *[pa.array(np.full(len(shown), r[x], np.int64)) for x in ("id", "root")]], ["shingle", "low", "high", "id", "root"])
 
     return run
 

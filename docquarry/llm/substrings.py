@@ -79,7 +79,7 @@ def _suffixes(window: int):
                     key = hashlib.blake2b(content, digest_size=16, salt=int(position[k] - lo).to_bytes(4, "little")).digest()
                     out.append((r["doc_id"], r["row"], lo, int(grams[k].view(np.int64)), key, content))
                     held += len(content)
-                    if held > GROUP_BYTES:
+                    if held > 1 << 20:
                         yield pack()
                         out, held = [], 0
         yield pack()
@@ -105,7 +105,8 @@ def suffix_tree(contents: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     runs = [np.lib.stride_tricks.sliding_window_view(np.fromiter(map(numbers.__getitem__, c.split(b" ")), np.int32), window) for c in contents]
     leaves = np.ascontiguousarray(np.concatenate(runs))
     order = np.argsort(leaves.view(np.dtype((np.void, 4 * window))).ravel(), kind="stable")
-    parts = leaves[order[1:]] != leaves[order[:-1]]
+    leaves = leaves[order]
+    parts = leaves[1:] != leaves[:-1]
     common = np.where(parts.any(axis=1), parts.argmax(axis=1), window)
     return np.repeat(np.arange(len(runs)), [len(r) for r in runs]), order, common
 
