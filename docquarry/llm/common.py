@@ -145,10 +145,14 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[list[dict]]:
-    """The rows of Arrow batches, few at a time, so that Python objects of a whole batch never coexist."""
+    """The rows of Arrow batches, few at a time, so that Python objects of a whole batch never coexist.
+
+    What Arrow holds for reuse is given back at the end, as a worker goes on to other tasks.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def bounds(df: DataFrame, column: str, buckets: int) -> list[int]:

@@ -25,7 +25,7 @@ _CHUNK = re.compile(r" +[^ ]*|[^ ]+")
 class PieceModel:
     """Pieces, scores and byte pieces of a sentencepiece model file, with an automaton over the pieces."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 100_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -116,13 +116,17 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+def _lists(found: list[array]) -> pa.ListArray:
+    """Ids of several texts as one column, without Python numbers."""
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in found])))
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(path)
         for rows in rows_of(batches, 64):
-            found = [model.encode(r["text"] or "") for r in rows]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in found])))
+            ids = _lists([model.encode(r["text"] or "") for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"] for r in rows], pa.int64()), ids], ["doc_id", "ids"])
 
     return run
@@ -147,11 +151,11 @@ def _round_trip(path: str, with_ids: bool):
                 text = r["text"] or ""
                 ids = model.encode(text)
                 back = model.decode(ids)
-                out.append((len(ids), zlib.crc32(np.frombuffer(ids, np.int32).astype("<i4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text, ids.tolist() if with_ids else None))
+                out.append((len(ids), zlib.crc32(np.frombuffer(ids, np.int32).astype("<i4").tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text, ids if with_ids else None))
             kinds = (("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_sha256", pa.string()), ("round_trip", pa.bool_()))
             columns, names = [pa.array([r["doc_id"] for r in rows], pa.int64()), *[pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(kinds)]], ["doc_id", *[c for c, _ in kinds]]
             if with_ids:
-                columns, names = [*columns, pa.array([x[4] for x in out], pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, _lists([x[4] for x in out])], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
