@@ -13,12 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame, group: str, order: str, name: str, parts: int = 64) -> DataFrame:
+    """``rows`` with the number of each within its group by ``order`` (long), in a new column ``name``.
+
+    Ranges of ``order`` split a group over ``parts`` tasks; a row's number is its place in its range after the rows of the ranges before,
+    which are counted from two columns.
+    """
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts)).head()[0] or []
+    part = lambda: F.coalesce(F.size(F.filter(F.lit(sorted(set(cuts))), lambda c: c <= F.col(order))), F.lit(0)) if cuts else F.lit(0)
+    counts = rows.groupBy(F.col(group).alias("_group"), part().alias("_range")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_group", F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = rows.withColumn("_part", part())
+    own = own.withColumn("_at", F.row_number().over(Window.partitionBy(group, "_part").orderBy(order)))
+    return own.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_of"))).select(*rows.columns, (F.col("_at") + F.col("_before")).cast("int").alias(name))
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return numbered(docs, "source", "doc_id", "_number").select(
         F.col("doc_id").alias("episode_id"),
         F.col("source").alias("novel_id"),
-        number.alias("episode_number"),
+        F.col("_number").alias("episode_number"),
         F.concat(F.lit("doc "), F.col("doc_id")).alias("episode_title"),
         F.expr("date_add(date'2024-01-01', cast(doc_id % 365 as int))").alias("publication_date"),
         F.col("text").alias("content"),

@@ -13,27 +13,55 @@ from pyspark.sql.streaming import StreamingQuery
 LATENESS = "10 minutes"
 
 
+def _seconds(times: pd.Series) -> list[float]:
+    return (times.astype("datetime64[us]").astype("int64") / 1e6).tolist()
+
+
+def _accept(accepted: list[float], t: float, most: int, seconds: int) -> bool:
+    """Whether a request at ``t`` is accepted; ``accepted`` is brought up to date."""
+    accepted[:] = [a for a in accepted if a > t - seconds]
+    if len(accepted) < most:
+        accepted.append(t)
+        return True
+    return False
+
+
 def rate_limited(requests: DataFrame, most: int = 100, seconds: int = 60) -> DataFrame:
     """``request_id, accepted``: at most ``most`` accepted requests of a client in the trailing time; rejected ones do not count.
 
-    Sequential for each client: the state is at most ``most`` accepted times.
+    A client's requests are decided in the order of time and id.  Rows come sorted, batch by batch, and only the ``most`` accepted times of
+    one client are held, so a client with a third of all requests takes one task long but not its memory.  On a stream the accepted times
+    are the client's state and the order is that within each part of the stream.
     """
+    schema = "request_id long, accepted boolean"
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        accepted: list[float] = []
+        client: object = decide
+        for rows in batches:
+            out = []
+            for c, t in zip(rows["client"], _seconds(rows["timestamp"]), strict=True):
+                c = None if pd.isna(c) else c
+                if c != client:
+                    client, accepted = c, []
+                out.append(_accept(accepted, t, most, seconds))
+            yield pd.DataFrame({"request_id": rows["request_id"], "accepted": out})
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp", "request_id"])
-        times, accepted, out = pdf["timestamp"].astype("int64").to_numpy() / 1e9 if pdf["timestamp"].dtype.str.endswith("[ns]") else pdf["timestamp"].astype("datetime64[ns]").astype("int64").to_numpy() / 1e9, [], []
-        for t in times:
-            accepted = [a for a in accepted if a > t - seconds]
-            out.append(len(accepted) < most)
-            if out[-1]:
-                accepted.append(t)
-        return pd.DataFrame({"request_id": pdf["request_id"], "accepted": out})
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        accepted = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "request_id"])
+        out = [_accept(accepted, t, most, seconds) for t in _seconds(rows["timestamp"])]
+        state.update((accepted,))
+        yield pd.DataFrame({"request_id": rows["request_id"], "accepted": out})
 
-    return requests.groupBy("client").applyInPandas(decide, "request_id long, accepted boolean")
+    rows = requests.select("request_id", "client", "timestamp")
+    if requests.isStreaming:
+        return rows.groupBy("client").applyInPandasWithState(step, schema, "times array<double>", "append", "NoTimeout")
+    return rows.repartition("client").sortWithinPartitions("client", "timestamp", "request_id").mapInPandas(decide, schema)
 
 
 def trailing_count(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """How many requests of the client there were in the trailing time, this one included."""
+    """How many requests of the client there were in the trailing time, this one and those of the same moment included."""
     line = Window.partitionBy("client").orderBy(F.unix_micros("timestamp")).rangeBetween(-seconds * 1_000_000, 0)
     return requests.withColumn("in_window", F.count("*").over(line))
 

@@ -142,6 +142,33 @@ def test_stream_of_alerts(spark, event_files):
     assert spark.read.parquet(str(path / "out")).count() == want.count()
 
 
+def test_stream_of_rate_limits(spark, event_files):
+    _, stream, path = event_files
+    requests = lambda rows: rows.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("client"), "timestamp")
+    log = requests(event_files[0])
+    accepted, want = {}, {}
+    for r in sorted(log.collect(), key=lambda r: (r["timestamp"], r["request_id"])):
+        known = accepted.setdefault(r["client"], [])
+        want[r["request_id"]] = sum((r["timestamp"] - t).total_seconds() < 86_400 for t in known) < 3
+        known += [r["timestamp"]] * want[r["request_id"]]
+    assert {r["request_id"]: r["accepted"] for r in streams.rate_limited(log, 3, 86_400).collect()} == want
+    assert not all(want.values())
+    streams.run_available(streams.rate_limited(requests(stream()), 3, 86_400), str(path / "out"), str(path / "cp"))
+    assert {r["request_id"]: r["accepted"] for r in spark.read.parquet(str(path / "out")).collect()} == want
+
+
+def test_numbers_within_a_hot_group(spark):
+    from docquarry.plans.views import numbered
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.when(F.col("id") % 2 == 0, "cold")).alias("g"))
+    got = {r["id"]: r["n"] for r in numbered(rows, "g", "id", "n", 7).collect()}
+    seen, want = {}, {}
+    for r in rows.orderBy("id").collect():
+        want[r["id"]] = seen[r["g"]] = seen.get(r["g"], 0) + 1
+    assert got == want
+    assert numbered(rows.limit(0), "g", "id", "n").count() == 0
+
+
 def test_incremental_sync(spark, event_files):
     _, stream, path = event_files
     seen = []
