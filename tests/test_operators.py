@@ -130,8 +130,10 @@ def test_streams_agree_with_batches(spark, event_files, job):
     streams.run_available(job(stream()), str(path / "out"), str(path / "cp"))
     batch = job(log)
     got = spark.read.schema(batch.schema).parquet(str(path / "out"))
-    late = got.join(batch, batch.columns, "left_anti").count()
-    assert late <= 1 or job is streams.daily_rollup  # sums of doubles differ in their last bits
+    if "time_ms" in batch.columns:  # sums of doubles differ in their last bits
+        got, batch = got.withColumn("time_ms", F.round("time_ms", 4)), batch.withColumn("time_ms", F.round("time_ms", 4))
+    # What ends last stays open until the watermark passes it; all else is equal.
+    assert got.exceptAll(batch).count() == 0
     assert 0 < got.count() <= batch.count()
 
 
@@ -139,7 +141,8 @@ def test_stream_of_alerts(spark, event_files):
     log, stream, path = event_files
     streams.run_available(streams.failure_alerts(stream(), 2), str(path / "out"), str(path / "cp"))
     want = streams.failure_alerts(log, 2)
-    assert spark.read.parquet(str(path / "out")).count() == want.count()
+    rows = lambda df: sorted(map(tuple, df.select("user_id", "timestamp", "failures").collect()))
+    assert rows(spark.read.parquet(str(path / "out"))) == rows(want) != []
 
 
 def test_stream_of_rate_limits(spark, event_files):
