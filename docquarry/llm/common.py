@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words in the contracts: space and the controls 9 to 13.
@@ -25,13 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share.  Only a local session may have none: it gets a folder of its own."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it when the session is built; without one there is nowhere to write."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        configured = f"file://{tempfile.mkdtemp(prefix='docquarry-')}"
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("build the session with spark.checkpoint.dir: a folder that the driver and all executors share")
     return configured
 
 
@@ -106,6 +102,25 @@ def least_hashed(rows: DataFrame, n: int) -> DataFrame:
     return rows.limit(0) if top is None else rows.where(h <= top)
 
 
+def numbered(rows: DataFrame, order: list[F.Column], within: list[str], size: str | None = None) -> DataFrame:
+    """The rows with ``_n``, their place (from 0) in the order over all rows, and with ``_before``, the sum of ``size`` over the rows before.
+
+    Rows are dealt by ranges of the order, which splits a hot first key by the later ones, and are numbered within their range; a range's
+    offset comes from the ranges' totals, of which there are as many as partitions.  ``order`` must tell all rows apart, or those that it
+    doesn't must be interchangeable.  The table's path is added to ``within``.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    kept = cut(dealt.withColumns({"_part": F.shiftrightunsigned("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id"), within)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = kept.groupBy("_part").agg(F.count("*").alias("_rows"), F.sum(size or F.lit(0)).cast("long").alias("_sum"))
+    offsets = totals.select("_part", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_s0"))
+    out = kept.join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_n0") + F.col("_at"))
+    if size:
+        inner = F.sum(size).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        out = out.withColumn("_before", F.col("_s0") + inner - F.col(size))
+    return out.drop("_part", "_at", "_n0", "_s0")
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered up to ``limit`` words."""
 

@@ -12,6 +12,8 @@ from .decontam import leaks
 from .fingerprint import fingerprint_with_edits
 from .langid import identify_languages
 from .mainhtml import extract_main_text
+from .manifest import manifest, third_by_checksum
+from .mixing import mix_report
 from .neardup import near_duplicates
 from .pieces import piece_round_trip
 from .shards import balanced_shards
@@ -60,10 +62,18 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"), third_by_checksum())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: DuckDB has no crc32 for op4, and the others are beyond SQL; tests hold them against brute force."""
+    """None: DuckDB has no crc32 for op4 and op13, and the others are beyond SQL; tests hold them against brute force."""
     return {}
