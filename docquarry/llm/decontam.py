@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, discard, let
+from .common import cut, discard, let, may_match
 
 #: Tokens of a template window, and how many of them are literal words at least; with fewer, its values count too.
 WINDOW, LITERALS = 8, 4
 #: Share of an item's windows that a document must hold, with consistent slots.
 COVERAGE = 0.4
-#: The benchmark is broadcast up to so many windows (about 60 bytes each); beyond, it is joined by a shuffle.
-MOST_BROADCAST = 500_000
-
-#: Units of measure, as they stand after a number.
+#: English and international units of measure, as they stand after a number; other languages' unit words are literals.
 UNITS = "km|m|cm|mm|mi|miles|mile|ft|feet|inch|inches|kg|g|mg|lb|lbs|oz|tons|t|l|ml|liters|litres|s|sec|seconds|second|min|minutes|minute|h|hours|hour|days|day|weeks|week|months|month|years|year|dollars|dollar|euros|euro|eur|usd|pounds|cents|percent|mph|kmh|hz|kw|w|v|gb|mb|kb"
 
 _NAME, _UNIT, _NUMBER = "\u0001", "\u0002", "\u0003"
@@ -42,34 +40,40 @@ def kinds_of(text: F.Column, names: bool) -> F.Column:
 def template_windows(rows: DataFrame, names: bool = True, widths: Sequence[int] = (WINDOW,)) -> DataFrame:
     """Every window of each of ``widths`` (1 to ``WINDOW``) tokens of ``rows.text``'s templates, beside the rows' other columns.
 
-    Adds ``at`` (from 1), ``width``, ``hash``, ``dense``, and the whole text's ``tokens`` and ``kinds``, from which ``slots_at`` takes the values of a
-    window that matched.  A window with placeholders and fewer than ``LITERALS`` literal words has no template: it is ``dense`` and hashed with
-    its values.  Null, empty and shorter texts give no window.
+    Adds ``at`` (from 1), ``width``, ``hash``, ``dense``, ``n`` (tokens of the whole text) and ``w``: the kinds ``k0``, ``k1``, ... and tokens
+    ``t0``, ``t1``, ... of this window, from which ``slots_at`` takes its values.  No row holds more of the text than its window.  A window
+    with placeholders and fewer than ``LITERALS`` literal words has no template: it is ``dense`` and hashed with its values.  Null, empty and
+    shorter texts give no window.
     """
     others = [c for c in rows.columns if c != "text"]
     split = rows.where("text is not null").select(*others, tokens_of(F.col("text")).alias("tokens"), kinds_of(F.col("text"), names).alias("kinds"))
     most = max(widths)
-    # Neighbours side by side: a window's hash needs no function over arrays.
-    beside = F.arrays_zip(*[F.slice("kinds", j + 1, F.greatest(F.lit(0), F.size("kinds") - j)).alias(f"k{j}") if j else F.col("kinds").alias("k0") for j in range(most)])
-    spread = split.where(F.size("tokens") >= min(widths)).select(*others, "tokens", "kinds", F.posexplode(beside).alias("before", "w"))
+    # Neighbours side by side: neither a window's hash nor its slots need a function over arrays.
+    shifted = lambda c, j: F.slice(c, j + 1, F.greatest(F.lit(0), F.size(c) - j)) if j else F.col(c)
+    beside = F.arrays_zip(*[shifted(c, j).alias(f"{c[0]}{j}") for c in ("kinds", "tokens") for j in range(most)])
+    spread = split.where(F.size("tokens") >= min(widths)).select(*others, F.size("tokens").alias("n"), F.posexplode(beside).alias("before", "w"))
     token = lambda j: F.col(f"w.k{j}")
 
     def one(width: int) -> F.Column:
         open_ = sum(((token(j) < F.lit("\u0004")).cast("int") for j in range(width)), F.lit(0))
         dense = (open_ > 0) & (width - open_ < LITERALS)
-        hashed = F.when(dense, F.xxhash64(F.lit("values"), F.slice("tokens", F.col("before") + 1, width))).otherwise(F.xxhash64(*[token(j) for j in range(width)]))
+        hashed = F.when(dense, F.xxhash64(F.lit("values"), *[F.col(f"w.t{j}") for j in range(width)])).otherwise(F.xxhash64(*[token(j) for j in range(width)]))
         return F.when(token(width - 1).isNotNull(), F.struct(F.lit(width).alias("width"), hashed.alias("hash"), dense.alias("dense")))
 
-    found = spread.select(*others, "tokens", "kinds", (F.col("before") + 1).alias("at"), F.explode(F.array(*[one(w) for w in widths])).alias("one"))
-    return found.where("one is not null").select(*others, "tokens", "kinds", "at", "one.width", "one.hash", "one.dense")
+    if len(widths) == 1:
+        found = spread.withColumn("one", one(most))
+    else:
+        found = spread.withColumn("one", F.explode(F.array(*[one(x) for x in widths])))
+    return found.where("one is not null").select(*others, "n", "w", (F.col("before") + 1).alias("at"), "one.width", "one.hash", "one.dense")
 
 
-def slots_at() -> F.Column:
+def slots_at(most: int) -> F.Column:
     """The values of a window's placeholders, empty for literal words, joined by U+0003; null for a window without template or without any."""
-    part = lambda c: F.slice(c, F.col("at"), F.col("width"))
-    open_ = lambda k: k < F.lit("\u0004")
-    values = F.zip_with(part("kinds"), part("tokens"), lambda k, t: F.when(open_(k), t).otherwise(""))
-    return F.when(~F.col("dense") & F.exists(part("kinds"), open_), F.array_join(values, "\u0003"))
+    inside = lambda j: F.col("width") > j
+    open_ = lambda j: inside(j) & (F.col(f"w.k{j}") < F.lit("\u0004"))
+    values = F.concat_ws("\u0003", *[F.when(open_(j), F.col(f"w.t{j}")).when(inside(j), F.lit("")) for j in range(most)])
+    any_ = reduce(lambda a, b: a | b, [open_(j) for j in range(most)])
+    return F.when(~F.col("dense") & any_, values)
 
 
 def _differs(pair: F.Column) -> F.Column:
@@ -106,52 +110,53 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item's windows, or of those with a template; ``reworded`` tells that some slot has another value than in the item.
 
     An item of fewer than 8 tokens is one window.  A window with fewer than 4 literal words matches on its values, word for word.
-    A literal word that is changed breaks all windows over it: an item of 8 to 15 tokens may keep none.
+    A literal word that is changed breaks all windows over it: an item of 8 to 15 tokens may keep none.  Numbers written as words, names in
+    capitals throughout or in scripts without capitals, and unit words of other languages than English are literals.
 
-    Texts are read once, and only windows that the benchmark has are kept.  A document that holds enough of an item holds one of the item's
-    windows that fewest items share, so pairs start from those: a window that many items share makes no pairs.
+    Texts are read once, and a filter of fixed size keeps the windows that the benchmark may have.  A document that holds enough of an item
+    holds one of the item's windows that fewest items share, so pairs start from those: a window that many items share makes no pairs.  A
+    pair then asks for its item's windows among its document's; no step has all of a document's windows beside all of its items.
 
-    Null ids are dropped; null and empty texts have no window.  Repeated rows count as one document.  Other columns are not read.  Empty tables give an empty result.
+    An item id with several texts is found by each of them alone; the row is that of the best covered.  Null ids are dropped; null and empty
+    texts have no window.  Repeated rows count as one document.  Other columns are not read.  Empty tables give an empty result.
     """
     spark, spent = docs.sparkSession, []
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     # Numbers from 1 to 8, whatever the benchmark's size.
     lengths = items.select(F.least(F.size(tokens_of(F.col("text"))), F.lit(WINDOW)).alias("n")).where("n > 0").distinct()
     widths = sorted({WINDOW, *(r["n"] for r in lengths.collect())})
-    of_form = lambda names: template_windows(items.select("item_id", F.xxhash64("text").alias("form"), "text"), names, widths).where(F.col("width") == F.least(F.size("tokens"), F.lit(WINDOW)))
-    forms = [of_form(names).select("item_id", "form", F.col("at").alias("pos"), "width", "hash", slots_at().alias("item_slots"), "dense") for names in (True, False)]
-    # An item's two forms share the windows without names.
+    of_form = lambda names: template_windows(items.select("item_id", F.xxhash64("text").alias("form"), "text"), names, widths).where(F.col("width") == F.least(F.col("n"), F.lit(WINDOW)))
+    forms = [of_form(names).select("item_id", "form", F.col("at").alias("pos"), "width", "hash", slots_at(WINDOW).alias("item_slots"), "dense") for names in (True, False)]
+    # A text with and without its names shares the windows that have none.
     known = cut(forms[0].unionByName(forms[1]).groupBy("item_id", "form", "pos", "width", "hash").agg(F.max("item_slots").alias("item_slots"), F.min("dense").alias("dense")), spent)
-    sizes = known.groupBy("item_id").agg(F.countDistinct("form", "pos").alias("all_of"), F.countDistinct(F.when(~F.col("dense"), F.struct("form", "pos"))).alias("open_of"))
-    bounded = lambda df: F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+    sizes = known.groupBy("item_id", "form").agg(F.countDistinct("pos").alias("all_of"), F.countDistinct(F.when(~F.col("dense"), F.col("pos"))).alias("open_of"))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    wanted = bounded(known.select(F.col("width").alias("_width"), F.col("hash").alias("_hash")).distinct())
-    windows = template_windows(rows, True, widths)
-    met = windows.join(wanted, (F.col("hash") == F.col("_hash")) & (F.col("width") == F.col("_width")))
-    hits = cut(met.select("doc_id", "at", "width", "hash", slots_at().alias("slots")), spent)
+    met = may_match(template_windows(rows, True, widths), known, "hash")
+    hits = cut(met.select("doc_id", "at", "width", "hash", slots_at(WINDOW).alias("slots")), spent)
 
-    shared = known.groupBy("width", "hash").agg(F.countDistinct("item_id").alias("df"))
+    shared = known.groupBy("width", "hash").agg(F.countDistinct("item_id", "form").alias("df"))
     places = known.join(shared, ["width", "hash"]).groupBy("item_id", "form", "pos").agg(F.max("df").alias("df"), F.min("dense").alias("dense"))
-    rank = lambda *by: F.row_number().over(Window.partitionBy("item_id", *by).orderBy("df", "pos", "form"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("item_id", "form", *by).orderBy("df", "pos"))
     first = lambda n: n - F.ceil(F.lit(coverage) * n) + 1
-    ranked = places.withColumns({"rank": rank(), "open_rank": rank("dense")}).join(sizes, "item_id")
+    ranked = places.withColumns({"rank": rank(), "open_rank": rank("dense")}).join(sizes, ["item_id", "form"])
     leading = ranked.where((F.col("rank") <= first(F.col("all_of"))) | ~F.col("dense") & (F.col("open_rank") <= first(F.col("open_of")))).select("item_id", "form", "pos")
-    leads = bounded(cut(known.join(leading, ["item_id", "form", "pos"]).select("item_id", "width", "hash").distinct(), spent))
-    pairs = cut(hits.join(leads, ["width", "hash"]).select("doc_id", "item_id").distinct(), spent)
+    leads = cut(known.join(leading, ["item_id", "form", "pos"]).select("item_id", "form", "width", "hash").distinct(), spent)
+    pairs = cut(hits.join(leads, ["width", "hash"]).select("doc_id", "item_id", "form").distinct(), spent)
 
-    found = hits.join(pairs, "doc_id").join(bounded(known), ["item_id", "width", "hash"]).select("doc_id", "item_id", "form", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), "slots", "item_slots", "dense")
+    # Each pair asks for its item's windows, and the keys spread a document's windows over the tasks.
+    found = hits.join(pairs.join(known, ["item_id", "form"]), ["doc_id", "width", "hash"]).select("doc_id", "item_id", "form", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), "slots", "item_slots", "dense")
     split = lambda c: F.split(F.coalesce(c, F.lit("")), "\u0003")
     values = F.filter(F.arrays_zip(split("item_slots").alias("item"), split("slots").alias("doc")), lambda p: F.coalesce(p["item"], F.lit("")) != "")
     found = found.withColumn("pairs", F.when(F.col("item_slots").isNull(), F.lit(None)).otherwise(F.transform(values, lambda p: F.struct(p["item"].alias("item"), p["doc"].alias("doc")))))
     lines = found.groupBy("doc_id", "item_id", "form", "diagonal").agg(F.collect_set(F.struct("pos", "dense", F.coalesce("pairs", F.array().cast("array<struct<item:string,doc:string>>")).alias("pairs"))).alias("found"))
-    lines = lines.select("doc_id", "item_id", "form", _consistent(F.col("found")).alias("pos"), F.exists("found", lambda w: F.exists(w["pairs"], _differs)).alias("reworded")).where(F.size("pos") > 0)
-    held = lines.groupBy("doc_id", "item_id").agg(F.flatten(F.collect_set(F.transform("pos", lambda x: F.struct("form", x["pos"].alias("pos"), x["dense"].alias("dense"))))).alias("held"), F.bool_or("reworded").alias("reworded"))
-    number = lambda held: F.size(F.array_distinct(F.transform(held, lambda x: F.struct(x["form"], x["pos"])))).cast("long")
-    share = lambda n, of: F.struct(F.coalesce(F.round(F.try_divide(n, of), 6), F.lit(0.0)).alias("coverage"), n.alias("windows"), of.alias("item_windows"))
+    lines = lines.select("doc_id", "item_id", "form", F.explode(_consistent(F.col("found"))).alias("window"), F.exists("found", lambda w: F.exists(w["pairs"], _differs)).alias("reworded"))
+    each = lines.groupBy("doc_id", "item_id", "form", F.col("window.pos").alias("pos")).agg(F.min("window.dense").alias("dense"), F.bool_or("reworded").alias("reworded"))
+    held = each.groupBy("doc_id", "item_id", "form").agg(F.count("*").alias("n"), F.count_if(~F.col("dense")).alias("open_n"), F.bool_or("reworded").alias("reworded"))
+    share = lambda n, of: F.struct(F.coalesce(F.round(F.try_divide(n, of), 6), F.lit(0.0)).alias("coverage"), (~F.col("reworded")).alias("verbatim"), n.alias("windows"), of.alias("item_windows"))
     # Windows that match on values only must not lessen the share of those that also match reworded.
-    best = F.greatest(share(number(F.col("held")), F.col("all_of")), share(number(F.filter("held", lambda x: ~x["dense"])), F.col("open_of")))
-    out = held.join(sizes, "item_id").select("doc_id", "item_id", "reworded", best.alias("best")).where(F.col("best.coverage") >= coverage)
-    out = cut(out.select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", "reworded"))
+    best = F.greatest(share(F.col("n"), F.col("all_of")), share(F.col("open_n"), F.col("open_of")))
+    out = held.join(sizes, ["item_id", "form"]).groupBy("doc_id", "item_id").agg(F.max(best).alias("best")).where(F.col("best.coverage") >= coverage)
+    out = cut(out.select("doc_id", "item_id", "best.windows", "best.item_windows", "best.coverage", (~F.col("best.verbatim")).alias("reworded")))
     discard(spark, spent)
     return out

@@ -359,6 +359,27 @@ def test_leaks_of_repeated_rows_and_a_very_long_text(spark):
     assert sorted((r["doc_id"], r["item_id"], r["coverage"], r["reworded"]) for r in out) == [(1, 7, 1.0, True), (1, 8, 1.0, True), (2, 7, 1.0, False), (2, 8, 1.0, False)]
 
 
+@pytest.mark.parametrize("different", [1, 1000])
+def test_leaks_of_a_page_that_lists_a_benchmark(spark, different):
+    """One document with one item 800 times, or with 1,000 items: rows as long as a window, no product of its windows and its items."""
+    rng = random.Random(8)
+    make = lambda i: " ".join(rng.choice(["river", "stone", "cloud", "green", "walks", "under", "seven", "paper", "light", "grain"]) for _ in range(20)) + f" costs {i + 3} euros today"
+    texts = [make(i) for i in range(different)]
+    page = " ".join(texts * (800 // different or 1))
+    began = time.perf_counter()
+    out = decontam.leaks(spark.createDataFrame([(1, page), (2, "nothing of it")], "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")).collect()
+    assert time.perf_counter() - began < 60
+    assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(1, i) for i in range(different)]
+    assert all(r["coverage"] == 1.0 for r in out)
+
+
+def test_each_text_of_an_item_is_judged_alone(spark):
+    texts = ["Natalia sold 48 clips to her friends in April and then she sold half as many clips in May", "a wholly other question about seven rivers that run from the hills to the grey sea", "one more form of it that no document has, about trains which leave a station at noon"]
+    bench = spark.createDataFrame([(10, t) for t in texts], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before it {t} after it") for i, t in enumerate(texts)] + [(9, "before it and after it")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"], r["reworded"]) for r in decontam.leaks(docs, bench).collect()) == [(i, 10, 1.0, False) for i in range(3)]
+
+
 def test_fingerprints(spark, docs, corpus, empty):
     out = {r["doc_id"]: r for r in fingerprint.fingerprint_with_edits(docs).collect()}
     order = sorted(corpus)
