@@ -11,8 +11,8 @@ from .common import WORD, cut, discard, let, numbered
 BLOCK_WORDS, SHARD_BLOCKS, MOST_EPOCHS = 64, 4096, 3
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Rounds of the permutation, and draws that one row becomes.
-ROUNDS, DRAWS_A_ROW = 24, 1 << 14
+#: Rounds of the permutation, draws that one row becomes, and draws of a task at least, up to so many tasks.
+ROUNDS, DRAWS_A_ROW, TASK_DRAWS, MOST_TASKS = 24, 1 << 12, 1 << 16, 20_000
 
 
 def words_in(text: F.Column) -> F.Column:
@@ -60,12 +60,13 @@ def draws(plan: DataFrame, seed: int = 0, shard_blocks: int = SHARD_BLOCKS) -> D
 
     Each draw falls on an output shard by a uniform hash, so the sources' counts of the shards are multinomial and each source's total is
     exact.  A source's draws go through permutations of its blocks, one for each time through, so that no block comes once more than another
-    does twice.  The draws of a large source start from many rows.
+    does twice.  The draws of a large source start from many rows, dealt over a stated number of tasks, as the rows that start them are few.
     """
-    shards = F.greatest(F.lit(1), F.ceil(plan.agg(F.coalesce(F.sum("drawn"), F.lit(0))).head()[0] / F.lit(shard_blocks)).cast("long"))
+    total = plan.agg(F.coalesce(F.sum("drawn"), F.lit(0))).head()[0]
+    shards, tasks = F.lit(max(1, -(-total // shard_blocks))).cast("long"), min(MOST_TASKS, 1 + total // TASK_DRAWS)
     starts = plan.where("drawn > 0").select("sid", "blocks", "drawn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("drawn") - 1) / DRAWS_A_ROW).cast("long"))).alias("part"))
     last = F.least(F.col("drawn"), (F.col("part") + 1) * DRAWS_A_ROW) - 1
-    each = starts.repartition("sid", "part").select("sid", "blocks", F.explode(F.sequence(F.col("part") * DRAWS_A_ROW, last)).alias("draw"))
+    each = starts.repartition(tasks, "sid", "part").select("sid", "blocks", F.explode(F.sequence(F.col("part") * DRAWS_A_ROW, last)).alias("draw"))
     time = F.floor(F.col("draw") / F.col("blocks")).cast("long")
     block = permuted(F.pmod("draw", "blocks"), F.col("blocks"), F.lit(seed), F.col("sid"), time)
     return each.select("sid", "draw", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "sid", "draw"), shards).alias("shard"), block.alias("block"))
@@ -111,8 +112,9 @@ def mixed_blocks(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS,
     content = _pieces(placed, block_words, texts=True).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"))
     content = content.select("sid", "block", F.array_join("p.piece", " ").alias("text"))
     slot = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), F.lit("slot"), "sid", "draw"), "sid", "draw")) - 1
+    # Draws look small to the optimizer, as the rows that start them are: they must not be broadcast.
     drawn = draws(plan, seed, shard_blocks).withColumn("slot", slot)
-    out = cut(drawn.join(content, ["sid", "block"]).join(plan.select("sid", "source"), "sid").select("shard", "slot", "source", "block", "text"))
+    out = cut(drawn.hint("merge").join(content, ["sid", "block"]).join(plan.select("sid", "source"), "sid").select("shard", "slot", "source", "block", "text"))
     discard(docs.sparkSession, within)
     return out
 
@@ -132,7 +134,8 @@ def mix_report(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, w
     placed, plan = _packed(docs, within, block_words, id_col, text_col, source_col, weights, most, texts=False)
     times = draws(plan, seed).groupBy("sid", "block").agg(F.count("*").alias("times"))
     pieces = _pieces(placed, block_words, texts=False).select("_n", "doc_id", "size", "source_size", "target", "sid", "block", "words")
-    met = pieces.join(times, ["sid", "block"], "left")
+    # Draws look small to the optimizer, as the rows that start them are: they must not be broadcast.
+    met = pieces.join(times.hint("merge"), ["sid", "block"], "left")
     kept = [F.first(c).alias(c) for c in ("doc_id", "size", "source_size", "target")]
     out = met.groupBy("_n").agg(*kept, F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).alias("taken")).drop("_n")
     out = cut(out)
