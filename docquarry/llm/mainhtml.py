@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +40,31 @@ WORD_PRIOR = {
 SHAPE_PRIOR = np.array([-0.3, 1.5, -5.0, 0.5])  # of 1, length in hundreds (4 at most), share of linked text, heading
 #: Smoothness in units of ``UNIT``: between neighbours on the page, and more if they share a container.
 UNIT, ADJACENT, SIBLING = 0.2, 2, 5
-#: Bounds of the training sample: pages, and blocks of each, spread over the page.  Features must be on ``LEAST_PAGES`` of them.
-SAMPLE_PAGES, SAMPLE_BLOCKS, LEAST_PAGES, MOST_FEATURES = 500, 40, 3, 256
+#: Bounds of the training sample: pages, blocks of each, spread over the page, and features of each.  Features must be on ``LEAST_PAGES`` of them.
+SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_FEATURES, LEAST_PAGES, MOST_FEATURES = 500, 40, 200, 3, 256
 
 
 @dataclass(frozen=True)
 class Around:
-    """What an open element adds: its name, its container's number, and the features of all elements around it."""
+    """An open element: its name, its container's number, its own features, and the element around it."""
 
     name: str = ""
     container: int = 0
-    features: tuple[str, ...] = ()
+    own: tuple[str, ...] = ()
     given: float = 0.0
+    outer: Around | None = None
+
+    def outwards(self) -> Iterator[Around]:
+        """This element and all around it."""
+        at: Around | None = self
+        while at is not None:
+            yield at
+            at = at.outer
+
+    @property
+    def features(self) -> Iterator[str]:
+        """The features of this element and of all around it, innermost first."""
+        return (f for a in self.outwards() for f in a.own)
 
 
 @dataclass
@@ -178,9 +192,8 @@ def blocks_of(page: str) -> list[Block]:
                 leave()
         serial += 1
         outer = stack[-1]
-        inside = (*outer.features, *features) if len(outer.features) < 200 else outer.features
         own = outer.container if name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6") else serial
-        stack.append(Around(name, own, inside, outer.given + GIVEN.get(name, 0.0)))
+        stack.append(Around(name, own, tuple(features), outer.given + GIVEN.get(name, 0.0), outer))
         opened[name] += 1
     flush()
     return blocks
@@ -198,11 +211,24 @@ class Classifier:
     weights: dict[str, float] = field(default_factory=lambda: {**{f"<{k}>": v for k, v in ELEMENT_PRIOR.items()}, **WORD_PRIOR})
     shape: np.ndarray = field(default_factory=SHAPE_PRIOR.copy)
 
-    def log_odds(self, block: Block) -> float:
-        context = sum(self.weights.get(f, 0.0) for f in block.around.features) + block.around.given
+    def around(self, block: Block, known: dict[int, float]) -> float:
+        """The summed weights of all elements around a block.  ``known`` has the sums of elements met before, so a page takes one step for each."""
+        chain = []
+        for a in block.around.outwards():
+            if id(a) in known:
+                break
+            chain.append(a)
+        total = known[id(chain[-1].outer if chain else block.around)] if not chain or chain[-1].outer is not None else 0.0
+        for a in reversed(chain):
+            total += sum(self.weights.get(f, 0.0) for f in a.own)
+            known[id(a)] = total
+        return total
+
+    def log_odds(self, block: Block, known: dict[int, float]) -> float:
+        context = self.around(block, known) + block.around.given
         return max(-40.0, min(context, 12.0)) + float(self.shape @ shape_of(block))
 
-    def fit(self, blocks: list[list[tuple[tuple[str, ...], np.ndarray, bool]]], pull: float = 0.02, steps: int = 400, rate: float = 1.0) -> Classifier:
+    def fit(self, blocks: list[list[tuple[tuple[str, ...], np.ndarray, bool]]], pull: float = 0.002, steps: int = 400, rate: float = 1.0) -> Classifier:
         """Gradient descent on the mean logistic loss of the pages' blocks ``(features, shape, is content)``, pulled towards the prior."""
         pages = Counter(f for page in blocks for f in {f for fs, _, _ in page for f in fs})
         names = [f for f, n in sorted(pages.items(), key=lambda x: (-x[1], x[0])) if n >= LEAST_PAGES][:MOST_FEATURES]
@@ -230,13 +256,16 @@ class Classifier:
 
 
 def labelled_blocks(page: str) -> list[tuple[tuple[str, ...], np.ndarray, bool]]:
-    """At most ``SAMPLE_BLOCKS`` blocks of a page that marks its article: what is in it, but not in an element known as boilerplate, is content."""
+    """At most ``SAMPLE_BLOCKS`` blocks of a page that marks its article: what is in it, but not in an element known as boilerplate, is content.
+
+    Of a deeply nested block the classifier learns from the ``SAMPLE_FEATURES`` innermost features; it is judged by all of them.
+    """
     blocks = blocks_of(page)
     if not any(b.around.given > 0 for b in blocks):
         return []
     prior = Classifier().weights
     pick = np.unique(np.linspace(0, len(blocks) - 1, SAMPLE_BLOCKS).astype(int))
-    return [(b.around.features, shape_of(b), b.around.given > 0 and all(prior.get(f, 0.0) >= 0 for f in b.around.features)) for b in (blocks[i] for i in pick)]
+    return [(tuple(islice(b.around.features, SAMPLE_FEATURES)), shape_of(b), b.around.given > 0 and all(prior.get(f, 0.0) >= 0 for f in b.around.features)) for b in (blocks[i] for i in pick)]
 
 
 def minimum_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -313,7 +342,8 @@ def content_blocks(page: str | None, classifier: Classifier) -> list[tuple[Block
         if block.around.container in last:
             edges.append((last[block.around.container], i, SIBLING))
         last[block.around.container] = i
-    units = [round(classifier.log_odds(b) / UNIT) or -1 for b in blocks]
+    known: dict[int, float] = {}
+    units = [round(classifier.log_odds(b, known) / UNIT) or -1 for b in blocks]
     return list(zip(blocks, minimum_cut(units, edges), strict=True))
 
 

@@ -700,6 +700,38 @@ def test_a_class_word_is_learned():
     assert mainhtml.main_text(page.replace("article>", "section>"), fitted).startswith("some words") and "other" not in mainhtml.main_text(page, fitted)
 
 
+@pytest.mark.parametrize("depth", [5, 300, 5000])
+@pytest.mark.parametrize("element", ['div class="box outer row"', "section"])
+def test_depth_hides_nothing(depth, element):
+    """An advert stays one however many elements and class words are around it."""
+    name = element.split()[0]
+    inner = "<p>" + "the words of the story go on for a good while " * 4 + '</p><div class="advert">buy the best lamps here today and save a lot of money at once</div><p>' + "and then the story goes on for a while and ends " * 4 + "</p>"
+    began = time.perf_counter()
+    text = mainhtml.main_text(f"<{element}>" * depth + inner + f"</{name}>" * depth)
+    assert text.startswith("the words of the story") and text.endswith("and ends") and "lamps" not in text
+    assert time.perf_counter() - began < 5
+
+
+def test_class_words_that_only_the_fit_can_tell(spark):
+    """With every word of class, id and role renamed, the classifier fitted on half of the pages cuts the other half as it does the originals."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    turn = str.maketrans("abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm")
+    renamed = [re.sub(r'((?:class|id|role)=")([^"]*)', lambda m: m[1] + m[2].translate(turn), p) for p in pages]
+    half = len(pages) // 2
+    learn = []
+    for page, other in zip(pages[:half], renamed[:half], strict=True):
+        marks, blocks = mainhtml.labelled_blocks(page), mainhtml.labelled_blocks(other)
+        if len(marks) == len(blocks):
+            learn.append([(f, shape, content) for (f, shape, _), (_, _, content) in zip(blocks, marks, strict=True)])
+    fitted, plain = mainhtml.Classifier().fit(learn), mainhtml.Classifier()
+    words_of = lambda texts: Counter(w for t in texts for w in t.split())
+    truth = words_of(mainhtml.main_text(p) for p in pages[half:])
+    with_fit, without = (words_of(mainhtml.main_text(p, c) for p in renamed[half:]) for c in (fitted, plain))
+    wrong = lambda got: sum((got - truth).values()) + sum((truth - got).values())
+    assert wrong(with_fit) <= 0.01 * sum(truth.values())
+    assert wrong(with_fit) < 0.5 * wrong(without) or wrong(without) == 0
+
+
 def test_pages_of_one_id_do_not_gather(spark, monkeypatch):
     monkeypatch.setattr(mainhtml, "SAMPLE_PAGES", 7)
     rows = spark.createDataFrame([(1, "u", f"<article><p>Text {i}</p></article>") for i in range(50)] * 2, "page_id long, url string, html string")
