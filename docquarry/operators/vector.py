@@ -239,16 +239,18 @@ def hashed_terms(texts: list[str], dims: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
-def embed(rows: DataFrame, key: str, text: str, batch: Callable[[list[str]], np.ndarray] = hashed_terms, size: int = 50) -> DataFrame:
-    """``key, embedding``: a callable turns batches of texts into vectors, ``size`` at a time."""
+def embed(rows: DataFrame, key: str, text: str, batch: Callable[[list[str]], np.ndarray] = hashed_terms, size: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``keep`` and ``embedding``: a callable turns batches of texts into vectors, ``size`` at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), size):
                 part = pdf.iloc[at : at + size]
-                yield pd.DataFrame({key: part[key], "embedding": list(np.asarray(batch(part[text].tolist()), np.float32))})
+                yield part[[key, *keep]].assign(embedding=list(np.asarray(batch(part[text].tolist()), np.float32)))
 
-    return rows.select(key, text).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, embedding array<float>")
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (key, *keep))
+    return rows.select(*dict.fromkeys((key, *keep, text))).mapInPandas(run, f"{schema}, embedding array<float>")
 
 
 def search_models(queries: dict[str, DataFrame], corpora: dict[str, DataFrame], k: int) -> DataFrame:

@@ -71,8 +71,8 @@ _DIFF = """SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c
     FROM o FULL JOIN n ON o.c_custkey = n.c_custkey"""
 
 
-def old_and_new(spark, d):
-    c = table(spark, d, "customer")
+def old_and_new(spark, d, customers=None):
+    c = table(spark, d, "customer") if customers is None else customers
     money = lambda x: x.cast("decimal(18,2)").alias("bal")
     old = c.where("c_custkey % 11 <> 0").select("c_custkey", "c_name", money(F.col("c_acctbal")))
     return old, c.where("c_custkey % 10 <> 0").select("c_custkey", "c_name", money(F.col("c_acctbal") + F.when(F.col("c_custkey") % 7 == 0, 1).otherwise(0)))

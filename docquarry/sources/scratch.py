@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it when the session is built."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        raise ValueError("build the session with spark.checkpoint.dir: a folder that the driver and all executors share")
+    return configured
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df``, checkpointed in the folder that all executors share (``spark.checkpoint.dir``); only a local session may have none and gets its own."""
+    """``df``, checkpointed in that folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docquarry-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

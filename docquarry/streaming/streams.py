@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from .state import trailing_counts
+
 #: How late an event may be.
 LATENESS = "10 minutes"
 
@@ -60,10 +62,26 @@ def rate_limited(requests: DataFrame, most: int = 100, seconds: int = 60) -> Dat
     return rows.repartition("client").sortWithinPartitions("client", "timestamp", "request_id").mapInPandas(decide, schema)
 
 
+#: Spans of a client's line, as multiples of the trailing time: a batch counts them on their own.
+SPAN = 16
+
+
 def trailing_count(requests: DataFrame, seconds: int = 60) -> DataFrame:
-    """How many requests of the client there were in the trailing time, this one and those of the same moment included."""
-    line = Window.partitionBy("client").orderBy(F.unix_micros("timestamp")).rangeBetween(-seconds * 1_000_000, 0)
-    return requests.withColumn("in_window", F.count("*").over(line))
+    """How many requests of the client there were in the trailing time, this one and those of the same moment included.
+
+    On a batch the requests keep their columns.  A client's line is cut into spans of ``SPAN`` times the trailing time, and a request near
+    a span's end also counts in the next one, so that a client with very many requests is split.  On a stream there are ``request_id`` and
+    ``in_window``, told once the watermark has passed the request.
+    """
+    if requests.isStreaming:
+        return trailing_counts(requests, seconds, LATENESS)
+    length = seconds * 1_000_000
+    at, span = F.unix_micros("timestamp"), F.floor(F.unix_micros("timestamp") / (SPAN * length))
+    reaches = F.floor((at + length) / (SPAN * length)) > span
+    spread = requests.withColumn("_span", F.explode(F.when(reaches, F.array(span, span + 1)).otherwise(F.array(span))))
+    line = Window.partitionBy("client", "_span").orderBy(F.unix_micros("timestamp")).rangeBetween(-length, 0)
+    counted = spread.withColumn("in_window", F.count("*").over(line))
+    return counted.where(F.col("_span").eqNullSafe(span)).drop("_span")
 
 
 def active_users(log: DataFrame, length: str = "30 minutes", slide: str = "5 minutes") -> DataFrame:
@@ -127,8 +145,15 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     return query
 
 
-def sync_available(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Hands each new part of a source to ``apply(batch, id)``, for example an upsert by record hash; the checkpoint replaces a last-sync time."""
-    query = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Hands each new part of a stream to ``apply(batch, id)``, for example ``SyncedTable.apply`` or ``days_sink``; the checkpoint replaces a last-sync time.
+
+    A batch may come again after a failure, with the same id and rows: ``apply`` must end the same.
+    """
+    query = stream.writeStream.foreachBatch(apply).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def sync_available(stream: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    return run_batches(stream, apply, checkpoint)
