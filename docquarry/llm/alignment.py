@@ -19,7 +19,7 @@ from .common import cut, discard, rows_of
 #: Documents of one 64-bit word, words of a container at most, and entries from which a container is closed before.
 WORD_DOCS, WORDS, MOST_ENTRIES = 64, 64, 2_000_000
 #: Chunks and their characters that are remembered.
-MOST_CHUNKS, MOST_CHARS = 200_000, 8_000_000
+MOST_CHUNKS, MOST_CHARS = 400_000, 12_000_000
 #: Both tokenizers can be run on the parts between spaces that follow a visible character: neither has a token across.
 _SPLIT = re.compile(r"(?<=[^\s᠎]) ")
 
@@ -49,62 +49,74 @@ class Aligner:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         letters = _byte_letters()
-        self.bytes_a = {i: bytes(letters[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in letters for c in t)}
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            if all(c in letters for c in token):
+                self.bytes_a[i] = bytes(letters[c] for c in token)
         piece = lambda i: self.b.id_to_piece(i)
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
         self.size_b = len(self.bytes_b)
+        self.lengths_a, self.lengths_b = (np.array([len(x) for x in parts], np.int64) for parts in (self.bytes_a, self.bytes_b))
         self.space = self.b.piece_to_id("▁")
         self.forget()
 
     def forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.chars, self.groups, self.counts, self.fits = 0, [], array("q"), array("b")
-        self.codes, self.times, self.ends = array("q"), array("q"), array("q", [0])
-
-    def tokens(self, chunk: str) -> tuple[list[int], list[int]]:
-        """Ids of the chunk with a space before it."""
-        return self.a.encode(f" {chunk}", add_special_tokens=False).ids, self.b.encode(chunk) if chunk else [self.space]
-
-    def number(self, chunk: str) -> int:
-        """The chunk's place in the tables of what is remembered."""
-        a, b = self.tokens(chunk)
-        parts_a, parts_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        whole = f" {chunk}".encode()
-        fits = b"".join(parts_a) == whole == b"".join(parts_b) and all(parts_a) and all(parts_b)
-        groups, links = self.linked(a, b, parts_a, parts_b) if fits else ([], {})
-        at = self.numbers[chunk] = len(self.groups)
-        self.chars += len(chunk)
-        self.groups.append(";".join(groups))
-        self.counts.extend((len(a), len(b), len(groups), sum(links.values())))
-        self.fits.append(fits)
-        self.codes.extend(links)
-        self.times.extend(links.values())
-        self.ends.append(len(self.codes))
-        return at
-
-    def linked(self, a: list[int], b: list[int], parts_a: list[bytes], parts_b: list[bytes]) -> tuple[list[str], dict[int, int]]:
-        """The groups between common ends, and how often each pair of ids overlaps."""
-        groups, links, i, j, first_a, first_b = [], {}, 0, 0, 0, 0
-        end_a, end_b = len(parts_a[0]), len(parts_b[0])
-        while True:
-            code = a[i] * self.size_b + b[j]
-            links[code] = links.get(code, 0) + 1
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                first_a, first_b = i + 1, j + 1
-            if step_a:
-                i += 1
-                if i == len(a):
-                    return groups, links
-                end_a += len(parts_a[i])
-            if step_b:
-                j += 1
-                end_b += len(parts_b[j])
-
-    def numbers_of(self, text: str) -> list[int]:
+        self.codes, self.ends, self.start = array("q"), array("q", [0]), 0
+
+    def numbers_of(self, texts: list[list[str]]) -> list[list[int]]:
+        """The places of the texts' chunks in the tables of what is remembered; those that are new are aligned together."""
         known = self.numbers
-        return [known[c] if c in known else self.number(c) for c in _SPLIT.split(text)]
+        new = list(dict.fromkeys(c for chunks in texts for c in chunks if c not in known))
+        for at in range(0, len(new), 4096):
+            self.learn(new[at : at + 4096])
+        return [list(map(known.__getitem__, chunks)) for chunks in texts]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Aligns chunks, each with a space before it, on one line of bytes."""
+        spaced = [f" {c}" for c in chunks]
+        ids_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ids_b = [ids if c else [self.space] for c, ids in zip(chunks, self.b.encode(chunks, num_threads=1), strict=True)]
+        fits = [self._gives(a, self.bytes_a, t) and self._gives(b, self.bytes_b, t) for a, b, t in zip(ids_a, ids_b, map(str.encode, spaced), strict=True)]
+        tokens_a, ends_a, first_a = self._line([a for a, ok in zip(ids_a, fits, strict=True) if ok], self.lengths_a)
+        tokens_b, ends_b, first_b = self._line([b for b, ok in zip(ids_b, fits, strict=True) if ok], self.lengths_b)
+        # Between two neighbouring ends there is one token of each side: each such stretch is a link, and each overlap is one stretch.
+        ends = np.union1d(ends_a, ends_b)
+        codes = tokens_a[np.searchsorted(ends_a, ends)] * self.size_b + tokens_b[np.searchsorted(ends_b, ends)] if len(ends) else ends
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        stop_a, stop_b = (np.searchsorted(ends_a, shared) + 1).tolist(), (np.searchsorted(ends_b, shared) + 1).tolist()
+        text_a, text_b = list(map(str, tokens_a.tolist())), list(map(str, tokens_b.tolist()))
+        groups = [",".join(text_a[i:j]) + "|" + ",".join(text_b[k:m]) for i, j, k, m in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False)]
+        closing = ends_a[first_a[1:] - 1]  # where each chunk ends
+        stop_link, stop_group = np.searchsorted(ends, closing, "right").tolist(), np.searchsorted(shared, closing, "right").tolist()
+        place = link = group = 0
+        for chunk, a, b, ok in zip(chunks, ids_a, ids_b, fits, strict=True):
+            self.numbers[chunk] = len(self.groups)
+            self.chars += len(chunk)
+            self.fits.append(ok)
+            if ok:
+                self.groups.append(";".join(groups[group : stop_group[place]]))
+                self.counts.extend((len(a), len(b), stop_group[place] - group, stop_link[place] - link))
+                link, group, place = stop_link[place], stop_group[place], place + 1
+            else:
+                self.groups.append("")
+                self.counts.extend((0, 0, 0, 0))
+            self.ends.append(self.start + link)
+        self.codes.frombytes(codes.tobytes())
+        self.start += len(codes)
+
+    @staticmethod
+    def _gives(ids: list[int], parts, whole: bytes) -> bool:
+        """Whether the tokens' bytes are the chunk's."""
+        return b"".join([parts[i] for i in ids]) == whole
+
+    @staticmethod
+    def _line(ids: list[list[int]], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tokens of all chunks, where each ends on the line of bytes, and where each chunk's tokens begin."""
+        tokens = np.fromiter((i for x in ids for i in x), np.int64)
+        return tokens, np.cumsum(lengths[tokens]), np.cumsum([0, *map(len, ids)])
 
 
 class Container:
@@ -165,7 +177,7 @@ def _expanded(aligner: Aligner, numbers: list[list[int]]) -> tuple[np.ndarray, n
     slots, chunks = chunks >> 40, chunks & ((1 << 40) - 1)
     sizes = ends[chunks + 1] - ends[chunks]
     at = np.repeat(ends[chunks] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-    codes, times = np.frombuffer(aligner.codes, np.int64)[at] if len(at) else at, np.frombuffer(aligner.times, np.int64)[at] * np.repeat(seen, sizes) if len(at) else at
+    codes, times = np.frombuffer(aligner.codes, np.int64)[at] if len(at) else at, np.repeat(seen, sizes)
     keys, place = np.unique(np.repeat(slots, sizes) << 48 | codes, return_inverse=True)
     totals = np.zeros(len(keys), np.int64)
     np.add.at(totals, place, times)
@@ -188,12 +200,10 @@ def encoded(docs: DataFrame, path_a: str, path_b: str, groups: bool = False, id_
         for rows in rows_of(batches, WORD_DOCS):
             if len(aligner.groups) > MOST_CHUNKS or aligner.chars > MOST_CHARS:
                 aligner.forget()
-            all_numbers, out = [], {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256")}
-            for r in rows:
-                numbers = aligner.numbers_of(r["text"]) if r["text"] else []
-                if not all(map(aligner.fits.__getitem__, numbers)):
-                    numbers = []
-                all_numbers.append(numbers)
+            out = {k: [] for k in ("n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256")}
+            all_numbers = aligner.numbers_of([_SPLIT.split(r["text"]) if r["text"] else [] for r in rows])
+            all_numbers = [x if all(map(aligner.fits.__getitem__, x)) else [] for x in all_numbers]
+            for numbers in all_numbers:
                 line = ";".join(map(aligner.groups.__getitem__, numbers))
                 out["groups"].append(line if groups else None)
                 out["groups_sha256"].append(hashlib.sha256(line.encode()).hexdigest() if line else "")
