@@ -63,12 +63,17 @@ def _place(column: F.Column) -> tuple[F.Column, F.Column]:
     return F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(FILTER_WORDS - 1).cast("long")), bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
 
 
+def _filter_of(ids: DataFrame, column: str, name: str) -> DataFrame:
+    """The filter of ``ids(column)``: its words that are not 0, each the OR of its ids' bits (``name`` and ``name`` + b)."""
+    word, bits = _place(F.col(column))
+    return F.broadcast(ids.select(word.alias(name), bits.alias("_bits")).groupBy(name).agg(F.bit_or("_bits").alias(name + "b")))
+
+
 def _probed(rows: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, F.Column]:
     """The rows with their place in the filter of ``ids(column)``, and whether they hit it."""
     word, bits = _place(F.col(column))
     own = "_at" + uuid.uuid4().hex
-    known = ids.select(word.alias(own), bits.alias("_bits")).groupBy(own).agg(F.bit_or("_bits").alias(own + "b"))
-    return rows.join(F.broadcast(known), word == F.col(own), "left"), F.coalesce(F.col(own + "b").bitwiseAND(bits) == bits, F.lit(False))
+    return rows.join(_filter_of(ids, column, own), word == F.col(own), "left"), F.coalesce(F.col(own + "b").bitwiseAND(bits) == bits, F.lit(False))
 
 
 def may_match(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -77,8 +82,9 @@ def may_match(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     The ids become a filter of fixed size, each word the OR of its ids' bits, which is broadcast.  Up to about ten million ids few rows
     pass in vain; when there are so many that the filter is full, all rows do.
     """
-    marked, hit = _probed(rows, ids, column)
-    return marked.where(hit).select(*rows.columns)
+    word, bits = _place(F.col(column))
+    own = "_at" + uuid.uuid4().hex
+    return rows.join(_filter_of(ids, column, own), (word == F.col(own)) & (F.col(own + "b").bitwiseAND(bits) == bits)).select(*rows.columns)
 
 
 def semi_or_anti(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:

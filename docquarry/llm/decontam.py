@@ -40,40 +40,50 @@ def kinds_of(text: F.Column, names: bool) -> F.Column:
 def template_windows(rows: DataFrame, names: bool = True, widths: Sequence[int] = (WINDOW,)) -> DataFrame:
     """Every window of each of ``widths`` (1 to ``WINDOW``) tokens of ``rows.text``'s templates, beside the rows' other columns.
 
-    Adds ``at`` (from 1), ``width``, ``hash``, ``dense``, ``n`` (tokens of the whole text) and ``w``: the kinds ``k0``, ``k1``, ... and tokens
-    ``t0``, ``t1``, ... of this window, from which ``slots_at`` takes its values.  No row holds more of the text than its window.  A window
-    with placeholders and fewer than ``LITERALS`` literal words has no template: it is ``dense`` and hashed with its values.  Null, empty and
-    shorter texts give no window.
+    Adds ``at`` (from 1), ``width``, ``hash``, ``dense``, ``n`` (tokens of the whole text) and ``w``: the tokens of this window, ``t0``, ``t1``,
+    ..., and whether each is a placeholder, ``o0``, ..., from which ``slots_at`` takes its values.  No row holds more of the text than its
+    window.  A window with placeholders and fewer than ``LITERALS`` literal words has no template: it is ``dense`` and hashed with its values.
+    Null, empty and shorter texts give no window.
     """
     others = [c for c in rows.columns if c != "text"]
     split = rows.where("text is not null").select(*others, tokens_of(F.col("text")).alias("tokens"), kinds_of(F.col("text"), names).alias("kinds"))
-    most = max(widths)
-    # Neighbours side by side: neither a window's hash nor its slots need a function over arrays.
-    shifted = lambda c, j: F.slice(c, j + 1, F.greatest(F.lit(0), F.size(c) - j)) if j else F.col(c)
-    beside = F.arrays_zip(*[shifted(c, j).alias(f"{c[0]}{j}") for c in ("kinds", "tokens") for j in range(most)])
-    spread = split.where(F.size("tokens") >= min(widths)).select(*others, F.size("tokens").alias("n"), F.posexplode(beside).alias("before", "w"))
-    token = lambda j: F.col(f"w.k{j}")
-
-    def one(width: int) -> F.Column:
-        open_ = sum(((token(j) < F.lit("\u0004")).cast("int") for j in range(width)), F.lit(0))
-        dense = (open_ > 0) & (width - open_ < LITERALS)
-        hashed = F.when(dense, F.xxhash64(F.lit("values"), *[F.col(f"w.t{j}") for j in range(width)])).otherwise(F.xxhash64(*[token(j) for j in range(width)]))
-        return F.when(token(width - 1).isNotNull(), F.struct(F.lit(width).alias("width"), hashed.alias("hash"), dense.alias("dense")))
-
-    if len(widths) == 1:
-        found = spread.withColumn("one", one(most))
-    else:
-        found = spread.withColumn("one", F.explode(F.array(*[one(x) for x in widths])))
-    return found.where("one is not null").select(*others, "n", "w", (F.col("before") + 1).alias("at"), "one.width", "one.hash", "one.dense")
+    split = split.where(F.size("tokens") >= min(widths))
+    opens = F.transform("kinds", lambda k: (k < F.lit("\u0004")).cast("int"))
+    hashed = split.select(*others, "tokens", F.transform("kinds", lambda k: F.xxhash64(k)).alias("h"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("v"), opens.alias("o"))
+    both, most = (lambda a, b: F.xxhash64(a, b)), max(widths)
+    wide = hashed.withColumn("width", F.explode(F.array(*[F.lit(x) for x in widths])) if len(widths) > 1 else F.lit(most))
+    of_width = lambda c, join: reduce(lambda rest, x: rest.when(F.col("width") == x, _joined(F.col(c), x, join)), widths, F)
+    runs = wide.select(*others, "width", "tokens", "o", of_width("h", both).alias("template"), of_width("v", both).alias("value"), of_width("o", lambda a, b: a + b).alias("open"))
+    beside = F.arrays_zip("template", "value", "open", *[_from(F.col(c), j).alias(f"{c[0]}{j}") for c in ("tokens", "o") for j in range(most)])
+    spread = runs.select(*others, "width", F.size("tokens").alias("n"), F.posexplode(beside).alias("before", "w")).where("before + width <= n")
+    dense = (F.col("w.open") > 0) & (F.col("width") - F.col("w.open") < LITERALS)
+    return spread.select(*others, "n", "w", (F.col("before") + 1).alias("at"), "width", F.when(dense, F.xxhash64(F.lit("values"), "w.value")).otherwise(F.col("w.template")).alias("hash"), dense.alias("dense"))
+
+
+def _from(array: F.Column, j: int) -> F.Column:
+    """The array without its first ``j`` elements."""
+    return F.slice(array, j + 1, F.greatest(F.lit(0), F.size(array) - j)) if j else array
+
+
+def _joined(array: F.Column, width: int, join) -> F.Column:
+    """For each place of the array what ``join`` makes of ``width`` elements from there on, by doubling: runs of 2, of 4, of 8.
+
+    Each token costs a few steps, not ``width``.  The last ``width - 1`` places have no meaning.
+    """
+
+    def grown(run: F.Column, length: int) -> F.Column:
+        if 2 * length <= width:
+            return let(F.zip_with(run, _from(run, length), join), lambda r: grown(r, 2 * length))
+        rest = width - length
+        return F.zip_with(run, _from(_joined(array, rest, join), length), join) if rest else run
+
+    return grown(array, 1)
 
 
 def slots_at(most: int) -> F.Column:
     """The values of a window's placeholders, empty for literal words, joined by U+0003; null for a window without template or without any."""
-    inside = lambda j: F.col("width") > j
-    open_ = lambda j: inside(j) & (F.col(f"w.k{j}") < F.lit("\u0004"))
-    values = F.concat_ws("\u0003", *[F.when(open_(j), F.col(f"w.t{j}")).when(inside(j), F.lit("")) for j in range(most)])
-    any_ = reduce(lambda a, b: a | b, [open_(j) for j in range(most)])
-    return F.when(~F.col("dense") & any_, values)
+    values = F.concat_ws("\u0003", *[F.when(F.col("width") > j, F.when(F.col(f"w.o{j}") == 1, F.col(f"w.t{j}")).otherwise("")) for j in range(most)])
+    return F.when(~F.col("dense") & (F.col("w.open") > 0), values)
 
 
 def _differs(pair: F.Column) -> F.Column:
