@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 
-# Role and classification levels.
-ROLE_LEVELS = {"guest": 0, "viewer": 1, "user": 1, "editor": 2, "manager": 3, "admin": 4}
+# Role and classification levels; a role that isn't named here has level 0.
+ROLE_LEVELS = {"admin": 4, "manager": 3, "employee": 2, "contractor": 1, "guest": 0}
 CLASSIFICATIONS = {"public": 0, "internal": 1, "confidential": 2, "restricted": 3, "secret": 4}
 PROTECTED_FIELDS = ("internal_id", "personal_data", "confidential_notes")
 
@@ -71,21 +71,57 @@ def visible(user_id, groups: list[str], admin: bool, permissions: list[str]) ->
     return F.coalesce(mine, F.lit(False)) | F.coalesce(member, F.lit(False)) | F.coalesce(public, F.lit(False)) | F.coalesce(shared, F.lit(False))
 
 
+def _rule_clauses(rules: DataFrame, users: DataFrame, permission: str) -> DataFrame:
+    """A row for each user and rule that says something to the user: ``clause`` (true, false, or null where only conditions speak) and ``conditions``."""
+    active = rules.where(F.col("active")).select("rule_id", "permissions", "allow_users", "deny_users", "allow_groups", "deny_groups", F.coalesce("conditions", F.create_map().cast("map<string,string>")).alias("conditions"))
+    within = lambda names, value: F.coalesce(F.array_contains(names, F.col(value)), F.lit(False))
+    meets = lambda names: F.coalesce(F.arrays_overlap(names, "group_ids"), F.lit(False))
+    denied = within("deny_users", "user_id") | meets("deny_groups")
+    allowed = within("allow_users", "user_id") | meets("allow_groups")
+    both = users.select("user_id", "group_ids", "is_admin").crossJoin(F.broadcast(active)).where(F.array_contains("permissions", permission) | F.col("is_admin"))
+    said = both.select("user_id", "rule_id", F.when(denied, False).when(allowed, True).alias("clause"), "conditions")
+    return said.where(F.col("clause").isNotNull() | (F.size("conditions") > 0))
+
+
 def rule_verdicts(rules: DataFrame, users: DataFrame, permission: str) -> DataFrame:
-    """``user_id, allowed``: all active rules that carry the permission must admit the user; within a rule a deny replaces the allow.
+    """``user_id, allowed, conditions``: what the active rules that carry the permission (for an admin: all active rules) ask of the user's rows.
 
-    ``rules(rule_id, active, permissions, allow_users, deny_users)`` is a small table; an empty allow list admits all.
+    ``rules(rule_id, active, permissions, allow_users, deny_users, allow_groups, deny_groups, conditions)`` is a small table, ``conditions`` a map
+    of fields to values; ``users(user_id, group_ids, is_admin)``.  Within a rule a deny replaces the allow; its conditions stay.  A rule that
+    neither names the user nor has conditions says nothing.  All that is said must hold: one deny hides everything, and a row must meet every
+    condition, of which two of one field may contradict each other.
     """
-    active = rules.where(F.col("active") & F.array_contains("permissions", permission))
-    admits = (F.size("allow_users") == 0) | F.array_contains("allow_users", F.col("user_id"))
-    one = users.crossJoin(F.broadcast(active)).select("user_id", (admits & ~F.array_contains("deny_users", F.col("user_id"))).alias("ok"))
-    verdict = one.groupBy("user_id").agg(F.bool_and("ok").alias("allowed"))
-    return users.join(verdict, "user_id", "left").select("user_id", F.coalesce("allowed", F.lit(True)).alias("allowed"))
+    said = _rule_clauses(rules, users, permission)
+    pairs = F.flatten(F.collect_list(F.map_entries("conditions")))
+    verdict = said.groupBy("user_id").agg(F.bool_and(F.coalesce("clause", F.lit(True))).alias("allowed"), F.array_sort(F.array_distinct(pairs)).alias("conditions"))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    return users.join(verdict, "user_id", "left").select("user_id", F.coalesce("allowed", F.lit(True)).alias("allowed"), F.coalesce("conditions", none).alias("conditions"))
+
+
+def meets_conditions(conditions: Column, fields: dict[str, Column]) -> Column:
+    """Whether a row's ``fields`` have all values of a verdict's ``conditions``; a condition on a field that isn't there is not met."""
+    known = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), c.cast("string"))]) if fields else F.create_map().cast("map<string,string>")
+    return F.forall(conditions, lambda c: F.coalesce(F.try_element_at(known, c["key"]) == c["value"], F.lit(False)))
+
+
+def rule_predicate(rules: DataFrame, user_id: int, groups: list[str], admin: bool, permission: str, fields: list[str]) -> Column:
+    """The rules compiled to one condition on the rows for one user context, so that it reaches the scan; a column named in ``fields`` is compared as text.
+
+    The rules table is small: its clauses for this user come to the driver.
+    """
+    context = rules.sparkSession.createDataFrame([(user_id, groups, admin)], "user_id long, group_ids array<string>, is_admin boolean")
+    verdict = rule_verdicts(rules, context, permission).head()
+    if not verdict["allowed"] or any(key not in fields for key, _ in verdict["conditions"]):
+        return F.lit(False)
+    out = F.lit(True)
+    for key, value in verdict["conditions"]:
+        out = out & (F.col(key) == F.lit(value))
+    return out
 
 
 def secured(rows: DataFrame, condition: Column) -> DataFrame:
-    """Rows that the condition lets through; it runs before any search on them."""
-    return rows.where(F.coalesce(condition, F.lit(False)))
+    """Rows that the condition lets through (an unknown one doesn't); it runs before any search on them, at the scan where it can."""
+    return rows.where(condition)
 
 
 def role_closure(roles: DataFrame) -> DataFrame:

@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A query table is broadcast up to so many rows; a larger one is searched in blocks of about half as many.
-MOST_QUERIES = 10_000
-#: Cells that each effort preset of the approximate search visits.
-EFFORT = {"precision": 256, "balanced": 64, "speed": 16}
-
-
+#: A query table is broadcast up to so many bytes of vectors and other columns; a larger one meets the corpus in blocks of so many rows.
+MOST_QUERY_BYTES, BLOCK_ROWS = 16 << 20, 1 << 14
 def _double(c: Column | str) -> Column:
     return F.col(c).cast("array<double>") if isinstance(c, str) else c
 
@@ -59,56 +54,60 @@ def to_score(distance: Column, metric: str) -> Column:
     return distance if metric in SIMILARITIES else 1.0 / (1.0 + distance)
 
 
-def _by_blocks(queries: DataFrame, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``search`` over the whole table, or united over its blocks by the hash of ``query_id``, so that a query's rows stay together."""
-    count = queries.count()
-    if count <= MOST_QUERIES:
-        return search(queries)
-    blocks = -(-2 * count // MOST_QUERIES)
-    return reduce(DataFrame.unionByName, [search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)])
+def small_enough(queries: DataFrame) -> bool:
+    """Whether a query table may be broadcast: its vectors' numbers and 100 bytes for each row."""
+    row = queries.agg(F.count("*").alias("n"), F.sum(F.size("query_vec")).alias("numbers")).head()
+    return 100 * row["n"] + 8 * max(0, row["numbers"] or 0) <= MOST_QUERY_BYTES
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", fields: tuple[str, ...] = (), match: Column | None = None) -> DataFrame:
     """``query_id, rank, key, distance, score`` of the nearest rows of each query; ties by key.
 
-    The filter runs before the distances.  The query side is broadcast, beyond ``MOST_QUERIES`` in blocks that each read the corpus; the
-    corpus is never shuffled whole: each task keeps its own best k of each query before they meet.  ``k`` may be a column of the queries.
+    The filter runs before the distances.  A query side whose size is checked is broadcast, and the corpus isn't shuffled: each task keeps
+    its own best k of each query before they meet.  Beyond ``MOST_QUERY_BYTES`` both sides are dealt into blocks by the hash of their keys, and
+    each pair of blocks meets in one task, all in one plan.  ``k`` may be a column of the queries.
     ``match`` is a filter of each query's own: a condition on columns of both sides, for example ``col("wanted_group") == col("grp")``.
     """
-    return _by_blocks(queries, lambda block: _topk(block, corpus, k, metric, where, key, vector, fields, match))
-
-
-def _topk(queries: DataFrame, corpus: DataFrame, k: int | str, metric: str, where: Column | None, key: str, vector: str, fields: tuple[str, ...], match: Column | None = None) -> DataFrame:
     rows = corpus.where(where) if where is not None else corpus
     extra = [k] if isinstance(k, str) else []
-    both = rows.crossJoin(F.broadcast(queries))
+    both = rows.crossJoin(F.broadcast(queries)) if small_enough(queries) else _met_in_blocks(queries, rows, key)
     pairs = (both if match is None else both.where(match)).select("query_id", key, *fields, *extra, METRICS[metric]("query_vec", vector).alias("distance"))
     order = Window.partitionBy("query_id").orderBy(F.desc("distance") if metric in SIMILARITIES else F.asc("distance"), key)
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (F.col(k) if isinstance(k, str) else k))
     return ranked.select("query_id", "rank", key, *fields, "distance", to_score(F.col("distance"), metric).alias("score"))
 
 
+def _met_in_blocks(queries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Every query beside every row, by an equal join of blocks."""
+    blocks = lambda df: -(-df.count() // BLOCK_ROWS) or 1
+    many_q, many_c = blocks(queries), blocks(rows)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.withColumn("_i", block("query_id", many_q)).withColumn("_j", each(many_c))
+    right = rows.withColumn("_j", block(key, many_c)).withColumn("_i", each(many_q))
+    return left.hint("shuffle_hash").join(right, ["_i", "_j"]).drop("_i", "_j")
+
+
 def vector_topk_batched(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Cosine top-k by matrix products over Arrow batches: for many queries of many dimensions.  Same result as ``vector_topk`` up to rounding."""
-    return _by_blocks(queries, lambda block: _topk_batched(block, corpus, k, key, vector))
+    """Cosine top-k by matrix products: for many queries of many dimensions.  Same result as ``vector_topk`` up to rounding.
 
+    A query table whose size is checked goes to every task, and the corpus isn't shuffled; a larger one meets it in blocks.
+    """
+    from .blocks import best_products, topk_in_blocks
 
-def _topk_batched(queries: DataFrame, corpus: DataFrame, k: int, key: str, vector: str) -> DataFrame:
-    known = queries.orderBy("query_id").toPandas()
-    ids, matrix = known["query_id"].to_numpy(), np.array(known["query_vec"].tolist(), float).reshape(len(known), -1 if len(known) else 0)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    if not small_enough(queries):
+        return topk_in_blocks(queries, corpus, k, key, vector)
+    known = queries.where("query_vec is not null").orderBy("query_id").select("query_id", normalized("query_vec").alias("q")).toPandas()
+    ids, matrix = known["query_id"].to_numpy(), np.array(known["q"].tolist(), float).reshape(len(known), -1 if len(known) else 0)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if not len(ids):
-                continue
-            v = np.array(pdf[vector].tolist(), float)
-            scores = matrix @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-            keys = pdf[key].to_numpy()
-            top = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), key: keys[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    found = corpus.select(key, vector).mapInPandas(best, f"query_id long, {key} long, score double")
+            if len(ids) and len(pdf):
+                v = np.array(pdf[vector].tolist(), float)
+                i, j, s = best_products(ids, matrix, pdf[key].to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), k)
+                yield pd.DataFrame({"query_id": i, key: j, "score": s})
+
+    found = corpus.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(best, f"query_id long, {key} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
@@ -273,7 +272,7 @@ def ivf_cells(corpus: DataFrame, vector: str, cells: int, seed: int = 42):
     return model.transform(data).drop("_v"), centres
 
 
-#: Cells that a search visits, by how much effort it makes.
+#: Cells that a search visits, by how much effort it makes.
 EFFORTS = {"precision": 256, "balanced": 64, "speed": 16}
 
 
@@ -287,7 +286,7 @@ def approximate_topk(queries: DataFrame, celled: DataFrame, centres: DataFrame,
     """Top-k by cosine within the ``probes`` nearest cells of each query; visiting all cells gives the exact result."""
     line = Window.partitionBy("query_id").orderBy("_d", "cell")
     visits = queries.crossJoin(F.broadcast(centres)).withColumn("_d", l2_sq("query_vec", "centre")).withColumn("_n", F.row_number().over(line)).where(F.col("_n") <= probes).select("query_id", "query_vec", "cell")
-    pairs = celled.join(F.broadcast(visits), "cell").select("query_id", key, cosine("query_vec", vector).alias("score"))
+    pairs = celled.join(visits, "cell").select("query_id", key, cosine("query_vec", vector).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

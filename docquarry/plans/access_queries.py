@@ -31,15 +31,21 @@ def _tables(spark):
     return spark.createDataFrame(_ROLES, "role string, parent string"), spark.createDataFrame(_GRANTS, "role string, permission string")
 
 
-_LEVEL = "CASE role WHEN 'guest' THEN 0 WHEN 'user' THEN 1 WHEN 'editor' THEN 2 WHEN 'manager' THEN 3 WHEN 'admin' THEN 4 END"
+# Every user has one role by the user id, as classified data see it.
+_CLEARANCE = "CASE user_id % 6 WHEN 0 THEN 'admin' WHEN 1 THEN 'Manager' WHEN 2 THEN 'employee' WHEN 3 THEN 'contractor' WHEN 4 THEN 'guest' ELSE 'editor' END"
+_LEVEL = f"CASE lower({_CLEARANCE}) WHEN 'admin' THEN 4 WHEN 'manager' THEN 3 WHEN 'employee' THEN 2 WHEN 'contractor' THEN 1 ELSE 0 END"
 
 
-@query(f"WITH {_USERS} SELECT user_id, p_partkey FROM u, part WHERE user_id < 12 AND p_partkey < 40 AND {_LEVEL} >= CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'PROMO' THEN 3 ELSE 1 END")
+@query(f"SELECT event_id, user_id FROM events WHERE {_LEVEL} >= CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN 3 WHEN 'error' THEN 2 WHEN 'signup' THEN 4 ELSE 1 END")
 def j1_classification(spark, d):
-    levels = A.role_levels(user_roles(spark, d)).where("user_id < 12")
-    kind = F.when(F.col("p_type") == "ECONOMY", "public").when(F.col("p_type") == "PROMO", "restricted")
-    rows = table(spark, d, "part").where("p_partkey < 40").crossJoin(F.broadcast(levels))
-    return rows.where(A.cleared(F.col("level"), kind)).select("user_id", "p_partkey")
+    """Events that their own users are cleared for, over all users and events."""
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    levels = A.role_levels(events.select("user_id").distinct().withColumn("role", F.expr(_CLEARANCE)))
+    kinds = {"view": "public", "purchase": "restricted", "error": "confidential", "signup": "SECRET"}
+    kind = F.lit(None).cast("string")
+    for name, value in kinds.items():
+        kind = F.when(F.col("event_type") == name, value).otherwise(kind)
+    return events.join(levels, "user_id").where(A.cleared(F.col("level"), kind)).select("event_id", "user_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src5') AND source <> 'src2'")
@@ -91,10 +97,44 @@ def j6_visible(spark, d):
     return A.secured(_owned(vectors(spark, d)[1]), A.visible(3, ["g4"], False, ["read_public"])).select("vec_id")
 
 
-@query(f"WITH {_USERS} SELECT user_id, user_id % 2 = 0 AND user_id NOT IN (4) AS allowed FROM u WHERE user_id < 10")
+_RULE = "rule_id int, active boolean, permissions array<string>, allow_users array<long>, deny_users array<long>, allow_groups array<string>, deny_groups array<string>, conditions map<string,string>"
+#: Readers named or in a group, one denied, one whose group is denied; conditions for all readers and for writers; an inactive rule.
+_RULE_ROWS = [
+    (1, True, ["read"], [0, 2, 4, 6, 8], [4], ["g1"], ["g5"], None),
+    (2, False, ["read"], [1], [0], None, None, {"lang": "de"}),
+    (3, True, ["write"], [1], None, None, None, {"source": "src1"}),
+    (4, True, ["read", "write"], None, None, None, None, {"lang": "en"}),
+]
+
+
+def _contexts(spark, d):
+    users = table(spark, d, "events").select("user_id").distinct()
+    return users.select("user_id", F.array(F.concat(F.lit("g"), (F.col("user_id") % 7).cast("string"))).alias("group_ids"), (F.col("user_id") % 10 == 9).alias("is_admin"))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id, user_id % 7 AS g, user_id % 10 = 9 AS is_admin FROM events)
+    SELECT user_id, NOT (user_id = 4 OR g = 5) AS allowed, CASE WHEN is_admin THEN 'lang=en,source=src1' ELSE 'lang=en' END AS conditions FROM u""")
 def j7_rule_verdicts(spark, d):
-    rules = spark.createDataFrame([(1, True, ["read"], [0, 2, 4, 6, 8], [4]), (2, False, ["read"], [1], []), (3, True, ["write"], [1], [])], "rule_id int, active boolean, permissions array<string>, allow_users array<long>, deny_users array<long>")
-    return A.rule_verdicts(rules, user_roles(spark, d).where("user_id < 10").select("user_id"), "read")
+    found = A.rule_verdicts(spark.createDataFrame(_RULE_ROWS, _RULE), _contexts(spark, d), "read")
+    return found.select("user_id", "allowed", F.array_join(F.transform("conditions", lambda c: F.concat(c["key"], F.lit("="), c["value"])), ",").alias("conditions"))
+
+
+@query("""WITH q AS (SELECT DISTINCT user_id FROM events WHERE NOT (user_id = 4 OR user_id % 7 = 5)), u AS (SELECT user_id, user_id % 10 = 9 AS is_admin FROM q)
+    SELECT is_admin, doc_id, count(*) AS readers FROM u JOIN (SELECT doc_id, lang, source FROM documents) ON lang = 'en' AND (source = 'src1' OR NOT is_admin) GROUP BY 1, 2""")
+def j7_readable_documents(spark, d):
+    """How many users, admins or not, may read each document by its fields: verdicts meet documents by their distinct conditions."""
+    verdicts = A.rule_verdicts(spark.createDataFrame(_RULE_ROWS, _RULE), _contexts(spark, d), "read").where("allowed").join(_contexts(spark, d), "user_id")
+    kinds = verdicts.groupBy("is_admin", "conditions").agg(F.count("*").alias("readers"))  # as many as there are sets of conditions in the rules
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    met = docs.crossJoin(F.broadcast(kinds)).where(A.meets_conditions(F.col("conditions"), {"lang": F.col("lang"), "source": F.col("source")}))
+    return met.groupBy("is_admin", "doc_id").agg(F.sum("readers").alias("readers"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'en' AND source = 'src1'")
+def j7_rule_predicate(spark, d):
+    """What an admin reads: the compiled condition reaches the scan."""
+    rules = spark.createDataFrame(_RULE_ROWS, _RULE)
+    return A.secured(table(spark, d, "documents"), A.rule_predicate(rules, 9, ["g2"], True, "read", ["lang", "source"])).select("doc_id", "lang")
 
 
 @query(f"""WITH {VECTORS}, s AS (SELECT query_id, vec_id, list_dot_product(query_vec, embedding) AS score FROM v_query_vec, v_corpus_vec WHERE {_VISIBLE}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)

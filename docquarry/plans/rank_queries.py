@@ -1,9 +1,13 @@
 """Queries over lexical scores, ranking and answer contexts."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import access, chunk, clean, lexical, meta, question, rank
+from ..operators.indexed import IndexStore
+from ..sources.scratch import shared_dir
 from .question_queries import _STOP
 from .registry import query
 from .text_queries import _CLEAN_EPISODE
@@ -24,8 +28,19 @@ def _index(spark, d):
     return lexical.inverted_index(_docs(spark, d), "doc_id", "text")
 
 
+#: The stored index of a folder's documents, by application and folder: built once, read by all queries here.
+_STORES = {}
+
+
+def _store(spark, d):
+    at = spark.sparkContext.applicationId, d
+    if at not in _STORES:
+        _STORES[at] = IndexStore(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id").write(_docs(spark, d), "text")
+    return _STORES[at]
+
+
 def _bm25(spark, d):
-    return lexical.bm25(_docs(spark, d), "doc_id", "text", lexical.query_terms(questions(spark, d), "query"))
+    return _store(spark, d).scores(lexical.query_terms(questions(spark, d), "query"))
 
 
 @query(f"SELECT doc_id, CAST(len(list_filter({_TOKENS.format('text')}, lambda x: length(x) >= 3)) AS INTEGER) AS tokens, list_filter({_TOKENS.format('text')}, lambda x: length(x) >= 3)[1] AS first FROM documents")
@@ -47,12 +62,18 @@ def g3_bm25(spark, d):
     return top.select("query_id", "doc_id", "bm25", "rank")
 
 
+@query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, doc_id) AS rank FROM b) SELECT query_id, doc_id, round(bm25, 6) AS bm25, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+def g3_bm25_bounded(spark, d):
+    """The same by the blocks' bounds: what can't be among the best ten is passed over."""
+    return _store(spark, d).best(lexical.query_terms(questions(spark, d), "query"), 10).select("query_id", "doc_id", "bm25", "rank")
+
+
 @query(f"""WITH {QUESTIONS}, {_INDEX}, f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), l AS (SELECT doc_id, sum(tf) AS length FROM i GROUP BY 1), t AS (SELECT count(*) AS n FROM l),
     q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM v_query) WHERE length(term) >= 3 GROUP BY 1, 2)
     SELECT query_id, doc_id, round(sum(times * ln((n + 1) / (df + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 100.0))), 6) AS bm25 FROM i JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc_id), t GROUP BY 1, 2""")
 def g4_bm25_fixed_length(spark, d):
     terms = lexical.query_terms(questions(spark, d), "query", 3)
-    return lexical.bm25(_docs(spark, d), "doc_id", "text", terms, least_idf=None, mean_length=100.0).withColumn("bm25", F.round("bm25", 6))
+    return _store(spark, d).scores(terms, least_idf=None, mean_length=100.0).withColumn("bm25", F.round("bm25", 6))
 
 
 @query("SELECT o_orderkey, round(exp(-(epoch(TIMESTAMP '2002-01-01 00:00:00') - epoch(o_orderdate)) / 86400.0 / 365.0), 6) AS recency FROM orders")
@@ -237,9 +258,14 @@ def slice_answer_context(spark, d):
     """Clean, chunk, link, index, score, filter by source, keep the best five chunks of each question, and assemble bounded contexts."""
     docs = access.allowed_sources(table(spark, d, "documents"), "source", denied=["src3"])
     cleaned = docs.select("doc_id", "source", clean.clean_episode(F.col("text")).alias("text"))
-    chunks = meta.inherit(chunk.chunk_fixed(cleaned, "doc_id", "text"), cleaned, "doc_id", ["source"]).withColumn("chunk_id", F.concat_ws("_", "doc_id", "chunk_index"))
-    terms = lexical.query_terms(questions(spark, d), "query")
-    hits = rank.rank_by(lexical.bm25(chunks, "chunk_id", "content", terms).withColumn("bm25", F.round("bm25", 6)), F.col("bm25"), "chunk_id").where("rank <= 5")
+    # The chunks are written once, with their parents' fields: the index and the contexts read them.
+    pieces = chunk.chunk_fixed(cleaned.withColumn("_of", F.struct("doc_id", "source")), "_of", "text").select("_of.*", "chunk_index", "content")
+    folder = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    pieces.withColumn("chunk_id", F.concat_ws("_", "doc_id", "chunk_index")).write.parquet(f"{folder}/rows")
+    chunks = spark.read.parquet(f"{folder}/rows")
+    store = IndexStore(spark, f"{folder}/index", "chunk_id").write(chunks, "content")
+    scored = store.scores(lexical.query_terms(questions(spark, d), "query")).withColumn("bm25", F.round("bm25", 6))
+    hits = rank.rank_by(scored, F.col("bm25"), "chunk_id").where("rank <= 5")
     return rank.context_text(hits.join(chunks, "chunk_id"), F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("chunk_id")), "content", 3000)
 
 

@@ -58,11 +58,16 @@ def test_zero_vector_and_short_corpus(spark):
 
 
 def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
+    from docquarry.operators import blocks
+
     c = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q = c.where("vec_id < 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
     hits = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in df.collect())
     whole = hits(V.vector_topk(q, c, 3))
-    monkeypatch.setattr(V, "MOST_QUERIES", 4)
+    # No query table is small enough to be broadcast, and blocks hold a few rows.
+    monkeypatch.setattr(V, "MOST_QUERY_BYTES", 0)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(blocks, "BLOCK_NUMBERS", 64 * 40)
     assert hits(V.vector_topk(q, c, 3)) == hits(V.vector_topk_batched(q, c, 3)) == whole
     assert len(whole) == 21
 
