@@ -173,8 +173,9 @@ def check_access(requests: DataFrame, effective: DataFrame) -> DataFrame:
     return requests.join(verdict, ["user_id", "resource", "action"])
 
 
-def user_list(users: DataFrame, user_roles: DataFrame, role: str | None = None) -> DataFrame:
-    """Users with their roles as one text; optionally only those with a role."""
+def user_list(users: DataFrame, user_roles: DataFrame, role: str | None = None, active: bool | None = None) -> DataFrame:
+    """Users with their roles as one text; optionally only those with a role, and only active or inactive ones (column ``is_active``)."""
+    users = users if active is None else users.where(F.col("is_active") == active)
     rows = users.join(user_roles.select("user_id", "role"), "user_id")
     out = rows.groupBy("user_id", "name").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.max(F.col("role") == F.lit(role or "")).alias("_has"))
     return (out.where("_has") if role else out).drop("_has")

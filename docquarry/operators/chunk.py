@@ -195,6 +195,13 @@ def to_chunk_rows(chunks: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return out.select(key, "chunk_index", F.concat_ws("_", key, "chunk_index").alias("chunk_id"), (F.col(key) * 1000 + F.col("chunk_index")).alias("entry_id"), "novel_id", "episode_number", F.left(title, F.lit(500)).alias("title"), F.left("_content", F.lit(20_000)).alias("content"), "total_chunks", "publication_date")
 
 
+def to_document_rows(documents: DataFrame, key: str) -> DataFrame:
+    """Whole documents as rows of the same table as chunks: no chunk, one piece, and an entry id below zero, so that it meets no chunk's."""
+    stamp = F.coalesce(F.unix_timestamp(F.col("publication_date").cast("timestamp")), F.lit(0))
+    cells = {"entry_id": -(F.col(key) * 1000 + 999), key: F.col(key), "novel_id": F.col("novel_id"), "episode_number": F.col("episode_number"), "title": F.left("episode_title", F.lit(500)), "content": F.left("content", F.lit(20_000)), "content_length": F.length("content"), "is_chunk": F.lit(False), "chunk_index": F.lit(-1), "total_chunks": F.lit(1), "publication_timestamp": stamp, "publication_date": F.coalesce(F.col("publication_date").cast("string"), F.lit(""))}
+    return documents.select(*[c.alias(n) for n, c in cells.items()])
+
+
 def chunk_statistics(chunks: DataFrame, key: str) -> DataFrame:
     """Chunks, total length and mean of the documents' mean lengths."""
     per = chunks.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.avg(F.length("content")).alias("mean"))

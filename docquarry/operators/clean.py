@@ -230,3 +230,12 @@ def clean_query(c: Column) -> Column:
     for short, long in CONTRACTIONS:
         c = F.replace(c, F.lit(short), F.lit(long))
     return F.trim(F.regexp_replace(F.regexp_replace(c, EMOJI, ""), r"\s+", " "))
+
+
+def clean_queries(rows: DataFrame, column: str, enabled: dict[str, bool] | None = None, rules: list[Rule] | None = None) -> DataFrame:
+    """Adds ``cleaned``: the query after all steps that ``clean_text`` runs, lower-cased, contractions written out, without emoji, its words one space apart.
+
+    A null or blank query becomes null or empty.
+    """
+    out = clean_text(rows, column, enabled, rules).drop("rules_applied", "warning", "stats")
+    return out.withColumn("cleaned", clean_query(F.col("cleaned")))

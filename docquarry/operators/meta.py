@@ -32,11 +32,21 @@ def query_hash(c: str) -> Column:
     return F.left(F.sha2(c, 256), F.lit(16))
 
 
-def inherit(chunks: DataFrame, parents: DataFrame, key: str, fields: list[str], tags: str | None = None) -> DataFrame:
-    """The parents' fields on their chunks; tags of both, each once; custom keys of a parent's map ``custom``."""
-    cols = [key, *fields] + ([F.col(tags).alias("_tags")] if tags else [])
+def inherit(chunks: DataFrame, parents: DataFrame, key: str, fields: list[str], tags: str | None = None, custom: str | None = None) -> DataFrame:
+    """The parents' fields on their chunks; tags of both, each once; with ``custom``, a map column, its keys that begin with ``custom_`` too.
+
+    A chunk's own entry of the map stays as it is.
+    """
+    cols = [key, *fields] + ([F.col(tags).alias("_tags")] if tags else []) + ([custom_fields(custom).alias("_custom")] if custom else [])
     out = chunks.join(parents.select(*cols), key, "left")
-    return out.withColumn(tags, F.array_sort(F.array_union(F.coalesce(tags, F.array().cast("array<string>")), F.coalesce("_tags", F.array().cast("array<string>"))))).drop("_tags") if tags else out
+    if tags:
+        none = F.array().cast("array<string>")
+        out = out.withColumn(tags, F.array_sort(F.array_union(F.coalesce(tags, none), F.coalesce("_tags", none)))).drop("_tags")
+    if custom:
+        empty = F.create_map().cast("map<string,string>")
+        own = F.coalesce(custom, empty) if custom in chunks.columns else empty
+        out = out.withColumn(custom, F.map_concat(F.map_filter(F.coalesce("_custom", empty), lambda k, _: ~F.map_contains_key(own, k)), own)).drop("_custom")
+    return out
 
 
 def custom_fields(c: str) -> Column:

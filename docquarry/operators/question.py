@@ -163,8 +163,22 @@ def neighbour_terms(pairs: DataFrame, most: int, least: float = 0.6) -> DataFram
     return _terms(near, F.col("score") * 0.7, "semantic")
 
 
+# Terms that go with the type of an entity.
+TYPE_TERMS = {
+    "PERSON": ("individual", "people", "person", "human"), "ORG": ("company", "organization", "business", "corporation"), "GPE": ("location", "place", "country", "city"),
+    "MONEY": ("cost", "price", "amount", "value"), "DATE": ("time", "period", "when", "schedule"), "PRODUCT": ("item", "goods", "service", "offering"),
+}
+
+
+def type_terms(queries: DataFrame, types: str) -> DataFrame:
+    """Terms that go with each distinct entity type of a query (an array column, from whatever finds entities), weight 0.7."""
+    known = F.create_map(*[x for name, terms in TYPE_TERMS.items() for x in (F.lit(name), F.array(*[F.lit(t) for t in terms]))])
+    each = F.flatten(F.transform(F.array_distinct(types), lambda t: F.coalesce(F.try_element_at(known, t), F.array().cast("array<string>"))))
+    return _terms(queries.select("query_id", F.explode(each).alias("term")), F.lit(0.7), "entity_type")
+
+
 def entity_terms(queries: DataFrame, found: str, words: str) -> DataFrame:
-    first = lambda c, w, k: _terms(queries.select("query_id", F.explode(F.slice(c, 1, 5)).alias("term")).distinct(), F.lit(w), k)
+    first = lambda c, w, k: _terms(queries.select("query_id", F.explode(F.slice(c, 1, 5)).alias("term")).select("query_id", F.lower("term").alias("term")).distinct(), F.lit(w), k)
     return first(found, 0.8, "entity").unionByName(first(words, 0.7, "keyword"))
 
 
@@ -208,10 +222,11 @@ def optimised_weights(terms: DataFrame, query: str) -> DataFrame:
     return out.withColumn("_top", top).withColumn("weight", F.when(F.col("_top") > 2, F.col("weight") * 2 / F.col("_top")).otherwise(F.col("weight"))).drop("_tf", "_norm", "_top")
 
 
-def expanded_query(queries: DataFrame, terms: DataFrame, query: str, least: float = 0.7, most_terms: int = 10, most: int = 500) -> DataFrame:
-    """The query with its best further terms, cut at a word boundary."""
+def expanded_query(queries: DataFrame, terms: DataFrame, query: str, least: float = 0.7, most_terms: int = 10, most: int = 500, phrases: str | None = None) -> DataFrame:
+    """The query, its phrases (an array column of ``queries``) and its best further terms, cut at a word boundary."""
     picked = terms.where((F.col("weight") >= least) & (F.col("kind") != "original")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "term"))).alias("t"))
-    text = F.concat_ws(" ", F.col(query), F.array_join(F.slice("t.term", 1, most_terms), " "))
+    said = [F.col(phrases)] if phrases else []
+    text = F.regexp_replace(F.concat_ws(" ", F.col(query), *said, F.array_join(F.slice("t.term", 1, most_terms), " ")), r"\s+", " ")
     cut = F.when(F.length("expanded") > most, F.regexp_replace(F.left("expanded", F.lit(most)), r"\s+\S*$", "")).otherwise(F.col("expanded"))
     return queries.join(picked, "query_id", "left").withColumn("expanded", F.trim(text)).select("query_id", cut.alias("expanded"))
 

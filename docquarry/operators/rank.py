@@ -16,7 +16,7 @@ def _by_query() -> WindowSpec:
     return Window.partitionBy("query_id")
 
 
-def recency(column: str, as_of: str, days: float = 30.0) -> Column:
+def recency(column: str | Column, as_of: str, days: float = 30.0) -> Column:
     """exp(-age / days) with the age in days."""
     return F.exp(-(F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(column)) / 86_400.0 / days)
 
@@ -34,6 +34,24 @@ def metadata_relevance(keywords: Column, words: Column, entities: Column, found:
     return F.least(F.lit(1.0), 0.5 * share(keywords, words) + 0.3 * share(entities, found) + F.when(same_type, 0.2).otherwise(0.0))
 
 
+def bm25_hybrid_rank(hits: DataFrame, bm25: str, terms: Column, similarity: str, key: str = "doc_id") -> DataFrame:
+    """Hits ranked by 0.6 similarity + 0.4 BM25 for each query term (``ranking``, ``rank``); a query without terms ranks by similarity alone."""
+    per_term = F.when(terms > 0, F.col(bm25) / terms).otherwise(0.0)
+    return rank_by(hits.withColumn("ranking", 0.6 * F.col(similarity) + 0.4 * per_term), F.round("ranking", 9), key)
+
+
+def temporal_rank(hits: DataFrame, similarity: str, date: str, retrieved: str, as_of: str, counts: tuple[str, str, str], key: str = "doc_id") -> DataFrame:
+    """Hits ranked by ``temporal_score``; without a date of its own a hit is as old as its retrieval, and missing ``counts`` (views, likes, comments) are 0."""
+    fresh = recency(F.coalesce(F.col(date), F.col(retrieved)), as_of)
+    popular = popularity(*[F.coalesce(F.col(c), F.lit(0)) for c in counts])
+    return rank_by(hits.withColumn("ranking", temporal_score(F.col(similarity), fresh, popular)), F.round("ranking", 9), key)
+
+
+def metadata_rank(hits: DataFrame, similarity: str, relevance: Column, key: str = "doc_id") -> DataFrame:
+    """Hits ranked by 0.6 similarity + 0.1 metadata relevance."""
+    return rank_by(hits.withColumn("ranking", 0.6 * F.col(similarity) + 0.1 * relevance), F.round("ranking", 9), key)
+
+
 def hybrid_score(vector: str, bm25: str, tfidf: str, semantic: str, words: Column, entities: Column) -> Column:
     """Weighted sum of four scores; weights by the query's words and entities: few words, many entities, many words, else."""
     mixed = lambda a, b, c, d: a * F.col(vector) + b * F.col(bm25) + c * F.col(tfidf) + d * F.col(semantic)

@@ -17,6 +17,13 @@ def failed_documents(documents: DataFrame, stored: DataFrame, key: str, text: st
     return documents.join(stored.select(key), key, "left_anti").select(key, F.length(text).alias("length"), cause.alias("cause"))
 
 
+def failed_page(failed: DataFrame, order: list[str], limit: int, offset: int, within: tuple[str, str] | None = None) -> DataFrame:
+    """One page of the failed documents, ordered, with ``total`` of them all, optionally of one group (its column and value)."""
+    rows = failed.where(F.col(within[0]) == within[1]) if within else failed
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
 def common_causes(failed: DataFrame) -> DataFrame:
     """Each cause's count and share in percent; the total is over the few groups."""
     counts = failed.groupBy("cause").agg(F.count("*").alias("n"))

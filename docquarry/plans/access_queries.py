@@ -176,6 +176,12 @@ def j11_user_list(spark, d):
     return A.user_list(roles.select("user_id", F.concat(F.lit("user "), "user_id").alias("name")), roles, "editor")
 
 
+@query(f"WITH {_USERS} SELECT user_id, 'user ' || user_id AS name, role AS roles FROM u WHERE role = 'editor' AND user_id % 4 <> 0")
+def j11_active_users(spark, d):
+    roles = user_roles(spark, d)
+    return A.user_list(roles.select("user_id", F.concat(F.lit("user "), "user_id").alias("name"), (F.col("user_id") % 4 != 0).alias("is_active")), roles, "editor", True)
+
+
 @query(f"WITH {_TABLES} SELECT user_id, u.role, CASE WHEN expires < TIMESTAMP '{AS_OF}' THEN 'expired' ELSE 'active' END AS status, coalesce(permission, '') AS permissions FROM u LEFT JOIN g ON u.role = g.role")
 def j12_membership_report(spark, d):
     return A.membership_report(user_roles(spark, d), _tables(spark)[1], AS_OF)

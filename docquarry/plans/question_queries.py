@@ -121,13 +121,31 @@ def i2_synonym_terms(spark, d):
     return Q.synonym_terms(Q.base_terms(questions(spark, d), "query"), _synonyms(spark)).drop("kind").withColumn("weight", F.round("weight", 6))
 
 
-@query(rf"WITH {QUESTIONS}, w AS (SELECT query_id, unnest(string_split_regex(lower(query), '\s+')) AS w, generate_subscripts(string_split_regex(lower(query), '\s+'), 1) AS p FROM v_query), f AS (SELECT query_id, w, min(p) AS p FROM w WHERE length(w) > 2 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with','what','how','when','where','why','who','which') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS n FROM f) SELECT query_id, w AS term, 0.7::DOUBLE AS weight FROM r WHERE n <= 5")
+@query(rf"""WITH {QUESTIONS}, w AS (SELECT query_id, unnest(string_split_regex(lower(query), '\s+')) AS w, generate_subscripts(string_split_regex(lower(query), '\s+'), 1) AS p FROM v_query), f AS (SELECT query_id, w, min(p) AS p FROM w WHERE length(w) > 2 AND w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','he','in','is','it','its','of','on','that','the','to','was','will','with','what','how','when','where','why','who','which') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p) AS n FROM f), x AS (SELECT query_id, list_concat(regexp_extract_all(query, 'https?://[^\s<>"{{}}|\\^`[\]]+'), regexp_extract_all(query, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}\b'), regexp_extract_all(query, '\b\d{{4}}-\d{{2}}-\d{{2}}\b'), regexp_extract_all(query, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b'), regexp_extract_all(query, '\b\d{{1,2}}-\d{{1,2}}-\d{{4}}\b'), regexp_extract_all(query, '\b\d+(?:,\d{{3}})*(?:\.\d+)?\b')) AS found FROM v_query)
+    SELECT query_id, w AS term, 0.7::DOUBLE AS weight FROM r WHERE n <= 5 UNION ALL SELECT query_id, term, 0.8::DOUBLE FROM (SELECT DISTINCT query_id, lower(unnest(found[1:5])) AS term FROM x)""")
 def i4_entity_terms(spark, d):
-    q = questions(spark, d).select("query_id", F.array().cast("array<string>").alias("e"), Q.keywords("query").alias("k"))
+    q = questions(spark, d).select("query_id", Q.entities("query").alias("e"), Q.keywords("query").alias("k"))
     return Q.entity_terms(q, "e", "k").drop("kind")
 
 
-_CONTEXT = f"""w AS (SELECT query_id, unnest({_TOKENS.format('text')}) AS term FROM (SELECT doc_id % 20 AS query_id, text, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 10),
+@query("""WITH t(name, terms) AS (VALUES ('PERSON', ['individual', 'people', 'person', 'human']), ('ORG', ['company', 'organization', 'business', 'corporation']), ('DATE', ['time', 'period', 'when', 'schedule'])), q AS (SELECT item_id AS query_id, unnest(CASE item_id % 3 WHEN 0 THEN ['PERSON'] WHEN 1 THEN ['ORG', 'DATE'] ELSE ['OTHER'] END) AS name FROM benchmark)
+    SELECT query_id, unnest(terms) AS term, 0.7::DOUBLE AS weight FROM q JOIN t USING (name)""")
+def i4_type_terms(spark, d):
+    kind = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("PERSON"), F.lit("PERSON"))).when(F.col("query_id") % 3 == 1, F.array(F.lit("ORG"), F.lit("DATE"))).otherwise(F.array(F.lit("OTHER")))
+    return Q.type_terms(questions(spark, d).select("query_id", kind.alias("types")), "types").drop("kind")
+
+
+@query(f"""WITH {QUESTIONS}, t AS (SELECT query_id, {_TOKENS.format('query')} AS t FROM v_query), p AS (SELECT query_id, i, t[i] AS a, t[i + 1] AS b FROM (SELECT query_id, t, unnest(range(1, len(t))) AS i FROM t)),
+    g AS (SELECT query_id, string_agg(a || ' ' || b, ' ' ORDER BY i) AS said FROM p WHERE a NOT IN {_STOP} AND b NOT IN {_STOP} AND length(a) > 1 AND length(b) > 1 GROUP BY 1), {_BASE}, s(term, synonym) AS (VALUES {", ".join(str(x) for x in _SYNONYMS)}),
+    e AS (SELECT query_id, string_agg(DISTINCT synonym, ' ' ORDER BY synonym) AS more FROM b JOIN s USING (term) WHERE synonym NOT IN (SELECT term FROM b c WHERE c.query_id = b.query_id) GROUP BY 1)
+    SELECT query_id, trim(query || ' ' || coalesce(said || ' ', '') || coalesce(more, '')) AS expanded FROM v_query LEFT JOIN g USING (query_id) LEFT JOIN e USING (query_id)""")
+def i9_expanded_with_phrases(spark, d):
+    asked = questions(spark, d).withColumn("phrases", Q.phrases("query"))
+    return Q.expanded_query(asked, _merged(spark, d), "query", least=0.6, most=1_000_000, phrases="phrases")
+
+
+# Every document is a hit of the question of its language's and source's group, in the order of its length.
+_CONTEXT = f"""w AS (SELECT query_id, unnest({_TOKENS.format('text')}) AS term FROM (SELECT lang || source AS query_id, text, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 10),
     c AS (SELECT query_id, term, count(*) AS n FROM w WHERE length(term) >= 3 AND term NOT IN {_STOP} GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS p FROM c)"""
 
 
@@ -135,7 +153,8 @@ _CONTEXT = f"""w AS (SELECT query_id, unnest({_TOKENS.format('text')}) AS term F
 def i5_context_terms(spark, d):
     from pyspark.sql import Window
 
-    hits = table(spark, d, "documents").select((F.col("doc_id") % 20).alias("query_id"), "text", F.row_number().over(Window.partitionBy(F.col("doc_id") % 20).orderBy("doc_id")).alias("rank"))
+    line = Window.partitionBy("lang", "source").orderBy(F.desc("n_chars"), "doc_id")
+    hits = table(spark, d, "documents").select(F.concat("lang", "source").alias("query_id"), "text", F.row_number().over(line).alias("rank"))
     return Q.context_terms(hits, "text").drop("kind").withColumn("weight", F.round("weight", 6))
 
 

@@ -76,6 +76,30 @@ def g4_bm25_fixed_length(spark, d):
     return _store(spark, d).scores(terms, least_idf=None, mean_length=100.0).withColumn("bm25", F.round("bm25", 6))
 
 
+@query(f"""WITH {QUESTIONS}, {_INDEX}, f AS (SELECT term, count(*) AS df FROM i GROUP BY 1), l AS (SELECT doc_id, sum(tf) AS length FROM i GROUP BY 1), t AS (SELECT count(*) AS n FROM l),
+    q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TOKENS.format('query')}) AS term FROM v_query) WHERE length(term) >= 3 GROUP BY 1, 2), z AS (SELECT query_id, sum(times) AS terms FROM q GROUP BY 1),
+    b AS (SELECT query_id, doc_id, sum(times * ln((n + 1) / (df + 1)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 100.0))) AS bm25 FROM i JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc_id), t GROUP BY 1, 2),
+    h AS (SELECT query_id, doc_id, 0.6::DOUBLE * (doc_id % 97 / 97.0::DOUBLE) + 0.4::DOUBLE * (bm25 / terms) AS ranking FROM b JOIN z USING (query_id)),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ranking, 9) DESC, doc_id) AS INTEGER) AS rank FROM h) SELECT query_id, doc_id, round(ranking, 6) AS ranking, rank FROM r WHERE rank <= 10""")
+def g4_bm25_hybrid_rank(spark, d):
+    terms = lexical.query_terms(questions(spark, d), "query", 3)
+    counts = terms.groupBy("query_id").agg(F.sum("times").alias("terms"))
+    hits = _store(spark, d).scores(terms, least_idf=None, mean_length=100.0).join(counts, "query_id").withColumn("similarity", F.col("doc_id") % 97 / 97.0)
+    return rank.bm25_hybrid_rank(hits, "bm25", F.col("terms"), "similarity").where("rank <= 10").select("query_id", "doc_id", F.round("ranking", 6).alias("ranking"), "rank")
+
+
+@query("""WITH h AS (SELECT user_id AS query_id, event_id AS doc_id, 0.6::DOUBLE * (value / 100) + 0.2::DOUBLE * exp(-(epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(CASE WHEN event_id % 6 = 0 THEN TIMESTAMP '2024-01-31 00:00:00' ELSE date_trunc('second', ts) END)) / 86400.0::DOUBLE / 30)
+    + 0.1::DOUBLE * least(ln(1 + coalesce(CASE WHEN event_id % 4 > 0 THEN event_id % 50 END, 0) + 2 * (event_id % 7) + 3 * (event_id % 3)) / 10, 1.0) AS ranking FROM events),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ranking, 9) DESC, doc_id) AS INTEGER) AS rank FROM h) SELECT query_id, doc_id, round(ranking, 6) AS ranking, rank FROM r WHERE rank <= 5""")
+def g11_temporal_rank(spark, d):
+    e = table(spark, d, "events")
+    dated = F.when(F.col("event_id") % 6 != 0, F.col("ts").cast("timestamp"))
+    hits = e.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("doc_id"), (F.col("value") / 100).alias("similarity"), dated.alias("date"), F.lit("2024-01-31 00:00:00").cast("timestamp").alias("retrieved"),
+        F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 50).alias("views"), (F.col("event_id") % 7).alias("likes"), (F.col("event_id") % 3).alias("comments"))
+    ranked = rank.temporal_rank(hits, "similarity", "date", "retrieved", "2024-02-01 00:00:00", ("views", "likes", "comments"))
+    return ranked.where("rank <= 5").select("query_id", "doc_id", F.round("ranking", 6).alias("ranking"), "rank")
+
+
 @query("SELECT o_orderkey, round(exp(-(epoch(TIMESTAMP '2002-01-01 00:00:00') - epoch(o_orderdate)) / 86400.0 / 365.0), 6) AS recency FROM orders")
 def g11_recency(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.round(rank.recency("o_orderdate", "2002-01-01 00:00:00", 365.0), 6).alias("recency"))
@@ -146,6 +170,17 @@ def _with_text(spark, d, n=5):
     return _top(spark, d, n).join(table(spark, d, "documents"), "doc_id").join(F.broadcast(questions(spark, d)), "query_id")
 
 
+@query(rf"""WITH {_TOP}, x AS (SELECT query_id, doc_id, bm25, list_distinct({_TOKENS.format('query')}) AS a, list_distinct({_TOKENS.format('text')}) AS b, list_distinct(regexp_extract_all(query, '[0-9]+')) AS ea, list_distinct(regexp_extract_all(text, '[0-9]+')) AS eb, source = 'src0' AS t FROM top JOIN documents USING (doc_id) JOIN v_query USING (query_id)),
+    h AS (SELECT query_id, doc_id, 0.6::DOUBLE * (bm25 / 100) + 0.1::DOUBLE * least(1.0, CASE WHEN len(a) > 0 THEN 0.5::DOUBLE * len(list_intersect(a, b)) / len(a) ELSE 0 END + CASE WHEN len(ea) > 0 THEN 0.3::DOUBLE * len(list_intersect(ea, eb)) / len(ea) ELSE 0 END + CASE WHEN t THEN 0.2 ELSE 0.0 END) AS ranking FROM x),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ranking, 9) DESC, doc_id) AS INTEGER) AS rank FROM h) SELECT query_id, doc_id, round(ranking, 6) AS ranking, rank FROM r""")
+def g13_metadata_rank(spark, d):
+    """Hits by similarity and by the keywords, entities (here numbers) and document type that they share with the query."""
+    words, numbers = (lambda c: F.array_distinct(lexical.tokenize(c))), (lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0))))
+    hits = _with_text(spark, d).withColumn("similarity", F.col("bm25") / 100)
+    relevance = rank.metadata_relevance(words("query"), words("text"), numbers("query"), numbers("text"), F.col("source") == "src0")
+    return rank.metadata_rank(hits, "similarity", relevance).select("query_id", "doc_id", F.round("ranking", 6).alias("ranking"), "rank")
+
+
 @query(f"""WITH {_TOP}, r AS (SELECT query_id, doc_id, bm25, lower(query) AS q, lower(text) AS c, length(text) AS n FROM top JOIN documents USING (doc_id) JOIN v_query USING (query_id)),
     s AS (SELECT *, list_distinct(list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '')) AS qw, list_distinct(list_filter(string_split_regex(c, '\\s+'), lambda x: x <> '')) AS cw FROM r),
     z AS (SELECT *, CASE WHEN contains(c, q) THEN 0.5 ELSE 0.0 END::DOUBLE + 0.3::DOUBLE * len(list_intersect(qw, cw)) / len(qw) AS raw FROM s)
@@ -273,3 +308,10 @@ def slice_answer_context(spark, d):
 def g19_retrieve_contexts(spark, d):
     hits = _top(spark, d, 20).drop("rank").join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     return rank.retrieve_contexts(questions(spark, d), hits, "text", "query", "bm25").select("query_id", "doc_id", "rank", "too_few")
+
+
+@query(f"WITH {_TOP}, r AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM top JOIN documents USING (doc_id)) SELECT * FROM r")
+def g26_own_ranker(spark, d):
+    """A user's ranking of the hits: long documents first."""
+    hits = _top(spark, d).drop("rank").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return rank.with_ranker(hits, lambda h: rank.rank_by(h, F.col("n_chars"))).select("query_id", "doc_id", "rank")

@@ -25,6 +25,13 @@ def k2_failed_documents(spark, d):
     return _failed(spark, d)
 
 
+@query(f"WITH f AS ({_FAILED}), g AS (SELECT f.*, source FROM f JOIN documents USING (doc_id) WHERE source = 'src1') SELECT doc_id, length, cause, source, (SELECT count(*) FROM g) AS total FROM g ORDER BY doc_id LIMIT 20 OFFSET 5")
+def k2_failed_page(spark, d):
+    """The second page of one source's failed documents, with their number."""
+    failed = _failed(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    return reconcile.failed_page(failed, ["doc_id"], 20, 5, ("source", "src1"))
+
+
 @query(f"WITH f AS ({_FAILED}) SELECT cause, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM f), 4)::DOUBLE AS percent FROM f GROUP BY 1")
 def k3_common_causes(spark, d):
     return reconcile.common_causes(_failed(spark, d))

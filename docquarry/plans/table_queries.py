@@ -1,9 +1,12 @@
 """Queries over sources, filters and table edits."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import predicates as P
 from ..sources import tables as T
+from ..sources.scratch import shared_dir
 from .registry import query
 from .sync_queries import old_and_new
 from .views import EPISODES, episodes, table
@@ -156,3 +159,22 @@ def b9_score_threshold(spark, d):
 @query("SELECT doc_id, text FROM documents")
 def a5_decode_bytes(spark, d):
     return table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b")).select("doc_id", T.decode_bytes("b").alias("text"))
+
+
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT label, count(*) AS rows, (SELECT count(*) FROM embeddings) AS written FROM embeddings GROUP BY 1")
+def a6_written_partitions(spark, d):
+    """Vectors written in partitions, read back by partition, with the number that the write reports."""
+    path = _folder(spark, "vectors")
+    written = T.write_rows(table(spark, d, "embeddings"), path, ["label"], "overwrite")
+    return spark.read.parquet(path).groupBy("label").agg(F.count("*").alias("rows")).withColumn("written", F.lit(written).cast("long"))
+
+
+@query("SELECT doc_id, lang, source, n_chars, sha256(text) AS digest FROM documents")
+def a13_json_round_trip(spark, d):
+    docs, path = table(spark, d, "documents"), _folder(spark, "json")
+    T.export_json(docs, path)
+    return T.import_json(spark, path, "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("digest"))

@@ -238,6 +238,21 @@ def e3_inherit(spark, d):
     return meta.inherit(chunks(spark, d), table(spark, d, "documents"), "doc_id", ["lang", "source"]).select("doc_id", "chunk_index", "lang", "source")
 
 
+@query(f"WITH {CHUNKS} SELECT v_chunk.doc_id, chunk_index, CASE WHEN chunk_index % 2 = 0 THEN lang ELSE 'own' END AS custom_lang, source AS custom_source, 2::INTEGER AS n FROM v_chunk JOIN documents USING (doc_id)")
+def e3_inherit_custom(spark, d):
+    """Custom keys of a document's map on its chunks; other keys stay away, and a chunk's own entry wins."""
+    parents = table(spark, d, "documents").withColumn("m", F.create_map(F.lit("custom_lang"), "lang", F.lit("custom_source"), "source", F.lit("private"), F.lit("x")))
+    own = chunks(spark, d).withColumn("m", F.when(F.col("chunk_index") % 2 == 1, F.create_map(F.lit("custom_lang"), F.lit("own"))))
+    out = meta.inherit(own, parents, "doc_id", [], custom="m")
+    return out.select("doc_id", "chunk_index", F.col("m")["custom_lang"].alias("custom_lang"), F.col("m")["custom_source"].alias("custom_source"), F.size("m").alias("n"))
+
+
+@query(f"""WITH {EPISODES} SELECT -(episode_id * 1000 + 999) AS entry_id, episode_id, novel_id, episode_number, left(episode_title, 500) AS title, left(content, 20000) AS content, CAST(length(content) AS INTEGER) AS content_length, false AS is_chunk, -1::INTEGER AS chunk_index, 1::INTEGER AS total_chunks,
+    CAST(epoch(publication_date) AS BIGINT) AS publication_timestamp, publication_date::VARCHAR AS publication_date FROM v_episode""")
+def d13_document_rows(spark, d):
+    return chunk.to_document_rows(episodes(spark, d), "episode_id")
+
+
 @query(f"WITH {CHUNKS} SELECT doc_id, chunk_index, lag(chunk_index) OVER w AS previous_chunk, lead(chunk_index) OVER w AS next_chunk FROM v_chunk WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)")
 def e4_link_chunks(spark, d):
     return meta.link_chunks(chunks(spark, d), "doc_id").select("doc_id", "chunk_index", "previous_chunk", "next_chunk")
@@ -276,11 +291,27 @@ def e12_provenance(spark, d):
     return out.select("doc_id", "strategy", F.col("parameters")["size"].alias("size"), F.array_join("steps", ">").alias("steps"), "version", "processed_at")
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(" + "replace(" * len(clean.CONTRACTIONS) + r"lower(regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '[\t\f\x0B]+', ' ', 'g'), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'))" + "".join(f", '{a.replace(chr(39), chr(39) * 2)}', '{b}')" for a, b in clean.CONTRACTIONS) + r", '\s+', ' ', 'g')) AS cleaned FROM conversations")
+_CLEAN_QUERY = r"SELECT conv_id, turn, trim(regexp_replace(" + "replace(" * len(clean.CONTRACTIONS) + r"lower(regexp_replace(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), '[\t\f\x0B]+', ' ', 'g'), '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g'))" + "".join(f", '{a.replace(chr(39), chr(39) * 2)}', '{b}')" for a, b in clean.CONTRACTIONS) + r", '\s+', ' ', 'g')) AS cleaned FROM conversations"
+
+
+@query(_CLEAN_QUERY)
 def c25_clean_query(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", clean.clean_query(F.col("text")).alias("cleaned"))
 
 
+@query(_CLEAN_QUERY)
+def c25_clean_queries(spark, d):
+    """The whole cleaning before the query's own steps; these texts have nothing that its other steps change, which tests do."""
+    return clean.clean_queries(table(spark, d, "conversations").select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "cleaned")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]')) AS INTEGER) AS digits FROM documents")
+def e10_extractors(spark, d):
+    """A user's own field beside the content."""
+    meta.register_extractor("digits", lambda c: F.regexp_count(c, F.lit("[0-9]")))
+    return meta.with_extractors(_docs(spark, d), "text").select("doc_id", "digits")
+
+
 @query("SELECT doc_id, lang FROM documents WHERE source <> 'src5'")
 def e11_delete_metadata(spark, d):
     from ..sources.tables import delete_where

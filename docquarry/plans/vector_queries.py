@@ -107,8 +107,10 @@ def f13_reduced(spark, d):
 
 @query()
 def f14_principal_components(spark, d):
-    rows, _ = V.principal_components(table(spark, d, "embeddings"), "embedding", 4)
-    return rows.select("vec_id", F.size("reduced").alias("dims"))
+    """Each row's coordinates on four components (signs by the greatest loading are free, so their squares), and the components' shares of variance."""
+    rows, shares = V.principal_components(table(spark, d, "embeddings"), "embedding", 4)
+    squares = F.transform("reduced", lambda x: F.round(x * x, 6))
+    return rows.select("vec_id", F.size("reduced").alias("dims"), squares.alias("squares"), F.array(*[F.lit(round(x, 6)) for x in shares]).alias("shares"))
 
 
 @query("""WITH e AS (SELECT CAST(unnest(range(0, 64)) AS INTEGER) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings), s AS (SELECT dim, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS least, max(x) AS most, var_pop(x) AS var FROM e GROUP BY 1),

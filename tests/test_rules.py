@@ -90,3 +90,30 @@ def test_upsert_of_repeated_and_null_keys(spark):
     old = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(1, "c"), (1, "d"), (None, "m")], "k int, v string")
     assert {tuple(r) for r in tables.upsert(old, new, ["k"]).collect()} == {(1, "d"), (None, "m"), (2, "b")}
+
+
+def test_queries_are_cleaned_by_the_whole_pipeline(spark):
+    rows = spark.createDataFrame([(1, "<b>It’s</b> &amp; caf&eacute; — won't   ​GO \U0001f600"), (2, None), (3, "  "), (4, "“I'd”\tsay\r\n\r\n\r\nno")], "id int, q string")
+    got = {r["id"]: r["cleaned"] for r in clean.clean_queries(rows, "q").collect()}
+    assert got[1] == "it's & café -- will not go"
+    assert got[2] is None and got[3] == ""
+    assert got[4] == '"i would" say no'
+
+
+def test_ranks_of_hits(spark):
+    hits = spark.createDataFrame([(1, 10, 0.5, 4.0), (1, 11, 0.9, 0.0), (1, 12, 0.9, 0.0)], "query_id long, doc_id long, sim double, bm25 double")
+    ranked = {r["doc_id"]: (round(r["ranking"], 6), r["rank"]) for r in rank.bm25_hybrid_rank(hits, "bm25", F.lit(4), "sim").collect()}
+    assert ranked == {10: (0.7, 1), 11: (0.54, 2), 12: (0.54, 3)}
+    assert {r["ranking"] for r in rank.bm25_hybrid_rank(hits, "bm25", F.lit(0), "sim").collect()} == {0.3, 0.54}
+    dated = hits.select("query_id", "doc_id", "sim", F.when(F.col("doc_id") == 10, F.lit("2024-01-01").cast("timestamp")).alias("date"), F.lit("2024-01-31").cast("timestamp").alias("got"), F.lit(None).cast("long").alias("v"), F.lit(0).alias("l"), F.lit(0).alias("c"))
+    ranked = {r["doc_id"]: r["ranking"] for r in rank.temporal_rank(dated, "sim", "date", "got", "2024-01-31 00:00:00", ("v", "l", "c")).collect()}
+    assert ranked[10] == pytest.approx(0.3 + 0.2 * 2.718281828**-1) and ranked[11] == pytest.approx(0.54 + 0.2)
+
+
+def test_expansion_by_types_and_phrases(spark):
+    asked = spark.createDataFrame([(1, "red fox jumps", ["red fox", "fox jumps"], ["DATE", "NONE", "DATE"]), (2, "of it", [], None)], "query_id long, q string, phrases array<string>, types array<string>")
+    assert sorted((r["query_id"], r["term"], r["weight"]) for r in question.type_terms(asked, "types").collect()) == [(1, t, 0.7) for t in ("period", "schedule", "time", "when")]
+    terms = spark.createDataFrame([(1, "vixen", 0.8, "synonym"), (1, "red", 1.0, "original"), (1, "low", 0.1, "synonym")], "query_id long, term string, weight double, kind string")
+    got = {r["query_id"]: r["expanded"] for r in question.expanded_query(asked, terms, "q", phrases="phrases").collect()}
+    assert got == {1: "red fox jumps red fox fox jumps vixen", 2: "of it"}
+    assert question.expanded_query(asked.where("query_id = 1"), terms, "q", most=20, phrases="phrases").head()["expanded"] == "red fox jumps red"
