@@ -169,7 +169,7 @@ def mmr(hits: DataFrame, k: int = 4, weight: float = 0.5, vector: str = "embeddi
         while len(chosen) < min(k, len(pdf)):
             rest = [i for i in range(len(pdf)) if i not in chosen]
             gain = [weight * score[i] - (1 - weight) * max((alike[i, j] for j in chosen), default=0.0) for i in rest]
-            chosen.append(rest[int(np.argmax(gain))])
+            chosen.append(rest[int(np.argmax(np.round(gain, 12)))])  # of equal gains the better ranked
         out = pdf.iloc[chosen].copy()
         out["rank"] = np.arange(1, len(out) + 1, dtype=np.int32)
         return out
