@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -165,15 +166,27 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
+def give_back() -> None:
+    """Returns to the system what Python, Arrow and the C library hold for reuse: a worker goes on to other tasks and stages, or idles beside them."""
+    import ctypes  # loaded where it is used: functions travel to the workers by value
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
+
+
 def rows_of(batches: Iterable[pa.RecordBatch], step: int = 256) -> Iterator[list[dict]]:
     """The rows of Arrow batches, few at a time, so that Python objects of a whole batch never coexist.
 
-    What Arrow holds for reuse is given back at the end, as a worker goes on to other tasks.
+    What the worker's last task left is given back first, and what Arrow holds for reuse at the end.
     """
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step).to_pylist()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def bounds(df: DataFrame, column: str, buckets: int) -> list[int]:
