@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,10 +61,17 @@ def link_chunks(chunks: DataFrame, key: str) -> DataFrame:
 
 def overlaps(chunks: DataFrame, key: str, most: int) -> DataFrame:
     """Lengths of the longest end of the previous chunk that is this one's beginning, and of this one's that is the next's, up to ``most`` characters."""
-    before = chunks.withColumn("_before", F.lag("content").over(Window.partitionBy(key).orderBy("chunk_index")))
-    bound = F.least(F.length("_before"), F.length("content"), F.lit(most))
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(bound, F.lit(1))), lambda i: (i <= bound) & (F.right("_before", i) == F.left("content", i)))
-    return before.withColumn("overlap_previous", F.when(F.col("_before").isNull(), 0).otherwise(F.coalesce(F.array_max(fits), F.lit(0)))).drop("_before").withColumn("overlap_next", F.coalesce(F.lead("overlap_previous").over(Window.partitionBy(key).orderBy("chunk_index")), F.lit(0)))
+    line = Window.partitionBy(key).orderBy("chunk_index")
+    # Only the ends that can overlap go through the window, beside the caller's columns.
+    ends = chunks.withColumns({"_head": F.left("content", F.lit(most)), "_tail": F.right("content", F.lit(most))})
+    own = ends.withColumn("_before", F.lag("_tail").over(line)).withColumn("overlap_previous", F.pandas_udf(_longest_overlap, "int")("_before", "_head")).drop("_before", "_head", "_tail")
+    return own.withColumn("overlap_next", F.coalesce(F.lead("overlap_previous").over(line), F.lit(0)))
+
+
+def _longest_overlap(before: pd.Series, after: pd.Series) -> pd.Series:
+    """Characters of the longest end of the one that is the other's beginning; 0 without one."""
+    longest = lambda a, b: next((i for i in range(min(len(a), len(b)), 0, -1) if a.endswith(b[:i])), 0)
+    return pd.Series([longest(a or "", b or "") for a, b in zip(before, after, strict=True)], dtype="int32")
 
 
 def related(chunks: DataFrame, key: str, depth: int) -> DataFrame:
