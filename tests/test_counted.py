@@ -38,3 +38,12 @@ def test_lists_are_normalised_without_a_shuffle_of_the_hits(spark):
         assert out.count() == 200 and out.columns == ["query_id", "doc_id", "bm25", "normalized"]
     same = {r["normalized"] for r in rank.normalize_list(hits, "bm25", "minmax").where("query_id = 0").collect()}
     assert same == {1.5}
+
+
+def test_shared_terms_without_a_cross_join(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "c")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, ["a", "c"]), (8, [])], "query_id long, terms array<string>")
+    got = lexical.shared_terms(docs, "doc_id", lexical.tokenize("text"), asked)
+    want = [(7, 1, 1, 2, 2), (7, 2, 0, 2, 0), (7, 3, None, 2, None), (7, 4, 1, 2, 1), (8, 1, 0, 0, 2), (8, 2, 0, 0, 0), (8, 3, None, 0, None), (8, 4, 0, 0, 1)]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[:2]) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
