@@ -38,3 +38,17 @@ def test_segments_give_the_best_without_a_row_for_each_posting(spark, tmp_path,
     monkeypatch.setattr(indexed, "MOST_TERMS", terms.count() // 2)
     assert scored(store.best(terms, 4), *columns) == scored(want, *columns)
     assert store.scores(terms).count() == lexical.bm25(docs, key, "text", terms).count()
+
+
+def test_softmax_reads_the_hits_twice_and_holds_for_any_score(spark):
+    import math
+
+    values = [(1, -1500.0), (1, 2000.0), (1, 1999.0), (1, 1899.5), (2, 3.0), (2, 103.0), (2, 102.5), (3, 0.0), (4, None), (4, 7.0)]
+    hits = spark.createDataFrame([(q, i, x) for i, (q, x) in enumerate(values)], "query_id long, doc_id long, bm25 double")
+    out = rank.normalize_list(hits, "bm25", "softmax")
+    got = {r["doc_id"]: r["normalized"] for r in out.collect()}
+    for i, (q, x) in enumerate(values):
+        mine = [v for p, v in values if p == q and v is not None]
+        want = None if x is None else math.exp(x - max(mine)) / sum(math.exp(v - max(mine)) for v in mine)
+        assert got[i] is None if want is None else abs(got[i] - want) < 1e-12
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + out._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 2
