@@ -58,6 +58,22 @@ def test_lists_are_normalised_where_they_are_scored(spark, monkeypatch, how):
     assert counted.normalized(terms.limit(0), how).count() == 0
 
 
+def test_a_text_is_cut_into_tokens_once(spark, monkeypatch):
+    plans, frame = [], type(spark.range(0))
+    through = frame.mapInArrow
+
+    def seen(self, *a, **b):
+        plans.append((out := through(self, *a, **b))._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", seen)
+    docs = spark.createDataFrame([(1, "a bb cc bb"), (2, None), (3, ""), (4, "a !"), (5, "dd")], "doc_id long, text string")
+    terms = spark.createDataFrame([(7, "bb", 1)], "query_id long, term string, times long")
+    counted = lexical.Counted(docs, "doc_id", "text", terms)
+    assert plans[0].count("regexp_extract_all(") == 1
+    assert sorted(tuple(r) for r in counted.rows.collect()) == [(1, 3, [0], [2]), (5, 1, [], [])]
+
+
 def test_the_registered_lists_are_neither_joined_nor_rounded_again(spark):
     for name in ("g8_minmax", "g8_zscore", "g8_softmax"):
         plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
